@@ -1,0 +1 @@
+"""The reference has no streams, and neither has this package: all operators take static or streaming DataFrames where Spark allows it."""
