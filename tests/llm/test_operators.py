@@ -173,10 +173,10 @@ def test_lm_scoring(spark, sf, rows):
 def test_predictive_probabilities_sum_to_one():
     words = [b"a", b"bb", b"c"]
     of, u, c = np.array([0, 0, 1, 2]), np.array([0, 1, 0, 1]), np.array([5, 2, 3, 1])
-    sample = hpylm.Sample(1, np.array([2, 2] + [0] * 30), 3, 3)
+    sample = hpylm.Sample(1, np.array([2, 2] + [0] * 6), 3, 3)
     t, above, up = sample.seat(words, of, u, c)
     assert (t >= 1).all() and (t <= c).all() and (up >= 1).all() and (up <= above).all()
-    tables = np.bincount(u, t, 32).astype(int)
+    tables = np.bincount(u, t, hpylm.CONTEXTS).astype(int)
     parent = sample.parent(above, up, int(up.sum()), int(tables.sum()))
     unknown = (hpylm.STRENGTH + hpylm.DISCOUNT * up.sum()) / 4 / (hpylm.STRENGTH + tables.sum())
     assert math.isclose(parent.sum() + unknown, 1)
