@@ -31,8 +31,8 @@ from plateflow.llm.common import documents, shared_dir, written
 END = 1
 #: Documents of a block at most, and ids after which a block ends.
 BLOCK_DOCS, BLOCK_IDS = 512, 1 << 18
-#: Distinct chunks of text that a task remembers at most.
-REMEMBERED = 600_000
+#: Distinct chunks of text that a worker remembers at most.
+REMEMBERED = 800_000
 #: By control byte: the lengths of its four ids.
 LENGTHS = np.stack([(np.arange(256) >> (2 * k) & 3) + 1 for k in range(4)], axis=1).astype(np.uint8)
 
@@ -69,6 +69,8 @@ def _chunks(text: str) -> list[str]:
     return (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ")
 
 
+#: Encoders by vocabulary: a Python worker that Spark uses again keeps what it has learnt.
+_ENCODERS: dict = {}
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone. It is a token of its own.
 _MARK = "\x00"
 
@@ -93,11 +95,12 @@ def chunk_encoder(tokenizer):
     def encode(texts: list[str]) -> list[bytes]:
         split = [_chunks(t) for t in texts]
         new = [c for c in set().union(*split) if c not in known]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*split))
         learn(new)
-        return [b"".join(map(known.__getitem__, chunks)) + _END for chunks in split]
+        out = [b"".join(map(known.__getitem__, chunks)) + _END for chunks in split]
+        if len(known) > REMEMBERED:  # what came first is frequent: it stays
+            for c in new:
+                del known[c]
+        return out
 
     return encode
 
@@ -113,7 +116,9 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        encode = chunk_encoder(Tokenizer.from_str(shared.value))
+        if shared.value not in _ENCODERS:
+            _ENCODERS[shared.value] = chunk_encoder(Tokenizer.from_str(shared.value))
+        encode = _ENCODERS[shared.value]
         for b in slices(batches, 128):
             yield batch(schema, {"doc_id": b.column("doc_id"), "ids": encode([t or "" for t in b.column("text").to_pylist()])})
 
