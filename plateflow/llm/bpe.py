@@ -172,7 +172,10 @@ def with_token_ids(docs: DataFrame, codec: Codec) -> DataFrame:
     fields = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in docs.columns if c != "text")
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        encode = shared.value.encoder()
+        codec = shared.value
+        if not hasattr(codec, "_encode"):  # a Python worker that Spark uses again keeps what it has learnt
+            codec._encode = codec.encoder()
+        encode = codec._encode
         for b in slices(batches):
             ids = [encode(t or "").tobytes() for t in b.column("text").to_pylist()]
             rest = b.drop_columns(["text"])
