@@ -186,7 +186,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        predict = shared.value.predictor()
+        model = shared.value
+        if not hasattr(model, "_predict"):  # a Python worker that Spark uses again keeps what it has learnt
+            model._predict = model.predictor()
+        predict = model._predict
         for b in slices(batches):
             found = predict(b.column("text").to_pylist())
             yield batch(schema, {"doc_id": b.column("doc_id"), "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
