@@ -16,6 +16,7 @@ first. An empty table gives empty files and an empty result.
 from __future__ import annotations
 
 import re
+import struct
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -69,6 +70,8 @@ def _chunks(text: str) -> list[str]:
     return (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ")
 
 
+#: Lower-case letters of Latin-1, and at most one mark after them: two pre-tokens of the tokenizer, whatever stands around.
+_WORD = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z")
 #: Encoders by vocabulary: a Python worker that Spark uses again keeps what it has learnt.
 _ENCODERS: dict = {}
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone. It is a token of its own.
@@ -78,11 +81,34 @@ _MARK = "\x00"
 def chunk_encoder(tokenizer):
     """A function from texts to ids. The tokenizer drops white space and no token spans it, so a text's ids are those of its
     chunks between blanks and line ends, and each distinct chunk is encoded once."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
     known: dict[str, bytes] = {}
+    level = ByteLevel(add_prefix_space=False, use_regex=False)
     (mark,) = tokenizer.encode(_MARK, add_special_tokens=False).ids
 
-    def learn(chunks: list[str]) -> None:
-        plain = [c for c in chunks if _MARK not in c]
+    def of_word(word: str) -> bytes:
+        ids = [t.id for t in tokenizer.model.tokenize(word if word.isascii() else level.pre_tokenize_str(word)[0][0])]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def learn(chunks: list[str]) -> list[str]:
+        """Adds the chunks to known; returns all keys added. Plain words, with a mark after them or without, go to the
+        tokenizer's model as they are: its normalizer and its splitting would leave them so."""
+        added, rest = [], []
+        for c in chunks:
+            if (m := _WORD.match(c)) is None:
+                rest.append(c)
+                continue
+            ids = b""
+            for part in filter(None, m.groups()):
+                if part not in known:
+                    known[part] = of_word(part)
+                    added.append(part)
+                ids += known[part]
+            if m[2]:
+                known[c] = ids
+                added.append(c)
+        plain = [c for c in rest if _MARK not in c]
         joined = [plain[i : i + 500] for i in range(0, len(plain), 500)]
         for group, e in zip(joined, tokenizer.encode_batch_fast([f" {_MARK} ".join(g) for g in joined], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
@@ -90,15 +116,16 @@ def chunk_encoder(tokenizer):
             flat = ids.tobytes()
             for c, a, b in zip(group, cuts[:-1], cuts[1:], strict=True):
                 known[c] = flat[4 * a + 4 : 4 * b]
-        known.update((c, np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in chunks if _MARK in c)
+        known.update((c, np.array(tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes()) for c in rest if _MARK in c)
+        return added + rest
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [_chunks(t) for t in texts]
         new = [c for c in set().union(*split) if c not in known]
-        learn(new)
+        added = learn(new)
         out = [b"".join(map(known.__getitem__, chunks)) + _END for chunks in split]
         if len(known) > REMEMBERED:  # what came first is frequent: it stays
-            for c in new:
+            for c in added:
                 del known[c]
         return out
 
