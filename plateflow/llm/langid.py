@@ -59,8 +59,10 @@ class Model:
     def lattice(self, words: list[str]) -> np.ndarray:
         """The piece (or 0) of each word of one length, by end - 1 and length - 1."""
         get, n = self.number.get, len(words[0]) + 1
-        spans = [(a, a + k) if a >= 0 else (0, 0) for b in range(1, n + 1) for k in range(1, self.longest + 1) for a in [b - k]]
-        return np.array([[get(w[a:b], 0) for a, b in spans] for w in (MARK + x for x in words)], np.int32).reshape(len(words), n, self.longest)
+        spans = [(b - k, b) for b in range(1, n + 1) for k in range(1, min(b, self.longest) + 1)]
+        out = np.zeros((len(words), n * self.longest), np.int32)
+        out[:, [(b - 1) * self.longest + b - a - 1 for a, b in spans]] = [[get(w[a:b], 0) for a, b in spans] for w in (MARK + x for x in words)]
+        return out.reshape(len(words), n, self.longest)
 
     def forward(self, lattice: np.ndarray) -> np.ndarray:
         """Probability of every prefix, for each word and language: the sum over its segmentations."""
@@ -113,24 +115,31 @@ class Model:
         self.log_prior = np.log((total + 1) / (total + 1).sum())
 
     def predictor(self):
-        known: dict[str, np.ndarray] = {}
+        known: dict[str, int] = {}
+        logs = np.zeros((0, len(self.langs)))
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+            nonlocal logs
             counts = [Counter(words_of(t)) if t is not None and self.langs else None for t in texts]
             new = [w for w in set().union(*filter(None, counts)) if w not in known]
-            if len(known) + len(new) > REMEMBERED:
-                known.clear()
-                new = list(set().union(*filter(None, counts)))
-            known.update(self.log_words(new))
+            at = len(known)
+            if at + len(new) > len(logs):
+                logs = np.concatenate([logs, np.zeros((max(at, len(new)), len(self.langs)))])
+            for k, (w, x) in enumerate(self.log_words(new).items(), at):
+                known[w] = k
+                logs[k] = x
             out = []
             for c in counts:
                 if not c:
                     out.append(("und", 0.0))
                     continue
-                total = self.log_prior + np.fromiter(c.values(), float, len(c)) @ np.array([known[w] for w in c])
+                total = self.log_prior + np.fromiter(c.values(), float, len(c)) @ logs[np.fromiter(map(known.__getitem__, c), np.int64, len(c))]
                 p = np.exp(total - total.max())
                 k = int(total.argmax())
                 out.append((self.langs[k], float(p[k] / p.sum())))
+            if len(known) > REMEMBERED:  # what came first is frequent: it stays
+                for w in new:
+                    del known[w]
             return out
 
         return predict
