@@ -193,3 +193,16 @@ def attempt_score(t: Column, confidence: Column) -> Column:
         return F.when(t == "", -1.0).otherwise(total)
 
     return let(shape(t), of)
+
+
+def refinement_score(t: Column) -> Column:
+    """How much a text looks like a plate while its ends are trimmed: as repair_score, with even weights for its form."""
+
+    def of(s: Column) -> Column:
+        w = lambda cond, x: F.when(cond, x).otherwise(0.0)
+        form = w(s["ordered"], 0.30) + w(s["p"].between(1, 4), 0.25) + w(s["d"].between(1, 4), 0.25) + w(s["s"] <= 1, 0.20)
+        form = F.when(leading_zero(t, s), F.greatest(F.lit(0.0), form - 0.35)).otherwise(form)
+        regex = F.when(t.rlike(EXACT), 1.0).when(t.rlike(PARTIAL), 0.55).otherwise(0.0)
+        return 0.42 * regex + 0.24 * F.greatest(F.lit(0.0), 1 - 0.18 * F.abs(F.length(t) - 7)) + 0.20 * form + 0.14 * F.least(F.lit(1.0), identify_state(t)["priority"] / 100.0)
+
+    return let(shape(t), of)

@@ -53,3 +53,14 @@ def horizontal_clusters(boxes: DataFrame, key: str) -> DataFrame:
     limit = boxes.groupBy(key).agg(F.greatest(F.lit(4.0), 0.85 * F.median("w")).alias("_limit"))
     gap = boxes.join(limit, key).withColumn("_new", F.when(F.col("x") - ends > F.col("_limit"), 1).otherwise(0))
     return gap.withColumn("cluster", (1 + F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).cast("int")).drop("_new", "_limit")
+
+
+def gap_split(boxes: DataFrame, key: str, height: int) -> DataFrame:
+    """key, n_top, gap of each image whose boxes fall into two rows: the widest gap between centres (the first of equals) is at
+    least .45 of the mean height and .08 of the image's height, and leaves two boxes on each side."""
+    by = Window.partitionBy(key).orderBy("_cy", "seq")
+    placed = boxes.withColumn("_cy", F.col("y") + F.col("h") / 2).withColumn("_n", F.row_number().over(by) - 1).withColumn("_gap", F.col("_cy") - F.lag("_cy").over(by))
+    widest = placed.groupBy(key).agg(F.count("*").alias("_all"), F.avg("h").alias("_h"), F.max(F.when(F.col("_gap").isNotNull(), F.struct("_gap", (-F.col("_n")).alias("_order")))).alias("_x"))
+    n_top, gap = -F.col("_x._order"), F.col("_x._gap")
+    two = (F.col("_all") >= 4) & (gap >= F.greatest(0.45 * F.col("_h"), F.lit(0.08 * height))) & (n_top >= 2) & (F.col("_all") - n_top >= 2)
+    return widest.where(two).select(key, n_top.cast("int").alias("n_top"), F.round(gap, 6).alias("gap"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plateflow.functions import arrays, geometry, text
 from plateflow.operators import attempts, detect, evaluate, rerank
@@ -34,8 +35,6 @@ def plates(spark: SparkSession, d: str) -> DataFrame:
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     """image, seq, x, y, w, h, score, box: made-up candidates for each order."""
-    from pyspark.sql.window import Window
-
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
     c = lambda e, n: e.cast("double").alias(n)
     rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.row_number().over(by).alias("seq"), c(F.col("l_partkey") % 40, "x"), c(F.col("l_suppkey") % 20, "y"), c(F.col("l_quantity") * 6, "w"), c(F.col("l_quantity") * 2, "h"), c(F.floor("l_extendedprice") / 100000, "score"))
@@ -345,8 +344,6 @@ def moving_average(spark, d):
 f AS (SELECT b.image, seq, x, CASE WHEN x - max(x + w / 8) OVER (PARTITION BY b.image ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > lim THEN 1 ELSE 0 END AS new FROM boxes b JOIN m ON b.image = m.image)
 SELECT image, seq, (1 + sum(new) OVER (PARTITION BY image ORDER BY x, seq ROWS UNBOUNDED PRECEDING))::INT AS cluster FROM f""")
 def horizontal_clusters(spark, d):
-    from pyspark.sql.window import Window
-
     by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
     rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.row_number().over(by).alias("seq"), (F.col("l_partkey") % 400).cast("double").alias("x"), (F.col("l_quantity") * 6).cast("double").alias("w"))
     return detect.horizontal_clusters(rows.withColumn("w", F.col("w") / 8), "image").select("image", "seq", "cluster")
@@ -370,3 +367,23 @@ def summary_projection(spark, d):
     x = attempts.best_attempt(tries(spark, d)).withColumn("s", text.identify_state(F.col("text")))
     status = F.when(F.col("text") == "", "no_text").when(F.col("s.matched"), "ok").otherwise("unknown_state")
     return x.select(F.col("cand").alias("image"), "text", F.col("s.name").alias("state"), "score", status.alias("status"))
+
+
+@query(f"""WITH {B.replace("(l_suppkey % 20)", "(l_suppkey % 200)")}, c AS (SELECT image, seq, h, y + h / 2 AS cy FROM boxes),
+g AS (SELECT image, h, row_number() OVER w - 1 AS n, cy - lag(cy) OVER w AS gap FROM c WINDOW w AS (PARTITION BY image ORDER BY cy, seq)),
+m AS (SELECT image, count(*) AS a, avg(h) AS h, max(gap) AS gap FROM g GROUP BY image),
+f AS (SELECT m.image, a, m.h, m.gap, min(n) AS top FROM m JOIN g ON m.image = g.image AND m.gap = g.gap GROUP BY ALL)
+SELECT image, top::INT AS n_top, round(gap, 6) AS gap FROM f WHERE a >= 4 AND gap >= greatest(0.45 * h, 28.8) AND top >= 2 AND a - top >= 2""")
+def gap_split(spark, d):
+    by = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount")
+    rows = _t(spark, d, "lineitem").select(F.col("l_orderkey").alias("image"), F.row_number().over(by).alias("seq"), (F.col("l_suppkey") % 200).cast("double").alias("y"), (F.col("l_quantity") * 2).cast("double").alias("h"))
+    return detect.gap_split(rows, "image", 360)
+
+
+_REFINE = f"""(0.42 * CASE WHEN {EXACT} THEN 1.0 WHEN {PARTIAL} THEN 0.55 ELSE 0 END + 0.24 * greatest(0, 1 - 0.18 * abs(n - 7)) + 0.14 * least(1.0, ({_rule('t', 4, '0')}) / 100.0)
+  + 0.20 * greatest(0, CASE WHEN o THEN 0.30 ELSE 0 END + CASE WHEN p BETWEEN 1 AND 4 THEN 0.25 ELSE 0 END + CASE WHEN d BETWEEN 1 AND 4 THEN 0.25 ELSE 0 END + CASE WHEN s <= 1 THEN 0.20 ELSE 0 END - CASE WHEN {LZ} THEN 0.35 ELSE 0 END))::DOUBLE"""
+
+
+@query(f"WITH {SHAPED} SELECT k, round({_REFINE}, 6) AS score FROM shaped")
+def refinement_score(spark, d):
+    return plates(spark, d).select("k", F.round(text.refinement_score(F.col("t")), 6).alias("score"))
