@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plateflow.functions import text as texts
 from plateflow.functions.geometry import overlap
 
 LONGER, CONTAINED, OVERLAP = 0.08, -0.16, 0.42
+# What each score counts.
+WEIGHTS = {"detector": 0.20, "evidence": 0.16, "recognition": 0.12, "regex": 0.19, "state": 0.11, "composition": 0.06, "length": 0.03, "structure": 0.10, "framing": 0.03}
 
 
 def overlap_pairs(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
@@ -21,8 +24,8 @@ def overlap_pairs(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
 def adjusted(candidates: DataFrame) -> DataFrame:
     """image, seq, score after adjustments: of an overlapping pair where one text holds the other, the longer gains and the
     contained one loses, each step within 0 and 1, pairs in order. candidates: image, seq, box, text, score."""
-    texts = lambda k, x: candidates.select("image", F.col("seq").alias(k), F.col("text").alias(x))
-    pairs = overlap_pairs(candidates).join(texts("a", "_s"), ["image", "a"]).join(texts("b", "_t"), ["image", "b"])
+    named = lambda k, x: candidates.select("image", F.col("seq").alias(k), F.col("text").alias(x))
+    pairs = overlap_pairs(candidates).join(named("a", "_s"), ["image", "a"]).join(named("b", "_t"), ["image", "b"])
     holds = lambda x, y: (F.length(x) > F.length(y)) & F.col(x).contains(F.col(y)) & (F.col(y) != "")
     change = F.when(holds("_s", "_t"), F.struct(F.lit(LONGER).alias("x"), F.lit(CONTAINED).alias("y"))).when(holds("_t", "_s"), F.struct(F.lit(CONTAINED).alias("x"), F.lit(LONGER).alias("y")))
     steps = pairs.withColumn("_c", change).where("_c IS NOT NULL")
@@ -37,3 +40,26 @@ def selected(scored: DataFrame) -> DataFrame:
     """image, seq, score of each image's best candidate; the earlier one of equals."""
     best = scored.groupBy("image").agg(F.max(F.struct("score", (-F.col("seq")).alias("order"))).alias("x"))
     return best.select("image", (-F.col("x.order")).alias("seq"), F.col("x.score").alias("score"))
+
+
+def with_final_score(candidates: DataFrame) -> DataFrame:
+    """Adds final_score. candidates: text (normalised), detector, evidence, recognition, framing and left_margin. What the text
+    says counts by how far its reading is trusted; bonuses and penalties go by the scores as they are. One projection."""
+    t, rec = F.col("text"), texts.clamp(F.col("recognition"))
+    c = {"t": t, "rec": rec, "det": texts.clamp(F.col("detector")), "ev": texts.clamp(F.col("evidence")), "frame": F.col("framing"), "left": F.col("left_margin"), "regex": texts.regex_score(t), "comp": texts.composition_score(t), "len": texts.length_score(t), "struct": texts.structure_score(t), "prefix": texts.prefix_plausibility(t), "shape": texts.shape(t), "weak": texts.clamp((0.35 - rec) / 0.35)}
+
+    def of(x):
+        w = lambda cond, v: F.when(cond, v).otherwise(0.0)
+        some, p, d = x["t"] != "", x["shape"]["p"], x["shape"]["d"]
+        trust = F.greatest(F.lit(0.12), F.least(F.lit(1.0), F.greatest(F.lit(0.18), F.least(F.lit(1.0), 0.20 + 0.80 * x["rec"])) * (0.30 + 0.70 * x["prefix"]) * (1 - 0.55 * x["weak"])))
+        state = F.when(x["prefix"] == 1.0, 1.0).when(some, 0.20).otherwise(0.0)
+        mixed = lambda v: F.least(F.lit(1.0), trust * (0.85 * v + 0.15 * x["rec"]))
+        plain = lambda v: F.least(F.lit(1.0), trust * v)
+        parts = {"detector": x["det"], "evidence": x["ev"], "recognition": x["rec"], "regex": mixed(x["regex"]), "state": mixed(state), "composition": plain(x["comp"]), "length": plain(x["len"]), "structure": plain(x["struct"]), "framing": x["frame"]}
+        base = sum((WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
+        bonus = F.when(x["regex"] == 1.0, 0.10).when(x["regex"] == 0.6, 0.04).otherwise(0.0) + w(x["comp"] >= 0.85, 0.08) + x["weak"] * (0.14 * x["det"] + 0.08 * x["ev"])
+        penalty = w(~some, 0.55) + w(x["ev"] < 0.25, 0.24) + F.when(x["comp"] < 0.25, 0.16).when(x["comp"] < 0.55, 0.10).otherwise(0.0) + w(some & ~x["t"].rlike("[A-Z]"), 0.12) + w(some & (x["len"] < 0.35), 0.08)
+        penalty = penalty + w((p <= 1) & (d >= 3) & (x["left"] < 0.02), 0.12) + w(some & d.between(1, 2), 0.14) + w(some & (x["frame"] < 0.35), 0.08) + w(some & (x["prefix"] < 0.20), 0.18)
+        return texts.clamp(base + bonus - penalty)
+
+    return candidates.withColumn("final_score", F.round(texts.let(F.struct(*(v.alias(k) for k, v in c.items())), of), 6))

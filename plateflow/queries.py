@@ -387,3 +387,19 @@ _REFINE = f"""(0.42 * CASE WHEN {EXACT} THEN 1.0 WHEN {PARTIAL} THEN 0.55 ELSE 0
 @query(f"WITH {SHAPED} SELECT k, round({_REFINE}, 6) AS score FROM shaped")
 def refinement_score(spark, d):
     return plates(spark, d).select("k", F.round(text.refinement_score(F.col("t")), 6).alias("score"))
+
+
+FINAL = f"""{TEXTED}, sh AS (SELECT image, seq, t, {S['p']} AS p, {S['d']} AS d, {S['s']} AS s, {S['o']} AS o, length(t) AS n, least(1.0, score) AS det, x / 40 AS ev, least(1.0, w / 300) AS rec, y / 20 AS frame, seq % 5 / 100 AS left_m FROM (SELECT * EXCLUDE text, text AS t FROM texted)),
+sc AS (SELECT *, (CASE WHEN n = 0 THEN 0.0 WHEN {EXACT} THEN 1.0 WHEN {PARTIAL} THEN 0.6 WHEN {_ANY} THEN 0.4 ELSE 0.05 END)::DOUBLE AS regex, {COMPOSITION}::DOUBLE AS comp, ({LENGTH})::DOUBLE AS len, ({STRUCTURE})::DOUBLE AS struct,
+  (CASE WHEN n = 0 THEN 0 WHEN {_rule('t', 4, '0')} > 0 THEN 1 ELSE 0.05 END)::DOUBLE AS prefix, least(1.0, greatest(0.0, (0.35 - rec) / 0.35))::DOUBLE AS weak FROM sh),
+tr AS (SELECT *, greatest(0.12, least(1.0, greatest(0.18, least(1.0, 0.20 + 0.80 * rec)) * (0.30 + 0.70 * prefix) * (1 - 0.55 * weak))) AS trust, CASE WHEN prefix = 1 THEN 1.0 WHEN n > 0 THEN 0.2 ELSE 0 END::DOUBLE AS state FROM sc),
+fin AS (SELECT image, seq, 0.20 * det + 0.16 * ev + 0.12 * rec + 0.19 * least(1.0, trust * (0.85 * regex + 0.15 * rec)) + 0.11 * least(1.0, trust * (0.85 * state + 0.15 * rec)) + 0.06 * least(1.0, trust * comp) + 0.03 * least(1.0, trust * len) + 0.10 * least(1.0, trust * struct) + 0.03 * frame
+  + CASE WHEN regex = 1 THEN 0.10 WHEN regex = 0.6 THEN 0.04 ELSE 0 END + CASE WHEN comp >= 0.85 THEN 0.08 ELSE 0 END + weak * (0.14 * det + 0.08 * ev)
+  - CASE WHEN n = 0 THEN 0.55 ELSE 0 END - CASE WHEN ev < 0.25 THEN 0.24 ELSE 0 END - CASE WHEN comp < 0.25 THEN 0.16 WHEN comp < 0.55 THEN 0.10 ELSE 0 END - CASE WHEN n > 0 AND NOT regexp_matches(t, '[A-Z]') THEN 0.12 ELSE 0 END - CASE WHEN n > 0 AND len < 0.35 THEN 0.08 ELSE 0 END
+  - CASE WHEN p <= 1 AND d >= 3 AND left_m < 0.02 THEN 0.12 ELSE 0 END - CASE WHEN n > 0 AND d BETWEEN 1 AND 2 THEN 0.14 ELSE 0 END - CASE WHEN n > 0 AND frame < 0.35 THEN 0.08 ELSE 0 END - CASE WHEN n > 0 AND prefix < 0.20 THEN 0.18 ELSE 0 END AS f FROM tr)"""
+
+
+@query(f"WITH {FINAL} SELECT image, seq, round(least(1.0, greatest(0.0, f))::DOUBLE, 6) AS final_score FROM fin")
+def rerank_score(spark, d):
+    x = _texted(spark, d).withColumns({"detector": F.col("score"), "evidence": F.col("box.x") / 40, "recognition": F.col("box.w") / 300, "framing": F.col("box.y") / 20, "left_margin": F.col("seq") % 5 / 100})
+    return rerank.with_final_score(x).select("image", "seq", "final_score")
