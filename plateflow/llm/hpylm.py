@@ -1,16 +1,17 @@
 """Operator 4: language-model scoring with a hierarchical Pitman-Yor model.
 
-A token is drawn in the restaurant of its context: one of CONTEXTS classes of the word before it (by hash; the start of a
-text has its own). A new table there is a customer of the parent that all contexts share, and a new table in the parent is
-drawn from a uniform base over the vocabulary and one unknown word, the outcomes that the contract's base has. Seating is sampled by
-Gibbs: a random customer of a dish leaves (their table closes with the probability that they sat alone) and sits down again,
-at a new table in proportion to the parent's probability. Predictive probabilities are averaged over samples; a text's score is
-the sum of its tokens' log10 probabilities, from which perplexity follows.
-
-Counts cover all training documents. All seats of a word lie in one row (at most CONTEXTS entries), so a pass samples words
-where they are and sends CONTEXTS + 1 totals to the driver. Scores come back to documents by bucket: each bucket asks once
-for each distinct word, and is answered by the word's number in the bucket, for the contexts that it has it in. Texts are
-shuffled in compressed blocks.
+A token is drawn in the restaurant of the word before it (at the start of a text, of the end token). A new table there is a
+customer of the parent that all contexts share, and a new table in the parent is drawn from a uniform base over the vocabulary
+and one unknown word, the outcomes that the contract's base has. Seating is sampled by Gibbs: a random customer of a dish
+leaves (their table closes with the probability that they sat alone) and sits down again, at a new table in proportion to the
+parent's probability. A pass makes as many moves of each dish as it has customers and starts from the tables of the pass
+before. Predictive probabilities are averaged over the last passes; a text's score is the sum of its tokens' log10
+probabilities, from which perplexity follows.
+
+Counts cover all training documents. Pairs (word, word before) are dealt by the hash of both, so that a frequent word or
+context is spread over all parts; parts and words exchange their totals in each pass, by word. A pair with one customer has
+one table and nothing to sample, so only the others take part. Scores come back to documents by bucket. Words are known by
+64 bits of hash in all of this. Texts and pairs are shuffled in compressed blocks.
 
 Null counts as empty: the end token alone. Rows that share a doc_id are scored each for itself; a null id counts as empty text
 for the fold. Without training rows every count is 0. An empty table gives an empty result.
@@ -18,6 +19,7 @@ for the fold. Without training rows every count is 0. An empty table gives an em
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,12 @@ from plateflow.llm.common import bucket, buckets_for, documents, fold_of, mix64,
 FOLDS = 10
 #: The end of a text, as a word; no word holds a blank.
 END = b" "
-#: Classes of context; the last one is the start of a text.
+#: Restaurants of a Sample, the sampler in one process.
 CONTEXTS = 8
-#: Discount and strength of every restaurant, Gibbs steps of a dish, samples to average over (one more comes first).
-DISCOUNT, STRENGTH, STEPS, SAMPLES = 0.7, 1.0, 8, 2
+#: Discount and strength of every restaurant; passes before the samples, samples to average over.
+DISCOUNT, STRENGTH, BURN_IN, SAMPLES = 0.7, 1.0, 2, 2
+#: Dishes of more customers make their moves in this many batches (a batch changes the tables by 1 or 2 %).
+BATCHES = 64
 #: Text of a bucket.
 BUCKET_MB = 24
 
@@ -63,66 +67,87 @@ def alone_table(discount: float, customers: int = 1024, tables: int = 128) -> np
 ALONE = alone_table(DISCOUNT)
 
 
-def reseat(c: np.ndarray, t: np.ndarray, tables: np.ndarray | float, parent: np.ndarray, draw) -> np.ndarray:
-    """Tables of each dish after a Gibbs step. c, t: its customers and tables; tables: those of its whole restaurant; parent: its
-    probability there; draw(k): uniform numbers, one a dish. Dishes of more customers or tables than ALONE has use its limit."""
+_Y = np.geomspace(1e-12, 1 - 1e-9, 4000)
+#: Tables a customer, and the share of customers that sit alone then, of dishes too large for ALONE (saddle point of the sizes).
+FEW, LIMIT = (1 - _Y**DISCOUNT) / (DISCOUNT * (1 - _Y) * _Y ** (DISCOUNT - 1)), _Y ** (1 - DISCOUNT)
+
+
+def alone(c: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The probability that a random customer of a dish sits alone. c, t: its customers and tables."""
     inside = (c < ALONE.shape[0]) & (t < ALONE.shape[1])
-    alone = np.where(inside, ALONE[np.where(inside, c, 0), np.where(inside, t, 0)], DISCOUNT * t / np.maximum(c, 1))
-    left = t - ((draw(0) < alone) & (t > 1))
-    new = (STRENGTH + DISCOUNT * (tables - (t - left))) * parent
-    stay = np.maximum(c - 1 - DISCOUNT * left, 1e-12)
-    return np.where(c >= 2, left + (draw(1) * (new + stay) < new), np.minimum(t, c))
+    out = ALONE[np.where(inside, c, 0), np.where(inside, t, 0)]
+    if not inside.all():
+        out = np.where(inside, out, np.interp(t / np.maximum(c, 1), FEW, LIMIT) * (t - 1) / np.maximum(t, 1))
+    return out
+
+
+def sweep(c: np.ndarray, t: np.ndarray | None, tables: np.ndarray | float, parent: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Tables of each dish after as many moves as it has customers. c, t: its customers and tables (None: begins where
+    as many tables open as close); tables: those of its whole restaurant; parent: its probability there."""
+    order = np.argsort(-c, kind="stable")
+    c, parent = c[order], parent[order]
+    tables = np.broadcast_to(tables, c.shape)[order]
+    now = np.minimum(c, 1) if t is None else t[order]
+    others = np.maximum(tables - now, 0)
+    steps, moves = np.minimum(c, BATCHES), -(-c // BATCHES)
+    ends = len(c) - np.searchsorted(steps[::-1], np.arange(BATCHES), side="right")
+    if t is None:
+        high = c.copy()
+        while (now < high).any():
+            middle = (now + high + 1) // 2
+            rate = (STRENGTH + DISCOUNT * (others + middle)) * parent
+            opens = alone(c, middle) <= rate / (rate + np.maximum(c - 1 - DISCOUNT * middle, 1e-12))
+            now, high = np.where(opens, middle, now), np.where(opens, high, middle - 1)
+            now, high = np.minimum(now, c), np.maximum(high, now)
+    for k in range(BATCHES):
+        n = int(ends[k])
+        if not n or c[0] < 2:
+            break
+        cs, ts, m = c[:n], now[:n], moves[:n]
+        left = ts - rng.binomial(m, np.where(ts > 1, alone(cs, ts), 0))
+        base = np.where(m == 1, left, ts)
+        rate = (STRENGTH + DISCOUNT * (others[:n] + base)) * parent[:n]
+        came = rng.binomial(m, rate / (rate + np.maximum(cs - 1 - DISCOUNT * base, 1e-12)))
+        now[:n] = np.where(cs > 1, np.clip(left + came, 1, cs), ts)
+    out = np.empty_like(now)
+    out[order] = now
+    return out
 
 
-def uniforms(seed: np.ndarray, k: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return (mix64(seed + np.uint64(k + 1) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(11)).astype(float) / 2**53
+def parent_p(customers, tables, all_tables, all_customers, vocabulary):
+    """The parent's probability of a word (numbers or columns)."""
+    return (customers - DISCOUNT * tables + (STRENGTH + DISCOUNT * all_tables) / (vocabulary + 1)) / (STRENGTH + all_customers)
 
 
 class Sample:
-    """One sample of the seating: its number, and what it is drawn with (tables of each context and of the parent before it)."""
+    """The sampler over a few restaurants in one process: a pass's number, and what it is drawn with (tables of each context and of
+    the parent before it)."""
 
     def __init__(self, number: int, context_tables: np.ndarray, parent_tables: int, vocabulary: int):
         self.number, self.context_tables, self.parent_tables, self.vocabulary = number, context_tables, parent_tables, vocabulary
 
     def parent(self, c: np.ndarray, t: np.ndarray, tables: int, customers: int) -> np.ndarray:
-        return (np.maximum(c - DISCOUNT * t, 0) + (STRENGTH + DISCOUNT * tables) / (self.vocabulary + 1)) / (STRENGTH + customers)
-
-    def seat(self, words: list[bytes], of: np.ndarray, context: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tables of each (word, context), and of each word the parent's customers and tables. The draws depend on the word, the
-        context and the sample alone, so every pass over the words draws the same."""
-        n = len(words)
-        t = (c > 0).astype(np.int64)
+        return parent_p(c, t, tables, customers, self.vocabulary)
+
+    def seat(self, words: list[bytes], of: np.ndarray, context: np.ndarray, c: np.ndarray, before: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tables of each (word, context), and of each word the parent's customers and tables, after a pass. before: the tables of
+        the pass before, of each (word, context) and each word."""
+        rng, n = np.random.default_rng(self.number), len(words)
+        t, up = before or (None, None)
+        above = np.bincount(of, np.minimum(c, 1) if t is None else t, n).astype(np.int64)
+        p = self.parent(above, np.minimum(above, 1) if up is None else up, self.parent_tables, int(self.context_tables.sum()))
+        t = sweep(c, t, self.context_tables[context], p[of], rng)
         above = np.bincount(of, t, n).astype(np.int64)
-        up = (above > 0).astype(np.int64)
-        if self.number:
-            seed = np.fromiter((xxhash.xxh64_intdigest(w, self.number) for w in words), np.uint64, n)
-            own = mix64(seed[of] + context.astype(np.uint64))
-            customers = int(self.context_tables.sum())
-            for k in range(STEPS):
-                p = self.parent(above, up, self.parent_tables, customers)
-                t = reseat(c, t, self.context_tables[context], p[of], lambda j, k=k: uniforms(own, 2 * k + j))
-                above = np.bincount(of, t, n).astype(np.int64)
-                up = reseat(above, np.minimum(np.maximum(up, above > 0), above), self.parent_tables, np.full(n, 1 / (self.vocabulary + 1)), lambda j, k=k: uniforms(seed, 2 * k + j))
-        return t, above, up
-
-
-def contexts_of(ids: np.ndarray, words: list[bytes], starts: np.ndarray) -> np.ndarray:
-    """The context of each token. ids: numbers into words; starts: where texts begin."""
-    classes = np.fromiter((xxhash.xxh64_intdigest(w) % (CONTEXTS - 1) for w in words), np.int64, len(words))
-    out = np.empty(len(ids), np.int64)
-    out[1:] = classes[ids[:-1]]
-    out[starts] = CONTEXTS - 1
-    return out
+        return t, above, sweep(above, None if up is None else np.minimum(up, above), self.parent_tables, np.full(n, 1 / (self.vocabulary + 1)), rng)
 
 
 def _tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, and of the texts' tokens one after the other: number of the word, context; tokens of each text."""
-    place: dict[bytes, int] = {}
+    """Distinct words, and of the texts' tokens one after the other: number of the word, of the word before; tokens of each text."""
+    place: dict[bytes, int] = {END: 0}
     parts = [np.fromiter([place.setdefault(w, len(place)) for w in [*(t or b"").translate(LOWER_BYTES).split(), END]], np.int64) for t in texts]
     size = np.array([len(x) for x in parts], np.int64)
-    ids, words = np.concatenate(parts) if parts else np.zeros(0, np.int64), list(place)
-    return words, ids, contexts_of(ids, words, np.cumsum(size) - size), size
+    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+    return list(place), ids, np.concatenate([[0], ids])[: len(ids)], size
 
 
 def _packed(docs: DataFrame, n: int) -> DataFrame:
@@ -156,126 +181,220 @@ def _unpacked(blocks: pa.Table) -> Iterator[pa.RecordBatch]:
 
 
 class Bucket:
-    """The tokens of a bucket's documents, its distinct words in order, and its distinct pairs (word's number * CONTEXTS + context)."""
+    """The tokens of a bucket's documents, its distinct words (their hashes are in order), and its distinct pairs (number of the
+    word before * words + number of the word)."""
 
     def __init__(self, blocks: pa.Table):
         rows = pa.Table.from_batches(list(_unpacked(blocks)), PACK)
         self.doc_ids = rows.column("doc_id").to_pylist()
-        words, ids, self.context, self.size = _tokens(rows.column("text").to_pylist())
-        order = sorted(range(len(words)), key=words.__getitem__)
-        self.words = [words[k] for k in order]
+        words, ids, before, self.size = _tokens(rows.column("text").to_pylist())
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        order = np.argsort(hashes)
+        self.hashes = hashes[order]
         number = np.empty(len(words), np.int64)
         number[order] = np.arange(len(words))
-        self.ids = number[ids]
-        self.pairs = self.ids * CONTEXTS + self.context
-        self.codes = np.flatnonzero(np.bincount(self.pairs, minlength=len(words) * CONTEXTS))
+        self.ids, self.before = number[ids], number[before]
+        self.codes, self.pairs = np.unique(self.before * len(words) + self.ids, return_inverse=True)
 
     def trained(self) -> np.ndarray:
-        """Training tokens of each word in each context."""
+        """Training tokens of each pair."""
         train = np.repeat([fold_of(d, FOLDS) != 0 for d in self.doc_ids], self.size)
-        return np.bincount(self.pairs, train, len(self.words) * CONTEXTS).astype(np.int64).reshape(-1, CONTEXTS)
+        return np.bincount(self.pairs, train, len(self.codes)).astype(np.int64)
 
 
-def _requests(blocks: pa.Table) -> pa.Table:
-    """b, k (a word's number in its bucket), word, mask (the contexts it has there), and its training tokens in each context."""
-    own = Bucket(blocks)
-    words, codes, dense = own.words, own.codes, own.trained()
-    mask = np.bincount(codes // CONTEXTS, 1 << (codes % CONTEXTS), len(words)).astype(np.int64)
-    b = blocks.column("b")[0].as_py() if blocks.num_rows else 0
-    columns = {"b": np.full(len(words), b, np.int32), "k": np.arange(len(words), dtype=np.int32), "word": words, "mask": mask.astype(np.int32)} | {f"n{u}": dense[:, u] for u in range(CONTEXTS)}
-    schema = pa.schema([("b", pa.int32()), ("k", pa.int32()), ("word", pa.binary()), ("mask", pa.int32()), *((f"n{u}", pa.int64()) for u in range(CONTEXTS))])
-    return pa.Table.from_batches([batch(schema, columns)])
+def pack(*arrays: np.ndarray) -> bytes:
+    raw = pickle.dumps(arrays, 5)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-REQUESTS = "b int, k int, word binary, mask int, " + ", ".join(f"n{u} long" for u in range(CONTEXTS))
+def unpack(x: bytes) -> tuple[np.ndarray, ...]:
+    return pickle.loads(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True))
 
 
-def _flat(b: pa.RecordBatch) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Words, and of their pairs with training tokens: the word's place, context, tokens."""
-    dense = np.stack([b.column(f"n{u}").to_numpy() for u in range(CONTEXTS)], axis=1)
-    of, u = np.nonzero(dense)
-    return b.column("word").to_pylist(), of, u, dense[of, u]
+REQUESTS = pa.schema([("b", pa.int32()), ("q", pa.int32()), ("block", pa.binary())])
 
 
-def _pass(words: DataFrame, sample: Sample) -> tuple[np.ndarray, int]:
-    """The sample's tables of each context, and of the parent."""
-    shared = words.sparkSession.sparkContext.broadcast(sample)
-    schema = pa.schema([("key", pa.int32()), ("n", pa.int64())])
+def _requests(n: int):
+    """b, q, block: for each part q the bucket's pairs (word, word before, pair's number, training tokens)."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        own, b = Bucket(blocks), blocks.column("b")[0].as_py()
+        u, w = np.divmod(own.codes, len(own.hashes))
+        w, u, c = own.hashes[w], own.hashes[u], own.trained()
+        with np.errstate(over="ignore"):
+            q = (mix64(w + np.uint64(0x9E3779B97F4A7C15) * u) % np.uint64(n)).astype(np.int64)
+        order = np.argsort(q, kind="stable")
+        cuts = np.searchsorted(q[order], np.arange(n + 1))
+        found = [(k, pack(w[i], u[i], i.astype(np.int32), c[i].astype(np.int32))) for k in range(n) if len(i := order[cuts[k] : cuts[k + 1]])]
+        return pa.Table.from_batches([batch(REQUESTS, {"b": [b] * len(found), "q": [k for k, _ in found], "block": [x for _, x in found]})])
+
+    return run
+
+
+def _words(blocks: pa.Table) -> pa.Table:
+    """b, q (-1), block: the bucket's words."""
+    return pa.Table.from_batches([batch(REQUESTS, {"b": [blocks.column("b")[0].as_py()], "q": [-1], "block": [pack(Bucket(blocks).hashes)]})])
+
+
+PART = pa.schema([("q", pa.int32()), ("x", pa.binary()), ("dishes", pa.binary()), ("asked", pa.binary()), ("totals", pa.binary())])
 
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CONTEXTS + 1, np.int64)
-        for b in slices(batches, 10_000):
-            ws, of, u, c = _flat(b)
-            t, _, up = shared.value.seat(ws, of, u, c)
-            total[:CONTEXTS] += np.bincount(u, t, CONTEXTS).astype(np.int64)
-            total[CONTEXTS] += int(up.sum())
-        yield batch(schema, {"key": np.arange(CONTEXTS + 1, dtype=np.int32), "n": total})
-
-    rows = words.mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    found = np.zeros(CONTEXTS + 1, np.int64)
-    found[[r["key"] for r in rows]] = [r["n"] for r in rows]
-    return found[:CONTEXTS], int(found[CONTEXTS])
-
-
-def train(words: DataFrame, vocabulary: int, samples: int = SAMPLES) -> list[tuple[Sample, np.ndarray, int]]:
-    """Samples to average over, each with the tables that it drew. words: word and its training tokens in each context."""
-    tables = _pass(words, Sample(0, np.zeros(CONTEXTS, np.int64), 0, vocabulary))
-    out = []
-    for s in range(samples + 1):
-        sample = Sample(s + 1, *tables, vocabulary)
-        tables = _pass(words, sample)
-        out.append((sample, *tables))
-    return out[1:]
-
-
-def answered(asked: DataFrame, model: list[tuple[Sample, np.ndarray, int]], customers: np.ndarray) -> DataFrame:
-    """b, k, c (the word's training tokens), log_p (single precision, log10 of the averaged predictive probability in each context
-    of mask). customers: of each context."""
-    shared = asked.sparkSession.sparkContext.broadcast((model, customers))
-    schema = pa.schema([("b", pa.int32()), ("k", pa.int32()), ("c", pa.int64()), ("log_p", pa.binary())])
+
+def _part(rows: pa.Table) -> pa.Table:
+    """x: words of the part's dishes (pairs of two customers or more); dishes: number of word and word before in x, customers; asked:
+    bucket, pair's number, dish (-1 for one customer); totals: of each word, training tokens as word and as word before, pairs of one
+    customer as both, dishes as both."""
+    bs, blocks = rows.column("b").to_pylist(), [unpack(x) for x in rows.column("block").to_pylist()]
+    w, u, k, n = (np.concatenate([x[i] for x in blocks]) for i in range(4))
+    b = np.repeat(np.array(bs, np.int32), [len(x[0]) for x in blocks])
+    order = np.lexsort((u, w))
+    w, u, k, n, b = w[order], u[order], k[order], n[order].astype(np.int64), b[order]
+    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
+    c, w, u = np.add.reduceat(n, first), w[first], u[first]
+    dish = c >= 2
+    number = np.where(dish, np.cumsum(dish) - 1, -1)
+    asks = (c[of] > 0) & ~((c[of] == 1) & (n == 1))  # else the bucket knows: no tables, or its own customer's
+    x, both = np.unique(np.concatenate([w[dish], u[dish]]), return_inverse=True)
+    wi, ui = np.split(both.astype(np.int32), 2)
+    has = c > 0
+    every, both = np.unique(np.concatenate([w[has], u[has]]), return_inverse=True)
+    sums = [np.bincount(i, v, len(every)).astype(np.int64) for v in (c[has], c[has] == 1, dish[has]) for i in np.split(both, 2)]
+    return pa.Table.from_batches([batch(PART, {"q": rows.column("q")[:1].combine_chunks(), "x": [pack(x)], "dishes": [pack(wi, ui, c[dish])], "asked": [pack(b[asks], k[asks], number[of][asks].astype(np.int64))], "totals": [pack(every, *sums)]})])
+
+
+def _rows(table: DataFrame, names: list[str], made, *columns: str) -> DataFrame:
+    """Rows of 64-bit numbers: made gets the columns' values of each row and returns arrays, one for each name."""
+    schema = pa.schema([(x, pa.int64()) for x in names])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        model, customers = shared.value
-        for b in slices(batches, 10_000):
-            ws, of, u, c = _flat(b)
-            n = len(ws)
-            p = np.zeros((n, CONTEXTS))
-            for sample, context_tables, parent_tables in model:
-                t, above, up = sample.seat(ws, of, u, c)
-                parent = sample.parent(above, up, parent_tables, int(context_tables.sum()))
-                own = np.zeros((n, CONTEXTS))
-                own[of, u] = np.maximum(c - DISCOUNT * t, 0)
-                p += (own + (STRENGTH + DISCOUNT * context_tables) * parent[:, None]) / (STRENGTH + customers) / len(model)
-            has = (b.column("mask").to_numpy()[:, None] >> np.arange(CONTEXTS) & 1).astype(bool)
-            flat, ends = np.log10(p[has]).astype("<f4").tobytes(), np.cumsum(has.sum(axis=1)) * 4
-            yield batch(schema, {"b": b.column("b"), "k": b.column("k"), "c": np.bincount(of, c, n).astype(np.int64), "log_p": [flat[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]})
-
-    return asked.mapInArrow(run, "b int, k int, c long, log_p binary")
+        for b in slices(batches, 1):
+            found = made(*(x.to_pylist()[0] for x in b.columns))
+            for i in range(0, len(found[0]), 100_000):
+                yield batch(schema, {k: np.ascontiguousarray(v[i : i + 100_000]).view(np.int64) for k, v in zip(names, found, strict=True)})
+
+    return table.select(*columns).mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+SWEPT = pa.schema([("q", pa.int32()), ("x", pa.binary()), ("dishes", pa.binary()), ("t", pa.binary()), ("before", pa.binary()), ("totals", pa.binary())])
+
+
+def _sweep(number: int):
+    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
+        row = {k: part.column(k)[0].as_py() for k in part.column_names}
+        (x,), (wi, ui, c), answers = unpack(row["x"]), unpack(row["dishes"]), answers.sort_by("i")
+        t = sweep(c, unpack(row["t"])[0] if row["t"] else None, answers.column("tables").to_numpy()[ui], answers.column("p").to_numpy()[wi], np.random.default_rng([number, row["q"]]))
+        totals = [np.bincount(i, t, len(x)).astype(np.int64) for i in (wi, ui)]
+        return pa.Table.from_batches([batch(SWEPT, {"q": part.column("q").combine_chunks(), "x": [row["x"]], "dishes": [row["dishes"]], "t": [pack(t)], "before": [row["t"]], "totals": [pack(*totals)]})])
 
+    return run
 
+
+def _freed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished queries."""
+    for t in tables:
+        if files := t.inputFiles():
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        t.sparkSession._jvm.System.gc()
+
+
+STATE = "x long, cw long, cu long, sw long, su long, active boolean, above long, tables long, up long"
+
+
+def _parents(words: DataFrame, number: int, all_tables: int, vocabulary: int) -> DataFrame:
+    """The words after a pass over their seats in the parent."""
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 100_000):
+            above, up = b.column("above").to_numpy(), b.column("up").to_numpy()
+            first = int(b.column("x")[0].as_py()) & (2**63 - 1)
+            new = sweep(above, None if number == 1 else np.minimum(np.maximum(up, np.minimum(above, 1)), above), all_tables, np.full(len(above), 1 / (vocabulary + 1)), np.random.default_rng([number, first]))
+            yield b.set_column(b.schema.get_field_index("up"), "up", pa.array(new, pa.int64()))
+
+    return words.select(*(x.split()[0] for x in STATE.split(", "))).mapInArrow(run, STATE)
+
+
+def train(parts: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int, int]], DataFrame, int, int]:
+    """All words; of each sample the words that have more than one table at stake, tables and customers of the parent; the parts
+    with the tables (t, before) of the last two passes; the training tokens and the vocabulary."""
+    names = ["x", "cw", "cu", "sw", "su", "mw", "mu"]
+    exploded = _rows(parts, names, unpack, "totals")
+    words = exploded.groupBy("x").agg(*(F.sum(k).alias(k) for k in names[1:]))
+    words = words.select("x", "cw", "cu", "sw", "su", (F.col("mw") + F.col("mu") > 0).alias("active"), (F.col("sw") + F.col("mw")).alias("above"), (F.col("su") + F.col("mu")).alias("tables"), F.least(F.col("sw") + F.col("mw"), F.lit(1)).alias("up"))
+    words = written(words, "words")
+    parts.sparkSession._jvm.System.gc()
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    tokens, vocabulary = words.agg(zero("cw"), F.count(F.when(F.col("cw") > 0, 1))).first()
+    lone = ~F.col("active") & (F.col("above") <= 1)
+    fixed = words.where(lone).agg(zero("above")).first()[0]
+    state = words.where(~lone)
+    asks = _rows(parts, ["q", "i", "x"], lambda q, x: (np.full(len(a := unpack(x)[0]), q, np.int64), np.arange(len(a)), a), "q", "x")
+    asks = written(asks.select(F.col("q").cast("int").alias("q"), F.col("i").cast("int").alias("i"), "x"), "asks")
+    swept = parts.select("q", "x", "dishes", F.lit(b"").alias("t"))
+    samples, old = [], []
+    up_total, customers = (fixed + x for x in state.agg(zero("up"), zero("above")).first())
+    for number in range(1, BURN_IN + SAMPLES + 1):
+        p = parent_p(F.col("above"), F.col("up"), up_total, customers, vocabulary)
+        answers = asks.join(state.select("x", "tables", p.alias("p")), "x").select("q", "i", "tables", "p")
+        swept = written(swept.select("q", "x", "dishes", "t").groupBy("q").cogroup(answers.groupBy("q")).applyInArrow(_sweep(number), "q int, x binary, dishes binary, t binary, before binary, totals binary"), "swept")
+        changed = _rows(swept, ["x", "tw", "tu"], lambda x, totals: (*unpack(x), *unpack(totals)), "x", "totals").groupBy("x").agg(F.sum("tw").alias("tw"), F.sum("tu").alias("tu"))
+        active = state.where("active").join(changed, "x").withColumn("above", F.col("sw") + F.col("tw")).withColumn("tables", F.col("su") + F.col("tu")).drop("tw", "tu")
+        state = written(_parents(active.unionByName(state.where("not active")), number, up_total, vocabulary), "state")
+        up_total, customers = (fixed + x for x in state.agg(zero("up"), zero("above")).first())
+        samples.append((state, up_total, customers))
+        _freed(*old)
+        old = [swept] if number > BURN_IN else [swept, state]
+    return words, samples[-SAMPLES:], swept, tokens, vocabulary
+
+
+ANSWERS = "b int, k long, c long, cu long, g1 float, g2 float, p1 float, p2 float"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     n = buckets_for(docs.sparkSession, text_bytes(docs), BUCKET_MB)
     blocks = _packed(docs, n)
-    requests = written(blocks.groupBy("b").applyInArrow(_requests, REQUESTS), "requests")
-    counts = [f"n{u}" for u in range(CONTEXTS)]
-    words = written(requests.groupBy("word").agg(*(F.sum(c).alias(c) for c in counts)), "words")
-    known = F.when(sum((F.col(c) for c in counts), F.lit(0)) > 0, 1)
-    *customers, distinct = words.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in counts), F.count(known)).first()
-    customers = np.array(customers, np.int64)
-    total = int(customers.sum())
-    asked = requests.select("b", "k", "word", "mask").join(words, "word")
-    answers = answered(asked, train(words, distinct), customers)
+    # Parts are smaller than buckets: a task holds all of a part's pairs in several orders.
+    requests = blocks.groupBy("b").applyInArrow(_requests(2 * n), "b int, q int, block binary")
+    parts = written(requests.groupBy("q").applyInArrow(_part, "q int, x binary, dishes binary, asked binary, totals binary"), "parts")
+    parts.sparkSession._jvm.System.gc()
+    words, ((s1, up1, all1), (s2, up2, all2)), swept, total, distinct = train(parts)
+
+    one = s1.select("x", F.col("tables").alias("t1"), parent_p(F.col("above"), F.col("up"), up1, all1, distinct).alias("p1"))
+    two = s2.select("x", F.col("tables").alias("t2"), parent_p(F.col("above"), F.col("up"), up2, all2, distinct).alias("p2"))
+    # Words left out of the samples have the tables that they began with.
+    g = lambda t: ((F.coalesce(t, "tables") * DISCOUNT + STRENGTH) / (F.col("cu") + STRENGTH)).cast("float")
+    first = lambda p, up, every: F.coalesce(p, parent_p(F.col("above"), F.col("up"), up, every, distinct)).cast("float")
+    told = words.join(one.join(two, "x"), "x", "left").select("x", F.col("cw").alias("c"), "cu", g("t1").alias("g1"), g("t2").alias("g2"), first("p1", up1, all1).alias("p1"), first("p2", up2, all2).alias("p2"))
+    asked = _rows(blocks.groupBy("b").applyInArrow(_words, "b int, q int, block binary"), ["b", "k", "x"], lambda b, x: (np.full(len(a := unpack(x)[0]), b, np.int64), np.arange(len(a)), a), "b", "block")
+    nothing = [F.coalesce(x, F.lit(y).cast("float")).alias(x) for x, y in (("g1", 1), ("g2", 1), ("p1", parent_p(0, 0, up1, all1, distinct)), ("p2", parent_p(0, 0, up2, all2, distinct)))]
+    of_words = asked.join(told, "x", "left").select(F.col("b").cast("int").alias("b"), "k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cu", F.lit(0)).alias("cu"), *nothing)
+
+    def dishes(asked: bytes, dishes: bytes, t: bytes, before: bytes) -> tuple[np.ndarray, ...]:
+        (b, k, dish), c = unpack(asked), np.append(unpack(dishes)[2], 1)
+        return b.astype(np.int64), -1 - k.astype(np.int64), c[dish], np.append(unpack(before)[0], 1)[dish], np.append(unpack(t)[0], 1)[dish]
+
+    both = parts.select("q", "asked", "dishes").join(swept.select("q", "t", "before"), "q")
+    of_pairs = _rows(both, ["b", "k", "c", "t1", "t2"], dishes, "asked", "dishes", "t", "before")
+    none = F.lit(0).cast("float")
+    of_pairs = of_pairs.select(F.col("b").cast("int").alias("b"), "k", "c", F.lit(0).cast("long").alias("cu"), F.col("t1").cast("float").alias("g1"), F.col("t2").cast("float").alias("g2"), none.alias("p1"), none.alias("p2"))
+    answers = of_words.unionByName(of_pairs)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
     def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        own, answers = Bucket(blocks), answers.sort_by("k")
-        c = answers.column("c").to_numpy()
+        own = Bucket(blocks)
+        k, c, cu, g1, g2, p1, p2 = (answers.column(x).to_numpy() for x in ("k", "c", "cu", "g1", "g2", "p1", "p2"))
+        word, pair = np.flatnonzero(k >= 0), np.flatnonzero(k < 0)
+        word = word[np.argsort(k[word])]
+        u, w = np.divmod(own.codes, len(own.hashes))
+        seats = own.trained()
+        t = np.tile(np.minimum(seats, 1).astype(float), (2, 1))
+        at = -1 - k[pair]
+        seats[at], t[0, at], t[1, at] = c[pair], g1[pair], g2[pair]
+        p = sum((seats - DISCOUNT * t[s]) / (STRENGTH + cu[word][u]) + g[word][u].astype(float) * q[word][w] for s, (g, q) in enumerate(((g1, p1), (g2, p2)))) / 2
+        log_p, c = np.log10(p), c[word]
         base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        log_p = np.zeros(len(own.words) * CONTEXTS)
-        log_p[own.codes] = np.frombuffer(b"".join(answers.column("log_p").to_pylist()), "<f4")
         starts = np.cumsum(own.size) - own.size
         known, base, scores = (np.add.reduceat(x, starts) if len(starts) else x for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], log_p[own.pairs]))
         held = [fold_of(d, FOLDS) == 0 for d in own.doc_ids]

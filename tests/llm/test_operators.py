@@ -326,3 +326,15 @@ def test_many_repeated_windows(spark):
     from pyspark.sql import functions as F
 
     assert spark.createDataFrame([(" ".join(w),)], "t string").select(quality.n_repeat_words(quality.words(F.col("t")))).first()[0] == expected
+
+
+def test_lm_contexts_are_words(spark):
+    # All four words are as frequent; b always follows a and d follows c, so only the word before tells b from d.
+    texts = [(i, "a b " * 30 if i % 2 else "c d " * 30) for i in range(60)]
+    probe = [(i, t) for i in range(2000, 2100) if zlib.crc32(str(i).encode()) % 10 == 0 for t in ("a b a b", "a d a d")]
+    docs = spark.createDataFrame(texts + probe, "doc_id long, text string")
+    out = hpylm.lm_scores(docs).where("doc_id >= 2000").collect()
+    scores = sorted(r.score for r in out)
+    half = len(scores) // 2
+    assert half and all(r.held_out for r in out)
+    assert scores[half] - scores[half - 1] > 3
