@@ -338,3 +338,20 @@ def test_lm_contexts_are_words(spark):
     half = len(scores) // 2
     assert half and all(r.held_out for r in out)
     assert scores[half] - scores[half - 1] > 3
+
+
+def test_sweeps_reach_the_seating():
+    rng = np.random.default_rng(1)
+    # The reviewer's toy: long chains of single moves have 99, 512 and 3,865 tables.
+    for c, tables, p, expected in ((1_000, 50_000, 0.002, 99), (10_000, 50_000, 0.01, 512), (100_000, 200_000, 0.02, 3_865)):
+        dish, parent = np.full(50, c), np.full(50, p)
+        t = hpylm.sweep(dish, None, tables, parent, rng)
+        means = []
+        for _ in range(6):
+            t = hpylm.sweep(dish, t, tables + t, parent, rng)
+            means.append(t.mean())
+        assert all(abs(m / expected - 1) < 0.12 for m in means), means
+    # Another pass goes on from the tables of the one before.
+    c = np.array([5_000, 300, 40, 2])
+    many = hpylm.sweep(c, np.array([4_000, 250, 30, 2]), 50, np.full(4, 1e-9), rng)
+    assert (many < [4_000, 250, 30, 3]).all() and many[0] > 100
