@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 import uuid
@@ -28,11 +29,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or the one given to setCheckpointDir."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(found)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    found = tempfile.mkdtemp(prefix="spark-")  # one machine: tests and benchmarks
+    spark.sparkContext.setCheckpointDir(found)
     return found
 
 
@@ -43,6 +47,22 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished queries."""
+    for t in tables:
+        if files := t.inputFiles():
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+        dropped_shuffles(t.sparkSession)
+
+
+def dropped_shuffles(spark: SparkSession) -> None:
+    """Spark's cleaner drops the shuffle files of plans that the driver no longer holds, once it has collected its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """An eager reliable checkpoint of a small table."""
     shared_dir(df.sparkSession)

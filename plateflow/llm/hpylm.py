@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm.arrow import LOWER_BYTES, Batches, as_bytes, batch, slices
-from plateflow.llm.common import bucket, buckets_for, documents, fold_of, mix64, text_bytes, written
+from plateflow.llm.common import bucket, buckets_for, documents, fold_of, freed, mix64, text_bytes, written
 
 FOLDS = 10
 #: The end of a text, as a word; no word holds a blank.
@@ -289,16 +289,6 @@ def _sweep(number: int):
     return run
 
 
-def _freed(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished queries."""
-    for t in tables:
-        if files := t.inputFiles():
-            jvm = t.sparkSession._jvm
-            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
-            folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-        t.sparkSession._jvm.System.gc()
-
-
 STATE = "x long, cw long, cu long, sw long, su long, active boolean, above long, tables long, up long"
 
 
@@ -343,7 +333,7 @@ def train(parts: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int, int]]
         state = written(_parents(active.unionByName(state.where("not active")), number, up_total, vocabulary), "state")
         up_total, customers = (fixed + x for x in state.agg(zero("up"), zero("above")).first())
         samples.append((state, up_total, customers))
-        _freed(*old)
+        freed(*old)
         old = [swept] if number > BURN_IN else [swept, state]
     return words, samples[-SAMPLES:], swept, tokens, vocabulary
 

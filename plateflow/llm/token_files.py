@@ -5,12 +5,16 @@ up to BLOCK_DOCS documents in byte-aligned variable-length coding with separate
 length in bytes, four lengths to a control byte, and all data bytes follow in a stream of their own. A reader decodes with
 numpy: a table of 256 entries turns control bytes into lengths, a running sum turns lengths into places.
 
-Files are Parquet containers of blocks, range-partitioned and sorted by doc_id: shard and block number, the rank table's
-name, doc_ids, ids of each document, control bytes, data bytes. Spark's committer writes them, so a lost executor leaves no
-half file. The rank table is a small file of its own (as many rows as the vocabulary has ids).
+Files are Parquet containers of blocks in ascending doc_id order: shard (a range of doc_ids), number of the block in it, ids of
+the shard before the block, doc_ids, ids of each document, control bytes, data bytes. Spark's committer writes them, so a lost
+executor leaves no half file. The rank table is a small file of its own (as many rows as the vocabulary has ids).
 
-Null counts as empty: the end id alone. Rows with equal doc_ids follow each other in order of their ids; null doc_ids come
-first. An empty table gives empty files and an empty result.
+Texts are read and tokenized once; documents are dealt by ranges of doc_id in compressed form, and what is written then is
+recoded by rank in a second pass over blocks that shuffles nothing.
+
+Null counts as empty: the end id alone. Rows with equal doc_ids follow each other in order of their first four ids, then of
+their compressed form; null doc_ids come first. A text of any length is one document of one block; ids that occur equally
+often are ranked by number. An empty table gives empty files and an empty result.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm.arrow import Batches, batch, slices
-from plateflow.llm.common import documents, shared_dir, written
+from plateflow.llm.common import buckets_for, documents, freed, shared_dir, text_bytes, written
 
 END = 1
 #: Documents of a block at most, and ids after which a block ends.
@@ -67,7 +71,9 @@ _PLAIN = re.compile(r"[^\x00-\u024f]")
 
 def _chunks(text: str) -> list[str]:
     """What stands between blanks and line ends, lower-cased as the tokenizer would, where that is safe beforehand."""
-    return (text if _PLAIN.search(text) else text.lower()).replace("\n", " ").split(" ")
+    if "<|" in text or _PLAIN.search(text) is not None:  # special strings are found before any lower-casing
+        return text.replace("\n", " ").split(" ")
+    return text.lower().replace("\n", " ").split(" ")
 
 
 #: Lower-case letters of Latin-1, and at most one mark after them: two pre-tokens of the tokenizer, whatever stands around.
@@ -121,21 +127,41 @@ def chunk_encoder(tokenizer):
 
     def encode(texts: list[str]) -> list[bytes]:
         split = [_chunks(t) for t in texts]
-        new = [c for c in set().union(*split) if c not in known]
-        added = learn(new)
-        out = [b"".join(map(known.__getitem__, chunks)) + _END for chunks in split]
+        found = [list(map(known.get, chunks)) for chunks in split]
+        new = {c for chunks, ids in zip(split, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
+        added = learn(list(new))
+        for chunks, ids in zip(split, found, strict=True):
+            if None in ids:
+                ids[:] = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
         if len(known) > REMEMBERED:  # what came first is frequent: it stays
             for c in added:
-                del known[c]
-        return out
+                known.pop(c, None)
+        return [b"".join(ids) + _END for ids in found]
 
     return encode
 
 
-def tokenized(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit integers, the end id last) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(open(path).read())  # a vocabulary file: a fixed size
-    schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
+#: Bytes of a squeezed document by which rows of one doc_id are put in order.
+HEAD = 16
+
+
+def squeezed(ids: bytes) -> bytes:
+    """32-bit ids in a compressed form, behind the first HEAD bytes as they are."""
+    values = np.frombuffer(ids, "<u4")
+    small = len(values) == 0 or int(values.max()) < 1 << 16
+    raw = values.astype("<u2").tobytes() if small else ids
+    return ids[:HEAD].ljust(HEAD, b"\0") + struct.pack("<?Q", small, len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueezed(x: bytes) -> np.ndarray:
+    small, size = struct.unpack_from("<?Q", x, HEAD)
+    return np.frombuffer(pa.decompress(x[HEAD + 9 :], size, "zstd", asbytes=True), "<u2" if small else "<u4")
+
+
+def tokenized(docs: DataFrame, path: str, bounds: np.ndarray) -> DataFrame:
+    """shard (how many bounds lie under the doc_id; null: 0), doc_id and ids (squeezed, the end id last) of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast((open(path).read(), bounds))  # a vocabulary file and a number a shard
+    schema = pa.schema([("shard", pa.int32()), ("doc_id", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         import os
@@ -143,98 +169,118 @@ def tokenized(docs: DataFrame, path: str) -> DataFrame:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        if shared.value not in _ENCODERS:
-            _ENCODERS[shared.value] = chunk_encoder(Tokenizer.from_str(shared.value))
-        encode = _ENCODERS[shared.value]
+        vocabulary, bounds = shared.value
+        if vocabulary not in _ENCODERS:
+            _ENCODERS[vocabulary] = chunk_encoder(Tokenizer.from_str(vocabulary))
+        encode = _ENCODERS[vocabulary]
         for b in slices(batches, 128):
-            yield batch(schema, {"doc_id": b.column("doc_id"), "ids": encode([t or "" for t in b.column("text").to_pylist()])})
+            doc_id = b.column("doc_id")
+            shard = np.where(doc_id.is_null(), 0, np.searchsorted(bounds, doc_id.fill_null(0).to_numpy()))
+            yield batch(schema, {"shard": shard.astype(np.int32), "doc_id": doc_id, "ids": [squeezed(x) for x in encode([t or "" for t in b.column("text").to_pylist()])]})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "shard int, doc_id long, ids binary")
+
+
+def doc_id_bounds(docs: DataFrame, shards: int) -> np.ndarray:
+    """Numbers that cut the doc_ids into about equal ranges (a number a shard)."""
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    cuts = [k / shards for k in range(1, shards)]
+    found = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), cuts, max(10_000, 20 * shards)).alias("x")).first()["x"]
+    return np.unique(np.array(found or [], np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids binary")
 
+BLOCKS = "shard int, block int, before long, doc_ids array<long>, counts array<long>, ids binary"
+BLOCK = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
+#: Text of a shard.
+SHARD_MB = 48
 
-def frequencies(ids: DataFrame) -> DataFrame:
+
+def _blocks(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of shard and doc_id, blocks of documents with their ids in compressed form."""
+    shard, number, before, doc_ids, parts, held = None, 0, 0, [], [], 0
+
+    def block() -> pa.RecordBatch:
+        return batch(BLOCK, {"shard": [shard], "block": [number], "before": [before], "doc_ids": [doc_ids], "counts": [[len(x) for x in parts]], "ids": [squeezed(np.concatenate(parts).astype("<u4").tobytes())]})
+
+    for b in batches:
+        for own, doc_id, x in zip(b.column("shard").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
+            if parts and (own != shard or len(parts) >= BLOCK_DOCS or held >= BLOCK_IDS):
+                yield block()
+                number, before, doc_ids, parts, held = number + 1, before + held, [], [], 0
+            if own != shard:
+                shard, number, before = own, 0, 0
+            doc_ids.append(doc_id)
+            parts.append(unsqueezed(x))
+            held += len(parts[-1])
+    if parts:
+        yield block()
+
+
+def frequencies(blocks: DataFrame) -> DataFrame:
     """id and n: how often it occurs. Each task adds up its own before anything is shuffled."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64())])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
-        for b in batches:
-            own = np.bincount(np.frombuffer(b"".join(b.column("ids").to_pylist()), "<u4"), minlength=len(total))
+        for b in slices(batches, 1):
+            own = np.bincount(unsqueezed(b.column("ids")[0].as_py()), minlength=len(total))
             own[: len(total)] += total
             total = own
         at = np.flatnonzero(total)
         yield batch(schema, {"id": at, "n": total[at]})
 
-    return ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return blocks.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-BLOCKS = "shard int, block int, doc_ids array<long>, counts array<long>, control binary, data binary"
+FILES = "shard int, block int, before long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
 def write_token_files(docs: DataFrame, path: str, to: str) -> None:
     """Writes `to`/ranks (one row an id: rank, id, n) and `to`/blocks, in ascending doc_id order."""
     spark = docs.sparkSession
-    ids = written(tokenized(docs, path), "ids")
-    ranked = sorted(frequencies(ids).collect(), key=lambda r: (-r["n"], r["id"]))  # at most the vocabulary's size
+    n = buckets_for(spark, text_bytes(docs), SHARD_MB)
+    dealt = tokenized(docs, path, doc_id_bounds(docs, n)).repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "ids")
+    draft = written(dealt.mapInArrow(_blocks, BLOCKS), "ids")
+    ranked = sorted(frequencies(draft).collect(), key=lambda r: (-r["n"], r["id"]))  # at most the vocabulary's size
     spark.createDataFrame([(k, r["id"], r["n"]) for k, r in enumerate(ranked)], "rank long, id long, n long").coalesce(1).write.parquet(f"{to}/ranks")
     rank = np.zeros(max([r["id"] for r in ranked], default=0) + 1, np.uint32)
     rank[[r["id"] for r in ranked]] = np.arange(len(ranked))
     shared = spark.sparkContext.broadcast(rank)
-    schema = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("control", pa.binary()), ("data", pa.binary())])
+    schema = pa.schema([*BLOCK][:-1] + [("control", pa.binary()), ("data", pa.binary())])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, number, doc_ids, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def block() -> pa.RecordBatch:
-            control, data = encode_block(shared.value[np.concatenate(parts)])
-            return batch(schema, {"shard": [shard], "block": [number], "doc_ids": [doc_ids], "counts": [[len(x) for x in parts]], "control": [control], "data": [data]})
-
-        for b in batches:
-            for doc_id, x in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                parts.append(np.frombuffer(x, "<u4"))
-                held += len(parts[-1])
-                if len(parts) >= BLOCK_DOCS or held >= BLOCK_IDS:
-                    yield block()
-                    number, doc_ids, parts, held = number + 1, [], [], 0
-        if parts:
-            yield block()
+        for b in slices(batches, 1):
+            control, data = encode_block(shared.value[unsqueezed(b.column("ids")[0].as_py())])
+            yield batch(schema, {k: b.column(k) for k in BLOCK.names[:-1]} | {"control": [control], "data": [data]})
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{to}/blocks")
+    draft.mapInArrow(run, FILES).write.option("compression", "zstd").parquet(f"{to}/blocks")
+    freed(draft)
 
 
 def read_token_files(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids (little-endian unsigned 32-bit integers), as the files have them."""
     ranks = spark.read.parquet(f"{at}/ranks").orderBy("rank").collect()  # at most the vocabulary's size
-    ids = spark.sparkContext.broadcast(np.array([r["id"] for r in ranks], "<u4"))
     blocks = spark.read.parquet(f"{at}/blocks")
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)
     # Where each shard starts: one number a shard is all that leaves the files.
-    sizes = blocks.groupBy("shard").agg(F.sum(total).alias("n")).orderBy("shard").collect()
-    starts, at_id = {}, 0
+    sizes = blocks.groupBy("shard").agg(F.max(F.col("before") + total).alias("n")).collect()
+    starts = np.zeros(max([r["shard"] for r in sizes], default=-1) + 2, np.int64)
     for r in sizes:
-        starts[r["shard"]] = at_id
-        at_id += r["n"]
-    from pyspark.sql.window import Window
-
-    shard_start = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("shard")] if starts else F.lit(0)
-    before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    light = blocks.select("shard", "block", total.alias("n")).select("shard", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) + shard_start).cast("long").alias("block_start"))
-    placed = blocks.join(light, ["shard", "block"])
+        starts[r["shard"] + 1] = r["n"]
+    shared = spark.sparkContext.broadcast((np.array([r["id"] for r in ranks], "<u4"), np.cumsum(starts)))
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        ids, starts = shared.value
         for b in slices(batches, 1):
             for r in b.to_pylist():
                 counts = np.array(r["counts"], np.int64)
-                values = ids.value[decode_block(r["control"], r["data"], int(counts.sum()))]
+                values = ids[decode_block(r["control"], r["data"], int(counts.sum()))]
                 ends = np.cumsum(counts)
-                yield batch(schema, {"doc_id": r["doc_ids"], "start": r["block_start"] + ends - counts, "n_tokens": counts, "ids": [values[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]})
+                yield batch(schema, {"doc_id": r["doc_ids"], "start": starts[r["shard"]] + r["before"] + ends - counts, "n_tokens": counts, "ids": [values[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]})
 
-    return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return blocks.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

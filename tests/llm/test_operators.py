@@ -355,3 +355,23 @@ def test_sweeps_reach_the_seating():
     c = np.array([5_000, 300, 40, 2])
     many = hpylm.sweep(c, np.array([4_000, 250, 30, 2]), 50, np.full(4, 1e-9), rng)
     assert (many < [4_000, 250, 30, 3]).all() and many[0] > 100
+
+
+def test_token_ids_of_special_strings_and_a_small_memory(monkeypatch):
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["<|ENDOFTEXT|> Abc", "x<|EndOfText|>y <|endoftext|>Z", "Abc. . XYZ", "Well. . " * 3 + " ".join(f"Word{i}é." for i in range(50)), "", "İstanbul ǅ  \n\n Ünder"]
+    monkeypatch.setattr(token_files, "REMEMBERED", 5)
+    encode = token_files.chunk_encoder(t)
+    for _ in range(2):
+        for x in texts:
+            assert encode([x]) == [np.array([*t.encode(x, add_special_tokens=False).ids, 1], "<u4").tobytes()]
+
+
+def test_token_file_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i % 700 if i else None, f"w{i} " * (i % 5)) for i in range(1000)], "doc_id long, text string")
+    bounds = token_files.doc_id_bounds(docs, 7)
+    assert len(bounds) == 6 and (np.diff(bounds) > 50).all()
+    rows = token_files.tokenized(docs, public_tokenizers.path("word_bpe_49k.json"), bounds)
+    blocks = rows.repartitionById(7, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(token_files._blocks, token_files.BLOCKS).orderBy("shard", "block").collect()
+    ids = [i for b in blocks for i in b.doc_ids]
+    assert len({b.shard for b in blocks}) == 7 and len(ids) == 1000 and ids == sorted(ids, key=lambda i: (i is not None, i))
