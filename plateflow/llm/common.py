@@ -47,6 +47,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, n: int, what: str) -> DataFrame:
+    """df as a bucketed table in the shared folder: dealt by key once, read in that partitioning as often as needed."""
+    name = f"plateflow_{what}_{uuid.uuid4().hex}"
+    df.repartition(n, key).write.bucketBy(n, key).option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").saveAsTable(name)
+    dropped_shuffles(df.sparkSession)
+    return df.sparkSession.table(name)
+
+
 def freed(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more, and lets Spark drop the shuffles of finished queries."""
     for t in tables:

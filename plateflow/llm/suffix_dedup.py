@@ -13,7 +13,10 @@ anchors whose gram occurs twice go on. Their suffixes, each with the bytes befor
    left this gives each anchor's longest repeated reach, and these spans make up exactly the bytes that are covered.
 
 Texts are bytes (null: empty); matches never cross documents; texts under LENGTH bytes lose nothing. Rows equal in doc_id and
-text are repeats of each other like any other rows. An empty table gives an empty result.
+text are repeats of each other like any other rows. Texts of any length are handled in pieces of PIECE window starts. An empty
+table gives an empty result.
+
+Texts are dealt to buckets once and written as a bucketed table; all that goes on names a text by its bucket and its number there.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateflow.llm.arrow import Batches, as_bytes, batch, slices
-from plateflow.llm.common import bucket, buckets_for, documents, mix64, row_key, text_bytes, written
+from plateflow.llm.arrow import Batches, as_bytes, batch
+from plateflow.llm.common import bucketed, buckets_for, documents, dropped_shuffles, mix64, row_key, text_bytes, written
 
 LENGTH, GRAM = 200, 100
 SIDE = LENGTH - GRAM
@@ -76,34 +79,39 @@ def anchors(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return at, np.concatenate(hashes)[first]
 
 
-def _anchor_rows(batches: Batches) -> Iterator[pa.RecordBatch]:
-    """h, doc_id, rk, pos, n. Grams that a batch has twice are settled here: one row goes on under the gram's hash, with their
+def _ordered(texts: pa.Table) -> list[bytes | None]:
+    """A bucket's texts by number. Rows equal in doc_id and rk are equal in text, so their order doesn't matter."""
+    return texts.sort_by([("doc_id", "ascending"), ("rk", "ascending")]).column("text").to_pylist()
+
+
+ANCHORS = pa.schema([("h", pa.int64()), ("b", pa.int32()), ("i", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
+
+
+def _anchor_rows(texts: pa.Table) -> pa.Table:
+    """h, b, i, pos, n. Grams that a bucket has twice are settled here: one row goes on under the gram's hash, with their
     number; the others under a hash of their own."""
-    schema = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("pos", pa.int64()), ("n", pa.int64())])
-    for b in slices(batches, 4096):
-        found = [anchors(t) if t is not None else anchors(b"") for t in b.column("text").to_pylist()]
-        row = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
-        pos, h = np.concatenate([p for p, _ in found]), np.concatenate([x for _, x in found])
-        _, first, place, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-        n = count[place]
-        other = np.ones(len(h), bool)
-        other[first] = False
-        rk = b.column("rk").to_numpy()[row]
-        with np.errstate(over="ignore"):
-            own = mix64(mix64(rk.view(np.uint64)) + pos.astype(np.uint64))
-        yield batch(schema, {"h": np.where(other, own, h).view(np.int64), "doc_id": b.column("doc_id").take(pa.array(row)), "rk": rk, "pos": pos, "n": np.where(other, 2, n)})
+    own_b = texts.column("b")[0].as_py()
+    found = [anchors(t or b"") for t in _ordered(texts)]
+    row = np.repeat(np.arange(len(found)), [len(p) for p, _ in found])
+    pos, h = np.concatenate([p for p, _ in found]), np.concatenate([x for _, x in found])
+    _, first, place, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+    other = np.ones(len(h), bool)
+    other[first] = False
+    with np.errstate(over="ignore"):
+        own = mix64(mix64((np.uint64(own_b) << np.uint64(32)) + row.astype(np.uint64)) + pos.astype(np.uint64))
+    return pa.Table.from_batches([batch(ANCHORS, {"h": np.where(other, own, h).view(np.int64), "b": np.full(len(h), own_b, np.int32), "i": row.astype(np.int32), "pos": pos.astype(np.int32), "n": np.where(other, 2, count[place]).astype(np.int32)})])
 
 
 def _repeated(batches: Batches) -> Iterator[pa.RecordBatch]:
     """Of rows sorted by h, those whose hash has two grams or more."""
     held: pa.Table | None = None
 
-    def kept(t: pa.Table) -> pa.RecordBatch:
+    def kept(t: pa.Table) -> list[pa.RecordBatch]:
         h = t.column("h").to_numpy()
         starts = np.flatnonzero(np.diff(h, prepend=~h[:1]))
-        total = np.add.reduceat(t.column("n").to_numpy(), starts)
+        total = np.add.reduceat(t.column("n").to_numpy().astype(np.int64), starts)
         keep = np.repeat(total >= 2, np.diff(starts, append=len(h)))
-        return t.filter(pa.array(keep)).select(["doc_id", "rk", "pos"]).combine_chunks().to_batches() or []
+        return t.filter(pa.array(keep)).select(["b", "i", "pos"]).combine_chunks().to_batches()
 
     for b in batches:
         t = pa.Table.from_batches([b])
@@ -139,18 +147,18 @@ class Run:
 
     @staticmethod
     def pack(keys: list[bytes], lefts: list[bytes], ids: np.ndarray) -> bytes:
-        """ids: doc_id, rk, pos and whether the suffix is settled, by row."""
+        """ids: bucket, number in it, pos and whether the suffix is settled, by row."""
         sk, sl = _shared(keys, LENGTH + 8), _shared(lefts, SIDE)
         head = np.array([sk, [len(x) for x in keys], sl, [len(x) for x in lefts]], np.uint8)
         tails = [k[a:] + x[b:] for k, a, x, b in zip(keys, sk.tolist(), lefts, sl.tolist(), strict=True)]
-        return zlib.compress(len(keys).to_bytes(4, "little") + head.tobytes() + ids.astype("<i8").tobytes() + b"".join(tails), 1)
+        return zlib.compress(len(keys).to_bytes(4, "little") + head.tobytes() + ids.astype("<i4").tobytes() + b"".join(tails), 1)
 
     def __init__(self, block: bytes):
         raw = zlib.decompress(block)
         n = int.from_bytes(raw[:4], "little")
         self.shared, self.size, self.left_shared, self.left_size = np.frombuffer(raw, np.uint8, 4 * n, 4).reshape(4, n).tolist()
-        self.ids = np.frombuffer(raw, "<i8", 4 * n, 4 + 4 * n).reshape(4, n)
-        self.raw, self.at, self.n = raw, 4 + 36 * n, n
+        self.ids = np.frombuffer(raw, "<i4", 4 * n, 4 + 4 * n).reshape(4, n)
+        self.raw, self.at, self.n = raw, 4 + 20 * n, n
 
     def __iter__(self) -> Iterator[tuple[int, bytes, bytes, int]]:
         """Shared with the one before, key, bytes before it reversed, number in the run."""
@@ -230,51 +238,53 @@ def reaches(shared: np.ndarray, sizes: np.ndarray, lefts: list[bytes]) -> tuple[
             x = mix64(h[able] + mix64(together[able].astype(np.uint64)))
             order = np.argsort(x)
             same = x[order][1:] == x[order][:-1]
+            pair = np.flatnonzero(same)
+            p, q = able[order[pair]], able[order[pair + 1]]
+            same[pair] = (together[p] == together[q]) & (m[p, :t] == m[q, :t]).all(axis=1)  # the bytes decide, not the hash
             hit = able[order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]] if len(able) else able
             far_left[hit] = t
             far_right[hit] = np.maximum(far_right[hit], SIDE - t)
     return far_left, far_right
 
 
-OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("doc_id", pa.int64()), ("rk", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())])
-OUT_DDL = "part int, block binary, doc_id long, rk long, start long, stop long"
+OUT = pa.schema([("part", pa.int32()), ("block", pa.binary()), ("b", pa.int32()), ("i", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
+OUT_DDL = "part int, block binary, b int, i int, start int, stop int"
 
 
-def _span_rows(doc_id, rk, start, stop) -> dict:
+def _span_rows(b, i, start, stop) -> dict:
     n = len(start)
-    return {"part": pa.nulls(n, pa.int32()), "block": pa.nulls(n, pa.binary()), "doc_id": doc_id, "rk": rk, "start": start, "stop": stop}
+    return {"part": pa.nulls(n, pa.int32()), "block": pa.nulls(n, pa.binary()), "b": b, "i": i, "start": start, "stop": stop}
 
 
 def _runs(parts: int):
-    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+    def run(found: pa.Table, texts: pa.Table) -> pa.Table:
         """A bucket's sorted runs by range, and the spans that its own suffixes settle."""
         if not found.num_rows or not texts.num_rows:
             return OUT.empty_table()
-        ids = [-1 << 62 if x is None else x for x in texts.column("doc_id").to_pylist()]
-        text_of = dict(zip(zip(ids, texts.column("rk").to_pylist(), strict=True), texts.column("text").to_pylist(), strict=True))
+        own, text_of = found.column("b")[0].as_py(), _ordered(texts)
         entries = []
-        for doc_id, rk, pos in zip(found.column("doc_id").fill_null(-1 << 62).to_pylist(), found.column("rk").to_pylist(), found.column("pos").to_pylist(), strict=True):
-            text = text_of[doc_id, rk]
+        for i, pos in zip(found.column("i").to_pylist(), found.column("pos").to_pylist(), strict=True):
+            text = text_of[i]
             s = text[pos : pos + LENGTH]
-            entries.append((gram_key(s), text[max(0, pos - SIDE) : pos][::-1], doc_id, rk, pos))
+            entries.append((gram_key(s), text[max(0, pos - SIDE) : pos][::-1], own, i, pos))
         entries.sort()
         spans, rows, at = [], [], 0
         while at < len(entries):
-            key, left, doc_id, rk, pos = entries[at]
+            key, left, b, i, pos = entries[at]
             end = at + 1
             while end < len(entries) and entries[end][0] == key and entries[end][1] == left:
                 end += 1
             settled = end - at > 1 and len(key) - 8 + len(left) >= LENGTH
             if settled:
-                spans += [(e[2], e[3], e[4] - len(left), e[4] + len(key) - 8) for e in entries[at:end]]
-            rows += [(key, left, doc_id, rk, pos, settled)] if settled or end - at == 1 else [(*e, False) for e in entries[at:end]]
+                spans += [(b, e[3], e[4] - len(left), e[4] + len(key) - 8) for e in entries[at:end]]
+            rows += [(key, left, b, i, pos, settled)] if settled or end - at == 1 else [(*e, False) for e in entries[at:end]]
             at = end
         part = np.array([int.from_bytes(r[0][:4]) * parts >> 32 for r in rows])
         cuts = np.flatnonzero(np.diff(part, prepend=-1))
         blocks = [Run.pack([r[0] for r in rows[a:b]], [r[1] for r in rows[a:b]], np.array([r[2:] for r in rows[a:b]], np.int64).T) for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True)]
         n = len(blocks)
-        first = batch(OUT, {"part": part[cuts].astype(np.int32), "block": blocks} | {k: pa.nulls(n, pa.int64()) for k in OUT.names[2:]})
-        s = np.array(spans, np.int64).reshape(-1, 4).T
+        first = batch(OUT, {"part": part[cuts].astype(np.int32), "block": blocks} | {k: pa.nulls(n, pa.int32()) for k in OUT.names[2:]})
+        s = np.array(spans, np.int32).reshape(-1, 4).T
         return pa.Table.from_batches([first, batch(OUT, _span_rows(*s))])
 
     return run
@@ -297,9 +307,9 @@ def _merge(blocks: pa.Table) -> pa.Table:
         sizes = np.array([len(x[1]) for x in held]) - 8
         left, right = reaches(shared, sizes, [x[2] for x in held])
         for k in np.flatnonzero(left >= 0).tolist():
-            doc_id, rk, pos, settled = runs[held[k][3]].ids[:, held[k][4]].tolist()
+            b, i, pos, settled = runs[held[k][3]].ids[:, held[k][4]].tolist()
             if not settled:
-                out.append((doc_id, rk, pos - int(left[k]), pos + GRAM + int(right[k])))
+                out.append((b, i, pos - int(left[k]), pos + GRAM + int(right[k])))
         held.clear()
 
     for x in merged(runs):
@@ -308,7 +318,7 @@ def _merge(blocks: pa.Table) -> pa.Table:
         held.append(x)
     if held:
         judge()
-    return pa.Table.from_batches([batch(OUT, _span_rows(*np.array(out, np.int64).reshape(-1, 4).T))])
+    return pa.Table.from_batches([batch(OUT, _span_rows(*np.array(out, np.int32).reshape(-1, 4).T))])
 
 
 def _covered(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -325,22 +335,17 @@ KEPT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed",
 
 
 def _cut(texts: pa.Table, found: pa.Table) -> pa.Table:
-    spans: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for doc_id, rk, a, b in zip(*(found.column(k).to_pylist() for k in ("doc_id", "rk", "start", "stop")), strict=True):
-        spans.setdefault((doc_id, rk), []).append((a, b))
-    rows = list(zip(*(texts.column(k).to_pylist() for k in ("doc_id", "rk", "text")), strict=True))
-    times: dict[tuple, int] = {}
-    for doc_id, rk, _ in rows:
-        times[doc_id, rk] = times.get((doc_id, rk), 0) + 1
+    spans: dict[int, list[tuple[int, int]]] = {}
+    for i, a, b in zip(*(found.column(k).to_pylist() for k in ("i", "start", "stop")), strict=True):
+        spans.setdefault(i, []).append((a, b))
     out = []
-    for doc_id, rk, text in rows:
+    for i, text in enumerate(_ordered(texts)):
         text = text or b""
-        gone = _covered(spans.get((-1 << 62 if doc_id is None else doc_id, rk), []))
-        if times[doc_id, rk] > 1 and len(text) >= LENGTH:
-            gone = [(0, len(text))]
+        gone = _covered(spans.get(i, []))
         kept = b"".join(text[a:b] for a, b in zip([0, *(b for _, b in gone)], [*(a for a, _ in gone), len(text)], strict=True))
-        out.append((doc_id, len(text), len(text) - len(kept), len(gone), kept))
-    return pa.Table.from_batches([batch(KEPT, {k: [r[i] for r in out] for i, k in enumerate(KEPT.names)})])
+        out.append((len(text), len(text) - len(kept), len(gone), kept))
+    ids = texts.sort_by([("doc_id", "ascending"), ("rk", "ascending")]).column("doc_id").combine_chunks()
+    return pa.Table.from_batches([batch(KEPT, {"doc_id": ids} | {k: [r[i] for r in out] for i, k in enumerate(KEPT.names[1:])})])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -348,14 +353,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = buckets_for(spark, text_bytes(docs), BUCKET_MB)
     rows = as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text"), "rk")
-    shuffles = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = rows.where(F.length("text") >= LENGTH).mapInArrow(_anchor_rows, "h long, doc_id long, rk long, pos long, n long")
-    twice = found.repartition(shuffles, "h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, rk long, pos long")
     of = F.pmod(F.xxhash64("doc_id", "rk"), F.lit(n)).cast("int").alias("b")
-    texts = rows.select(of, "doc_id", "rk", "text").groupBy("b")
-    runs = written(twice.select(of, "doc_id", "rk", "pos").groupBy("b").cogroup(texts).applyInArrow(lambda found, texts: _runs(n)(texts, found), OUT_DDL), "runs")
-    spans = runs.where("part IS NOT NULL").groupBy("part").applyInArrow(_merge, OUT_DDL).union(runs.where("part IS NULL")).select(F.nullif("doc_id", F.lit(-1 << 62)).alias("doc_id"), "rk", "start", "stop").select(of, F.coalesce("doc_id", F.lit(-1 << 62)).alias("doc_id"), "rk", "start", "stop")
-    return texts.cogroup(spans.groupBy("b")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    texts = bucketed(rows.select(of, "doc_id", "rk", "text"), "b", n, "texts")
+    found = texts.groupBy("b").applyInArrow(_anchor_rows, "h long, b int, i int, pos int, n int")
+    twice = found.repartition(n, "h").sortWithinPartitions("h").mapInArrow(_repeated, "b int, i int, pos int")
+    runs = written(twice.groupBy("b").cogroup(texts.groupBy("b")).applyInArrow(_runs(n), OUT_DDL), "runs")
+    dropped_shuffles(spark)
+    spans = runs.where("part IS NOT NULL").groupBy("part").applyInArrow(_merge, OUT_DDL).union(runs.where("part IS NULL")).select("b", "i", "start", "stop")
+    return texts.groupBy("b").cogroup(spans.groupBy("b")).applyInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
