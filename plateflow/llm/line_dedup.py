@@ -1,23 +1,29 @@
 """Operator 7: line dedup over range-partitioned hashes, with built-in functions only.
 
 Lines of at least min_chars code points (key: stripped, A-Z lower-cased) become two independent 64-bit hashes, 16 bytes
-for any length. They are range-partitioned by hash and document, so that a line which a third of the documents share is
-split over many tasks, and sorted by hash, then document (largest first), then position: a key's first row in each document
-streams out of the sort. What leaves is a summary for each key (documents, largest doc_id) and, for each document that
-loses lines, a keep bitmap compressed to the 64-line words that have a dropped line. No text is shuffled before that.
+for any length. They are dealt by range of the first hash. Hashes are uniform, so ranges of equal width are even but for lines
+that very many documents share; a range with more rows than its share is split further by document. Within its part a line's
+rows are sorted by document (largest first), then position, and one pass over them counts documents and tells the largest
+one. Parts of a split range merge these sums, a row for each part and key, and get the verdict back by part and key, so that
+no task ever holds all rows of a line. What leaves is a keep bitmap for each document that loses lines, compressed to the
+64-line words that have a dropped line. No text is shuffled before that.
 
 Null and empty texts are one empty line. Rows with one doc_id count as one document. A null doc_id counts as no document
-and is never the largest, so its lines go where the key does. An empty table gives empty results.
+and is never the largest, so its lines go where the key does. Texts of any length are split whole. An empty table gives empty
+results. Columns of any name pass through.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from plateflow.llm.common import BLANK, documents, lower_ascii, row_key, written
+from plateflow.llm.common import BLANK, bucketed, documents, freed, lower_ascii, row_key, written
 
 MIN_CHARS, MIN_DOCS = 40, 5
+#: Lines of a part, and how many times its share a range may hold before it is split by document.
+PART_LINES, UNEVEN = 1_000_000, 1.5
 
 
 def lines_of(text: Column) -> Column:
@@ -31,13 +37,35 @@ def _long_lines(docs: DataFrame, min_chars: int) -> DataFrame:
     return rows.select(F.xxhash64("x.key").alias("h1"), F.xxhash64(F.lit(7), F.col("x.key")).alias("h2"), "doc_id", "rk", "x.pos")
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """lines with r (the range of h1), parts (that the range is split in) and d (the line's part), dealt by r and d."""
+    rows = lines.count()
+    n = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // PART_LINES))
+    ranged = lines.withColumn("r", F.shiftrightunsigned(F.shiftrightunsigned("h1", 33) * F.lit(n), 31))
+    sizes = ranged.groupBy("r").agg(F.greatest(F.ceil(F.count("*") / F.lit(max(rows / n * UNEVEN, 1))), F.lit(1)).cast("long").alias("parts"))  # n rows
+    document = F.coalesce(F.col("doc_id"), F.col("rk"))  # rows without an id are no document's: they may part
+    dealt = ranged.join(F.broadcast(sizes), "r").withColumn("d", F.pmod(F.xxhash64(document), F.col("parts")))
+    return bucketed(dealt, ["r", "d"], n, "lines")
+
+
 def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """doc_id, rk, positions of dropped lines for each key; only keys that lose lines."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    streamed = _long_lines(docs, min_chars).repartitionByRange(n, "h1", "h2", F.desc_nulls_last("doc_id")).sortWithinPartitions("h1", "h2", F.desc_nulls_last("doc_id"), "pos")
-    firsts = written(streamed, "lines")
-    keys = firsts.groupBy("h1", "h2", "doc_id").agg(F.lit(1)).groupBy("h1", "h2").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("kept_in")).where(F.col("n_docs") >= min_docs)
-    return firsts.join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("kept_in"))).select("doc_id", "rk", "pos")
+    hashed = written(_long_lines(docs, min_chars), "hashed")
+    dealt = _dealt(hashed)
+    freed(hashed)
+    key = ["r", "d", "h1", "h2"]
+    streamed = Window.partitionBy(*key).orderBy(F.desc_nulls_last("doc_id"), "pos")
+    whole = streamed.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = F.col("doc_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.lag("doc_id").over(streamed))
+    seen = dealt.withColumn("first", first).withColumns({"n_docs": F.count(F.when(F.col("first"), 1)).over(whole), "top": F.first("doc_id").over(whole)})
+    alone = seen.where((F.col("parts") == 1) & (F.col("n_docs") >= min_docs)).select("doc_id", "rk", "pos", "top")
+    # A split range: a row for each part and key is merged, and the verdict goes back to each part.
+    split = dealt.where(F.col("parts") > 1)
+    of_parts = split.groupBy("r", "d", "h1", "h2", "parts", "doc_id").agg(F.lit(1).alias("one")).groupBy("r", "d", "h1", "h2", "parts").agg(F.count("doc_id").alias("n_docs"), F.max("doc_id").alias("top"))
+    merged = of_parts.groupBy("r", "h1", "h2", "parts").agg(F.sum("n_docs").alias("n_docs"), F.max("top").alias("top")).where(F.col("n_docs") >= min_docs)
+    verdict = merged.select("r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("d"), "h1", "h2", "top")
+    spread = split.join(verdict, key).select("doc_id", "rk", "pos", "top")
+    return alone.unionByName(spread).where(~F.col("doc_id").eqNullSafe(F.col("top"))).select("doc_id", "rk", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -47,27 +75,27 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 
 def with_kept_text(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """docs' columns, and _kept (null where nothing goes), _n_dropped."""
-    drops = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk"), F.col("n_dropped").alias("_n_dropped"), F.col("drops").alias("_drops"))
-    keyed = docs.withColumn("_row", row_key())
-    joined = keyed.join(drops, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_rk") == F.col("_row")), "left")
-    stays = lambda _, i: F.coalesce(F.getbit(F.element_at("_drops", (i / 64).cast("int")), i % 64), F.lit(0)) == 0
-    kept = F.when(F.col("_drops").isNotNull(), F.array_join(F.filter(lines_of(F.col("text")), stays), "\n"))
-    return joined.withColumn("_kept", kept).drop("_id", "_rk", "_row", "_drops")
+    """own (a row of docs), kept (its text without the dropped lines, null where nothing goes) and n_dropped."""
+    drops = keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("drop_id"), F.col("rk").alias("drop_rk"), "n_dropped", "drops")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("id"), row_key().alias("rk"))
+    joined = keyed.join(drops, F.col("drop_id").eqNullSafe(F.col("id")) & (F.col("drop_rk") == F.col("rk")), "left")
+    stays = lambda _, i: F.coalesce(F.getbit(F.element_at("drops", (i / 64).cast("int")), i % 64), F.lit(0)) == 0
+    kept = F.when(F.col("drops").isNotNull(), F.array_join(F.filter(lines_of(F.col("own.text")), stays), "\n"))
+    return joined.select("own", kept.alias("kept"), F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with the dropped lines gone from text and n_chars brought in line; texts that lose nothing stay as they are."""
-    out = with_kept_text(docs, min_chars, min_docs).withColumn("text", F.coalesce("_kept", "text"))
+    now = {"text": F.coalesce("kept", F.col("own.text"))}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_kept").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        now["n_chars"] = F.when(F.col("kept").isNull(), F.col("own.n_chars")).otherwise(F.char_length("kept")).cast(docs.schema["n_chars"].dataType)
+    return with_kept_text(docs, min_chars, min_docs).select(*(now.get(c, F.col(f"own.`{c}`")).alias(c) for c in docs.columns))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    text = F.coalesce("text", F.lit(""))
-    return with_kept_text(docs).select("doc_id", F.size(lines_of(F.col("text"))).cast("long").alias("n_lines"), F.coalesce("_n_dropped", F.lit(0)).cast("long").alias("n_dropped"), F.sha2(F.coalesce("_kept", text), 256).alias("kept_sha256"))
+    out = with_kept_text(documents(spark, sf_dir).select("doc_id", "text"))
+    text = F.coalesce("kept", F.col("own.text"), F.lit(""))
+    return out.select("own.doc_id", F.size(lines_of(F.col("own.text"))).cast("long").alias("n_lines"), "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
 OP7_SQL = r"""

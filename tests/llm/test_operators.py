@@ -268,8 +268,10 @@ def test_line_dedup(spark, sf, rows):
     assert sum(x[2] for x in expected) > 10
     same(line_dedup.op7_line_dedup(spark, sf), expected)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    out = line_dedup.line_dedup(docs.drop("_kept"))
-    assert out.columns == docs.drop("_kept").columns and out.count() == len(rows)
+    docs = docs.withColumnsRenamed({"items": "kept", "b": "n_dropped", "_kept": "own"})
+    out = line_dedup.line_dedup(docs)
+    assert out.columns == docs.columns and out.count() == len(rows)
+    assert out.select("kept", "own", "n_dropped").distinct().collect() == [("own", 3, "z")]
     assert all(r.text is None or len(r.text) == r.n_chars for r in out.collect())
 
 
@@ -375,3 +377,13 @@ def test_token_file_shards(spark, tmp_path):
     blocks = rows.repartitionById(7, "shard").sortWithinPartitions("shard", "doc_id", "ids").mapInArrow(token_files._blocks, token_files.BLOCKS).orderBy("shard", "block").collect()
     ids = [i for b in blocks for i in b.doc_ids]
     assert len({b.shard for b in blocks}) == 7 and len(ids) == 1000 and ids == sorted(ids, key=lambda i: (i is not None, i))
+
+
+def test_hot_lines_are_split(spark):
+    line = "one line that nearly all of the documents here have in common"
+    docs = spark.createDataFrame([(i if i % 9 else None, f"{line}\n{'own line of the document, long enough ' * 2}{i}\n{line.upper()}") for i in range(300)], "doc_id long, text string")
+    hashed = line_dedup._long_lines(docs, 40)
+    dealt = line_dedup._dealt(hashed)
+    assert dealt.agg({"parts": "max"}).first()[0] > 1
+    found = line_dedup.dropped_lines(docs).collect()
+    assert sorted((r.doc_id or -1, r.pos) for r in found) == sorted((i if i % 9 else -1, p) for i in range(300) for p in (0, 2) if i != 299)
