@@ -1,31 +1,35 @@
 """Operator 10: quality rules as a short-circuit cascade, with built-in functions only.
 
-Each rule is a Boolean column over the text. On a bounded sample (SAMPLE_ROWS rows) the planner measures what share a
-rule rejects and what it costs, and orders the rules by rejection per cost. The cascade is one CASE expression, which
-Spark evaluates from the left and leaves at the first rule that rejects, so the order changes the work but never the result.
-
-Nulls and empty texts have no words and are rejected by ``too_few_words``. Repeated rows are judged each for itself.
-An empty table gives an empty result; other columns pass through untouched.
+Each rule is a Boolean column over the text and its words. On a random sample (SAMPLE_ROWS rows or so, from all of the table) one
+job finds which rules reject a row together, and how many characters, words and lines these rows have. A rule's cost on a row is
+estimated from these numbers and the fixed prices of its steps, so that the order is the same in each run, whatever else the machines
+do. The planner takes the rule with the most rejections per cost, then the next one by what the rules before leave over, and so
+on. The cascade is one CASE expression, which Spark evaluates from the left and leaves at the first rule that rejects, so the
+order changes the work but never the result. Rules that rank equal go by cost, then by name.
+
+Nulls and empty texts have no words and are rejected by ``too_few_words``. Repeated rows are judged each for itself. Texts of any
+length are judged whole. An empty table gives an empty result; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateflow.llm.common import BLANK_CLASS, documents, let
+from plateflow.llm.common import BLANK, BLANK_CLASS, documents, let
 
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The method's own thresholds: symbols for 100 words, repeated lines for 100 lines with a word, mean length of words.
 MAX_SYMBOL_PERCENT, MAX_DUP_LINE_PERCENT, MEAN_WORD = 50, 50, (2, 25)
+#: Percent of lines that are list items, of lines that break off, of words without a letter.
+MAX_BULLET_PERCENT, MAX_CUT_PERCENT, MAX_LETTERLESS_PERCENT = 90, 30, 50
 #: So many repeated windows in a text are looked up one by one; the count is the same either way.
 LOOKUP = 32
-#: Rows that the planner measures rules on.
-SAMPLE_ROWS = 300
+#: Rows that the planner measures rules on, about, and the seed of their choice.
+SAMPLE_ROWS, SEED = 2000, 10
 
 
 def words(text: Column) -> Column:
@@ -79,62 +83,93 @@ def n_repeat_words(ws: Column) -> Column:
     return let(ws, of)
 
 
-def _rule_too_few_words(text: Column) -> Column:
-    return F.size(words(text)) < MIN_WORDS
+def _share_of_lines(text: Column, hit: Callable[[Column], Column], percent: int) -> Column:
+    return let(worded_lines(text), lambda x: F.size(F.filter(x, hit)) * 100 > F.size(x) * percent)
 
 
-def _rule_repeated_words(text: Column) -> Column:
-    return let(words(text), lambda w: n_repeat_words(w) * 100 > F.size(w) * MAX_REPEAT_PERCENT)
+def is_bullet(line: Column) -> Column:
+    return line.rlike(r"^[\x20\x09-\x0D]*[-*\x{2022}]")
 
 
-def _rule_symbols(text: Column) -> Column:
-    return n_symbols(text) * 100 > F.size(words(text)) * MAX_SYMBOL_PERCENT
+def is_cut(line: Column) -> Column:
+    return let(F.btrim(line, F.lit(BLANK)), lambda x: x.endswith("...") | x.endswith("\u2026"))
 
 
-def _rule_repeated_lines(text: Column) -> Column:
-    return let(worded_lines(text), lambda x: (F.size(x) - F.size(F.array_distinct(x))) * 100 > F.size(x) * MAX_DUP_LINE_PERCENT)
+def has_no_letter(word: Column) -> Column:
+    return ~word.rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
 
 
-def _rule_word_length(text: Column) -> Column:
-    n = F.size(words(text))
-    return (word_chars(text) < n * MEAN_WORD[0]) | (word_chars(text) > n * MEAN_WORD[1])
+def _word_length(text: Column, w: Column) -> Column:
+    return let(word_chars(text), lambda c: (c < F.size(w) * MEAN_WORD[0]) | (c > F.size(w) * MEAN_WORD[1]))
 
 
-RULES: dict[str, Callable[[Column], Column]] = {
-    "too_few_words": _rule_too_few_words,
-    "repeated_words": _rule_repeated_words,
-    "symbols": _rule_symbols,
-    "repeated_lines": _rule_repeated_lines,
-    "word_length": _rule_word_length,
+#: Of each rule, from a text and its words: whether it rejects.
+RULES: dict[str, Callable[[Column, Column], Column]] = {
+    "too_few_words": lambda t, w: F.size(w) < MIN_WORDS,
+    "repeated_words": lambda t, w: n_repeat_words(w) * 100 > F.size(w) * MAX_REPEAT_PERCENT,
+    "symbols": lambda t, w: n_symbols(t) * 100 > F.size(w) * MAX_SYMBOL_PERCENT,
+    "repeated_lines": lambda t, w: let(worded_lines(t), lambda x: n_dup_lines(x) * 100 > F.size(x) * MAX_DUP_LINE_PERCENT),
+    "word_length": _word_length,
+    "bullet_lines": lambda t, w: _share_of_lines(t, is_bullet, MAX_BULLET_PERCENT),
+    "cut_lines": lambda t, w: _share_of_lines(t, is_cut, MAX_CUT_PERCENT),
+    "letterless_words": lambda t, w: F.size(F.filter(w, has_no_letter)) * 100 > F.size(w) * MAX_LETTERLESS_PERCENT,
+}
+#: Of each rule: nanoseconds a text, a character, a word and a line, as measured once (only their proportions matter).
+PRICES: dict[str, tuple[float, float, float, float]] = {
+    "too_few_words": (20, 0, 0, 0),
+    "repeated_words": (100, 0, 1500, 0),
+    "symbols": (50, 15, 0, 0),
+    "repeated_lines": (100, 12, 0, 150),
+    "word_length": (50, 50, 0, 0),
+    "bullet_lines": (100, 12, 0, 250),
+    "cut_lines": (100, 12, 0, 300),
+    "letterless_words": (100, 0, 370, 0),
 }
+#: The price of a rule whose count is there already.
+READY = (20, 0, 0, 0)
+
+
+def measure(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[tuple[frozenset[str], int, int, int, int]]:
+    """Of the sample, by which rules reject a row: how many rows, their characters, words and lines. At most a row for each set of rules."""
+    total = docs.count()
+    t = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"))
+    t = t.sample(fraction=rows / total, seed=SEED) if total > rows else t
+    names = list(RULES)
+    split = t.select("t", words(F.col("t")).alias("w"))
+    bits = [F.when(RULES[k](F.col("t"), F.col("w")), 1 << i).otherwise(0) for i, k in enumerate(names)]
+    mask = bits[0]
+    for b in bits[1:]:
+        mask = mask + b
+    lines = F.regexp_count("t", F.lit("\n")) + 1
+    found = split.select(mask.alias("mask"), F.char_length("t").alias("c"), F.size("w").alias("n"), lines.alias("l")).groupBy("mask").agg(F.count("*").alias("rows"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.sum("l").alias("l")).collect()
+    return [(frozenset(k for i, k in enumerate(names) if r["mask"] >> i & 1), r["rows"], r["c"], r["n"], r["l"]) for r in found]
 
 
-def measure(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """Of each rule: the share of sampled rows that it rejects, and seconds for the sample (four copies less one, so that fixed costs cancel)."""
-    sample = docs.select(F.col(text).alias("t")).limit(rows).cache()
-    n = max(sample.count(), 1)
-    found = {}
-    for name, rule in RULES.items():
-        spent = []
-        for copies in (1, 4):
-            began = time.perf_counter()
-            hit = sample.select(F.explode(F.array_repeat("t", copies)).alias("t")).agg(F.sum(F.when(rule(F.col("t")), 1).otherwise(0))).first()[0] or 0
-            spent.append(time.perf_counter() - began)
-        found[name] = (hit / copies / n, max(spent[1] - spent[0], 1e-4))
-    sample.unpersist()
-    return found
+def cascade_order(measured: list[tuple[frozenset[str], int, int, int, int]], ready: frozenset[str] = frozenset(), done: frozenset[str] = frozenset()) -> list[str]:
+    """The rules but those done before the cascade, each chosen by rejections per cost among the rows that the ones before leave."""
+    left, order, rest = [x for x in measured if not x[0] & done], [], set(RULES) - done
+    while rest:
 
+        def rank(name: str) -> tuple[float, float, str]:
+            cost = sum(sum(a * b for a, b in zip(READY if name in ready else PRICES[name], x[1:], strict=True)) for x in left)
+            return -sum(x[1] for x in left if name in x[0]) / max(cost, 1), cost, name  # noqa: B023
 
-def cascade_order(measured: dict[str, tuple[float, float]]) -> list[str]:
-    return sorted(measured, key=lambda k: (-measured[k][0] / measured[k][1], measured[k][1], k))
+        order.append(min(rest, key=rank))
+        rest.remove(order[-1])
+        left = [x for x in left if order[-1] not in x[0]]
+    return order
 
 
 def cascade(text: Column, order: list[str]) -> Column:
-    """The name of the first rule that rejects, or null."""
-    out = F.when(RULES[order[0]](text), F.lit(order[0]))
-    for name in order[1:]:
-        out = out.when(RULES[name](text), F.lit(name))
-    return out
+    """The name of the first rule that rejects, or null. The text is split into words once."""
+
+    def of(w: Column) -> Column:
+        out = F.when(RULES[order[0]](text, w), F.lit(order[0]))
+        for name in order[1:]:
+            out = out.when(RULES[name](text, w), F.lit(name))
+        return out
+
+    return let(words(text), of)
 
 
 def quality_filter(docs: DataFrame, text: str = "text", order: list[str] | None = None) -> DataFrame:
@@ -144,23 +179,23 @@ def quality_filter(docs: DataFrame, text: str = "text", order: list[str] | None
 
 
 def quality_features(docs: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """doc_id, the counts that the rules rest on, and the verdict. The rules read the counts that are there already."""
+    """doc_id, the contract's counts, and the verdict. Rules over counts read them; the others look at a text only if no rule before
+    them has rejected it."""
     text = F.col("text")
-    counted = docs.select("doc_id", let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"))).alias("w"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), let(worded_lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), n_dup_lines(x).alias("dup"))).alias("l"))
-    x = counted.select("doc_id", "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"))
+    counted = docs.select("doc_id", "text", let(words(text), lambda w: F.struct(w.alias("w"), F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"))).alias("w"), word_chars(text).alias("word_chars"), n_symbols(text).alias("n_symbols"), let(worded_lines(text), lambda x: F.struct(F.size(x).cast("long").alias("n"), n_dup_lines(x).alias("dup"))).alias("l"))
+    x = counted.select("doc_id", "text", F.col("w.w").alias("ws"), "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words", F.col("l.n").alias("n_lines"))
     n = F.col("n_words")
-    hit = {
-        "too_few_words": n < MIN_WORDS,
-        "repeated_words": F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT,
+    failed = (n < MIN_WORDS) | (F.col("n_repeat_words") * 100 > n * MAX_REPEAT_PERCENT)
+    ready = {
         "symbols": F.col("n_symbols") * 100 > n * MAX_SYMBOL_PERCENT,
         "repeated_lines": F.col("n_dup_lines") * 100 > F.col("n_lines") * MAX_DUP_LINE_PERCENT,
         "word_length": (F.col("word_chars") < n * MEAN_WORD[0]) | (F.col("word_chars") > n * MEAN_WORD[1]),
     }
-    order = order or cascade_order(measure(docs))
-    verdict = F.when(hit[order[0]], False)
-    for name in order[1:]:
-        verdict = verdict.when(hit[name], False)
-    failed = hit["too_few_words"] | hit["repeated_words"]
+    base = frozenset({"too_few_words", "repeated_words"})
+    order = [k for k in order or cascade_order(measure(docs), frozenset(ready), base) if k not in base]
+    verdict = F.when(failed, False)
+    for name in order:
+        verdict = verdict.when(ready[name] if name in ready else RULES[name](F.coalesce("text", F.lit("")), F.col("ws")), False)
     return x.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), verdict.otherwise(True).alias("kept"))
 
 
@@ -177,10 +212,14 @@ g AS (SELECT r, i, count(*) OVER (PARTITION BY r, a, b, c) AS n FROM
 p AS (SELECT r, count(DISTINCT i + k) AS n FROM g, (VALUES (0), (1), (2)) o(k) WHERE n >= 2 GROUP BY r),
 f AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(list_aggregate(list_concat([''], ws), 'string_agg', ''))::BIGINT AS word_chars,
              (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols,
-             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(p.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines,
+             len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS n_bullets,
+             len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*$'))) AS n_cut,
+             len(list_filter(ws, lambda x: NOT regexp_matches(x, '[A-Za-z\x{80}-\x{10FFFF}]'))) AS n_letterless
       FROM w LEFT JOIN p USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR 100 * n_symbols > 50 * n_words OR 100 * n_dup_lines > 50 * n_lines
-            OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+            OR word_chars < 2 * n_words OR word_chars > 25 * n_words
+            OR 100 * n_bullets > 90 * n_lines OR 100 * n_cut > 30 * n_lines OR 100 * n_letterless > 50 * n_words) AS kept
 FROM f"""

@@ -18,6 +18,7 @@ from plateflow.llm import bpe, decontaminate, hpylm, langid, licenses, line_dedu
 from plateflow.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, items string, _kept int, b string"
+BLANKS = " \t\n\x0b\x0c\r"
 BENCH = "item_id long, text string"
 
 
@@ -42,7 +43,7 @@ def rows():
             text += f"\n  {line.upper() if i % 2 else line}\t"
         out.append((i, text, lang if i % 7 else None))
     first = out[0][1]
-    out += [(60, first, "en"), (60, first, "en"), (61, first.replace("th", "ht", 1), "en"), (62, None, "en"), (63, "", None), (None, first, None), (None, None, "fr"), (64, " \n\t", "en"), (65, "1234 &&& ###", "en"), (66, "x" * 5000, "en"), (67, "under the MIT license. Apache License, Version 2.0; cc-by-nc 4.0\n" + line, "en"), (67, "another text of the same id " * 20, "en"), (68, sentences(r, "fr", 400), "fr"), (69, "a b c " * 60, "en"), (70, "A  b \n\n c　d 's it's 12\x00 <|endoftext|> É", "fr")]
+    out += [(60, first, "en"), (60, first, "en"), (61, first.replace("th", "ht", 1), "en"), (62, None, "en"), (63, "", None), (None, first, None), (None, None, "fr"), (64, " \n\t", "en"), (65, "1234 &&& ###", "en"), (66, "x" * 5000, "en"), (67, "under the MIT license. Apache License, Version 2.0; cc-by-nc 4.0\n" + line, "en"), (67, "another text of the same id " * 20, "en"), (68, sentences(r, "fr", 400), "fr"), (69, "a b c " * 60, "en"), (71, "* item of a list with a few words\n - another item with words\n" * 1 + "\n".join(f"• item {i} has words of its own {i * 7}" for i in range(20)), "en"), (72, "\n".join(f"this line {i} breaks off at word {i * 3}..." for i in range(20)), "en"), (73, " ".join(f"{i} a{i * i}b {i + 5}% {i * 31}" for i in range(50)), "en"), (70, "A  b \n\n c　d 's it's 12\x00 <|endoftext|> É", "fr")]
     return [(i, t, lang, None, None if t is None else len(t), "own", 3, "z") for i, t, lang in out]
 
 
@@ -311,9 +312,13 @@ def test_quality(spark, sf, rows):
         ls = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         sym, dup, chars = len(re.findall(r"[#*$%&|<>]", t)), len(ls) - len(set(ls)), sum(map(len, w))
         failed = len(w) < 50 or 100 * rep > 50 * len(w)
-        expected.append((i, len(w), chars, sym, dup, rep, failed, not (failed or 100 * sym > 50 * len(w) or 100 * dup > 50 * len(ls) or not 2 * len(w) <= chars <= 25 * len(w))))
+        bullets, cut = sum(x.strip(BLANKS)[:1] in ("-", "*", "•") for x in ls), sum(x.strip(BLANKS).endswith(("...", "…")) for x in ls)
+        bare = sum(not any("a" <= c.lower() <= "z" or c > "\x7f" for c in x) for x in w)
+        expected.append((i, len(w), chars, sym, dup, rep, failed, not (failed or 100 * sym > 50 * len(w) or 100 * dup > 50 * len(ls) or not 2 * len(w) <= chars <= 25 * len(w) or 100 * bullets > 90 * len(ls) or 100 * cut > 30 * len(ls) or 100 * bare > 50 * len(w))))
+    assert len({x[-2:] for x in expected}) == 3
     same(quality.op10_quality_rules(spark, sf), expected)
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    assert len({tuple(quality.cascade_order(quality.measure(docs, rows=40))) for _ in range(3)}) == 1
     for order in (list(quality.RULES), list(quality.RULES)[::-1], None):
         assert quality.quality_filter(docs, order=order).count() == sum(x[-1] for x in expected)
 
@@ -387,3 +392,12 @@ def test_hot_lines_are_split(spark):
     assert dealt.agg({"parts": "max"}).first()[0] > 1
     found = line_dedup.dropped_lines(docs).collect()
     assert sorted((r.doc_id or -1, r.pos) for r in found) == sorted((i if i % 9 else -1, p) for i in range(300) for p in (0, 2) if i != 299)
+
+
+def test_cascade_order_is_conditional():
+    r = lambda *x: frozenset(x)
+    # symbols rejects most, then nothing is left for bullet_lines; cut_lines rejects what symbols leaves.
+    measured = [(r("symbols", "bullet_lines"), 50, 5000, 1000, 100), (r("cut_lines"), 5, 500, 100, 10), (r(), 100, 10000, 2000, 200)]
+    order = quality.cascade_order(measured)
+    assert order.index("symbols") < order.index("cut_lines") < order.index("bullet_lines")
+    assert quality.cascade_order(measured, done=r("symbols"))[0] == "cut_lines"
