@@ -401,3 +401,52 @@ def test_cascade_order_is_conditional():
     order = quality.cascade_order(measured)
     assert order.index("symbols") < order.index("cut_lines") < order.index("bullet_lines")
     assert quality.cascade_order(measured, done=r("symbols"))[0] == "cut_lines"
+
+
+def segmentations(word, pieces):
+    if not word:
+        yield []
+    for k in range(1, len(word) + 1):
+        if word[:k] in pieces:
+            for rest in segmentations(word[k:], pieces):
+                yield [word[:k], *rest]
+
+
+def test_expectation_maximisation_against_all_segmentations(spark, monkeypatch):
+    pieces = ["▁", "a", "b", "▁a", "ab", "▁ab", "ba", "aab"]
+    texts = {"x": "ab aab abab ba ab", "y": "bbb ba b abba ab"}
+    rows = [(i, texts[k], k) for i in range(8) for k in texts if zlib.crc32(str(i).encode()) % 5 != 0]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fitted(docs, pieces)
+    expected = {}
+    for lang, text in texts.items():
+        p = dict.fromkeys(pieces, 1 / len(pieces))
+        for _ in range(langid.ROUNDS):
+            sums = dict.fromkeys(pieces, langid.PSEUDO)
+            for w in text.split():
+                ways = [(x, math.prod(p[y] for y in x)) for x in segmentations("▁" + w, set(pieces))]
+                for x, q in ways:
+                    for y in x:
+                        sums[y] += len([r for r in rows if r[2] == lang]) * q / sum(q for _, q in ways)
+            p = {k: v / sum(sums.values()) for k, v in sums.items()}
+        expected[lang] = p
+    for k, lang in enumerate(model.langs):
+        assert all(math.isclose(model.p[i + 1, k], expected[lang][x], rel_tol=1e-9) for i, x in enumerate(pieces))
+    one = model.log_words(["abba", "ab" * 30, "b" * 700])
+    for w in ("abba",):
+        q = sum(math.prod(expected["x"][y] for y in x) for x in segmentations("▁" + w, set(pieces)))
+        assert math.isclose(one[w][0], math.log(q), rel_tol=1e-9)
+    assert np.isfinite(one["b" * 700]).all()
+    counts = {"abba": 2, "ab" * 9: 1, "b" * 12: 3}
+    plain = [model.expected(counts, k) for k in (0, 1)], model.log_words(list(counts))
+    monkeypatch.setattr(langid, "LINEAR", 0)
+    logs = [model.expected(counts, k) for k in (0, 1)], model.log_words(list(counts))
+    assert np.allclose(plain[0], logs[0]) and all(np.allclose(plain[1][w], logs[1][w]) for w in counts)
+
+
+def test_letters_only(spark):
+    assert langid.words_of("½ ² ① x² Ünïted⅓states 12 Ⅷ") == ["x", "ünïted", "states"]
+    docs = spark.createDataFrame([(i, "the end of it", "en") for i in range(1, 30)] + [(99, "½ ² ① Ⅷ", "en")], "doc_id long, text string, lang string")
+    model = langid.fitted(docs.where("doc_id < 99"), langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+    out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
+    assert out[99] == ("und", 0.0) and out[1] == ("en", 1.0)
