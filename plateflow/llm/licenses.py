@@ -1,12 +1,13 @@
 """Operator 9: license scans by template-markup matching.
 
-Templates are word sequences with optional regions, <<opt>> ... <</opt>>, and replaceable ones, <<var:n>> (up to n words of
-any kind). Each compiles into an automaton over words; a text is accepted where the mandatory wording stands word for word
-in order. The automata run as state sets from the places where a template's first mandatory words occur, so most texts cost
-one search for a few anchor words. Base phrases are templates without markup; they alone count in n_base.
+Templates are word sequences with optional regions, <<opt>> ... <</opt>>, and replaceable ones: <<var:n>> (up to n words of
+any kind), <<num:n>> (up to n words of digits), <<unless:a,b>> at the end (not if one of these words follows). Each compiles into
+an automaton over words; a text is accepted where the mandatory wording stands word for word in order. Licenses are whole
+texts, so a changed condition is no match; notices and tags are templates of their own. The automata run as state sets from the
+places where a template's first words occur, so most texts cost one search for a few words. Base phrases alone count in n_base.
 
 Nulls and empty texts have no words and no labels. Rows that share a doc_id are scanned each for itself. An empty table gives
-an empty result. Texts are scanned whole.
+an empty result. Texts are scanned whole, whatever their length. A label that several templates give counts once.
 """
 
 from __future__ import annotations
@@ -25,31 +26,65 @@ WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 # Phrases that the contract names, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-# Wording of public licenses' notices, lower case, words only, with markup.
+# Wording of public licenses, lower case, words only, with markup.
+_MIT_END = "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+_BSD_HEAD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met <<opt>> 1 <</opt>> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer <<opt>> 2 <</opt>> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_NAME = "<<opt>> 3 <</opt>> neither the name of <<var:12>> nor the names of <<var:4>> contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_END = "this software is provided by <<var:12>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall <<var:12>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+_ISC_END = "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"
+_GNU = "you can redistribute it and or modify it under the terms of the gnu {} general public license as published by the free software foundation"
+_CC = "<<num:2>> <<opt>> international <</opt>> <<opt>> unported <</opt>> <<opt>> generic <</opt>> <<opt>> public <</opt>> license"
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    # Whole licenses.
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice <<opt>> including the next paragraph <</opt>> shall be included in all copies or substantial portions of the software " + _MIT_END),
+    ("bsd-2-clause", f"{_BSD_HEAD} {_BSD_END}"),
+    ("bsd-3-clause", f"{_BSD_HEAD} {_BSD_NAME} {_BSD_END}"),
+    ("isc", "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _ISC_END),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted " + _ISC_END),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>> 1 <</opt>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt>> 2 <</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt>> 3 <</opt>> this notice may not be removed or altered from any source distribution"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    # Notices, as files carry them.
     ("mit", "<<opt>> released <</opt>> <<opt>> licensed <</opt>> under the mit license"),
-    ("mit", "spdx license identifier mit"),
     ("apache-2", "licensed under the apache license version 2 <<opt>> 0 <</opt>> the license you may not use this file except in compliance with the license"),
     ("apache-2", "apache license version 2 <<opt>> 0 <</opt>>"),
-    ("apache-2", "spdx license identifier apache 2 0"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation <<opt>> either <</opt>> version <<var:2>> of the license"),
-    ("isc", "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted"),
+    ("gpl", _GNU.format("").replace("  ", " ") + " <<opt>> either <</opt>> version <<num:1>> of the license"),
+    ("lgpl", _GNU.format("lesser") + " <<opt>> either <</opt>> version <<num:2>> of the license"),
+    ("agpl", _GNU.format("affero") + " <<opt>> either <</opt>> version <<num:1>> of the license"),
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by-nc", "cc by nc <<opt>> sa <</opt>> <<opt>> nd <</opt>> <<var:2>>"),
-    ("cc-by-nc", "creative commons attribution noncommercial <<var:2>> <<opt>> international <</opt>> license"),
-    ("cc-by", "creative commons attribution <<var:2>> <<opt>> international <</opt>> license"),
+    ("epl-2", "made available under the terms of the eclipse public license <<opt>> v <</opt>> 2 0"),
+    # Tags.
+    ("mit", "spdx license identifier mit <<unless:0,advertising,cmu,enna,feh,festival,khronos,modern,open,wu>>"),
+    ("apache-2", "spdx license identifier apache 2 0"),
+    ("cc-by", f"creative commons attribution {_CC}"),
+    ("cc-by", "cc by <<unless:nc,nd,sa>>"),
+    ("cc-by-sa", f"creative commons attribution share alike {_CC}"),
+    ("cc-by-sa", f"creative commons attribution sharealike {_CC}"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc-by-nd", f"creative commons attribution noderivatives {_CC}"),
+    ("cc-by-nd", f"creative commons attribution noderivs {_CC}"),
+    ("cc-by-nd", "cc by nd"),
+    ("cc-by-nc", f"creative commons attribution noncommercial {_CC}"),
+    ("cc-by-nc", f"creative commons attribution non commercial {_CC}"),
+    ("cc-by-nc", "cc by nc <<unless:nd,sa>>"),
+    ("cc-by-nc-sa", f"creative commons attribution noncommercial sharealike {_CC}"),
+    ("cc-by-nc-sa", "cc by nc sa"),
+    ("cc-by-nc-nd", f"creative commons attribution noncommercial noderivatives {_CC}"),
+    ("cc-by-nc-nd", f"creative commons attribution noncommercial noderivs {_CC}"),
+    ("cc-by-nc-nd", "cc by nc nd"),
     ("cc0", "cc0 1 0 universal"),
 ]
+#: Stands in an automaton for any word, and for a word of digits.
+ANY, NUMBER = None, 0
 
 
 class Automaton:
     """States are places in the template. A word moves a state on by its edge; optional regions and spent wildcards are jumps."""
 
     def __init__(self, template: str):
-        self.words: list[bytes | None] = []
+        self.words: list[bytes | int | None] = []
         self.jumps: dict[int, list[int]] = {}
+        self.unless: frozenset[bytes] = frozenset()
         opened = None
         for x in re.findall(r"<<.*?>>|\S+", template):
             if x == "<<opt>>":
@@ -57,11 +92,13 @@ class Automaton:
             elif x == "<</opt>>":
                 self.jumps.setdefault(opened, []).append(len(self.words))
                 opened = None
-            elif x.startswith("<<var:"):
+            elif x.startswith(("<<var:", "<<num:")):
                 at, n = len(self.words), int(x[6:-2])
-                self.words += [None] * n
+                self.words += [ANY if x[2] == "v" else NUMBER] * n
                 for i in range(at, at + n):
                     self.jumps.setdefault(i, []).append(at + n)
+            elif x.startswith("<<unless:"):
+                self.unless = frozenset(x[9:-2].encode().split(b","))
             else:
                 self.words.append(x.encode())
         self.end = len(self.words)
@@ -69,7 +106,7 @@ class Automaton:
         #: Words that a match can begin with.
         self.begins = {self.words[s] for s in self.first if s < self.end}
         in_option = {i for a, bs in self.jumps.items() for b in bs for i in range(a, b)}
-        self.mandatory = {w for i, w in enumerate(self.words) if w is not None and i not in in_option}
+        self.mandatory = {w for i, w in enumerate(self.words) if isinstance(w, bytes) and i not in in_option}
 
     def closure(self, states: set[int]) -> set[int]:
         todo, out = list(states), set(states)
@@ -83,13 +120,14 @@ class Automaton:
     def match(self, words: list[bytes], at: int) -> bool:
         """Whether the template stands in words from at on. Takes as many words as it has places at most."""
         states = self.first
-        for w in words[at : at + self.end]:
-            if self.end in states:
+        for i in range(at, min(at + self.end, len(words)) + 1):
+            if self.end in states and (i == len(words) or words[i] not in self.unless):
                 return True
-            states = self.closure({s + 1 for s in states if s < self.end and (self.words[s] is None or self.words[s] == w)})
-            if not states:
-                return False
-        return self.end in states
+            if not states or i == len(words):
+                break
+            w = words[i]
+            states = self.closure({s + 1 for s in states if s < self.end and ((x := self.words[s]) is ANY or x == w or x is NUMBER and w.isdigit())})
+        return False
 
 
 class Scanner:

@@ -291,8 +291,66 @@ def test_license_scan(spark, sf, rows):
     assert (r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) == (3, 0, 9, "apache-2,cc-by-nc,mit", "apache-2,cc-by-nc,mit")
     assert all(x.n_base == 0 and x.labels == "" and x.first_word is None and x.score == 0 for (i, _), x in out.items() if i != 67)
     scan = licenses.Scanner().scan
-    assert scan(b"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")[5] == "bsd"
+    # The opening alone is not the license; the whole text is, with other names in it.
+    assert scan(b"Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:")[5] == ""
+    whole = next(t for label, t in licenses.TEMPLATES if label == "bsd-3-clause").replace("<<opt>>", "").replace("<</opt>>", "").replace("<<var:12>>", "the example project").replace("<<var:4>>", "its")
+    assert scan(f"Copyright 2020 someone. {whole}".encode())[5] == "bsd-3-clause"
+    assert scan(whole.replace("prior written", "prior spoken").encode())[5] == ""
     assert scan(b"under the terms of the GNU General Public License; source")[5] == ""
+    for text, labels in {
+        "Creative Commons Attribution NonCommercial License": "cc-by-nc",
+        "Creative Commons Attribution NoDerivatives License": "cc-by-nd",
+        "Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License": "cc-by-nc-sa",
+        "Creative Commons Attribution 4.0 International License": "cc-by",
+        "CC BY-NC-SA 4.0": "cc-by-nc,cc-by-nc-sa",  # the base phrase stays
+        "CC BY 4.0": "cc-by",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: MIT-0": "",
+    }.items():
+        assert scan(text.encode())[5] == labels, text
+
+
+def as_pattern(template):
+    """The template as a regular expression over words that each end in a blank."""
+    out, unless = "", ""
+    for x in re.findall(r"<<.*?>>|\S+", template):
+        if x.startswith("<<unless:"):
+            unless = "(?!(?:" + "|".join(x[9:-2].split(",")) + ") )"
+        elif x[:6] in ("<<var:", "<<num:"):
+            out += ("(?:[^ ]+ )" if x[2] == "v" else "(?:[0-9]+ )") + "{0," + x[6:-2] + "}"
+        else:
+            out += {"<<opt>>": "(?:", "<</opt>>": ")?"}.get(x, x + " ")
+    return re.compile("(?:^|(?<= ))" + out + unless)
+
+
+def test_license_scan_against_regular_expressions():
+    r = random.Random(9)
+    scan, patterns = licenses.Scanner().scan, [(label, as_pattern(t)) for label, t in licenses.TEMPLATES]
+    texts = []
+    for _, t in licenses.TEMPLATES * 6:
+        drop = lambda m: m[0] if r.random() < 0.5 else ""
+        x = re.sub(r"<<opt>>.*?<</opt>>", drop, t).replace("<<opt>>", "").replace("<</opt>>", "")
+        x = re.sub(r"<<var:(\d+)>>", lambda m: " ".join(r.choices(["the", "owner", "2"], k=r.randint(0, int(m[1]) + 1))), x)
+        x = re.sub(r"<<num:(\d+)>>", lambda m: " ".join(r.choices(["4", "0", "iv"], weights=[5, 5, 1], k=r.randint(0, int(m[1]) + 1))), x)
+        x = re.sub(r"<<unless:(.*?)>>", lambda m: r.choice([*m[1].split(","), "end", "", "7"]), x).split()
+        if r.random() < 0.3:
+            k = r.randrange(len(x))
+            x[k : k + 1] = r.choice([[], ["other"], [x[k], x[k]]])
+        texts.append(" ".join([*r.choices(["so", "under", "cc", "the", "creative"], k=2), *x, *r.choices(["sa", "licensed", "license"], k=r.randint(0, 2))]))
+    texts += [" ; ".join(texts[k : k + 3]) for k in range(0, 30, 3)]
+    got = set()
+    for x in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", x)
+        joined = "".join(w + " " for w in words)
+        base = {label for p, label in licenses.PHRASES.items() if f" {p} " in " " + joined}
+        expected = base | {label for label, p in patterns if p.search(joined)}
+        places = sorted(i for p in licenses.PHRASES for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        found = scan(x.encode())
+        assert found[:6] == (len(words), len(places), *((places[0], places[-1]) if places else (None, None)), ",".join(sorted(base)), ",".join(sorted(expected))), x
+        got |= expected
+    assert got >= {label for label, _ in licenses.TEMPLATES}
+    hint = licenses.Scanner().hint
+    assert all(any(hint.search(w) for w in licenses.Automaton(t).mandatory) for _, t in licenses.TEMPLATES)
 
 
 def test_automaton_regions():
