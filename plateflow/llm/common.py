@@ -47,11 +47,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str | list[str], n: int, what: str) -> DataFrame:
-    """df as a bucketed table in the shared folder: dealt by key once, read in that partitioning as often as needed."""
+def bucketed(df: DataFrame, key: str | list[str], n: int, what: str, deal: bool = True) -> DataFrame:
+    """df as a bucketed table in the shared folder: dealt by key once, read in that partitioning as often as needed. deal: False if
+    its rows are dealt by key as they come."""
     key = [key] if isinstance(key, str) else key
     name = f"plateflow_{what}_{uuid.uuid4().hex}"
-    df.repartition(n, *key).write.bucketBy(n, *key).option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").saveAsTable(name)
+    (df.repartition(n, *key) if deal else df).write.bucketBy(n, *key).option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").saveAsTable(name)
     dropped_shuffles(df.sparkSession)
     return df.sparkSession.table(name)
 

@@ -8,18 +8,26 @@ parent's probability. A pass makes as many moves of each dish as it has customer
 before. Predictive probabilities are averaged over the last passes; a text's score is the sum of its tokens' log10
 probabilities, from which perplexity follows.
 
-Counts cover all training documents. Pairs (word, word before) are dealt by the hash of both, so that a frequent word or
-context is spread over all parts; parts and words exchange their totals in each pass, by word. A pair with one customer has
-one table and nothing to sample, so only the others take part. Scores come back to documents by bucket. Words are known by
-64 bits of hash in all of this. Texts and pairs are shuffled in compressed blocks.
+Counts cover all training documents. Buckets of documents tokenize their texts once. Three kinds of groups exchange compressed
+blocks of numbers, each answer in the order of its question, so that nothing is named twice:
+
+- word groups (by a word's hash) count the words and number them, frequent ones low. They hold the parent restaurant;
+- pair groups hold the restaurants of contexts. Pairs (word before, word) are dealt by both, so that a frequent word or context is
+  spread over all of them. A pair with one customer has one table and nothing to sample, so only the others, the dishes, take part
+  in passes: each pass asks the word groups for tables and customers, seats, and tells them its tables;
+- buckets ask for the totals of their words and pairs in the end and score their documents.
+
+Words are known by 64 bits of hash. A word counts as often as the word before as it counts as a token, as each text begins and ends
+with the end token.
 
 Null counts as empty: the end token alone. Rows that share a doc_id are scored each for itself; a null id counts as empty text
-for the fold. Without training rows every count is 0. An empty table gives an empty result.
+for the fold. Without training rows every count is 0. Texts of any length are one document of one bucket; words that are as frequent
+are numbered by hash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import pickle
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm.arrow import LOWER_BYTES, Batches, as_bytes, batch, slices
-from plateflow.llm.common import bucket, buckets_for, documents, fold_of, freed, mix64, text_bytes, written
+from plateflow.llm.common import bucket, bucketed, buckets_for, documents, fold_of, freed, mix64, text_bytes, written
 
 FOLDS = 10
 #: The end of a text, as a word; no word holds a blank.
@@ -141,256 +149,361 @@ class Sample:
         return t, above, sweep(above, None if up is None else np.minimum(up, above), self.parent_tables, np.full(n, 1 / (self.vocabulary + 1)), rng)
 
 
-def _tokens(texts: list[bytes | None]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct words, and of the texts' tokens one after the other: number of the word, of the word before; tokens of each text."""
-    place: dict[bytes, int] = {END: 0}
-    parts = [np.fromiter([place.setdefault(w, len(place)) for w in [*(t or b"").translate(LOWER_BYTES).split(), END]], np.int64) for t in texts]
-    size = np.array([len(x) for x in parts], np.int64)
-    ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-    return list(place), ids, np.concatenate([[0], ids])[: len(ids)], size
+def pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers from 0 on, in as few bytes each as the largest takes, byte by byte of all numbers, compressed."""
+    heads, parts = [], []
+    for x in arrays:
+        x = np.ascontiguousarray(x).astype("<u8")
+        width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+        heads.append(struct.pack("<QB", len(x), width))
+        parts.append(np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes())
+    raw = b"".join(parts)
+    return struct.pack("<BQ", len(arrays), len(raw)) + b"".join(heads) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> list[np.ndarray]:
+    n, size = struct.unpack_from("<BQ", x)
+    raw, at, out = pa.decompress(x[9 + 9 * n :], size, "zstd", asbytes=True), 0, []
+    for k in range(n):
+        count, width = struct.unpack_from("<QB", x, 9 + 9 * k)
+        wide = np.zeros((count, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(raw, np.uint8, count * width, at).reshape(width, count).T
+        out.append(wide.view("<u8").reshape(-1))
+        at += count * width
+    return out
 
 
-def _packed(docs: DataFrame, n: int) -> DataFrame:
-    """b, block: the documents of each bucket, in compressed blocks."""
-    schema = pa.schema([("b", pa.int32()), ("block", pa.binary())])
+#: Whom a block is for, whom it comes from, what kind it is of.
+MAIL = pa.schema([("to", pa.int32()), ("at", pa.int32()), ("kind", pa.int32()), ("block", pa.binary())])
+MAIL_DDL = "to int, at int, kind int, block binary"
 
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for x in slices(batches, 4096):
-            bs = x.column("b").to_numpy()
-            found = np.unique(bs)
-            blocks = []
-            for b in found:
-                with pa.BufferOutputStream() as out:
-                    with pa.ipc.new_stream(out, PACK, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                        w.write(x.filter(pa.array(bs == b)).select(["doc_id", "text"]).cast(PACK))
-                    blocks.append(out.getvalue().to_pybytes())
-            yield batch(schema, {"b": found.astype(np.int32), "block": blocks})
 
-    rows = as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    # Rows without an id would all share a bucket: they are dealt by text.
-    dealt = rows.withColumn("b", F.when(F.col("doc_id").isNull(), bucket("text", n)).otherwise(bucket("doc_id", n)))
-    return dealt.mapInArrow(run, "b int, block binary")
+def mail(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
+    return pa.Table.from_batches([batch(MAIL, {k: [r[i] for r in rows] for i, k in enumerate(MAIL.names)})])
 
 
-PACK = pa.schema([("doc_id", pa.int64()), ("text", pa.binary())])
+def blocks_of(t: pa.Table) -> list[tuple[int, int, bytes]]:
+    """from, kind, block of each row, in order of these two."""
+    return sorted(zip(t.column("at").to_pylist(), t.column("kind").to_pylist(), t.column("block").to_pylist(), strict=True), key=lambda r: r[:2])
 
 
-def _unpacked(blocks: pa.Table) -> Iterator[pa.RecordBatch]:
-    for x in blocks.column("block"):
-        yield from pa.ipc.open_stream(x.as_buffer())
+def _key(t: pa.Table, other: pa.Table, name: str = "to") -> int:
+    return (t if t.num_rows else other).column(name)[0].as_py()
 
 
-class Bucket:
-    """The tokens of a bucket's documents, its distinct words (their hashes are in order), and its distinct pairs (number of the
-    word before * words + number of the word)."""
-
-    def __init__(self, blocks: pa.Table):
-        rows = pa.Table.from_batches(list(_unpacked(blocks)), PACK)
-        self.doc_ids = rows.column("doc_id").to_pylist()
-        words, ids, before, self.size = _tokens(rows.column("text").to_pylist())
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        order = np.argsort(hashes)
-        self.hashes = hashes[order]
-        number = np.empty(len(words), np.int64)
-        number[order] = np.arange(len(words))
-        self.ids, self.before = number[ids], number[before]
-        self.codes, self.pairs = np.unique(self.before * len(words) + self.ids, return_inverse=True)
+TOKENS = pa.schema([("b", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("block", pa.binary())])
 
-    def trained(self) -> np.ndarray:
-        """Training tokens of each pair."""
-        train = np.repeat([fold_of(d, FOLDS) != 0 for d in self.doc_ids], self.size)
-        return np.bincount(self.pairs, train, len(self.codes)).astype(np.int64)
 
+def _tokenized(rows: pa.Table) -> pa.Table:
+    """A bucket's documents: their ids; of each document tokens and whether it is held out, of the tokens one after the other the
+    word's number, and the words' hashes. Words are numbered by how often they occur."""
+    place: dict[bytes, int] = {END: 0}
+    ids, size = [], []
+    for t in rows.column("text").to_pylist():
+        ws = [*(t or b"").translate(LOWER_BYTES).split(), END]
+        for w in set(ws):
+            place.setdefault(w, len(place))
+        ids.append(np.fromiter(map(place.__getitem__, ws), np.int64, len(ws)))
+        size.append(len(ws))
+    ids = np.concatenate(ids)
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, place), np.uint64, len(place))
+    order = np.argsort(-np.bincount(ids, minlength=len(place)), kind="stable")
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    doc_ids = rows.column("doc_id").to_pylist()
+    held = np.array([fold_of(d, FOLDS) == 0 for d in doc_ids])
+    return pa.Table.from_batches([batch(TOKENS, {"b": [rows.column("b")[0].as_py()], "doc_ids": [doc_ids], "block": [pack(np.array(size), held, number[ids], hashes[order])]})])
 
-def pack(*arrays: np.ndarray) -> bytes:
-    raw = pickle.dumps(arrays, 5)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
+class Bucket:
+    """A bucket's tokens (numbers of words and of words before), its words' hashes in order of word group and hash, and where each
+    word group's begin."""
+
+    def __init__(self, block: bytes, groups: int):
+        size, held, ids, hashes = unpack(block)
+        self.size, self.held = size.astype(np.int64), held.astype(bool)
+        order = np.lexsort((hashes, hashes % np.uint64(groups)))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        self.hashes = hashes[order]
+        self.ids = number[ids.astype(np.int64)]
+        self.end = number[np.flatnonzero(hashes == np.uint64(xxhash.xxh64_intdigest(END)))[0]]
+        self.before = np.concatenate([[self.end], self.ids[:-1]])  # a text begins after the end of another
+        self.train = ~np.repeat(self.held, self.size)
+        self.cuts = np.searchsorted((self.hashes % np.uint64(groups)).astype(np.int64), np.arange(groups + 1))
+
+    def pairs(self, names: np.ndarray, parts: int) -> tuple[np.ndarray, ...]:
+        """Distinct pairs of known words, by pair group and then by the words' global numbers: number of the word before, of the word,
+        training tokens; where each group's begin; and the pair (or -1) of each token."""
+        codes, of = np.unique(self.before * len(self.hashes) + self.ids, return_inverse=True)
+        c = np.bincount(of, self.train, len(codes)).astype(np.int64)
+        u, w = np.divmod(codes, len(self.hashes))
+        u, w = names[u], names[w]
+        with np.errstate(over="ignore"):
+            q = (mix64(mix64(u.astype(np.uint64)) + w.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+        q[(u < 0) | (w < 0)] = parts
+        order = np.lexsort((w, u, q))
+        order = order[: np.searchsorted(q[order], parts)]
+        place = np.full(len(codes), -1)
+        place[order] = np.arange(len(order))
+        return u[order], w[order], c[order], np.searchsorted(q[order], np.arange(parts + 1)), place[of]
 
-def unpack(x: bytes) -> tuple[np.ndarray, ...]:
-    return pickle.loads(pa.decompress(x[8:], int.from_bytes(x[:8], "little"), "zstd", asbytes=True))
 
+def _ask_words(groups: int):
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        """To each word group: the hashes of the bucket's words, and their training tokens."""
+        for b in slices(batches, 1):
+            own = Bucket(b.column("block")[0].as_py(), groups)
+            c = np.bincount(own.ids, own.train, len(own.hashes)).astype(np.int64)
+            rows = [(p, b.column("b")[0].as_py(), 0, pack(own.hashes[i:j], c[i:j])) for p, (i, j) in enumerate(zip(own.cuts[:-1], own.cuts[1:], strict=True)) if j > i]
+            yield from mail(rows).to_batches()
 
-REQUESTS = pa.schema([("b", pa.int32()), ("q", pa.int32()), ("block", pa.binary())])
+    return run
 
 
-def _requests(n: int):
-    """b, q, block: for each part q the bucket's pairs (word, word before, pair's number, training tokens)."""
+def _number_words(asked: pa.Table) -> pa.Table:
+    """To each bucket: its words' numbers in the word group, from 1 on (0: no training token has it). To the group itself (kind 1):
+    training tokens of each word by number."""
+    p, rows = asked.column("to")[0].as_py(), blocks_of(asked)
+    hashes, counts = zip(*(unpack(x) for _, _, x in rows), strict=True)
+    every, of = np.unique(np.concatenate(hashes), return_inverse=True)
+    c = np.bincount(of, np.concatenate(counts), len(every)).astype(np.int64)
+    order = np.argsort(-c, kind="stable")
+    number = np.empty(len(c), np.int64)
+    number[order] = np.arange(1, len(c) + 1)
+    number[c == 0] = 0
+    cuts = np.cumsum([len(x) for x in hashes])[:-1]
+    return mail([(b, p, 0, pack(x)) for (b, _, _), x in zip(rows, np.split(number[of], cuts), strict=True)] + [(p, p, 1, pack(c[order][: int((c > 0).sum())]))])
+
+
+def _names(own: Bucket, told: list[tuple[int, int, bytes]], groups: int) -> np.ndarray:
+    """The global number of each of a bucket's words, or -1."""
+    out = np.full(len(own.hashes), -1)
+    for p, kind, x in told:
+        if kind == 0:
+            r = unpack(x)[0].astype(np.int64)
+            out[own.cuts[p] : own.cuts[p + 1]] = np.where(r > 0, (r - 1) * groups + p, -1)
+    return out
 
-    def run(blocks: pa.Table) -> pa.Table:
-        own, b = Bucket(blocks), blocks.column("b")[0].as_py()
-        u, w = np.divmod(own.codes, len(own.hashes))
-        w, u, c = own.hashes[w], own.hashes[u], own.trained()
-        with np.errstate(over="ignore"):
-            q = (mix64(w + np.uint64(0x9E3779B97F4A7C15) * u) % np.uint64(n)).astype(np.int64)
-        order = np.argsort(q, kind="stable")
-        cuts = np.searchsorted(q[order], np.arange(n + 1))
-        found = [(k, pack(w[i], u[i], i.astype(np.int32), c[i].astype(np.int32))) for k in range(n) if len(i := order[cuts[k] : cuts[k + 1]])]
-        return pa.Table.from_batches([batch(REQUESTS, {"b": [b] * len(found), "q": [k for k, _ in found], "block": [x for _, x in found]})])
+
+def _ask_pairs(groups: int, parts: int):
+    def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
+        """To each pair group: the bucket's pairs (steps of the word before, the word) and their training tokens."""
+        own, b = Bucket(tokens.column("block")[0].as_py(), groups), tokens.column("b")[0].as_py()
+        u, w, c, cuts, _ = own.pairs(_names(own, blocks_of(told), groups), parts)
+        return mail([(q, b, 0, pack(np.diff(u[i:j], prepend=0), w[i:j], c[i:j])) for q, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if j > i])
 
     return run
 
 
-def _words(blocks: pa.Table) -> pa.Table:
-    """b, q (-1), block: the bucket's words."""
-    return pa.Table.from_batches([batch(REQUESTS, {"b": [blocks.column("b")[0].as_py()], "q": [-1], "block": [pack(Bucket(blocks).hashes)]})])
+#: Kinds of what a pair group makes: its dishes; for a bucket; the words of its dishes, and all its words, for a word group.
+DISHES, ANSWERED, WORDS, FIXED = range(4)
+
+
+def _part(groups: int):
+    def run(asked: pa.Table) -> pa.Table:
+        """DISHES: words, and of each dish the number of word and word before among them, customers. ANSWERED: of each pair asked
+        for, 0 (not trained), 1 (one customer) or the dish + 2. WORDS: numbers in the word group. FIXED: the same of all words, and
+        of each as word and as word before: pairs of one customer, and dishes."""
+        q, rows = asked.column("to")[0].as_py(), blocks_of(asked)
+        us, ws, cs = zip(*(unpack(x) for _, _, x in rows), strict=True)
+        size = [len(x) for x in us]
+        u, w, n = np.concatenate([np.cumsum(x.astype(np.int64)) for x in us]), np.concatenate(ws).astype(np.int64), np.concatenate(cs).astype(np.int64)
+        order = np.lexsort((w, u))
+        su, sw = u[order], w[order]
+        first = np.flatnonzero(np.concatenate([[True], (su[1:] != su[:-1]) | (sw[1:] != sw[:-1])]))
+        of = np.empty(len(u), np.int64)
+        of[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(u))))
+        c, u, w = np.add.reduceat(n[order], first), su[first], sw[first]
+        dish = c >= 2
+        answer = np.where(dish, np.cumsum(dish) + 1, c)[of]
+        x, both = np.unique(np.concatenate([w[dish], u[dish]]), return_inverse=True)
+        wi, ui = np.split(both, 2)
+        out = [(q, q, DISHES, pack(x, wi, ui, c[dish]))]
+        out += [(b, q, ANSWERED, pack(a)) for (b, _, _), a in zip(rows, np.split(answer, np.cumsum(size)[:-1]), strict=True)]
+        has = c > 0
+        every, both = np.unique(np.concatenate([w[has], u[has]]), return_inverse=True)
+        sums = [np.bincount(i, v, len(every)) for v in (c[has] == 1, dish[has]) for i in np.split(both, 2)]
+        for kind, words, more in ((WORDS, x, []), (FIXED, every, sums)):
+            p = words % groups
+            for k in np.unique(p):
+                at = p == k
+                out.append((int(k), q, kind, pack(np.diff(words[at] // groups, prepend=0), *(v[at].astype(np.int64) for v in more))))
+        return mail(out)
 
+    return run
 
-PART = pa.schema([("q", pa.int32()), ("x", pa.binary()), ("dishes", pa.binary()), ("asked", pa.binary()), ("totals", pa.binary())])
 
+STATE = pa.schema([("to", pa.int32()), ("block", pa.binary()), ("up", pa.int64()), ("above", pa.int64())])
+STATE_DDL = "to int, block binary, up long, above long"
 
-def _part(rows: pa.Table) -> pa.Table:
-    """x: words of the part's dishes (pairs of two customers or more); dishes: number of word and word before in x, customers; asked:
-    bucket, pair's number, dish (-1 for one customer); totals: of each word, training tokens as word and as word before, pairs of one
-    customer as both, dishes as both."""
-    bs, blocks = rows.column("b").to_pylist(), [unpack(x) for x in rows.column("block").to_pylist()]
-    w, u, k, n = (np.concatenate([x[i] for x in blocks]) for i in range(4))
-    b = np.repeat(np.array(bs, np.int32), [len(x[0]) for x in blocks])
-    order = np.lexsort((u, w))
-    w, u, k, n, b = w[order], u[order], k[order], n[order].astype(np.int64), b[order]
-    first = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (u[1:] != u[:-1])]))
-    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(w))))
-    c, w, u = np.add.reduceat(n, first), w[first], u[first]
-    dish = c >= 2
-    number = np.where(dish, np.cumsum(dish) - 1, -1)
-    asks = (c[of] > 0) & ~((c[of] == 1) & (n == 1))  # else the bucket knows: no tables, or its own customer's
-    x, both = np.unique(np.concatenate([w[dish], u[dish]]), return_inverse=True)
-    wi, ui = np.split(both.astype(np.int32), 2)
-    has = c > 0
-    every, both = np.unique(np.concatenate([w[has], u[has]]), return_inverse=True)
-    sums = [np.bincount(i, v, len(every)).astype(np.int64) for v in (c[has], c[has] == 1, dish[has]) for i in np.split(both, 2)]
-    return pa.Table.from_batches([batch(PART, {"q": rows.column("q")[:1].combine_chunks(), "x": [pack(x)], "dishes": [pack(wi, ui, c[dish])], "asked": [pack(b[asks], k[asks], number[of][asks].astype(np.int64))], "totals": [pack(every, *sums)]})])
 
+def _state(p: int, cw, sw, su, above, tables, up) -> pa.Table:
+    """A word group: of each word training tokens, tables of one customer as word and as word before, customers in the parent, tables
+    as word before, tables in the parent."""
+    return pa.Table.from_batches([batch(STATE, {"to": [p], "block": [pack(cw, sw, su, above, tables, up)], "up": [int(up.sum())], "above": [int(above.sum())]})])
 
-def _rows(table: DataFrame, names: list[str], made, *columns: str) -> DataFrame:
-    """Rows of 64-bit numbers: made gets the columns' values of each row and returns arrays, one for each name."""
-    schema = pa.schema([(x, pa.int64()) for x in names])
 
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1):
-            found = made(*(x.to_pylist()[0] for x in b.columns))
-            for i in range(0, len(found[0]), 100_000):
-                yield batch(schema, {k: np.ascontiguousarray(v[i : i + 100_000]).view(np.int64) for k, v in zip(names, found, strict=True)})
+def _first_state(counted: pa.Table, fixed: pa.Table) -> pa.Table:
+    if not counted.num_rows:
+        return STATE.empty_table()
+    cw = unpack(counted.column("block")[0].as_py())[0].astype(np.int64)
+    sums = np.zeros((4, len(cw)), np.int64)
+    for _, _, x in blocks_of(fixed):
+        steps, *more = unpack(x)
+        sums[:, np.cumsum(steps.astype(np.int64))] += np.array(more, np.int64)
+    sw, su, mw, mu = sums
+    return _state(_key(counted, fixed), cw, sw, su, sw + mw, su + mu, np.minimum(sw + mw, 1))
 
-    return table.select(*columns).mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
+def _tell_parts(state: pa.Table, asked: pa.Table) -> pa.Table:
+    """To each pair group: of its dishes' words, tables as word before, customers and tables in the parent."""
+    if not asked.num_rows:
+        return MAIL.empty_table()
+    _, _, _, above, tables, up = unpack(state.column("block")[0].as_py())
+    return mail([(q, _key(state, asked), 0, pack(*(v[at] for v in (tables, above, up)))) for q, _, x in blocks_of(asked) for at in [np.cumsum(unpack(x)[0].astype(np.int64))]])
 
-SWEPT = pa.schema([("q", pa.int32()), ("x", pa.binary()), ("dishes", pa.binary()), ("t", pa.binary()), ("before", pa.binary()), ("totals", pa.binary())])
 
+SWEPT = pa.schema([*MAIL, ("t", pa.binary()), ("before", pa.binary())])
+SWEPT_DDL = MAIL_DDL + ", t binary, before binary"
 
-def _sweep(number: int):
-    def run(part: pa.Table, answers: pa.Table) -> pa.Table:
-        row = {k: part.column(k)[0].as_py() for k in part.column_names}
-        (x,), (wi, ui, c), answers = unpack(row["x"]), unpack(row["dishes"]), answers.sort_by("i")
-        t = sweep(c, unpack(row["t"])[0] if row["t"] else None, answers.column("tables").to_numpy()[ui], answers.column("p").to_numpy()[wi], np.random.default_rng([number, row["q"]]))
-        totals = [np.bincount(i, t, len(x)).astype(np.int64) for i in (wi, ui)]
-        return pa.Table.from_batches([batch(SWEPT, {"q": part.column("q").combine_chunks(), "x": [row["x"]], "dishes": [row["dishes"]], "t": [pack(t)], "before": [row["t"]], "totals": [pack(*totals)]})])
+
+def _sweep(number: int, groups: int, up_total: int, customers: int, vocabulary: int):
+    def run(part: pa.Table, told: pa.Table) -> pa.Table:
+        """DISHES with the tables after this pass (t) and after the one before; WORDS: to each word group, of its words the new tables
+        as word and as word before."""
+        q, old = part.column("to")[0].as_py(), part.column("t")[0].as_py()
+        x, wi, ui, c = (v.astype(np.int64) for v in unpack(part.column("block")[0].as_py()))
+        tables, above, up = (np.zeros(len(x), np.int64) for _ in range(3))
+        for p, _, block in blocks_of(told):
+            at = np.flatnonzero(x % groups == p)
+            tables[at], above[at], up[at] = unpack(block)
+        p = parent_p(above, up, up_total, customers, vocabulary)
+        t = sweep(c, unpack(old)[0].astype(np.int64) if old else None, tables[ui], p[wi], np.random.default_rng([number, q])) if len(c) else c
+        tw, tu = (np.bincount(i, t, len(x)).astype(np.int64) for i in (wi, ui))
+        rows = [(q, q, DISHES, part.column("block")[0].as_py(), pack(t), old)]
+        rows += [(int(k), q, WORDS, pack(np.diff(x[at] // groups, prepend=0), tw[at], tu[at]), None, None) for k in np.unique(x % groups) for at in [x % groups == k]]
+        return pa.Table.from_batches([batch(SWEPT, {k: [r[i] for r in rows] for i, k in enumerate(SWEPT.names)})])
 
     return run
 
 
-STATE = "x long, cw long, cu long, sw long, su long, active boolean, above long, tables long, up long"
+def _seat_words(number: int, up_total: int, vocabulary: int):
+    def run(state: pa.Table, told: pa.Table) -> pa.Table:
+        """The word group after a pass over its seats in the parent."""
+        p = _key(state, told)
+        cw, sw, su, _, _, up = (v.astype(np.int64) for v in unpack(state.column("block")[0].as_py()))
+        above, tables = sw.copy(), su.copy()
+        for _, _, x in blocks_of(told):
+            steps, tw, tu = unpack(x)
+            at = np.cumsum(steps.astype(np.int64))
+            above[at] += tw.astype(np.int64)
+            tables[at] += tu.astype(np.int64)
+        before = None if number == 1 else np.clip(up, np.minimum(above, 1), above)
+        up = sweep(above, before, up_total, np.full(len(above), 1 / (vocabulary + 1)), np.random.default_rng([number, p, 1])) if len(above) else above
+        return _state(p, cw, sw, su, above, tables, up)
 
+    return run
 
-def _parents(words: DataFrame, number: int, all_tables: int, vocabulary: int) -> DataFrame:
-    """The words after a pass over their seats in the parent."""
 
-    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 100_000):
-            above, up = b.column("above").to_numpy(), b.column("up").to_numpy()
-            first = int(b.column("x")[0].as_py()) & (2**63 - 1)
-            new = sweep(above, None if number == 1 else np.minimum(np.maximum(up, np.minimum(above, 1)), above), all_tables, np.full(len(above), 1 / (vocabulary + 1)), np.random.default_rng([number, first]))
-            yield b.set_column(b.schema.get_field_index("up"), "up", pa.array(new, pa.int64()))
-
-    return words.select(*(x.split()[0] for x in STATE.split(", "))).mapInArrow(run, STATE)
-
-
-def train(parts: DataFrame) -> tuple[DataFrame, list[tuple[DataFrame, int, int]], DataFrame, int, int]:
-    """All words; of each sample the words that have more than one table at stake, tables and customers of the parent; the parts
-    with the tables (t, before) of the last two passes; the training tokens and the vocabulary."""
-    names = ["x", "cw", "cu", "sw", "su", "mw", "mu"]
-    exploded = _rows(parts, names, unpack, "totals")
-    words = exploded.groupBy("x").agg(*(F.sum(k).alias(k) for k in names[1:]))
-    words = words.select("x", "cw", "cu", "sw", "su", (F.col("mw") + F.col("mu") > 0).alias("active"), (F.col("sw") + F.col("mw")).alias("above"), (F.col("su") + F.col("mu")).alias("tables"), F.least(F.col("sw") + F.col("mw"), F.lit(1)).alias("up"))
-    words = written(words, "words")
-    parts.sparkSession._jvm.System.gc()
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    tokens, vocabulary = words.agg(zero("cw"), F.count(F.when(F.col("cw") > 0, 1))).first()
-    lone = ~F.col("active") & (F.col("above") <= 1)
-    fixed = words.where(lone).agg(zero("above")).first()[0]
-    state = words.where(~lone)
-    asks = _rows(parts, ["q", "i", "x"], lambda q, x: (np.full(len(a := unpack(x)[0]), q, np.int64), np.arange(len(a)), a), "q", "x")
-    asks = written(asks.select(F.col("q").cast("int").alias("q"), F.col("i").cast("int").alias("i"), "x"), "asks")
-    swept = parts.select("q", "x", "dishes", F.lit(b"").alias("t"))
+def train(state: DataFrame, parts: DataFrame, groups: int, vocabulary: int) -> tuple[list[tuple[DataFrame, int, int]], DataFrame]:
+    """Of each sample the word groups, tables and customers of the parent; and the dishes with the tables of the last two passes."""
     samples, old = [], []
-    up_total, customers = (fixed + x for x in state.agg(zero("up"), zero("above")).first())
+    asks = parts.where(F.col("kind") == WORDS)
+    swept = parts.where(F.col("kind") == DISHES).select("*", F.lit(b"").alias("t"))
+    totals = lambda: tuple(x or 0 for x in state.agg(F.sum("up"), F.sum("above")).first())
+    up_total, customers = totals()
     for number in range(1, BURN_IN + SAMPLES + 1):
-        p = parent_p(F.col("above"), F.col("up"), up_total, customers, vocabulary)
-        answers = asks.join(state.select("x", "tables", p.alias("p")), "x").select("q", "i", "tables", "p")
-        swept = written(swept.select("q", "x", "dishes", "t").groupBy("q").cogroup(answers.groupBy("q")).applyInArrow(_sweep(number), "q int, x binary, dishes binary, t binary, before binary, totals binary"), "swept")
-        changed = _rows(swept, ["x", "tw", "tu"], lambda x, totals: (*unpack(x), *unpack(totals)), "x", "totals").groupBy("x").agg(F.sum("tw").alias("tw"), F.sum("tu").alias("tu"))
-        active = state.where("active").join(changed, "x").withColumn("above", F.col("sw") + F.col("tw")).withColumn("tables", F.col("su") + F.col("tu")).drop("tw", "tu")
-        state = written(_parents(active.unionByName(state.where("not active")), number, up_total, vocabulary), "state")
-        up_total, customers = (fixed + x for x in state.agg(zero("up"), zero("above")).first())
+        told = state.groupBy("to").cogroup(asks.groupBy("to")).applyInArrow(_tell_parts, MAIL_DDL)
+        swept = written(swept.select(*MAIL.names, "t").groupBy("to").cogroup(told.groupBy("to")).applyInArrow(_sweep(number, groups, up_total, customers, vocabulary), SWEPT_DDL), "swept")
+        news, swept = swept.where(F.col("kind") == WORDS).select(*MAIL.names), swept.where(F.col("kind") == DISHES)
+        state = written(state.groupBy("to").cogroup(news.groupBy("to")).applyInArrow(_seat_words(number, up_total, vocabulary), STATE_DDL), "state")
+        up_total, customers = totals()
         samples.append((state, up_total, customers))
         freed(*old)
         old = [swept] if number > BURN_IN else [swept, state]
-    return words, samples[-SAMPLES:], swept, tokens, vocabulary
-
+    return samples[-SAMPLES:], swept
+
+
+def _tell_words(names: pa.Table, states: pa.Table) -> pa.Table:
+    """To each bucket: of its words training tokens, and of each sample tables as word before, customers and tables in the parent."""
+    order = np.argsort(states.column("sample").to_numpy())
+    found = [unpack(x) for x in states.column("block").take(pa.array(order)).to_pylist()]
+    values = [np.append([0], v) for v in ([found[0][0]] + [x[k] for x in found for k in (4, 3, 5)] if found else [[]] * (1 + 3 * SAMPLES))]
+    return mail([(b, _key(names, states), 1, pack(*(v[at] for v in values))) for b, _, x in ((r[2], 0, r[3]) for r in zip(names.column("to").to_pylist(), names.column("kind").to_pylist(), names.column("b").to_pylist(), names.column("block").to_pylist(), strict=True)) for at in [unpack(x)[0].astype(np.int64)]])
+
+
+def _tell_pairs(rows: pa.Table) -> pa.Table:
+    """To each bucket: of its pairs customers, and tables in the samples."""
+    c = t1 = t2 = np.zeros(0, np.int64)
+    for r in rows.filter(pa.array([x is None for x in rows.column("b").to_pylist()])).to_pylist():
+        c, t1, t2 = unpack(r["block"])[3], unpack(r["before"])[0], unpack(r["t"])[0]
+    values = [np.append([0, 1], v).astype(np.int64) for v in (c, t1, t2)]
+    q = rows.column("q")[0].as_py()
+    return mail([(b, q, 2, pack(*(v[at] for v in values))) for b, x in zip(rows.column("b").to_pylist(), rows.column("block").to_pylist(), strict=True) if b is not None for at in [unpack(x)[0].astype(np.int64)]])
+
+
+SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _score(groups: int, parts: int, totals: list[tuple[int, int]], total: int, vocabulary: int):
+    def run(tokens: pa.Table, told: pa.Table) -> pa.Table:
+        own, rows = Bucket(tokens.column("block")[0].as_py(), groups), blocks_of(told)
+        u, w, n, cuts, pair_of = own.pairs(_names(own, rows, groups), parts)
+        words = np.zeros((1 + 3 * SAMPLES, len(own.hashes)), np.int64)
+        pairs = np.zeros((1 + SAMPLES, len(u) + 1), np.int64)  # the last one: a pair with an unknown word
+        for at, kind, x in rows:
+            if kind == 1:
+                words[:, own.cuts[at] : own.cuts[at + 1]] = np.array(unpack(x), np.int64)
+            elif kind == 2:
+                pairs[:, cuts[at] : cuts[at + 1]] = np.array(unpack(x), np.int64)
+        c = words[0]
+        p = np.zeros(len(own.ids))
+        for s, (up_total, customers) in enumerate(totals):
+            tables, above, up = words[1 + 3 * s : 4 + 3 * s]
+            parent = parent_p(above, up, up_total, customers, vocabulary)
+            seated = (pairs[0] - DISCOUNT * pairs[1 + s])[pair_of]
+            p += (seated + (STRENGTH + DISCOUNT * tables)[own.before] * parent[own.ids]) / (STRENGTH + c[own.before]) / SAMPLES
+        starts = np.cumsum(own.size) - own.size
+        base = np.log10((c + 0.1) / (total + 0.1 * (vocabulary + 1)))
+        known, base, scores = (np.add.reduceat(x, starts) for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], np.log10(p)))
+        doc_ids = tokens.column("doc_ids")[0].as_py()
+        return pa.Table.from_batches([batch(SCORES, {"doc_id": doc_ids, "held_out": own.held, "n_tokens": own.size, "n_known": known, "train_tokens": np.full(len(doc_ids), total), "base_score": base, "score": scores})])
 
-ANSWERS = "b int, k long, c long, cu long, g1 float, g2 float, p1 float, p2 float"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return run
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
     n = buckets_for(docs.sparkSession, text_bytes(docs), BUCKET_MB)
-    blocks = _packed(docs, n)
-    # Parts are smaller than buckets: a task holds all of a part's pairs in several orders.
-    requests = blocks.groupBy("b").applyInArrow(_requests(2 * n), "b int, q int, block binary")
-    parts = written(requests.groupBy("q").applyInArrow(_part, "q int, x binary, dishes binary, asked binary, totals binary"), "parts")
-    parts.sparkSession._jvm.System.gc()
-    words, ((s1, up1, all1), (s2, up2, all2)), swept, total, distinct = train(parts)
-
-    one = s1.select("x", F.col("tables").alias("t1"), parent_p(F.col("above"), F.col("up"), up1, all1, distinct).alias("p1"))
-    two = s2.select("x", F.col("tables").alias("t2"), parent_p(F.col("above"), F.col("up"), up2, all2, distinct).alias("p2"))
-    # Words left out of the samples have the tables that they began with.
-    g = lambda t: ((F.coalesce(t, "tables") * DISCOUNT + STRENGTH) / (F.col("cu") + STRENGTH)).cast("float")
-    first = lambda p, up, every: F.coalesce(p, parent_p(F.col("above"), F.col("up"), up, every, distinct)).cast("float")
-    told = words.join(one.join(two, "x"), "x", "left").select("x", F.col("cw").alias("c"), "cu", g("t1").alias("g1"), g("t2").alias("g2"), first("p1", up1, all1).alias("p1"), first("p2", up2, all2).alias("p2"))
-    asked = _rows(blocks.groupBy("b").applyInArrow(_words, "b int, q int, block binary"), ["b", "k", "x"], lambda b, x: (np.full(len(a := unpack(x)[0]), b, np.int64), np.arange(len(a)), a), "b", "block")
-    nothing = [F.coalesce(x, F.lit(y).cast("float")).alias(x) for x, y in (("g1", 1), ("g2", 1), ("p1", parent_p(0, 0, up1, all1, distinct)), ("p2", parent_p(0, 0, up2, all2, distinct)))]
-    of_words = asked.join(told, "x", "left").select(F.col("b").cast("int").alias("b"), "k", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("cu", F.lit(0)).alias("cu"), *nothing)
-
-    def dishes(asked: bytes, dishes: bytes, t: bytes, before: bytes) -> tuple[np.ndarray, ...]:
-        (b, k, dish), c = unpack(asked), np.append(unpack(dishes)[2], 1)
-        return b.astype(np.int64), -1 - k.astype(np.int64), c[dish], np.append(unpack(before)[0], 1)[dish], np.append(unpack(t)[0], 1)[dish]
-
-    both = parts.select("q", "asked", "dishes").join(swept.select("q", "t", "before"), "q")
-    of_pairs = _rows(both, ["b", "k", "c", "t1", "t2"], dishes, "asked", "dishes", "t", "before")
-    none = F.lit(0).cast("float")
-    of_pairs = of_pairs.select(F.col("b").cast("int").alias("b"), "k", "c", F.lit(0).cast("long").alias("cu"), F.col("t1").cast("float").alias("g1"), F.col("t2").cast("float").alias("g2"), none.alias("p1"), none.alias("p2"))
-    answers = of_words.unionByName(of_pairs)
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-    def score(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-        own = Bucket(blocks)
-        k, c, cu, g1, g2, p1, p2 = (answers.column(x).to_numpy() for x in ("k", "c", "cu", "g1", "g2", "p1", "p2"))
-        word, pair = np.flatnonzero(k >= 0), np.flatnonzero(k < 0)
-        word = word[np.argsort(k[word])]
-        u, w = np.divmod(own.codes, len(own.hashes))
-        seats = own.trained()
-        t = np.tile(np.minimum(seats, 1).astype(float), (2, 1))
-        at = -1 - k[pair]
-        seats[at], t[0, at], t[1, at] = c[pair], g1[pair], g2[pair]
-        p = sum((seats - DISCOUNT * t[s]) / (STRENGTH + cu[word][u]) + g[word][u].astype(float) * q[word][w] for s, (g, q) in enumerate(((g1, p1), (g2, p2)))) / 2
-        log_p, c = np.log10(p), c[word]
-        base = np.log10((c + 0.1) / (total + 0.1 * (distinct + 1)))
-        starts = np.cumsum(own.size) - own.size
-        known, base, scores = (np.add.reduceat(x, starts) if len(starts) else x for x in ((c[own.ids] > 0).astype(np.int64), base[own.ids], log_p[own.pairs]))
-        held = [fold_of(d, FOLDS) == 0 for d in own.doc_ids]
-        return pa.Table.from_batches([batch(schema, {"doc_id": own.doc_ids, "held_out": held, "n_tokens": own.size, "n_known": known, "train_tokens": np.full(len(held), total), "base_score": base, "score": scores})])
-
-    return blocks.groupBy("b").cogroup(answers.groupBy("b")).applyInArrow(score, SCORES)
+    parts_n = 2 * n  # a task holds all pairs of a group in several orders
+    rows = as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    # Rows without an id would all share a bucket: they are dealt by text.
+    dealt = rows.withColumn("b", F.when(F.col("doc_id").isNull(), bucket("text", n)).otherwise(bucket("doc_id", n)))
+    tokens = bucketed(dealt.groupBy("b").applyInArrow(_tokenized, "b int, doc_ids array<long>, block binary"), "b", n, "tokens", deal=False)
+    names = written(tokens.mapInArrow(_ask_words(n), MAIL_DDL).groupBy("to").applyInArrow(_number_words, MAIL_DDL), "names")
+    of_buckets, counted = names.where("kind = 0"), names.where("kind = 1")
+    asked = tokens.groupBy("b").cogroup(of_buckets.groupBy("to")).applyInArrow(_ask_pairs(n, parts_n), MAIL_DDL)
+    parts = written(asked.groupBy("to").applyInArrow(_part(n), MAIL_DDL), "parts")
+    state = written(counted.groupBy("to").cogroup(parts.where(F.col("kind") == FIXED).groupBy("to")).applyInArrow(_first_state, STATE_DDL), "state")
+
+    def sizes(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            c = [unpack(x)[0] for x in b.column("block").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([int(x.sum()) for x in c], pa.int64()), pa.array([len(x) for x in c], pa.int64())], names=["n", "v"])
+
+    total, vocabulary = (x or 0 for x in counted.mapInArrow(sizes, "n long, v long").agg(F.sum("n"), F.sum("v")).first())
+    samples, swept = train(state, parts, n, vocabulary)
+    states = samples[0][0].withColumn("sample", F.lit(0))
+    for k, (x, _, _) in enumerate(samples[1:], 1):
+        states = states.unionByName(x.withColumn("sample", F.lit(k)))
+    by_word = of_buckets.select(F.col("at").alias("to"), "kind", F.col("to").alias("b"), "block")
+    of_words = by_word.groupBy("to").cogroup(states.groupBy("to")).applyInArrow(_tell_words, MAIL_DDL)
+    none = F.lit(None).cast("binary")
+    by_pair = parts.where(F.col("kind") == ANSWERED).select(F.col("at").alias("q"), F.col("to").alias("b"), "block", none.alias("t"), none.alias("before"))
+    of_pairs = by_pair.unionByName(swept.select(F.col("to").alias("q"), F.lit(None).cast("int").alias("b"), "block", "t", "before")).groupBy("q").applyInArrow(_tell_pairs, MAIL_DDL)
+    told = of_buckets.unionByName(of_words).unionByName(of_pairs)
+    ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return tokens.groupBy("b").cogroup(told.groupBy("to")).applyInArrow(_score(n, parts_n, [x[1:] for x in samples], total, vocabulary), ddl)
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
