@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import math
 import tempfile
+import time
 import uuid
 import zlib
 
@@ -68,9 +69,12 @@ def freed(*tables: DataFrame) -> None:
 
 
 def dropped_shuffles(spark: SparkSession) -> None:
-    """Spark's cleaner drops the shuffle files of plans that the driver no longer holds, once it has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Spark's cleaner drops the shuffle files of plans that the driver no longer holds, once it has collected its garbage (what the
+    last job holds goes at the second time)."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -98,9 +102,10 @@ def text_bytes(docs: DataFrame) -> int:
     return docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def buckets_for(spark: SparkSession, total_bytes: int, each_mb: float) -> int:
-    """As many buckets as keep each near each_mb, whatever the size of the input."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total_bytes / (each_mb * 1e6)), 1)
+def buckets_for(spark: SparkSession, total_bytes: int, each_mb: float, spread: bool = True) -> int:
+    """As many buckets as keep each near each_mb, whatever the size of the input. spread: but no fewer than Spark's shuffle partitions
+    (groups that exchange blocks with each other are best no more than their size asks for)."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")) if spread else 1, math.ceil(total_bytes / (each_mb * 1e6)))
 
 
 def bucket(doc_id: str, n: int) -> Column:

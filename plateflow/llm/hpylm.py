@@ -474,7 +474,7 @@ def _score(groups: int, parts: int, totals: list[tuple[int, int]], total: int, v
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
-    n = buckets_for(docs.sparkSession, text_bytes(docs), BUCKET_MB)
+    n = buckets_for(docs.sparkSession, text_bytes(docs), BUCKET_MB, spread=False)
     parts_n = 2 * n  # a task holds all pairs of a group in several orders
     rows = as_bytes(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     # Rows without an id would all share a bucket: they are dealt by text.
