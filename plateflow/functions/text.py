@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from plateflow.plans.dims import RULES
 
+# A whole plate, and the beginning of one.
 EXACT, PARTIAL = "^[A-Z]{1,4}[0-9]{1,4}[A-Z]?$", "^[A-Z]{1,4}[0-9]{1,4}"
+# The letter that a digit is read for, and the digit that a letter is read for.
 LETTERS_FOR, DIGITS_FOR = ("0125678", "OIZSGTB"), ("OQDUILTZSGB", "00001112568")
 # Characters that look alike.
 ALIKE = ("ILT1", "MNW", "UV", "BQ8", "S5", "OQD0", "Z2", "G6")
@@ -67,6 +69,18 @@ def regex_score(t: Column) -> Column:
     return F.when(t == "", 0.0).when(t.rlike(EXACT), 1.0).when(t.rlike(PARTIAL), 0.6).when(prefix, 0.4).otherwise(0.05)
 
 
+def regex_label(t: Column) -> Column:
+    return F.when(t == "", "none").when(t.rlike(EXACT), "exact").when(t.rlike(PARTIAL), "partial").when(regex_score(t) == 0.4, "prefix").otherwise("none")
+
+
+def structure_label(t: Column) -> Column:
+    return F.when(t == "", "empty").otherwise(let(shape(t), lambda s: F.format_string("P%d-D%d-S%d", s["p"], s["d"], s["s"])))
+
+
+def length_label(t: Column) -> Column:
+    return F.when(t == "", "empty").when(F.length(t).between(*EXPECTED), "expected").otherwise("out_of_range")
+
+
 def composition_score(t: Column) -> Column:
     a, n = F.length(F.regexp_replace(t, "[^A-Z]", "")), F.length(t)
     d = n - a
@@ -144,21 +158,58 @@ def repair_candidates(t: Column) -> Column:
     return F.array_sort(F.array_distinct(F.array_compact(F.array(t, *splits))))
 
 
-def repair_score(t: Column, original: Column) -> Column:
-    """How much a text looks like a plate; original: the text that it is a reading of."""
+def canonical(t: Column, suffix: bool = True) -> Column:
+    """A normalised text; without the letter after a whole plate where plates have none (suffix False)."""
+    return t if suffix else F.regexp_replace(t, "^([A-Z]{1,4}[0-9]{1,4})[A-Z]$", "$1")
 
-    def of(s: Column) -> Column:
-        p, d = s["p"], s["d"]
-        w = lambda cond, x: F.when(cond, x).otherwise(0.0)
-        form = w(s["ordered"], 0.22) + w(p.between(1, 4), 0.16) + w(d.between(1, 4), 0.16) + w(s["s"] <= 1, 0.08) + w(p.between(2, 3), 0.20) + w(d.between(3, 4), 0.18) + w(s["s"] == 0, 0.08)
-        form = F.when(leading_zero(t, s), F.greatest(F.lit(0.0), form - 0.35)).otherwise(form)
-        lost = let(shape(original), lambda o: o["ordered"] & (o["p"] >= 3) & (o["d"] > 0) & (o["d"] < 3) & (p < o["p"]))
-        form = F.when(lost, F.greatest(F.lit(0.0), form - 0.18)).otherwise(form)
-        regex = F.when(t.rlike(EXACT), 1.0).when(t.rlike(PARTIAL), 0.55).otherwise(0.0)
-        priority = identify_state(t)["priority"]
-        return 0.42 * regex + 0.24 * F.greatest(F.lit(0.0), 1 - 0.18 * F.abs(F.length(t) - 7)) + 0.20 * form + 0.14 * F.least(F.lit(1.0), priority / 100.0)
 
-    return let(shape(t), of)
+def pattern_label(t: Column) -> Column:
+    """L<letters before the first digit>-D<first run of digits>-S<all the rest>, or unparsed if letters or digits are not 1 to 4."""
+    p = F.length(F.regexp_replace(F.regexp_extract(t, "^([^0-9]*)", 1), "[^A-Z]", ""))
+    d = F.length(F.regexp_extract(t, "([0-9]+)", 1))
+    return F.when(t == "", "").when(p.between(1, 4) & d.between(1, 4), F.format_string("L%d-D%d-S%d", p, d, F.length(t) - p - d)).otherwise("unparsed")
+
+
+def best_prefix_similarity(letters: Column, token: str) -> Column:
+    """The likeness of the part of letters that looks most like token; of all of letters, if they are fewer."""
+    n = len(token)
+    windows = F.transform(F.sequence(F.lit(1), F.greatest(F.length(letters) - n + 1, F.lit(1))), lambda i: visual_similarity(F.substring(letters, i, F.lit(n)), F.lit(token)))
+    return F.when(letters == "", 0.0).otherwise(F.array_max(windows))
+
+
+#: Likeness from which a rule's token stands in for the letters of a text.
+LIKE = 0.54
+
+
+def rule_candidates(t: Column) -> Column:
+    """Readings that take a rule's token of several letters for a text's letters, before its last 1 to 4 digits and letter."""
+    tail = F.regexp_extract(t, "([0-9]{1,4}[A-Z]?)$", 1)
+    letters = F.substring(t, F.lit(1), F.length(t) - F.length(tail))
+    tokens = [token for _, _, matcher, token, _ in RULES if matcher == "prefix" and len(token) > 1]
+    found = [F.when((tail != "") & (best_prefix_similarity(letters, k) >= LIKE), F.concat(F.lit(k), tail)) for k in tokens]
+    return F.array_compact(F.array(*found))
+
+
+def prefix_bonus(number: Column) -> Column:
+    """What a text gains by a rule (by its number) whose token has several characters, patterns included."""
+    return F.when(F.length(_of_rule(number, 3, "")) > 1, F.when(_of_rule(number, 4, 0) >= 90, 0.22).otherwise(0.18)).otherwise(0.0)
+
+
+def _form(t: Column, s: Column, o: Column) -> Column:
+    """The form's part of repair_score. s, o: shapes of the text and of the one that it is a reading of."""
+    p, d = s["p"], s["d"]
+    w = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    form = w(s["ordered"], 0.22) + w(p.between(1, 4), 0.16) + w(d.between(1, 4), 0.16) + w(s["s"] <= 1, 0.08) + w(p.between(2, 3), 0.20) + w(d.between(3, 4), 0.18) + w(s["s"] == 0, 0.08)
+    form = F.when(leading_zero(t, s), F.greatest(F.lit(0.0), form - 0.35)).otherwise(form)
+    lost = o["ordered"] & (o["p"] >= 3) & (o["d"] > 0) & (o["d"] < 3) & (p < o["p"])
+    return F.when(lost, F.greatest(F.lit(0.0), form - 0.18)).otherwise(form)
+
+
+def repair_score(t: Column, s: Column, o: Column, number: Column) -> Column:
+    """How much a text looks like a plate. s: its shape; o: that of the text that it is a reading of; number: of its rule."""
+    regex = F.when(t.rlike(EXACT), 1.0).when(t.rlike(PARTIAL), 0.55).otherwise(0.0)
+    priority = _of_rule(number, 4, 0)
+    return 0.42 * regex + 0.24 * F.greatest(F.lit(0.0), 1 - 0.18 * F.abs(F.length(t) - 7)) + 0.20 * _form(t, s, o) + 0.14 * F.least(F.lit(1.0), priority / 100.0)
 
 
 def least_gain(confidence: Column, layout: Column) -> Column:
@@ -166,18 +217,94 @@ def least_gain(confidence: Column, layout: Column) -> Column:
     return F.when(layout == "two_row", F.greatest(F.lit(0.005), gain - 0.010)).otherwise(gain)
 
 
-def repair(t: Column, gain: Column) -> Column:
-    """struct(text, score): goes through the candidates in order and changes to one that beats the best so far by gain. An edit
-    costs .015; a rule of a longer token adds .18, and .04 more from priority 90 on."""
+def row_text(t: Column, row: Column, two_row: Column) -> Column:
+    """A row's reading: of a plate of two rows letters above and digits below, each character as what it is read for."""
+    above, below = F.regexp_replace(as_letters(t), "[^A-Z]", ""), F.regexp_replace(as_digits(t), "[^0-9]", "")
+    return F.when(two_row, F.when(row == 1, above).otherwise(below)).otherwise(t)
+
+
+def row_score(t: Column, confidence: Column, row: Column, two_row: Column) -> Column:
+    """Score of a row's reading; -1 for an empty one."""
+    n, letters, digits = F.length(t), F.length(F.regexp_replace(t, "[^A-Z]", "")), F.length(F.regexp_replace(t, "[^0-9]", ""))
+    w = lambda cond, x: F.when(cond, x).otherwise(0.0)
+    above = w(letters == n, 0.35) + w(n.between(1, 4), 0.16) - w(n > 4, 0.18) - w(digits > 0, 0.20)
+    below = w(digits == n, 0.40) + w(n.between(1, 4), 0.24) - w(n > 4, 0.20) - w(letters > 0, 0.24)
+    return F.when(t == "", -1.0).otherwise(confidence + F.when(two_row & (row == 1), above).when(two_row & (row == 2), below).otherwise(0.0))
+
+
+def row_variant_bonus(name: Column, row: Column, two_row: Column) -> Column:
+    kind = F.when((row == 1) & name.contains("letters"), 0.08).when((row != 1) & name.contains("digits"), 0.10).otherwise(0.0)
+    made = F.when(name.contains("prepared"), 0.03).when(name.contains("binary"), 0.02).otherwise(0.0)
+    return F.when(two_row, kind + made).otherwise(0.0)
+
+
+# What a reading gains by source and layout, on plates of two rows and on others.
+TWO_ROW_BONUS = {("row_composite", "Line"): 0.18, ("text_only", "Block"): 0.12, ("text_only", None): 0.05, ("full_plate", "Line"): -0.03}
+ONE_ROW_BONUS = {("text_only", "Line"): 0.12, ("text_only", "Block"): 0.07, ("text_only_trimmed", "Line"): 0.11, ("text_only_trimmed", "Block"): 0.09, ("full_plate", "Line"): 0.03}
+
+
+def variant_bonus(source: Column, layout: Column, two_row: Column, profile: Column) -> Column:
+    def of(table: dict) -> Column:
+        out = F.lit(0.0)
+        for (name, kind), x in reversed(table.items()):
+            out = F.when((source == name) & (F.lit(True) if kind is None else layout == kind), x).otherwise(out)
+        return out
+
+    return F.when(two_row, of(TWO_ROW_BONUS)).otherwise(of(ONE_ROW_BONUS)) + F.when((profile == "two_row") & (source == "row_composite"), 0.05).otherwise(0.0)
+
+
+def hint_layout(layout: Column, profile: Column) -> Column:
+    """The layout that is known, else two_row by the profile, else unknown."""
+    return F.when(F.coalesce(layout, F.lit("")) != "", layout).when(profile == "two_row", "two_row").otherwise("unknown")
+
+
+def refined(t: Column, confidence: Column) -> Column:
+    """struct(text, label): a text with one letter cut from its end or its head where it looks more like a plate without it."""
+
+    def state(x: Column) -> Column:
+        return F.struct(x.alias("t"), refinement_score(x).alias("score"), identify_state(x)["priority"].alias("priority"), shape(x).alias("shape"))
+
+    cut = lambda x: F.substring(x, F.lit(1), F.length(x) - 1)
+
+    def step(now: Column, label: Column) -> Column:
+        return F.struct(now["t"].alias("t"), now["score"].alias("score"), now["priority"].alias("priority"), now["shape"].alias("shape"), label.alias("label"))
+
+    def tail(a: Column) -> Column:
+        return let(state(cut(a["t"])), lambda b: F.when((a["shape"]["s"] > 1) & (b["score"] > a["score"] + 0.06), step(b, F.lit("trim_tail"))).otherwise(step(a, F.lit(""))))
+
+    def weak(a: Column) -> Column:
+        plain = lambda b: b["t"].rlike("^[A-Z]{1,4}[0-9]{1,4}$") & (b["score"] >= a["score"] - 0.02)
+        return let(state(cut(a["t"])), lambda b: F.when((a["shape"]["s"] == 1) & (confidence <= 0.25) & plain(b), step(b, F.lit("trim_weak_suffix"))).otherwise(a))
+
+    def head(a: Column) -> Column:
+        def of(b: Column) -> Column:
+            better = F.when(b["priority"] > a["priority"], b["score"] > a["score"] + 0.04).when(b["priority"] == a["priority"], b["score"] > a["score"] + 0.02).otherwise(False)
+            go = (a["shape"]["p"] >= 2) & better
+            return F.struct(F.when(go, b["t"]).otherwise(a["t"]).alias("text"), F.when(go, F.lit("trim_head")).otherwise(a["label"]).alias("label"))
+
+        return let(state(F.substring(a["t"], F.lit(2), F.length(a["t"]))), of)
+
+    found = let(state(t), lambda x: let(tail(x), lambda y: let(weak(y), head)))
+    return F.when(t == "", F.struct(F.lit("").alias("text"), F.lit("").alias("label"))).otherwise(found)
+
+
+def clamp_confidence(x: Column) -> Column:
+    """Confidences within 0 and 1; percentages, if one of them is over 1."""
+    by = F.when(F.array_max(x) > 1, 100.0).otherwise(1.0)
+    return F.transform(x, lambda v: clamp(v / by))
+
+
+def expanded_confidence(t: Column, own: Column, whole: Column) -> Column:
+    """A confidence for each character: its own, if there are as many, else the text's."""
+    return F.when(F.size(own) == F.length(t), F.transform(own, clamp)).otherwise(F.array_repeat(clamp(whole), F.length(t)))
+
+
+def characters(t: Column) -> Column:
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, ""))
 
-    def fold(acc: Column, c: Column) -> Column:
-        bonus = F.when(c.startswith("IIUM"), 0.22).otherwise(0.0)
-        score = repair_score(c, t) - 0.015 * edit_count(t, c) + bonus
-        better = (c != t) & (score > acc["score"] + gain)
-        return F.when(better, F.struct(c.alias("text"), score.alias("score"))).otherwise(acc)
 
-    start = F.struct(t.alias("text"), repair_score(t, t).alias("score"))
-    return F.when(t == "", F.struct(t.alias("text"), F.lit(0.0).alias("score"))).otherwise(F.aggregate(repair_candidates(t), start, fold))
+def top_candidates(chars: Column, confidences: Column) -> Column:
+    return F.zip_with(chars, confidences, lambda a, b: F.struct(a.alias("label"), b.alias("score")))
 
 
 def attempt_score(t: Column, confidence: Column) -> Column:

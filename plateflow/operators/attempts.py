@@ -5,17 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plateflow.functions.text import attempt_score, norm
+from plateflow.functions import text as texts
+from plateflow.functions.text import attempt_score, let, norm
+from plateflow.operators.repair import repaired
 
 # What an attempt counts by its source.
 SUPPORT = {"text_only": 1.0, "text_only_trimmed": 0.75, "full_plate": 0.70, "row_composite": 0.30, "rowwise_combo": 0.25, "hybrid_two_row": 0.25}
+#: What a reading of two rows one by one gains on a plate of two rows, and one of letters above and digits below.
+ROWWISE, HYBRID = 0.24, 0.10
 
 
-def support_weight(source: Column) -> Column:
+def support_weight(source: Column, name: Column | None = None) -> Column:
+    """What an attempt counts by its source; at least or at most so much by the beginning of its name."""
     out = F.lit(0.35)
-    for name, weight in SUPPORT.items():
-        out = F.when(source == name, weight).otherwise(out)
-    return out
+    for known, weight in SUPPORT.items():
+        out = F.when(source == known, weight).otherwise(out)
+    if name is None:
+        return out
+    by_name = F.when(name.startswith("textonly_"), F.greatest(out, F.lit(0.85))).when(name.startswith("rowcomposite_"), F.least(out, F.lit(0.30)))
+    return by_name.when(name.isin("rowwise_combo", "hybrid_two_row"), F.least(out, F.lit(0.25))).otherwise(out)
 
 
 def best_attempt(attempts: DataFrame) -> DataFrame:
@@ -28,4 +36,108 @@ def best_attempt(attempts: DataFrame) -> DataFrame:
 
 def support_vote(attempts: DataFrame) -> DataFrame:
     """cand, text, support, votes for each text that a candidate's attempts read."""
-    return attempts.groupBy("cand", norm(F.col("text")).alias("text")).agg(F.round(F.sum(support_weight(F.col("source"))), 6).alias("support"), F.count("*").alias("votes")).where("text <> ''")
+    weight = support_weight(F.col("source"), F.col("name") if "name" in attempts.columns else None)
+    return attempts.groupBy("cand", norm(F.col("text")).alias("text")).agg(F.round(F.sum(weight), 6).alias("support"), F.count("*").alias("votes")).where("text <> ''")
+
+
+def best_rows(readings: DataFrame) -> DataFrame:
+    """cand, rows: of each row of a plate the best reading (text, conf), in order of rows. readings: cand, row, seq, name, text, conf,
+    two_row."""
+    t = texts.row_text(norm(F.col("text")), F.col("row"), F.col("two_row"))
+    score = texts.row_score(t, F.col("conf"), F.col("row"), F.col("two_row")) + texts.row_variant_bonus(F.col("name"), F.col("row"), F.col("two_row"))
+    best = readings.groupBy("cand", "row").agg(F.max(F.struct(score.alias("score"), (-F.col("seq")).alias("order"), t.alias("text"), F.col("conf").alias("conf"))).alias("x"))
+    return best.groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
+
+
+def _attempt(name, source, t: Column, conf: Column, score: Column, bonus: Column) -> Column:
+    return F.struct(name.alias("name"), source.alias("source"), t.alias("t"), conf.alias("conf"), score.alias("score"), (score + bonus).alias("total"))
+
+
+def _with_rows(attempts: Column, rows: Column, two_row: Column) -> Column:
+    """struct(all, best): the attempts with the readings that two rows give, and the best one (the earlier one of equals)."""
+    first = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.when(x["total"] > a["total"], x).otherwise(a))
+
+    def with_combo(best: Column) -> Column:
+        some = F.filter(rows, lambda r: r["text"] != "")
+        conf = F.aggregate(some, F.lit(0.0), lambda a, r: a + texts.clamp(r["conf"])) / F.size(some)
+        joined = F.array_join(F.transform(rows, lambda r: r["text"]), "")
+        combo = let(F.struct(joined.alias("t"), conf.alias("conf")), lambda x: _attempt(F.lit("rowwise_combo"), F.lit("rowwise_combo"), x["t"], x["conf"], attempt_score(x["t"], x["conf"]), F.when(two_row, ROWWISE).otherwise(0.0)))
+
+        def with_hybrid(c: Column) -> Column:
+            now = F.when(c["total"] > best["total"], c).otherwise(best)
+            letters, digits = F.regexp_extract(now["t"], "^([A-Z]{1,4})", 1), F.regexp_extract(F.get(rows, F.lit(1))["text"], "([0-9]{1,4})", 1)
+            mixed = let(F.struct(F.concat(letters, digits).alias("t"), ((now["conf"] + c["conf"]) / 2).alias("conf")), lambda x: _attempt(F.lit("hybrid_two_row"), F.lit("hybrid_two_row"), x["t"], x["conf"], attempt_score(x["t"], x["conf"]), F.lit(HYBRID)))
+            made = two_row & (letters != "") & (digits != "")
+            return let(mixed, lambda m: F.struct(F.when(made, F.concat(attempts, F.array(c, m))).otherwise(F.concat(attempts, F.array(c))).alias("all"), F.when(made & (m["total"] > now["total"]), m).otherwise(now).alias("best")))
+
+        has = (F.size(F.coalesce(rows, F.array().cast("array<struct<text:string,conf:double>>"))) >= 2) & F.exists(rows, lambda r: r["text"] != "")
+        return F.when(has, let(combo, with_hybrid)).otherwise(F.struct(attempts.alias("all"), best.alias("best")))
+
+    return let(first(attempts), with_combo)
+
+
+def _named(a: Column, name: Column, t: Column) -> Column:
+    return F.struct(name.alias("name"), a["source"].alias("source"), t.alias("t"), a["conf"].alias("conf"), a["score"].alias("score"), a["total"].alias("total"))
+
+
+def weak_suffix(best: Column, every: Column) -> Column:
+    """The best attempt, or, if it ends in a letter that is read with little confidence, the best of two attempts or more that read
+    the same without it."""
+    trimmed = F.substring(best["t"], F.lit(1), F.length(best["t"]) - 1)
+
+    def of(x: Column) -> Column:
+        same = F.filter(every, lambda a: a["t"] == x["trimmed"])
+        top = F.aggregate(same, F.get(same, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
+        doubt = (x["shape"]["s"] == 1) & x["shape"]["ordered"] & (best["conf"] <= 0.35) & x["trimmed"].rlike("^[A-Z]{1,4}[0-9]{1,4}$") & (F.size(same) >= 2)
+        return let(top, lambda b: F.when(doubt & (b["score"] >= best["total"] - 0.12), _named(b, F.concat(b["name"], F.lit("+trim_weak_suffix")), x["trimmed"])).otherwise(best))
+
+    return let(F.struct(trimmed.alias("trimmed"), texts.shape(best["t"]).alias("shape")), of)
+
+
+def supported(best: Column, every: Column, two_row: Column) -> Column:
+    """The best attempt, or, on a plate of two rows, one of another letter that more of the attempts support."""
+    support = lambda t: F.aggregate(F.filter(every, lambda a: a["t"] == t), F.lit(0.0), lambda acc, a: acc + support_weight(a["source"], a["name"]))
+    digits = lambda t: F.regexp_extract(t, "^[A-Z]*([0-9]*)", 1)
+
+    def of(x: Column) -> Column:
+        def rated(a: Column) -> Column:
+            s = texts.shape(a["t"])
+            like = (a["t"] != best["t"]) & s["ordered"] & (s["s"] <= 1) & (s["p"] == x["shape"]["p"]) & (s["d"] == x["shape"]["d"]) & (digits(a["t"]) == digits(best["t"]))
+            like = like & (texts.edit_count(best["t"], a["t"]) == 1) & a["t"].rlike("^[A-Z]{1,4}[0-9]{3,4}[A-Z]?$")
+            return F.struct(a.alias("a"), F.when(like, support(a["t"])).otherwise(0.0).alias("n"), texts.identify_state(a["t"])["priority"].alias("priority"))
+
+        able = F.filter(F.transform(every, rated), lambda r: (r["n"] >= 1.5) & (r["n"] > x["n"] + 0.45) & (r["priority"] + 5 >= x["priority"]))
+        rank = lambda r: r["n"] + 0.10 * F.least(F.lit(1.0), r["priority"] / 100)
+        top = F.aggregate(able, F.get(able, F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
+        fit = two_row & x["shape"]["ordered"] & (x["shape"]["d"] >= 3) & (x["shape"]["p"] >= 2) & (x["shape"]["s"] <= 1)
+        return let(top, lambda r: F.when(fit & r.isNotNull(), _named(r["a"], F.concat(r["a"]["name"], F.lit("+attempt_support")), r["a"]["t"])).otherwise(best))
+
+    return let(F.struct(texts.shape(best["t"]).alias("shape"), support(best["t"]).alias("n"), texts.identify_state(best["t"])["priority"].alias("priority")), of)
+
+
+def chosen(attempts: DataFrame, hints: DataFrame) -> DataFrame:
+    """cand, layout, text, confidence, variant, attempted: the reading of each candidate before its repair, and all texts attempted.
+    attempts: cand, seq, name, source, layout, text, conf, success; hints: cand, layout, profile, rows (text and conf of the rows of
+    a plate, null for none). A candidate's attempts (fifty at most) are one fold: one shuffle, and one for the hints."""
+    h = hints.select("cand", F.col("layout").alias("_layout"), F.col("profile").alias("_profile"), F.col("rows").alias("_rows"))
+    by = attempts.groupBy("cand").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success"))).alias("_a"))
+    layout = texts.hint_layout(F.col("_layout"), F.col("_profile"))
+    both = by.join(h, "cand", "left").withColumn("layout", layout).withColumn("_two", F.col("layout") == "two_row")
+
+    def rated(a: Column) -> Column:
+        score = F.when(a["success"], attempt_score(a["t"], a["conf"])).otherwise(-1.0)
+        return _attempt(a["name"], a["source"], a["t"], a["conf"], score, texts.variant_bonus(a["source"], a["layout"], F.col("_two"), F.col("_profile")))
+
+    rows = F.transform("_rows", lambda r: F.struct(norm(r["text"]).alias("text"), r["conf"].cast("double").alias("conf")))
+    staged = both.withColumn("_b", F.transform("_a", rated)).withColumn("_r", rows).withColumn("_x", _with_rows(F.col("_b"), F.col("_r"), F.col("_two")))
+    staged = staged.withColumn("_y", weak_suffix(F.col("_x.best"), F.col("_x.all"))).withColumn("_z", supported(F.col("_y"), F.col("_x.all"), F.col("_two")))
+    return staged.select("cand", "layout", F.col("_z.t").alias("text"), F.col("_z.conf").alias("confidence"), F.col("_z.name").alias("variant"), F.transform("_x.all", lambda a: a["t"]).alias("attempted"))
+
+
+def recognised(attempts: DataFrame, hints: DataFrame) -> DataFrame:
+    """cand, text, confidence, variant, layout, pattern, repaired: the reading of each candidate after repair and refinement."""
+    before = chosen(attempts, hints).withColumn("_gain", texts.least_gain(F.col("confidence"), F.col("layout")))
+    mended = repaired(before, "cand", "text", "_gain", "attempted").select("cand", F.col("text").alias("_mended"), F.col("changed").alias("repaired"))
+    both = before.join(mended, "cand").withColumn("_r", texts.refined(F.col("_mended"), F.col("confidence")))
+    variant = F.concat_ws("+", "variant", F.when(F.col("repaired"), "pattern_repair"), F.nullif(F.col("_r.label"), F.lit("")))
+    return both.select("cand", F.col("_r.text").alias("text"), "confidence", variant.alias("variant"), "layout", texts.pattern_label(F.col("_r.text")).alias("pattern"), "repaired")

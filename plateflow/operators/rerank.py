@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plateflow.functions import text as texts
 from plateflow.functions.geometry import overlap
+from plateflow.functions.layout import mean
+from plateflow.settings import DEFAULTS
 
-LONGER, CONTAINED, OVERLAP = 0.08, -0.16, 0.42
-# What each score counts.
-WEIGHTS = {"detector": 0.20, "evidence": 0.16, "recognition": 0.12, "regex": 0.19, "state": 0.11, "composition": 0.06, "length": 0.03, "structure": 0.10, "framing": 0.03}
+OVERLAP = DEFAULTS["reranking"]["overlap"]
 
 
 def overlap_pairs(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
@@ -21,19 +22,36 @@ def overlap_pairs(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
     return pairs.where(F.col("overlap") >= least).drop("_a", "_b")
 
 
-def adjusted(candidates: DataFrame) -> DataFrame:
-    """image, seq, score after adjustments: of an overlapping pair where one text holds the other, the longer gains and the
-    contained one loses, each step within 0 and 1, pairs in order. candidates: image, seq, box, text, score."""
-    named = lambda k, x: candidates.select("image", F.col("seq").alias(k), F.col("text").alias(x))
-    pairs = overlap_pairs(candidates).join(named("a", "_s"), ["image", "a"]).join(named("b", "_t"), ["image", "b"])
-    holds = lambda x, y: (F.length(x) > F.length(y)) & F.col(x).contains(F.col(y)) & (F.col(y) != "")
-    change = F.when(holds("_s", "_t"), F.struct(F.lit(LONGER).alias("x"), F.lit(CONTAINED).alias("y"))).when(holds("_t", "_s"), F.struct(F.lit(CONTAINED).alias("x"), F.lit(LONGER).alias("y")))
-    steps = pairs.withColumn("_c", change).where("_c IS NOT NULL")
-    each = steps.select("image", F.explode(F.array(F.struct(F.col("a").alias("seq"), "a", "b", F.col("_c.x").alias("d")), F.struct(F.col("b").alias("seq"), "a", "b", F.col("_c.y").alias("d")))).alias("s"))
-    folded = each.groupBy("image", F.col("s.seq").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("s.a", "s.b", "s.d"))).alias("_d"))
-    step = lambda acc, x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc + x["d"]))
-    out = candidates.join(folded, ["image", "seq"], "left")
-    return out.select("image", "seq", F.round(F.when(F.col("_d").isNull(), F.col("score")).otherwise(F.aggregate("_d", F.col("score"), step)), 6).alias("score"))
+def adjusted(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """image, seq, score, reason: scores and reasons after adjustments, pairs of an image in order of score. Of an overlapping pair
+    where one text holds the other, the longer gains and the contained one loses; where plates have no letter at their end and the
+    longer one is the other with letters behind, it is the other way round. Each step stays within 0 and 1. candidates: image, seq,
+    box, text, score. An image's candidates (a few dozen at most, as suppression keeps them) are one fold: one shuffle."""
+    r, suffix = settings["reranking"], settings["classification"]["suffix_letter"]
+    entry = F.struct((-F.col("score")).alias("order"), "seq", "box", texts.norm(F.col("text")).alias("t"), F.col("score").alias("s"), F.lit("").alias("why"))
+    ordered = candidates.groupBy("image").agg(F.array_sort(F.collect_list(entry)).alias("c"))
+
+    def pair(a: Column, b: Column) -> Column:
+        """What a gains and why, if it overlaps b and one of the texts holds the other."""
+        holds = lambda x, y: (F.length(x) > F.length(y)) & x.contains(y) & (y != "")
+        gain = lambda v, why: F.struct(F.lit(float(v)).alias("d"), F.lit(f", Adj={why}({v:.2f})").alias("why"))
+        fuller, part = gain(r["fuller_bonus"], "overlap_fuller_text_bonus"), gain(-r["substring_penalty"], "overlap_substring_penalty")
+        if suffix:
+            longer, shorter = fuller, part
+        else:
+            bad = lambda x, y: x.startswith(y) & x.rlike("^[A-Z]*[0-9]*[A-Z]+$") & y.rlike("^[A-Z]{1,4}[0-9]{1,4}$")
+            longer = F.when(bad(a["t"], b["t"]), gain(-r["overlap_suffix_penalty"], "overlap_forbidden_suffix_penalty")).otherwise(fuller)
+            shorter = F.when(bad(b["t"], a["t"]), gain(r["overlap_base_bonus"], "overlap_exact_base_bonus")).otherwise(part)
+        near = F.round(overlap(a["box"], b["box"]), 6) >= r["overlap"]
+        return F.when(near & holds(a["t"], b["t"]), longer).when(near & holds(b["t"], a["t"]), shorter)
+
+    def one(a: Column) -> Column:
+        # Each pair moves both by fixed steps, so a candidate's own steps in order are all that its score needs.
+        steps = F.filter(F.transform("c", lambda b: F.when(a["seq"] != b["seq"], pair(a, b))), lambda x: x.isNotNull())
+        return F.aggregate(steps, F.struct(a["s"].alias("s"), a["why"].alias("why")), lambda acc, x: F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["s"] + x["d"])).alias("s"), F.concat(acc["why"], x["why"]).alias("why")))
+
+    out = ordered.select("image", F.explode(F.transform("c", lambda a: F.struct(a["seq"].alias("seq"), one(a).alias("x")))).alias("e"))
+    return out.select("image", "e.seq", F.round("e.x.s", 6).alias("score"), F.col("e.x.why").alias("reason"))
 
 
 def selected(scored: DataFrame) -> DataFrame:
@@ -42,11 +60,13 @@ def selected(scored: DataFrame) -> DataFrame:
     return best.select("image", (-F.col("x.order")).alias("seq"), F.col("x.score").alias("score"))
 
 
-def with_final_score(candidates: DataFrame) -> DataFrame:
-    """Adds final_score. candidates: text (normalised), detector, evidence, recognition, framing and left_margin. What the text
-    says counts by how far its reading is trusted; bonuses and penalties go by the scores as they are. One projection."""
+def with_final_score(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """Adds final_score, scores (its parts) and reason. candidates: text (normalised), detector, evidence, recognition, framing and
+    left_margin. What the text says counts by how far its reading is trusted; bonuses and penalties go by the scores as they are. One
+    projection."""
+    r, suffix = settings["reranking"], settings["classification"]["suffix_letter"]
     t, rec = F.col("text"), texts.clamp(F.col("recognition"))
-    c = {"t": t, "rec": rec, "det": texts.clamp(F.col("detector")), "ev": texts.clamp(F.col("evidence")), "frame": F.col("framing"), "left": F.col("left_margin"), "regex": texts.regex_score(t), "comp": texts.composition_score(t), "len": texts.length_score(t), "struct": texts.structure_score(t), "prefix": texts.prefix_plausibility(t), "shape": texts.shape(t), "weak": texts.clamp((0.35 - rec) / 0.35)}
+    c = {"t": t, "rec": rec, "det": texts.clamp(F.col("detector")), "ev": texts.clamp(F.col("evidence")), "frame": F.col("framing"), "left": F.col("left_margin"), "regex": texts.regex_score(t), "comp": texts.composition_score(t), "len": texts.length_score(t), "struct": texts.structure_score(t), "prefix": texts.prefix_plausibility(t), "shape": texts.shape(t), "weak": texts.clamp((r["weak_ocr"] - rec) / r["weak_ocr"]), "name": texts.identify_state(t)["name"]}
 
     def of(x):
         w = lambda cond, v: F.when(cond, v).otherwise(0.0)
@@ -56,10 +76,59 @@ def with_final_score(candidates: DataFrame) -> DataFrame:
         mixed = lambda v: F.least(F.lit(1.0), trust * (0.85 * v + 0.15 * x["rec"]))
         plain = lambda v: F.least(F.lit(1.0), trust * v)
         parts = {"detector": x["det"], "evidence": x["ev"], "recognition": x["rec"], "regex": mixed(x["regex"]), "state": mixed(state), "composition": plain(x["comp"]), "length": plain(x["len"]), "structure": plain(x["struct"]), "framing": x["frame"]}
-        base = sum((WEIGHTS[k] * v for k, v in parts.items()), F.lit(0.0))
-        bonus = F.when(x["regex"] == 1.0, 0.10).when(x["regex"] == 0.6, 0.04).otherwise(0.0) + w(x["comp"] >= 0.85, 0.08) + x["weak"] * (0.14 * x["det"] + 0.08 * x["ev"])
-        penalty = w(~some, 0.55) + w(x["ev"] < 0.25, 0.24) + F.when(x["comp"] < 0.25, 0.16).when(x["comp"] < 0.55, 0.10).otherwise(0.0) + w(some & ~x["t"].rlike("[A-Z]"), 0.12) + w(some & (x["len"] < 0.35), 0.08)
-        penalty = penalty + w((p <= 1) & (d >= 3) & (x["left"] < 0.02), 0.12) + w(some & d.between(1, 2), 0.14) + w(some & (x["frame"] < 0.35), 0.08) + w(some & (x["prefix"] < 0.20), 0.18)
-        return texts.clamp(base + bonus - penalty)
+        base = sum((r["weights"][k] * v for k, v in parts.items()), F.lit(0.0))
+        bonus = F.when(x["regex"] == 1.0, r["exact_bonus"]).when(x["regex"] == 0.6, r["partial_bonus"]).otherwise(0.0) + w(x["comp"] >= 0.85, r["mixed_bonus"]) + x["weak"] * (r["weak_detector_bonus"] * x["det"] + r["weak_evidence_bonus"] * x["ev"])
+        penalty = w(~some, r["empty"]) + w(x["ev"] < 0.25, r["weak_texture"]) + F.when(x["comp"] < 0.25, r["no_digit"]).when(x["comp"] < 0.55, r["weak_composition"]).otherwise(0.0) + w(some & ~x["t"].rlike("[A-Z]"), r["no_letter"]) + w(some & (x["len"] < 0.35), r["bad_length"])
+        penalty = penalty + w((p <= 1) & (d >= 3) & (x["left"] < 0.02), r["truncated"]) + w(some & d.between(1, 2), r["short_read"]) + w(some & (x["frame"] < 0.35), r["weak_framing"]) + w(some & (x["prefix"] < 0.20), r["bad_prefix"])
+        if not suffix:
+            penalty = penalty + r["forbidden_suffix"] * F.least(x["shape"]["s"], F.lit(2))
+        final = texts.clamp(base + bonus - penalty)
+        # The regex, composition and structure scores as they are (not by trust) stand in the report.
+        kept = {**parts, "composition": x["comp"], "length": x["len"], "structure": x["struct"]}
+        labels = {"Detector": F.format_string("%.2f", x["det"]), "Plate": F.format_string("%.2f", x["ev"]), "OCR": F.format_string("%.2f", x["rec"]), "Regex": texts.regex_label(x["t"]), "Struct": texts.structure_label(x["t"]), "Frame": F.when(some, "text_band").otherwise("empty"), "Length": texts.length_label(x["t"]), "State": x["name"], "Text": x["t"]}
+        reason = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), v) for k, v in labels.items()))
+        return F.struct(final.alias("final"), F.struct(*(v.alias(k) for k, v in kept.items())).alias("scores"), reason.alias("reason"))
+
+    made = candidates.withColumn("_x", texts.let(F.struct(*(v.alias(k) for k, v in c.items())), of))
+    return made.withColumns({"final_score": F.round("_x.final", 6), "scores": F.col("_x.scores"), "reason": F.col("_x.reason")}).drop("_x")
+
+
+def evidence(candidates: DataFrame) -> Column:
+    """How much a candidate looks like a plate; measures that it lacks count 0, a missing empty_region 1."""
+    has = lambda k, other: texts.clamp(F.coalesce(F.col(k), F.lit(other))) if k in candidates.columns else F.lit(other)
+    parts = mean([has("character_texture", 0.0), has("plate_contrast", 0.0), has("alignment", 0.0)])
+    return texts.clamp(parts - 0.35 * has("empty", 1.0))
+
+
+def recognition(characters: Column, whole: Column) -> Column:
+    """The mean confidence of a text's characters; of the text, where there is none for characters; within 0 and 1."""
+    own = F.aggregate(characters, F.lit(0.0), lambda a, v: a + v) / F.size(characters)
+    return texts.clamp(F.coalesce(F.when(F.size(characters) > 0, own), whole, F.lit(0.0)))
+
+
+def layout_of(recognised: Column, rectified: Column, detected: Column, profile: Column) -> Column:
+    """The first of three layouts that is known; else two_row by the profile, else unknown."""
+    some = lambda x: F.nullif(x, F.lit(""))
+    return F.coalesce(some(recognised), some(rectified), some(detected), F.when(profile == "two_row", "two_row"), F.lit("unknown"))
+
+
+#: What a candidate has where it says nothing else.
+BLANK = {"score": 0.0, "branch": "unknown", "profile": "unknown", "layout": "unknown", "scale": 1.0, "character_texture": 0.0, "plate_contrast": 0.0, "alignment": 0.0, "text_count": 0, "rows": 0, "empty": 1.0}
+
+
+def normalised(candidates: DataFrame) -> DataFrame:
+    """Adds the columns that candidates lack, with what stands for nothing."""
+    return candidates.withColumns({k: F.lit(v) for k, v in BLANK.items() if k not in candidates.columns})
+
+
+# The report's columns, and those that they come from.
+REPORT = {"Rank": "rank", "FinalScore": "final_score", "Detector": "scores.detector", "PlateEvidence": "scores.evidence", "Recognition": "scores.recognition", "Regex": "scores.regex", "State": "scores.state", "Composition": "scores.composition", "LengthScore": "scores.length", "Structure": "scores.structure", "Framing": "scores.framing", "TextLength": "text_length", "Path": "path", "Profile": "profile", "Layout": "layout", "Branch": "branch", "RecognizedText": "text", "StateName": "state"}
+
 
-    return candidates.withColumn("final_score", F.round(texts.let(F.struct(*(v.alias(k) for k, v in c.items())), of), 6))
+def report(scored: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """The report on each image's best evaluated candidates."""
+    t = F.col("text")
+    full = normalised(scored).withColumns({"text_length": F.length(t), "path": F.lit("ocr"), "state": texts.identify_state(t)["name"]})
+    by = Window.partitionBy("image").orderBy(F.desc("final_score"), "seq")
+    ranked = full.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= max(1, round(settings["report"]["evaluated"])))
+    return ranked.select("image", *(F.col(v).alias(k) for k, v in REPORT.items()))

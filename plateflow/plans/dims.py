@@ -37,7 +37,7 @@ PROFILES = [
 MEASURES = ("aspect", "width_ratio", "height_ratio", "area_ratio")
 
 # Branches of the detector, in the order in which ties are broken.
-BRANCHES = ("edge_full", "edge_priority", "dark", "text", "text_dark", "mser")
+BRANCHES = ("edge_full", "edge_priority", "dark_priority", "text_priority", "text_dark_priority", "mser_text")
 
 
 def rules(spark: SparkSession) -> DataFrame:

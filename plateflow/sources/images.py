@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plateflow.operators.evaluate import first_annotation
+
 ANNOTATIONS = "image_name string, vehicle_type string, plate_category string, expected_text string, expected_state string, bbox_x int, bbox_y int, bbox_w int, bbox_h int, notes string"
 
 
@@ -26,3 +28,18 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     if missing := [c for c in ("image_path", "expected_text") if c not in found.columns]:
         raise ValueError(f"the manifest lacks {', '.join(missing)}")
     return found.select("image_path", "expected_text")
+
+
+def image_paths(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """read_images without the content; raises ValueError at once if there is no image."""
+    found = read_images(spark, paths).drop("content")
+    if found.isEmpty():
+        raise ValueError("there is no image of a supported kind")
+    return found
+
+
+def annotated_images(spark: SparkSession, paths: str | list[str], annotations: str) -> DataFrame:
+    """Images (without their content) with the first annotation of their name, null where there is none. The order in the file is
+    that of Spark's reading of it."""
+    rows = read_annotations(spark, annotations).withColumnRenamed("image_name", "name").withColumn("_line", F.monotonically_increasing_id())
+    return first_annotation(read_images(spark, paths).drop("content"), rows, "name", "_line").drop("_line")

@@ -8,9 +8,10 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from plateflow.functions import arrays, geometry, text
-from plateflow.operators import detect, evaluate
+from plateflow.functions import arrays, geometry, layout, text
+from plateflow.operators import attempts, detect, evaluate, repair, rerank
 from plateflow.queries import QUERIES, SQL
+from plateflow.settings import DEFAULTS, settings
 from plateflow.sources import images
 
 SF = "/root/testdata/sf0.001"
@@ -51,10 +52,23 @@ def test_norm_deletes_lower_case(spark):
     assert one(spark, text.norm(F.lit(None).cast("string"))) == ""
 
 
-@pytest.mark.parametrize(("plate", "confidence", "layout", "repaired"), [("8PKI23O", 0.42, "two_row", "BPK1230"), ("SJ230R", 0.91, "single_line", "SJ230R"), ("VEB55", 0.58, "two_row", "VEB55")])
-def test_repair_goldens(spark, plate, confidence, layout, repaired):
-    gain = text.least_gain(F.lit(confidence), F.lit(layout))
-    assert one(spark, text.repair(F.lit(plate), gain))["text"] == repaired
+@pytest.mark.parametrize(
+    ("plate", "confidence", "layout", "attempted", "repaired"),
+    [("8PKI23O", 0.42, "two_row", [], "BPK1230"), ("SJ230R", 0.91, "single_line", [], "SJ230R"), ("LTI6763", 0.48, "single_line", ["LTI6763", "LLUN6763"], "IIUM6763"), ("VEB55", 0.58, "two_row", [], "VEB55"), ("", 0.1, "two_row", ["", "BPK1230"], "")],
+)
+def test_repair_goldens(spark, plate, confidence, layout, attempted, repaired):
+    df = spark.createDataFrame([(1, plate, attempted)], "k int, t string, a array<string>").withColumn("gain", text.least_gain(F.lit(confidence), F.lit(layout)))
+    r = repair.repaired(df, "k", "t", "gain", "a").first()
+    assert (r["text"], r["changed"], r["label"]) == (repaired, repaired != plate, "pattern_repair" if repaired != plate else "")
+
+
+def test_repair_bonus_goes_by_the_matched_rule(spark):
+    # By hand: a pattern rule's token has several characters, so Z and DC plates gain .22 as IIUM ones do; a one-letter prefix none.
+    bonus = lambda t: one(spark, text.prefix_bonus(text.rule_number(F.lit(t))))
+    assert [bonus(t) for t in ("ZA1234", "12DC88", "IIUM6763", "BPK1234", "?")] == [0.22, 0.22, 0.22, 0.0, 0.0]
+    df = spark.createDataFrame([(1, "2A1234")], "k int, t string").withColumn("gain", F.lit(0.03))
+    r = repair.repaired(df, "k", "t", "gain").first()
+    assert r["text"] == "ZA1234" and math.isclose(r["score"], 0.9578 + 0.22, abs_tol=1e-9)
 
 
 def test_boxes(spark):
@@ -97,3 +111,102 @@ def test_first_annotation_and_match(spark):
     assert sorted((r["name"], r["expected"]) for r in evaluate.first_annotation(i, a, "name", "line").collect()) == [("a", "y"), ("b", None)]
     m = spark.createDataFrame([("B 1", "B1"), ("", ""), ("B1", None)], "e string, r string")
     assert [r["matched"] for r in evaluate.matched(m, "e", "r").collect()] == [True, False, False]
+
+
+ATTEMPTS = "cand int, seq int, name string, source string, layout string, text string, conf double, success boolean"
+HINTS = "cand int, layout string, profile string, rows array<struct<text:string,conf:double>>"
+
+
+def read(spark, tries, layout="", profile="single_line", rows=None):
+    a = spark.createDataFrame([(1, i, f"n{i}", *x, True) for i, x in enumerate(tries)], ATTEMPTS)
+    return attempts.recognised(a, spark.createDataFrame([(1, layout, profile, rows)], HINTS)).first()
+
+
+def pick(spark, tries):
+    a = spark.createDataFrame([(1, i, f"n{i}", *x, True) for i, x in enumerate(tries)], ATTEMPTS)
+    return attempts.chosen(a, spark.createDataFrame([(1, "", "single_line", None)], HINTS)).first()["text"]
+
+
+def test_a_weak_suffix_goes_if_two_attempts_lack_it(spark):
+    # By hand: 1.15 + .12 for the first; 1.16 for the others, which is no less than 1.27 - .12.
+    tries = [("text_only", "Line", "BPK1234R", 0.35), ("full_plate", "Block", "BPK1234", 0.12), ("full_plate", "Block", "bpBPK1234", 0.12)]
+    r = read(spark, tries)
+    assert (r["text"], r["variant"], r["pattern"]) == ("BPK1234", "n1+trim_weak_suffix", "L3-D4-S0")
+    # The choice alone: one attempt without it is too few, and a better reading of the letter is believed.
+    assert pick(spark, tries) == "BPK1234" and pick(spark, tries[:2]) == "BPK1234R"
+    assert pick(spark, [("text_only", "Line", "BPK1234R", 0.36), *tries[1:]]) == "BPK1234R"
+
+
+def test_a_supported_attempt_wins_on_two_rows(spark):
+    tries = [("row_composite", "Line", "BPK1234", 0.9), ("text_only", "Line", "BPX1234", 0.3), ("text_only_trimmed", "Line", "BPX1234", 0.3)]
+    r = read(spark, tries, "two_row")
+    assert (r["text"], r["variant"]) == ("BPX1234", "n1+attempt_support")
+    assert read(spark, tries)["text"] == "BPK1234"
+    assert read(spark, tries[:2], "two_row")["text"] == "BPK1234"
+
+
+def test_rows_are_joined_and_mixed(spark):
+    rows = [("BPK", 0.8), ("1234", 0.6)]
+    r = read(spark, [("full_plate", "Line", "BP", 0.5)], "two_row", rows=rows)
+    assert (r["text"], r["variant"]) == ("BPK1234", "rowwise_combo") and math.isclose(r["confidence"], 0.7)
+    # Letters of the best attempt and digits of the second row make a better text than the rows themselves.
+    r = read(spark, [("text_only", "Block", "BPK", 0.9)], "two_row", rows=[("", 0.0), ("1234", 0.9)])
+    assert (r["text"], r["variant"]) == ("BPK1234", "hybrid_two_row")
+    assert read(spark, [("text_only", "Line", "", 0.9)])["text"] == ""
+
+
+def test_refinement_trims(spark):
+    got = lambda t, c: tuple(one(spark, text.refined(F.lit(t), F.lit(c))))
+    assert got("BK1234XY", 0.9) == ("BK1234X", "trim_tail")
+    # Trimmed to eight characters, it gains .24 * .18 by another one: more than .02 at equal priority.
+    assert got("BPK1234XY", 0.9) == ("PK1234X", "trim_head")
+    assert got("BPK1234X", 0.2) == ("BPK1234", "trim_weak_suffix")
+    assert got("BPK1234", 0.2) == ("BPK1234", "")
+    assert got("YV1234", 0.9) == ("V1234", "trim_head")
+    assert got("", 0.9) == ("", "")
+
+
+def test_settings_are_laid_over_the_defaults(spark):
+    own = settings({"detection": {"valid": {"width_ratio": (0.5, 0.6)}, "keep": 3}, "report": 7})
+    assert own["detection"]["valid"] == {**DEFAULTS["detection"]["valid"], "width_ratio": (0.5, 0.6)}
+    assert (own["detection"]["keep"], own["report"], DEFAULTS["detection"]["keep"], own["reranking"]) == (3, 7, 40, DEFAULTS["reranking"])
+    row = spark.createDataFrame([(0.01, 0.55, 0.1, 0.5, 0.05)], "area_ratio double, width_ratio double, height_ratio double, extent double, solidity double")
+    assert detect.valid(row, own).count() == 0  # solidity is under .10
+    assert detect.valid(row.withColumn("solidity", F.lit(0.1)), own).count() == 1
+
+
+def test_layout_of_two_rows(spark):
+    boxes = F.array(*(geometry.box(20 + 30 * i, y, 12, 20) for y in (10, 60) for i in range(3)))
+    e = one(spark, layout.layout_evidence(boxes, 100.0))
+    assert (e["count"], e["rows"], e["layout"], e["density"]) == (6, 2, "two_row", 1.0) and math.isclose(e["two"], 1.0)
+    e = one(spark, layout.layout_evidence(F.slice(boxes, 1, 3), 100.0))
+    # One row: even middles, heights and gaps all count 1.
+    assert (e["rows"], e["layout"], e["single"], e["alignment"]) == (1, "single_line", 1.0, 1.0)
+    assert one(spark, layout.layout_evidence(F.slice(boxes, 1, 0), 100.0))["layout"] == "unknown"
+
+
+def test_clamped_confidences(spark):
+    assert one(spark, text.clamp_confidence(F.array(F.lit(50.0), F.lit(120.0), F.lit(-3.0)))) == [0.5, 1.0, 0.0]
+    assert one(spark, text.clamp_confidence(F.array(F.lit(0.5), F.lit(1.0)))) == [0.5, 1.0]
+
+
+def test_candidates_of_branches_are_united_and_completed(spark):
+    a = spark.createDataFrame([(1, 1, "edge_full")], "image int, seq int, branch string")
+    both = rerank.normalised(detect.united(a, a.withColumn("seq", F.lit(2))))
+    assert both.count() == 2 and {both.first()[k] for k in ("profile", "layout")} == {"unknown"} and both.first()["empty"] == 1.0
+
+
+def test_images_by_path_must_exist(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(b"x")
+    assert images.image_paths(spark, str(tmp_path)).count() == 1
+    (tmp_path / "none").mkdir()
+    with pytest.raises(ValueError, match="no image"):
+        images.image_paths(spark, str(tmp_path / "none"))
+
+
+def test_images_with_their_annotations(spark, tmp_path):
+    for name in ("a.png", "b.png"):
+        (tmp_path / name).write_bytes(b"x")
+    (tmp_path / "l.csv").write_text("image_name,vehicle_type,plate_category,expected_text,expected_state,bbox_x,bbox_y,bbox_w,bbox_h,notes\na,car,x,BPK1234,Selangor,1,2,3,4,\na,car,x,SECOND,Selangor,1,2,3,4,\n")
+    found = images.annotated_images(spark, str(tmp_path), str(tmp_path / "l.csv")).orderBy("name").collect()
+    assert [(r["name"], r["expected_text"]) for r in found] == [("a", "BPK1234"), ("b", None)]
