@@ -6,12 +6,18 @@ blocks, about 26 bits each). A shard's fingerprints are cut into BK-trees of a b
 of its shard, which follow only edges within the radius of their own distance. A shard yields a spanning forest of its
 links (never all pairs), and the links' components are found with star contraction.
 
+`keep_near_first` is the same for similarity: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
+Such fingerprints differ in ten bits or so, which no block is sure to survive; so each is dealt to as many shards of randomly chosen
+bits as find a pair at SIMILAR with probability RECALL, and what a shard's BK-tree finds within WIDE bits is verified on the sets.
+
 Null and empty texts have fingerprint zero, linked like any other. Rows may share a doc_id. A null doc_id is never a
 component's id unless all its members have none (then null). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plateflow.llm.arrow import LOWER_BYTES, Batches, as_bytes, batch, per_row
+from plateflow.llm.arrow import LOWER_BYTES, Batches, as_bytes, batch, per_row, slices
 from plateflow.llm.common import cut, documents, row_key, written
 from plateflow.llm.components import components
 
@@ -176,12 +182,140 @@ def simhash_components(docs: DataFrame, words: int = WORDS, radius: int = RADIUS
     return joined.select("doc_id", "rk", "fp", F.col("first.doc_id").alias("component_id"), is_first.alias("first"))
 
 
+def _only(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """The rows of docs that first (id, rk) names, one of those equal in doc_id and text. Dealt by the row's hash alone, so that both
+    the join and the choice among equal rows rest on one shuffle of the texts."""
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").alias("id"), row_key().alias("row"))
+    named = first.select(F.col("id").alias("first_id"), F.col("rk").alias("first_rk"))
+    kept = own.join(named, (F.col("first_rk") == F.col("row")) & F.col("first_id").eqNullSafe(F.col("id")), "left_semi")
+    return kept.dropDuplicates(["row", "id"]).select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns))
+
+
 def keep_first(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:
     """One row of each near-duplicate class (the smallest doc_id), with its columns as they are."""
-    first = simhash_components(docs, words, radius).where("first").select(F.col("doc_id").alias("_id"), F.col("rk").alias("_rk")).distinct()
-    rows = docs.withColumn("_row", row_key())
-    kept = rows.join(first, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_rk") == F.col("_row")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_row"]).select(*docs.columns)
+    return _only(docs, simhash_components(docs, words, radius).where("first").select(F.col("doc_id").alias("id"), "rk").distinct())
+
+
+#: Words of a shingle, similarity of a near copy, how likely a pair at that similarity meets in a shard, bits searched for.
+NEAR_WORDS, SIMILAR, RECALL, WIDE = 5, 0.8, 0.95, 14
+#: Different texts of a shard, about, and links that a text may take from a shard (to the earliest ones in order of their hash).
+SHARD, LINKS_EACH = 32, 3
+SETS = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32()), ("shingles", pa.binary())])
+
+
+def shingle_set(text: bytes | None, words: int) -> tuple[int, int, int, bytes]:
+    """A name for the text's set of shingles, its SimHash, its size, and the sorted 32-bit hashes."""
+    ws = (text or b"").translate(LOWER_BYTES).split()
+    grams = map(b" ".join, zip(*(ws[i:] for i in range(words)), strict=False)) if len(ws) > words else ([b" ".join(ws)] if ws else [])
+    h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams), np.uint64))
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    fp = int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
+    node = int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64))
+    return node, fp, len(h), np.unique((h >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def chosen_bits(nodes: int) -> list[list[int]]:
+    """Of each table of shards the bits that name a shard: so many that shards hold SHARD texts or so, and so many tables that two
+    texts at SIMILAR share a shard with probability RECALL. Bits differ with the angle between the sets."""
+    k = min(40, max(6, math.ceil(math.log2(max(nodes, 1) / SHARD))))
+    differ = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** k))
+    r = random.Random(64)
+    return [r.sample(range(64), k) for _ in range(tables)]
+
+
+class Nearest(BKTree):
+    """A BK-tree whose search ends after so many finds."""
+
+    def some(self, value: int, radius: int, most: int) -> list[int]:
+        """Places of values within the radius; the earliest ones if all of the tree was seen."""
+        found, stack = [], [0] if self.values else []
+        while stack and len(found) < 32:
+            at = stack.pop()
+            d = (value ^ self.values[at]).bit_count()
+            if d <= radius:
+                found.append(at)
+            if kids := self.children[at]:
+                for k in range(max(d - radius, 0), d + radius + 1):
+                    if k in kids:
+                        stack.append(kids[k])
+        return sorted(found)[:most]
+
+
+SHARDED = pa.schema([("shard", pa.int64()), ("node", pa.int64()), ("fp", pa.int64()), ("n", pa.int32())])
+
+
+def _to_shards(tables: list[list[int]]):
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, 4096):
+            fp = b.column("fp").to_numpy().view(np.uint64)
+            for t, bits in enumerate(tables):
+                key = np.full(len(fp), t, np.uint64) << np.uint64(40)
+                for i, bit in enumerate(bits):
+                    key |= (fp >> np.uint64(bit) & np.uint64(1)) << np.uint64(i)
+                yield batch(SHARDED, {"shard": key.view(np.int64), "node": b.column("node"), "fp": b.column("fp"), "n": b.column("n")})
+
+    return run
+
+
+def _near_links(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Batches are sorted by shard and node; a shard may go on in the next batch. Candidate links, each text with earlier ones."""
+    shard, tree, nodes, sizes = None, Nearest(), [], []
+    for b in batches:
+        found = []
+        for key, node, fp, n in zip(*(b.column(k).to_pylist() for k in ("shard", "node", "fp", "n")), strict=True):
+            if key != shard:
+                shard, tree, nodes, sizes = key, Nearest(), [], []
+            value = fp & 0xFFFFFFFFFFFFFFFF
+            for at in tree.some(value, WIDE, LINKS_EACH):
+                if min(n, sizes[at]) >= SIMILAR * max(n, sizes[at]):
+                    found.append((node, nodes[at]))
+            if not tree.values or tree.values[0] != value:
+                tree.insert(value)
+                nodes.append(node)
+                sizes.append(n)
+        out = np.array(found, np.int64).reshape(-1, 2)
+        yield batch(LINKS, {"a": out[:, 0], "b": out[:, 1]})
+
+
+def _verified(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """The links whose sets are similar enough."""
+    for x in slices(batches, 1024):
+        keep = []
+        for p, q in zip(x.column("p").to_pylist(), x.column("q").to_pylist(), strict=True):
+            p, q = np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4")
+            common = len(np.intersect1d(p, q, assume_unique=True))
+            keep.append(common >= SIMILAR * (len(p) + len(q) - common))
+        yield x.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_copies(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """doc_id, rk, node and root: the class of near copies of each row, named by one of its sets."""
+    made = lambda t: shingle_set(t, words)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text")
+    prints = written(as_bytes(rows, "rk").mapInArrow(per_row(SETS, ("doc_id", "rk"), lambda: made), "doc_id long, rk long, node long, fp long, n int, shingles binary"), "sets")
+    nodes = written(prints.select("node", "fp", "n").distinct(), "nodes")
+    tables = chosen_bits(nodes.count())
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.mapInArrow(_to_shards(tables), "shard long, node long, fp long, n int")
+    links = written(dealt.repartition(n, "shard").sortWithinPartitions("shard", "node").mapInArrow(_near_links, "a long, b long").distinct(), "links")
+    involved = links.select("a").union(links.select("b")).distinct().withColumnRenamed("a", "node")
+    sets = written(prints.select("node", "shingles").join(involved, "node", "left_semi").dropDuplicates(["node"]), "shingles")
+    with_p = links.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("p")), "a")
+    with_q = with_p.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("q")), "b")
+    roots = components(with_q.select("a", "b", "p", "q").mapInArrow(_verified, "a long, b long"))
+    named = roots.select(F.col("node").alias("member"), "root")
+    classes = prints.select("doc_id", "rk", "node").join(named, F.col("node") == F.col("member"), "left")
+    return classes.select("doc_id", "rk", "node", F.coalesce("root", "node").alias("root"))
+
+
+def keep_near_first(docs: DataFrame, words: int = NEAR_WORDS) -> DataFrame:
+    """One row of each class of near copies (the smallest doc_id, ids before none, then the least row hash), with its columns as they
+    are."""
+    first = near_copies(docs, words).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "rk")).alias("x"))
+    return _only(docs, first.select("x.id", "x.rk"))
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ import public_tokenizers
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from plateflow.llm import bpe, decontaminate, hpylm, langid, licenses, line_dedup, quality, simhash, suffix_dedup, token_files
@@ -388,8 +389,6 @@ def test_many_repeated_windows(spark):
     grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
     n = Counter(grams)
     expected = len({k + j for k, g in enumerate(grams) if n[g] > 1 for j in range(3)})
-    from pyspark.sql import functions as F
-
     assert spark.createDataFrame([(" ".join(w),)], "t string").select(quality.n_repeat_words(quality.words(F.col("t")))).first()[0] == expected
 
 
@@ -508,3 +507,39 @@ def test_letters_only(spark):
     model = langid.fitted(docs.where("doc_id < 99"), langid.read_pieces(public_tokenizers.path("piece_bpe_32k.model")))
     out = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(docs, model).collect()}
     assert out[99] == ("und", 0.0) and out[1] == ("en", 1.0)
+
+
+def test_near_copies_at_similarity(spark):
+    r = random.Random(11)
+    new = lambda: "".join(r.choices("abcdefghij", k=5))
+    texts, pairs = [], []
+    for i in range(120):
+        w = [new() for _ in range(r.choice([120, 400]))]
+        texts.append(w)
+        edited = list(w)
+        for _ in range(max(1, len(w) // 150)):
+            edited[r.randrange(len(w))] = new()
+        if i % 2:
+            pairs.append((len(texts) - 1, len(texts)))
+            texts.append(edited)
+    other = texts[1][:60] + [new() for _ in range(len(texts[1]) - 60)]  # shares less than .8
+    rows = [(i, " ".join(w)) for i, w in enumerate([*texts, other])] + [(None, None), (None, ""), (900, "Three short words"), (901, "three short words"), (902, " ".join(texts[0])), (902, " ".join(texts[0]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"own": F.lit(1), "row": F.lit("x"), "root": F.lit(None).cast("string")})
+    root = {x.doc_id: x.root for x in simhash.near_copies(docs).collect()}
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    assert all(len(grams(texts[a]) & grams(texts[b])) >= 0.8 * len(grams(texts[a]) | grams(texts[b])) for a, b in pairs)
+    assert sum(root[a] == root[b] for a, b in pairs) >= 0.9 * len(pairs)
+    assert root[900] == root[901] and root[902] == root[0] and root[len(texts)] != root[1]
+    # Links only where sets are similar: classes are no coarser than that.
+    assert len({root[a] for a in range(len(texts))}) >= len(texts) - len(pairs)
+    kept = simhash.keep_near_first(docs)
+    assert kept.columns == docs.columns
+    ids = [x.doc_id for x in kept.collect()]
+    assert len(ids) == len(set(ids)) == len(set(root.values())) and not {901, 902} & set(ids)
+
+
+def test_shards_find_a_pair_at_the_similarity():
+    for nodes in (1, 10_000, 10**7):
+        tables = simhash.chosen_bits(nodes)
+        differ = math.acos(2 * 0.8 / 1.8) / math.pi
+        assert 1 - math.prod(1 - (1 - differ) ** len(b) for b in tables) >= 0.95
