@@ -1,10 +1,10 @@
 """Operator 3: benchmark decontamination with a broadcast hash set of test n-grams.
 
-The benchmark is read in blocks of at most BLOCK_BYTES of text, so what is broadcast has a bound whatever its size. A
-block holds its vocabulary, every window as a 64-bit hash, and the words themselves to verify hits. Documents stream past:
-their words become vocabulary ids, windows with a word outside the vocabulary are skipped, the others are looked up and
-verified word by word. With more than one block the passes are chained, each adding its hits to the last one's; no text
-is ever shuffled.
+The benchmark is read in blocks of at most BLOCK_BYTES of text (a longer item goes in overlapping pieces), so what is broadcast
+has a bound whatever its size. A block holds its vocabulary, every window as a 64-bit hash, and the words themselves to verify
+hits. Documents stream past: their words become vocabulary ids, windows with a word outside the vocabulary are skipped, the others
+are looked up and verified word by word. A benchmark of one block takes one pass and no shuffle. With more, each block has a pass
+of its own, whose hits alone are written; in the end they are put together and meet the documents in one shuffle.
 
 Null and empty texts have no words and no hits. Items without words have no window. Items with a null id mark words as hit
 but are in no list of items; items that share an id are one. Rows that share a doc_id are judged each for itself. With an
@@ -14,7 +14,7 @@ empty benchmark nothing is contaminated.
 from __future__ import annotations
 
 import hashlib
-import math
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.llm.arrow import LOWER_BYTES, Batches, batch, slices
-from plateflow.llm.common import documents, table
+from plateflow.llm.common import documents, row_key, table, written
 
 WINDOW = 10
 #: Text of one broadcast block of the benchmark.
@@ -94,41 +94,103 @@ class WindowSet:
         return np.cumsum(covered[:-1]) > 0, found
 
 
+def _pieces(text: bytes | None, most: int, window: int = WINDOW) -> Iterator[bytes]:
+    """A text, or, if it is longer, parts of it of about `most` bytes that have all its windows between them."""
+    if text is None or len(text) <= most:
+        yield text or b""
+        return
+    words = words_of(text)
+    start = 0
+    while start == 0 or start + window <= len(words):
+        size, stop = 0, start
+        while stop < len(words) and (size < most or stop - start < window):
+            size += len(words[stop]) + 1
+            stop += 1
+        yield b" ".join(words[start:stop])
+        start = max(stop - window + 1, start + 1)
+        if stop == len(words):
+            return
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[WindowSet]:
-    total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(1.5 * total / block_bytes)) if total > block_bytes else 1
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    for i in range(n):
-        block = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else rows
-        yield WindowSet([(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in block.toLocalIterator()])
+    """The benchmark's rows stream through the driver, a block at a time; at least one block."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).distinct()
+    items, size, made = [], 0, 0
+    for r in rows.toLocalIterator():
+        for piece in _pieces(bytes(r["text"]) if r["text"] is not None else None, block_bytes // 2):
+            if items and size + len(piece) > block_bytes:
+                yield WindowSet(items)
+                items, size, made = [], 0, made + 1
+            items.append((r["item_id"], piece))
+            size += len(piece)
+    if items or not made:
+        yield WindowSet(items)
 
 
 HITS = "hit_words binary, items array<string>"
 
 
-def with_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs' columns, hit_words (a bit for each word, packed) and items (the ids with an occurring window, sorted)."""
-    out = docs.withColumns({"hit_words": F.lit(None).cast("binary"), "items": F.lit(None).cast("array<string>")})
+def _found(windows: WindowSet, text: str | bytes | None) -> tuple[bytes, list[str]]:
+    hit, found = windows.hits(words_of(text.encode() if isinstance(text, str) else text))
+    return np.packbits(hit).tobytes(), sorted({windows.items[k] for k in found if windows.items[k] is not None})
+
+
+def _with_block(docs: DataFrame, block: WindowSet) -> DataFrame:
+    """docs' columns, hit_words and items, by one block."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in docs.columns)
-    for block in _blocks(benchmark, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Batches, shared=shared) -> Iterator[pa.RecordBatch]:
-            windows = shared.value
-            for b in slices(batches):
-                bits, items = [], []
-                for text, old, had in zip(b.column("text").to_pylist(), b.column("hit_words").to_pylist(), b.column("items").to_pylist(), strict=True):
-                    hit, found = windows.hits(words_of(text.encode() if isinstance(text, str) else text))
-                    packed = np.packbits(hit)
-                    bits.append((packed | np.frombuffer(old, np.uint8) if old is not None else packed).tobytes())
-                    items.append(sorted({*(had or []), *(windows.items[k] for k in found if windows.items[k] is not None)}))
-                rest = b.drop_columns(["hit_words", "items"])
-                yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*rest.schema.names, "hit_words", "items"])
-
-        out = out.mapInArrow(run, f"{fields}, {HITS}")
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            bits, items = zip(*(_found(shared.value, t) for t in b.column("text").to_pylist()), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bits, pa.binary()), pa.array(items, pa.list_(pa.string()))], names=[*b.schema.names, "hit_words", "items"])
+
+    return docs.mapInArrow(run, f"{fields}, {HITS}")
+
+
+PART = pa.schema([("rk", pa.int64()), ("hit_words", pa.binary()), ("items", pa.list_(pa.string()))])
+
+
+def _block_hits(docs: DataFrame, block: WindowSet) -> DataFrame:
+    """rk, hit_words and items of the rows with a hit, written."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
+
+    def run(batches: Batches) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            found = [(rk, *_found(shared.value, t)) for rk, t in zip(b.column("rk").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            found = [x for x in found if any(x[1])]
+            yield batch(PART, {k: [x[i] for x in found] for i, k in enumerate(PART.names)})
+
+    part = docs.select(row_key().alias("rk"), "text").mapInArrow(run, f"rk long, {HITS}").dropDuplicates(["rk"])
+    out = written(part, "hits")
+    shared.unpersist()
     return out
 
 
+def _merged(rows: pa.Table) -> pa.Table:
+    """One row's hits by all blocks."""
+    bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.column("hit_words").to_pylist()])
+    items = sorted({x for own in rows.column("items").to_pylist() for x in own})
+    return pa.Table.from_batches([batch(PART, {"rk": rows.column("rk")[:1].combine_chunks(), "hit_words": [bits.tobytes()], "items": [items]})])
+
+
+def with_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs' columns, hit_words (a bit for each word, packed; the last byte's rest 0) and items (the ids with an occurring window,
+    sorted). docs has no columns of these names."""
+    blocks = _blocks(benchmark, block_bytes)
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return _with_block(docs, block)
+    parts = _block_hits(docs, block)
+    for block in itertools.chain([more], blocks):
+        parts = parts.unionByName(_block_hits(docs, block))
+    hits = parts.groupBy("rk").applyInArrow(_merged, f"rk long, {HITS}")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), row_key().alias("row"))
+    both = own.join(hits, F.col("row") == F.col("rk"), "left")
+    none = F.coalesce("hit_words", F.lit(b"")), F.coalesce("items", F.array().cast("array<string>"))
+    return both.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns), none[0].alias("hit_words"), none[1].alias("items"))
+
+
 def n_hit_bits(packed: bytes) -> int:
     return int(np.unpackbits(np.frombuffer(packed, np.uint8)).sum())
 
@@ -160,7 +222,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             # A-Z and a-z are word characters alike once lower-cased, so spans are found on the lower-cased text.
             low = text.encode().translate(LOWER_BYTES).decode()
             spans = [m.span() for m in _SPAN.finditer(low)]
-            hit = np.unpackbits(np.frombuffer(bits, np.uint8))[: len(spans)]
+            hit = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(spans))
             out, at = [], 0
             edges = np.flatnonzero(np.diff(hit.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             for a, b in edges.tolist():
