@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from plateflow.functions.geometry import EPS, box, union_box
+from plateflow.functions.geometry import EPS, box, pad, union_box
 from plateflow.functions.text import clamp, let
 
 # Least and most of a character's box, relative to its plate (share of the area, height, width) and width by height.
@@ -190,3 +190,8 @@ def cluster_score(boxes: Column, width: float, height: float, two_rows: Column)
     near = lambda v, target, slack: F.greatest(F.lit(0.0), 1 - F.abs(v - target) / slack)
     centre = near(u["x"] + u["w"] / 2, width / 2, max(0.55 * width, 1.0))
     return 0.28 * F.least(F.lit(1.0), F.size(boxes) / 6) + 0.24 * filled + 0.20 * near(u["w"] / width, 0.30, 0.32) + 0.14 * near(u["h"] / height, 0.48, 0.40) + 0.08 * centre + 0.06 * F.when(two_rows, 1.0).otherwise(0.28)
+
+
+def row_boxes(rows: list[Column], width: int, height: int, padding: float = 0.06) -> Column:
+    """A box with margins around each of a plate's rows of boxes."""
+    return F.array(*(pad(whole_union(r), *(0.04 + 0.5 * padding,) * 3, width, height) for r in rows))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plateflow import recognition
 from plateflow.functions import arrays, geometry, layout, text
 from plateflow.operators import attempts, detect, evaluate, repair, rerank
 from plateflow.plans.dims import BRANCHES, PROFILES, RULES, branches
@@ -787,3 +788,39 @@ def character_confidences(spark, d):
     each = text.expanded_confidence(F.col("t"), F.when((F.col("seq") % 3 == 0) | (F.length("t") != 1), own).otherwise(F.array(F.col("conf"))), F.col("conf"))
     top = text.top_candidates(text.characters(F.col("t")), each)
     return x.select("cand", "seq", F.array_join(F.transform(top, lambda c: c["label"]), " ").alias("characters"), F.round(F.coalesce(F.get(F.transform(top, lambda c: c["score"]), F.lit(0)), F.lit(0.0)) * F.length("t"), 6).alias("total"))
+
+
+@query(None)
+def end_to_end(spark, d):
+    """Every image's result from its candidates and their attempts. Its steps have SQL of their own."""
+    x = _candidates(spark, d).withColumns({"score": F.col("box.x") / 50, "profile": F.lit("single_line"), "framing": F.col("box.y") / 20, "left_margin": F.col("seq") % 5 / 100})
+    text_of = plates(spark, d).select(F.col("k").alias("image"), "t")
+    base = x.select("image", "seq", "box").join(text_of, "image")
+    t = F.array(F.col("t"), F.translate("t", "0125", "OIZS"), F.substring(F.col("t"), F.lit(1), 2 + F.col("seq") % 5))
+    tried = base.select("image", "seq", F.posexplode(t).alias("attempt", "text")).select("image", "seq", "attempt", F.concat(F.lit("full_"), F.col("attempt").cast("string")).alias("name"), F.lit("full_plate").alias("source"), F.lit("Line").alias("layout"), "text", ((F.col("seq") + F.col("attempt")) % 7 / 7).alias("conf"), F.lit(True).alias("success"))
+    hints = base.select("image", "seq", F.lit("").alias("layout"), F.lit("single_line").alias("profile"), F.lit(None).cast("array<struct<text:string,conf:double>>").alias("rows"))
+    return recognition.results(_images(spark, d), x, tried, hints).withColumn("confidence", F.round("confidence", 6))
+
+
+@query(_double(f"""WITH {GLYPHS}, m AS (SELECT image, greatest(4, 0.85 * median(w)) AS lim FROM glyphs GROUP BY image),
+f AS (SELECT g.*, CASE WHEN x - max(x + w) OVER (PARTITION BY g.image ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > lim THEN 1 ELSE 0 END AS new FROM glyphs g JOIN m ON g.image = m.image),
+c AS (SELECT *, y + h / 2 AS cy, 1 + sum(new) OVER (PARTITION BY image ORDER BY x, seq ROWS UNBOUNDED PRECEDING) AS cluster FROM f),
+o AS (SELECT *, row_number() OVER w - 1 AS k, cy - lag(cy) OVER w AS step FROM c WINDOW w AS (PARTITION BY image, cluster ORDER BY cy, seq)), m2 AS (SELECT image, cluster, max(step) AS gap FROM o GROUP BY ALL),
+cuts AS (SELECT o.image, o.cluster, max(gap) AS gap, min(k) AS cut FROM o JOIN m2 ON o.image = m2.image AND o.cluster = m2.cluster AND step = gap GROUP BY o.image, o.cluster),
+s AS (SELECT image, cluster, count(*) AS n, avg(h) AS mh, floor(min(x)) AS x1, floor(min(y)) AS y1, ceil(max(x + w)) AS x2, ceil(max(y + h)) AS y2, sum(w * h) AS filled, list(seq ORDER BY seq) AS seqs FROM c GROUP BY image, cluster),
+r AS (SELECT s.*, 0.28 * least(1.0, n / 6) + 0.24 * least(1.0, filled / ((x2 - x1) * (y2 - y1))) + 0.20 * greatest(0.0, 1 - abs((x2 - x1) / 240 - 0.30) / 0.32) + 0.14 * greatest(0.0, 1 - abs((y2 - y1) / 100 - 0.48) / 0.40) + 0.08 * greatest(0.0, 1 - abs(x1 + (x2 - x1) / 2 - 120) / 132)
+  + 0.06 * CASE WHEN n >= 4 AND gap >= greatest(0.45 * mh, 10.0) AND cut >= 2 AND n - cut >= 2 THEN 1.0 ELSE 0.28 END AS score FROM s LEFT JOIN cuts ON s.image = cuts.image AND s.cluster = cuts.cluster),
+b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, cluster) AS k, sum(n) OVER (PARTITION BY image) AS every FROM r), a AS (SELECT image, list(seq ORDER BY seq) AS seqs FROM c GROUP BY image)
+SELECT b.image, array_to_string(CASE WHEN every < 3 THEN a.seqs ELSE b.seqs END, ',') AS seqs FROM b JOIN a ON b.image = a.image WHERE k = 1"""))
+def best_cluster(spark, d):
+    x = glyphs(spark, d).select("image", F.explode("boxes").alias("b")).select("image", "b.*")
+    return detect.best_cluster(x, "image", 240.0, 100.0).select("image", F.array_join(F.transform("boxes", lambda b: b["seq"].cast("string")), ",").alias("seqs"))
+
+
+@query(_double(f"WITH {_rows_sql(layout.RECTIFIED, 0.10)}, u AS (SELECT image, 'top' AS row, t FROM rowed WHERE is_two UNION ALL SELECT image, 'bottom', b FROM rowed WHERE is_two), v AS (SELECT image, row, floor(t.x1) AS x1, floor(t.y1) AS y1, greatest(1.0, ceil(t.x2) - floor(t.x1)) AS w, greatest(1.0, ceil(t.y2) - floor(t.y1)) AS h FROM u), "
+  "p AS (SELECT image, row, greatest(1.0, floor(x1 - w * 0.07)) AS x, greatest(1.0, floor(y1 - h * 0.07)) AS y, least(240.0, ceil(x1 + w + w * 0.07)) AS x2, least(100.0, ceil(y1 + h + h * 0.07)) AS y2 FROM v) SELECT image, row, x, y, greatest(1.0, x2 - x) AS w, greatest(1.0, y2 - y) AS h FROM p"))
+def row_bounds(spark, d):
+    x = glyphs(spark, d).select("image", layout.character_boxes(F.col("boxes"), "area", 240.0, 100.0, layout.RECTIFIED).alias("c")).where(F.size("c") > 0)
+    x = x.withColumn("r", layout.split_rows(F.col("c"), 100.0, 0.10)).where("r.two")
+    both = x.select("image", F.posexplode(layout.row_boxes([F.col("r.top"), F.col("r.bottom")], 240, 100)).alias("i", "b"))
+    return both.select("image", F.when(F.col("i") == 0, "top").otherwise("bottom").alias("row"), "b.*")

@@ -210,3 +210,18 @@ def test_images_with_their_annotations(spark, tmp_path):
     (tmp_path / "l.csv").write_text("image_name,vehicle_type,plate_category,expected_text,expected_state,bbox_x,bbox_y,bbox_w,bbox_h,notes\na,car,x,BPK1234,Selangor,1,2,3,4,\na,car,x,SECOND,Selangor,1,2,3,4,\n")
     found = images.annotated_images(spark, str(tmp_path), str(tmp_path / "l.csv")).orderBy("name").collect()
     assert [(r["name"], r["expected_text"]) for r in found] == [("a", "BPK1234"), ("b", None)]
+
+
+def test_end_to_end(spark):
+    from plateflow import recognition
+
+    box = lambda x: (float(x), 0.0, 40.0, 20.0)
+    candidates = spark.createDataFrame([(1, 1, box(0), 0.95, "edge_full", 0.1), (1, 2, box(200), 0.60, "text_priority", 0.9), (2, 1, box(0), 0.5, "edge_full", 0.5)], "image int, seq int, box struct<x:double,y:double,w:double,h:double>, score double, branch string, character_texture double").withColumns({"framing": F.lit(0.5), "left_margin": F.lit(0.1), "empty": F.lit(0.0)})
+    tried = spark.createDataFrame([(1, 2, 1, "full_1", "full_plate", "Line", "bpBPK 1234", 0.9, True), (1, 1, 1, "full_1", "full_plate", "Line", "", 0.9, True)], "image int, seq int, attempt int, name string, source string, layout string, text string, conf double, success boolean")
+    hints = spark.createDataFrame([(1, 1, "", "single_line", None), (1, 2, "", "single_line", None)], "image int, seq int, layout string, profile string, rows array<struct<text:string,conf:double>>")
+    pictures = spark.createDataFrame([(1, "a.png", None), (2, "b.png", None), (3, "c.png", None), (4, "d.png", "unreadable")], "image int, path string, error string")
+    # A candidate with a text outranks an empty one of greater detector score; without text, candidate or image each has its status.
+    found = {r["imagePath"]: r for r in recognition.results(pictures, candidates, tried, hints).collect()}
+    assert {k: (r["status"], r["plateText"], r["stateName"]) for k, r in found.items()} == {"a.png": ("ok", "BPK1234", "Selangor"), "b.png": ("ocr_failed", "", "Unknown"), "c.png": ("plate_not_found", "", "Unknown"), "d.png": ("error", "", "Unknown")}
+    both = {r["seq"]: r for r in recognition.evaluated(candidates, tried, hints).where("image = 1").collect()}
+    assert both[2]["final_score"] > both[1]["final_score"] and "Regex=exact" in both[2]["reason"] and "State=Selangor" in both[2]["reason"]
