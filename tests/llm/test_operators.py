@@ -544,3 +544,62 @@ def test_shards_find_a_pair_at_the_similarity():
         tables = simhash.chosen_bits(nodes)
         differ = math.acos(2 * 0.8 / 1.8) / math.pi
         assert 1 - math.prod(1 - (1 - differ) ** len(b) for b in tables) >= 0.95
+
+
+def test_lm_score_by_hand(spark):
+    # One training text, each pair once: every restaurant has one table a dish, so nothing is left to chance.
+    train = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 != 0)
+    test = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 10 == 0)
+    docs = spark.createDataFrame([(train, "A b c"), (test, "a b x"), (test, None), (test, "c a")], "doc_id long, text string")
+    d, s, n = hpylm.DISCOUNT, hpylm.STRENGTH, 4  # a, b, c, the end
+    parent = lambda known: ((1 - d if known else 0) + (s + d * n) / (n + 1)) / (s + n)
+    seen = (1 - d) / (s + 1) + (s + d) / (s + 1) * parent(True)
+    other = lambda known: (s + d) / (s + 1) * parent(known)
+    expected = {"a b c": seen**4, "a b x": seen * seen * other(False) * parent(True), "": other(True), "c a": other(True) * other(True) * other(True)}
+    got = sorted(10**r.score for r in hpylm.lm_scores(docs).collect())
+    assert np.allclose(got, sorted(expected.values()), rtol=1e-9)
+
+
+def test_lm_seating_is_consistent(spark, sf, monkeypatch):
+    """Tables that the word groups hold are those of the restaurants, so that each context's probabilities sum to one."""
+    kept, inner, last = {}, hpylm.train, []
+
+    def train(state, parts, groups, vocabulary):
+        samples, swept = inner(state, parts, groups, vocabulary)
+        kept.update(parts=parts.collect(), swept=swept.collect(), state=samples[-1][0].collect(), groups=groups, sums=samples[-1][1:])
+        return samples, swept
+
+    monkeypatch.setattr(hpylm, "train", train)
+    monkeypatch.setattr(hpylm, "BUCKET_MB", 0.02)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    hpylm.lm_scores(docs).count()
+    tokens = [[b" ", *lower(r.text).split(), b" "] for r in docs.collect() if zlib.crc32(str("" if r.doc_id is None else r.doc_id).encode()) % 10]
+    pairs = Counter((u, w) for ws in tokens for u, w in zip(ws, ws[1:], strict=False))
+    n = kept["groups"]
+    assert n > 1
+    words = {}
+    for r in kept["state"]:
+        cw, sw, su, above, tables, up = (x.astype(int) for x in hpylm.unpack(r["block"]))
+        assert ((up >= np.minimum(above, 1)) & (up <= above)).all() and (tables <= cw).all() and (above <= cw).all()
+        words |= {k * n + r["to"]: (cw[k], sw[k], su[k], above[k], tables[k]) for k in range(len(cw))}
+        last.append((up.sum(), above.sum()))
+    assert tuple(np.sum(last, axis=0)) == tuple(kept["sums"])
+    assert sorted(c for c, *_ in words.values()) == sorted(Counter(w for ws in tokens for w in ws[1:]).values())
+    above, tables, dishes = Counter(), Counter(), []
+    for r in kept["swept"]:
+        x, wi, ui, c = (v.astype(int) for v in hpylm.unpack(r["block"]))
+        t = hpylm.unpack(r["t"])[0].astype(int)
+        assert ((t >= 1) & (t <= c)).all()
+        dishes += c.tolist()
+        for w, u, k in zip(x[wi].tolist(), x[ui].tolist(), t.tolist(), strict=True):
+            above[w] += k
+            tables[u] += k
+    assert sorted(dishes) == sorted(c for c in pairs.values() if c > 1)
+    assert all(a == sw + above[w] and t == su + tables[w] for w, (_, sw, su, a, t) in words.items())
+    assert sum(sw for _, sw, *_ in words.values()) == sum(c == 1 for c in pairs.values())
+
+
+def test_packed_numbers():
+    r = np.random.default_rng(1)
+    arrays = [np.zeros(0, np.int64), np.arange(5), r.integers(0, 2**62, 100), np.array([2**64 - 1, 0], np.uint64), np.array([True, False])]
+    assert all((a.astype("<u8") == b).all() and len(a) == len(b) for a, b in zip(arrays, hpylm.unpack(hpylm.pack(*arrays)), strict=True))
