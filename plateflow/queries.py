@@ -554,15 +554,15 @@ def layout_evidence(spark, d):
     return e.select("image", "count", "rows", "layout", *(F.round(k, 6).alias(k) for k in ("single", "two", "alignment", "density")))
 
 
-@query(_double(f"""WITH {_rows_sql(layout.RECTIFIED, 0.10)} SELECT image, is_two, round({_SINGLE('14.0')}, 6) AS single, round(CASE WHEN is_two THEN least(1.0, greatest(0.0, ({_count('a.n', 4, 9)} + {_BALANCE} + {_COMPACT('t')} + {_COMPACT('b')} + {_HEIGHTS} + {_ACROSS}) / 6)) END, 6) AS two,
-  round(least(1.0, greatest(0.0, (greatest(0.0, 1 - abs((a.x2 - a.x1) / 240 - 0.68) / 0.42) + greatest(0.0, 1 - abs((a.y2 - a.y1) / 100 - 0.42) / 0.28)) / 2)), 6) AS coverage,
-  round(0.28 * least(1.0, a.n / 6) + 0.24 * least(1.0, a.filled / ((a.x2 - a.x1) * (a.y2 - a.y1))) + 0.20 * greatest(0.0, 1 - abs((a.x2 - a.x1) / 240 - 0.30) / 0.32) + 0.14 * greatest(0.0, 1 - abs((a.y2 - a.y1) / 100 - 0.48) / 0.40) + 0.08 * greatest(0.0, 1 - abs(a.x1 + (a.x2 - a.x1) / 2 - 120) / 132) + 0.06 * CASE WHEN is_two THEN 1.0 ELSE 0.28 END, 6) AS cluster FROM rowed"""))
+@query(_double(f"""WITH {_rows_sql(layout.RECTIFIED, 0.10)} SELECT image, is_two, round({_SINGLE('14.0')}, 9) AS single, round(CASE WHEN is_two THEN least(1.0, greatest(0.0, ({_count('a.n', 4, 9)} + {_BALANCE} + {_COMPACT('t')} + {_COMPACT('b')} + {_HEIGHTS} + {_ACROSS}) / 6)) END, 9) AS two,
+  round(least(1.0, greatest(0.0, (greatest(0.0, 1 - abs((a.x2 - a.x1) / 240 - 0.68) / 0.42) + greatest(0.0, 1 - abs((a.y2 - a.y1) / 100 - 0.42) / 0.28)) / 2)), 9) AS coverage,
+  round(0.28 * least(1.0, a.n / 6) + 0.24 * least(1.0, a.filled / ((a.x2 - a.x1) * (a.y2 - a.y1))) + 0.20 * greatest(0.0, 1 - abs((a.x2 - a.x1) / 240 - 0.30) / 0.32) + 0.14 * greatest(0.0, 1 - abs((a.y2 - a.y1) / 100 - 0.48) / 0.40) + 0.08 * greatest(0.0, 1 - abs(a.x1 + (a.x2 - a.x1) / 2 - 120) / 132) + 0.06 * CASE WHEN is_two THEN 1.0 ELSE 0.28 END, 9) AS cluster FROM rowed"""))
 def mask_layout(spark, d):
     x = glyphs(spark, d).select("image", layout.character_boxes(F.col("boxes"), "area", 240.0, 100.0, layout.RECTIFIED).alias("c")).where(F.size("c") > 0)
     x, c = x.withColumn("r", layout.split_rows(F.col("c"), 100.0, 0.10)), F.col("c")
     two = F.when(F.col("r.two"), layout.two_row_mask_score(F.col("r.top"), F.col("r.bottom"), c, 100.0))
     made = {"single": layout.single_row_score(c, 100.0, 0.14), "two": two, "coverage": layout.coverage_score(c, 240.0, 100.0), "cluster": layout.cluster_score(c, 240.0, 100.0, F.col("r.two"))}
-    return x.select("image", F.col("r.two").alias("is_two"), *(F.round(v, 6).alias(k) for k, v in made.items()))
+    return x.select("image", F.col("r.two").alias("is_two"), *(F.round(v, 9).alias(k) for k, v in made.items()))
 
 
 def _candidates(spark, d):
