@@ -71,13 +71,15 @@ _PLAIN = re.compile(r"[^\x00-\u024f]")
 
 def _chunks(text: str) -> list[str]:
     """What stands between blanks and line ends, lower-cased as the tokenizer would, where that is safe beforehand."""
-    if "<|" in text or _PLAIN.search(text) is not None:  # special strings are found before any lower-casing
+    if "<|" in text or not text.isascii() and _PLAIN.search(text):  # special strings are found before any lower-casing
         return text.replace("\n", " ").split(" ")
     return text.lower().replace("\n", " ").split(" ")
 
 
 #: Lower-case letters of Latin-1, and at most one mark after them: two pre-tokens of the tokenizer, whatever stands around.
 _WORD = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([.,;:!?]?)\Z")
+#: The byte-level alphabet: bytes that print stand for themselves, the others, in order, for characters from 256 on.
+_LEVEL = {b: 256 + k for k, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Encoders by vocabulary: a Python worker that Spark uses again keeps what it has learnt.
 _ENCODERS: dict = {}
 #: Stands between chunks that are encoded in one call; chunks that hold it are encoded alone. It is a token of its own.
@@ -87,14 +89,11 @@ _MARK = "\x00"
 def chunk_encoder(tokenizer):
     """A function from texts to ids. The tokenizer drops white space and no token spans it, so a text's ids are those of its
     chunks between blanks and line ends, and each distinct chunk is encoded once."""
-    from tokenizers.pre_tokenizers import ByteLevel
-
     known: dict[str, bytes] = {}
-    level = ByteLevel(add_prefix_space=False, use_regex=False)
     (mark,) = tokenizer.encode(_MARK, add_special_tokens=False).ids
 
     def of_word(word: str) -> bytes:
-        ids = [t.id for t in tokenizer.model.tokenize(word if word.isascii() else level.pre_tokenize_str(word)[0][0])]
+        ids = [t.id for t in tokenizer.model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(_LEVEL))]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def learn(chunks: list[str]) -> list[str]:
@@ -128,11 +127,11 @@ def chunk_encoder(tokenizer):
     def encode(texts: list[str]) -> list[bytes]:
         split = [_chunks(t) for t in texts]
         found = [list(map(known.get, chunks)) for chunks in split]
-        new = {c for chunks, ids in zip(split, found, strict=True) if None in ids for c, x in zip(chunks, ids, strict=True) if x is None}
-        added = learn(list(new))
-        for chunks, ids in zip(split, found, strict=True):
-            if None in ids:
-                ids[:] = [known[c] if x is None else x for c, x in zip(chunks, ids, strict=True)]
+        holes = [[k for k, x in enumerate(ids) if x is None] if None in ids else () for ids in found]
+        added = learn(list({chunks[k] for chunks, new in zip(split, holes, strict=True) for k in new}))
+        for chunks, ids, new in zip(split, found, holes, strict=True):
+            for k in new:
+                ids[k] = known[chunks[k]]
         if len(known) > REMEMBERED:  # what came first is frequent: it stays
             for c in added:
                 known.pop(c, None)
