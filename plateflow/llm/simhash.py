@@ -2,9 +2,10 @@
 
 Fingerprints are 64 bits over word shingles. Copies collapse first: everything after works on distinct fingerprints. Two
 that differ in at most three of 64 bits agree in at least two of five blocks, so each is dealt to ten shards (pairs of
-blocks, about 26 bits each). A shard's fingerprints are cut into BK-trees of a bounded size; each tree is handed to the rest
-of its shard, which follow only edges within the radius of their own distance. A shard yields a spanning forest of its
-links (never all pairs), and the links' components are found with star contraction.
+blocks, about 26 bits each). A shard's fingerprints are cut into slices of a tree's size; every two slices meet in one task, where
+each tree is handed to the rest, which follow only edges within the radius of their own distance. A task yields a spanning forest
+of its links (never all pairs), and the links' components are found with star contraction (a hub is a skewed key of inner joins,
+which Spark's adaptive execution splits).
 
 `keep_near_first` is the same for similarity: texts whose sets of five-word shingles have a Jaccard similarity of SIMILAR or more.
 Such fingerprints differ in ten bits or so, which no block is sure to survive; so each is dealt to as many shards of randomly chosen
@@ -109,34 +110,46 @@ LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 def _links(radius: int):
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        """Batches are sorted by shard; a shard may go on in the next batch."""
-        held: tuple[np.ndarray, np.ndarray] | None = None
+        """Batches are sorted by shard and its slices i and j; what belongs together may go on in the next batch."""
+        held: pa.Table | None = None
 
-        def linked(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            cuts = np.flatnonzero(np.diff(keys, prepend=~keys[:1], append=~keys[-1:]))
+        def linked(t: pa.Table) -> pa.RecordBatch:
+            keys, values = np.stack([t.column(k).to_numpy() for k in ("shard", "i", "j")]), t.column("fp").to_numpy().view(np.uint64)
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1).tolist(), len(values)]
             found = []
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if b - a > 1:
-                    found += spanning_links(values[a:b].view(np.uint64).tolist(), radius)
+                    found += spanning_links(values[a:b].tolist(), radius)
             out = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return batch(LINKS, {"a": out[:, 0], "b": out[:, 1]})
 
         for b in batches:
-            keys, values = b.column("shard").to_numpy(), b.column("fp").to_numpy()
-            if held is not None:
-                keys, values = np.concatenate([held[0], keys]), np.concatenate([held[1], values])
-            if not len(keys):
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([held, t]) if held is not None else t
+            if not t.num_rows:
                 continue
-            last = int(np.searchsorted(keys, keys[-1]))
+            keys = np.stack([t.column(k).to_numpy() for k in ("shard", "i", "j")])
+            other = np.flatnonzero((keys != keys[:, -1:]).any(axis=0))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield linked(keys[:last], values[:last])
-            held = keys[last:].copy(), values[last:].copy()
-        if held is not None and len(held[0]):
-            yield linked(*held)
+                yield linked(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None and held.num_rows:
+            yield linked(held)
 
     return run
 
 
+def _sliced(dealt: DataFrame, tree: int = TREE) -> DataFrame:
+    """dealt with i and j: a shard of more members than a tree holds is cut into slices, and every two slices meet in a task of their
+    own, so that no task has more than two trees."""
+    slices = dealt.groupBy("shard").agg(F.ceil(F.count("*") / tree).alias("slices")).where("slices > 1").withColumnRenamed("shard", "big")
+    sized = dealt.join(slices, F.col("shard") == F.col("big"), "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("slices"))
+    met = sized.select("shard", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other"))
+    return met.select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp")
+
+
 def _shards(radius: int):
     """One key for each choice of blocks that two fingerprints within the radius must share: its number, then its bits."""
     same = len(BLOCKS) - radius
@@ -164,7 +177,7 @@ def near_duplicate_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame
     distinct = cut(prints.select("fp").distinct())
     dealt = distinct.select("fp", F.explode(F.array(*_shards(radius))).alias("shard"))
     n = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = dealt.repartition(n, "shard").sortWithinPartitions("shard", "fp").mapInArrow(_links(radius), "a long, b long")
+    links = _sliced(dealt).repartition(n, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp").mapInArrow(_links(radius), "a long, b long")
     roots = components(links)
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 

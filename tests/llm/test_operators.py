@@ -603,3 +603,22 @@ def test_packed_numbers():
     r = np.random.default_rng(1)
     arrays = [np.zeros(0, np.int64), np.arange(5), r.integers(0, 2**62, 100), np.array([2**64 - 1, 0], np.uint64), np.array([True, False])]
     assert all((a.astype("<u8") == b).all() and len(a) == len(b) for a, b in zip(arrays, hpylm.unpack(hpylm.pack(*arrays)), strict=True))
+
+
+def test_large_shards_are_sliced(spark):
+    r = random.Random(7)
+    values = sorted({r.getrandbits(9) << 20 | r.getrandbits(2) for _ in range(300)})
+    dealt = spark.createDataFrame([(k, v) for k in (1, 2) for v in values[:: 3 - k]] + [(3, 5)], "shard long, fp long")
+    sliced = simhash._sliced(dealt, tree=16)
+    sizes = sliced.groupBy("shard", "i", "j").count().collect()
+    assert len([x for x in sizes if x["shard"] == 2]) > 100 and max(x["count"] for x in sizes) < 80
+    links = sliced.repartition(3, "shard", "i", "j").sortWithinPartitions("shard", "i", "j", "fp").mapInArrow(simhash._links(3), "a long, b long").collect()
+    assert all((x.a ^ x.b).bit_count() <= 3 for x in links)
+    roots = {v: v for v in values}
+
+    def root(v):
+        return v if roots[v] == v else root(roots[v])
+
+    for x in links:
+        roots[root(x.a)] = root(x.b)
+    assert len({root(v) for v in values}) == len(set(classes(values)))
