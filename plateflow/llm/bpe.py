@@ -6,7 +6,8 @@ doubly linked list of bytes, so a pre-token of n bytes takes n log n steps howev
 
 The tables are made once on the driver from the vocabulary's file (its size is the bound of what is broadcast). Tasks look
 up each distinct pre-token of a small batch once. Null counts as empty: no ids. Rows that share a doc_id are encoded each
-for itself. An empty table gives an empty result.
+for itself. An empty table gives an empty result. Texts and pre-tokens of any length are encoded whole; of equal ranks the leftmost
+pair is merged first. docs has no column token_ids or decoded; others pass through.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ are looked up and verified word by word. A benchmark of one block takes one pass
 of its own, whose hits alone are written; in the end they are put together and meet the documents in one shuffle.
 
 Null and empty texts have no words and no hits. Items without words have no window. Items with a null id mark words as hit
-but are in no list of items; items that share an id are one. Rows that share a doc_id are judged each for itself. With an
+but are in no list of items; items that share an id are one. Rows that share a doc_id are judged each for itself. Texts of any length are judged whole; the same words
+in several items hit for each. `remove_documents` and `remove_spans` pass columns of any name through, `with_hits` needs its two
+own names free. With an
 empty benchmark nothing is contaminated.
 """
 

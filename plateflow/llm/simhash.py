@@ -12,7 +12,8 @@ Such fingerprints differ in ten bits or so, which no block is sure to survive; s
 bits as find a pair at SIMILAR with probability RECALL, and what a shard's BK-tree finds within WIDE bits is verified on the sets.
 
 Null and empty texts have fingerprint zero, linked like any other. Rows may share a doc_id. A null doc_id is never a
-component's id unless all its members have none (then null). An empty table gives an empty result.
+component's id unless all its members have none (then null). An empty table gives an empty result. Texts of any length count whole; a bit
+set in exactly half of the hashes is 0. Rows keep columns of any name.
 """
 
 from __future__ import annotations
