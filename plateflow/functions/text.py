@@ -270,19 +270,22 @@ def refined(t: Column, confidence: Column) -> Column:
         return F.struct(now["t"].alias("t"), now["score"].alias("score"), now["priority"].alias("priority"), now["shape"].alias("shape"), label.alias("label"))
 
     def tail(a: Column) -> Column:
-        return let(state(cut(a["t"])), lambda b: F.when((a["shape"]["s"] > 1) & (b["score"] > a["score"] + 0.06), step(b, F.lit("trim_tail"))).otherwise(step(a, F.lit(""))))
+        shorter = let(state(cut(a["t"])), lambda b: F.when(b["score"] > a["score"] + 0.06, step(b, F.lit("trim_tail"))).otherwise(step(a, F.lit(""))))
+        return F.when(a["shape"]["s"] > 1, shorter).otherwise(step(a, F.lit("")))
 
     def weak(a: Column) -> Column:
         plain = lambda b: b["t"].rlike("^[A-Z]{1,4}[0-9]{1,4}$") & (b["score"] >= a["score"] - 0.02)
-        return let(state(cut(a["t"])), lambda b: F.when((a["shape"]["s"] == 1) & (confidence <= 0.25) & plain(b), step(b, F.lit("trim_weak_suffix"))).otherwise(a))
+        shorter = let(state(cut(a["t"])), lambda b: F.when(plain(b), step(b, F.lit("trim_weak_suffix"))).otherwise(a))
+        return F.when((a["shape"]["s"] == 1) & (confidence <= 0.25), shorter).otherwise(a)
 
     def head(a: Column) -> Column:
+        same = F.struct(a["t"].alias("text"), a["label"].alias("label"))
+
         def of(b: Column) -> Column:
             better = F.when(b["priority"] > a["priority"], b["score"] > a["score"] + 0.04).when(b["priority"] == a["priority"], b["score"] > a["score"] + 0.02).otherwise(False)
-            go = (a["shape"]["p"] >= 2) & better
-            return F.struct(F.when(go, b["t"]).otherwise(a["t"]).alias("text"), F.when(go, F.lit("trim_head")).otherwise(a["label"]).alias("label"))
+            return F.when(better, F.struct(b["t"].alias("text"), F.lit("trim_head").alias("label"))).otherwise(same)
 
-        return let(state(F.substring(a["t"], F.lit(2), F.length(a["t"]))), of)
+        return F.when(a["shape"]["p"] >= 2, let(state(F.substring(a["t"], F.lit(2), F.length(a["t"]))), of)).otherwise(same)
 
     found = let(state(t), lambda x: let(tail(x), lambda y: let(weak(y), head)))
     return F.when(t == "", F.struct(F.lit("").alias("text"), F.lit("").alias("label"))).otherwise(found)

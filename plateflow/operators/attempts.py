@@ -82,37 +82,42 @@ def _named(a: Column, name: Column, t: Column) -> Column:
 
 def weak_suffix(best: Column, every: Column) -> Column:
     """The best attempt, or, if it ends in a letter that is read with little confidence, the best of two attempts or more that read
-    the same without it."""
+    the same without it. Most attempts end at the first test."""
     trimmed = F.substring(best["t"], F.lit(1), F.length(best["t"]) - 1)
 
-    def of(x: Column) -> Column:
-        same = F.filter(every, lambda a: a["t"] == x["trimmed"])
-        top = F.aggregate(same, F.get(same, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-        doubt = (x["shape"]["s"] == 1) & x["shape"]["ordered"] & (best["conf"] <= 0.35) & x["trimmed"].rlike("^[A-Z]{1,4}[0-9]{1,4}$") & (F.size(same) >= 2)
-        return let(top, lambda b: F.when(doubt & (b["score"] >= best["total"] - 0.12), _named(b, F.concat(b["name"], F.lit("+trim_weak_suffix")), x["trimmed"])).otherwise(best))
+    def other(x: Column) -> Column:
+        same = F.filter(every, lambda a: a["t"] == x)
+        top = lambda c: F.aggregate(c, F.get(c, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
+        taken = lambda b: F.when(b["score"] >= best["total"] - 0.12, _named(b, F.concat(b["name"], F.lit("+trim_weak_suffix")), x)).otherwise(best)
+        return let(same, lambda c: F.when(F.size(c) >= 2, let(top(c), taken)).otherwise(best))
 
-    return let(F.struct(trimmed.alias("trimmed"), texts.shape(best["t"]).alias("shape")), of)
+    doubt = (best["conf"] <= 0.35) & best["t"].rlike("^[A-Z]{1,4}[0-9]{1,4}[A-Z]$")
+    return F.when(doubt, let(trimmed, other)).otherwise(best)
 
 
 def supported(best: Column, every: Column, two_row: Column) -> Column:
     """The best attempt, or, on a plate of two rows, one of another letter that more of the attempts support."""
     support = lambda t: F.aggregate(F.filter(every, lambda a: a["t"] == t), F.lit(0.0), lambda acc, a: acc + support_weight(a["source"], a["name"]))
+    priority = lambda t: texts.identify_state(t)["priority"]
     digits = lambda t: F.regexp_extract(t, "^[A-Z]*([0-9]*)", 1)
 
     def of(x: Column) -> Column:
-        def rated(a: Column) -> Column:
-            s = texts.shape(a["t"])
-            like = (a["t"] != best["t"]) & s["ordered"] & (s["s"] <= 1) & (s["p"] == x["shape"]["p"]) & (s["d"] == x["shape"]["d"]) & (digits(a["t"]) == digits(best["t"]))
-            like = like & (texts.edit_count(best["t"], a["t"]) == 1) & a["t"].rlike("^[A-Z]{1,4}[0-9]{3,4}[A-Z]?$")
-            return F.struct(a.alias("a"), F.when(like, support(a["t"])).otherwise(0.0).alias("n"), texts.identify_state(a["t"])["priority"].alias("priority"))
-
-        able = F.filter(F.transform(every, rated), lambda r: (r["n"] >= 1.5) & (r["n"] > x["n"] + 0.45) & (r["priority"] + 5 >= x["priority"]))
-        rank = lambda r: r["n"] + 0.10 * F.least(F.lit(1.0), r["priority"] / 100)
-        top = F.aggregate(able, F.get(able, F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
-        fit = two_row & x["shape"]["ordered"] & (x["shape"]["d"] >= 3) & (x["shape"]["p"] >= 2) & (x["shape"]["s"] <= 1)
-        return let(top, lambda r: F.when(fit & r.isNotNull(), _named(r["a"], F.concat(r["a"]["name"], F.lit("+attempt_support")), r["a"]["t"])).otherwise(best))
-
-    return let(F.struct(texts.shape(best["t"]).alias("shape"), support(best["t"]).alias("n"), texts.identify_state(best["t"])["priority"].alias("priority")), of)
+        def like(a: Column) -> Column:
+            """One letter away, with the same digits: cheap tests first."""
+            near = (a["t"] != best["t"]) & (F.abs(F.length(a["t"]) - F.length(best["t"])) <= 1) & a["t"].rlike("^[A-Z]{1,4}[0-9]{3,4}[A-Z]?$")
+            return near & (texts.edit_count(best["t"], a["t"]) == 1) & (F.length(F.regexp_extract(a["t"], "^([A-Z]*)", 1)) == x["p"]) & (digits(a["t"]) == digits(best["t"]))
+
+        def judged(own: Column) -> Column:
+            rated = F.transform(F.filter(every, like), lambda a: F.struct(a.alias("a"), support(a["t"]).alias("n"), priority(a["t"]).alias("priority")))
+            able = F.filter(rated, lambda r: (r["n"] >= 1.5) & (r["n"] > own["n"] + 0.45) & (r["priority"] + 5 >= own["priority"]))
+            rank = lambda r: r["n"] + 0.10 * F.least(F.lit(1.0), r["priority"] / 100)
+            top = lambda c: F.aggregate(c, F.get(c, F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
+            return let(able, lambda c: F.when(F.size(c) > 0, let(top(c)["a"], lambda a: _named(a, F.concat(a["name"], F.lit("+attempt_support")), a["t"]))).otherwise(best))
+
+        fit = x["ordered"] & (x["d"] >= 3) & (x["p"] >= 2) & (x["s"] <= 1)
+        return F.when(fit, let(F.struct(support(best["t"]).alias("n"), priority(best["t"]).alias("priority")), judged)).otherwise(best)
+
+    return F.when(two_row, let(texts.shape(best["t"]), of)).otherwise(best)
 
 
 def chosen(attempts: DataFrame, hints: DataFrame) -> DataFrame:
