@@ -65,7 +65,8 @@ def freed(*tables: DataFrame) -> None:
             jvm = t.sparkSession._jvm
             folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
-        dropped_shuffles(t.sparkSession)
+    if tables:
+        dropped_shuffles(tables[0].sparkSession)
 
 
 def dropped_shuffles(spark: SparkSession) -> None:
