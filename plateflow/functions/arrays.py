@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from plateflow.functions.text import let
+
 
 def runs(mask: Column) -> Column:
     """array<struct<first, last>>: maximal runs of true, places from 1."""
@@ -27,7 +29,7 @@ def merge_runs(r: Column, most: int) -> Column:
     return F.aggregate(r, F.slice(r, 1, 0), join)
 
 
-def moving_average(values: Column, each_side: int) -> Column:
+def moving_average(values: Column, each_side: int | Column) -> Column:
     """Mean of a window that shrinks at the ends."""
 
     def mean(_: Column, i: Column) -> Column:
@@ -36,3 +38,55 @@ def moving_average(values: Column, each_side: int) -> Column:
         return F.aggregate(part, F.lit(0.0), lambda a, b: a + b) / F.size(part)
 
     return F.transform(values, mean)
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+
+def positive_mean(profile: Column) -> Column:
+    """Mean of the entries above 0; null if there are none."""
+    return let(F.filter(profile, lambda v: v > 0), lambda p: F.when(F.size(p) > 0, total(p) / F.size(p)))
+
+
+def active(profile: Column, least: float, share: float | Column) -> Column:
+    """Flags of the entries that reach a share of the mean of those above 0, and least; none if no entry is above 0."""
+    limit = F.greatest(F.lit(least), share * positive_mean(profile))
+    return let(limit, lambda m: F.transform(profile, lambda v: (v > 0) & F.coalesce(v >= m, F.lit(False))))
+
+
+def smoothed(profile: Column) -> Column:
+    """Moving mean over a seventh of the profile, three entries at least."""
+    half = F.greatest(F.lit(1), F.floor(F.size(profile) / 14)).cast("int")
+    return let(half, lambda k: moving_average(profile, k))
+
+
+def length(run: Column) -> Column:
+    return run["last"] - run["first"] + 1
+
+
+def widest_two(found: Column) -> Column:
+    """struct(a, b, balance, apart) of the two longest runs (the earlier ones of equals) in their order: how alike their lengths are,
+    and places from one to the other. Null if there are fewer than two."""
+
+    def of(s: Column) -> Column:
+        both = F.array_sort(F.transform(F.slice(s, 1, 2), lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"))))
+        a, b = F.get(both, F.lit(0)), F.get(both, F.lit(1))
+        balance = F.greatest(F.lit(0.0), 1 - F.abs(length(a) - length(b)) / F.greatest(length(a) + length(b), F.lit(1)))
+        return F.when(F.size(s) >= 2, F.struct(a.alias("a"), b.alias("b"), balance.alias("balance"), (b["first"] - a["last"]).alias("apart")))
+
+    return let(F.array_sort(F.transform(found, lambda r: F.struct((-length(r)).alias("order"), r["first"].alias("first"), r["last"].alias("last")))), of)
+
+
+def percentile(values: Column, percent: float) -> Column:
+    """The value below which percent of an array's numbers lie: the i-th of n sorted ones stands for 100 (i - .5) / n percent, places
+    between are interpolated, those beyond take the least or the greatest. Exact; null for an empty array."""
+
+    def of(s: Column) -> Column:
+        n = F.size(s)
+        place = F.greatest(F.lit(1.0), F.least(n.cast("double"), n * percent / 100 + 0.5))
+        low = F.floor(place).cast("int")
+        a, b = F.get(s, low - 1), F.get(s, F.least(low, n - 1))
+        return F.when(n > 0, a + (b - a) * (place - low))
+
+    return let(F.sort_array(F.filter(values, lambda v: v.isNotNull())), of)

@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 EPS = 2.220446049250313e-16
 
 
+def number(v: Column | float) -> Column:
+    """A size given as a number or as a column."""
+    return v.cast("double") if isinstance(v, Column) else F.lit(float(v))
+
+
 def box(x, y, w, h) -> Column:
     return F.struct(*(F.lit(v).cast("double").alias(k) if not isinstance(v, Column) else v.cast("double").alias(k) for k, v in zip("xywh", (x, y, w, h), strict=True)))
 
@@ -62,19 +67,19 @@ def fit(v: Column, target: float, low: float, high: float) -> Column:
     return F.when(v < low, below).when(v > high, above).otherwise(inside)
 
 
-def pad(a: Column, left: float, right: float, down: float, width: int, height: int) -> Column:
+def pad(a: Column, left: float, right: float, down: float, width: Column | float, height: Column | float) -> Column:
     """A box with margins, as shares of its sides, cut at the image."""
     x1, y1 = F.greatest(F.lit(1.0), F.floor(a["x"] - a["w"] * left)), F.greatest(F.lit(1.0), F.floor(a["y"] - a["h"] * down))
-    x2 = F.least(F.lit(float(width)), F.ceil(a["x"] + a["w"] + a["w"] * right))
-    y2 = F.least(F.lit(float(height)), F.ceil(a["y"] + a["h"] + a["h"] * down))
+    x2 = F.least(number(width), F.ceil(a["x"] + a["w"] + a["w"] * right))
+    y2 = F.least(number(height), F.ceil(a["y"] + a["h"] + a["h"] * down))
     return box(x1, y1, F.greatest(F.lit(1.0), x2 - x1), F.greatest(F.lit(1.0), y2 - y1))
 
 
-def at_least_high(a: Column, least: int, height: int) -> Column:
+def at_least_high(a: Column, least: int, height: Column | float) -> Column:
     """A box that is at least so high, grown above and below as far as the image goes."""
     more = least - a["h"]
     y1 = F.greatest(F.lit(1.0), a["y"] - F.floor(more / 2))
-    y2 = F.least(F.lit(float(height)), a["y"] + a["h"] - 1 + F.ceil(more / 2))
+    y2 = F.least(number(height), a["y"] + a["h"] - 1 + F.ceil(more / 2))
     return F.when(a["h"] < least, box(a["x"], y1, a["w"], F.greatest(F.lit(1.0), y2 - y1 + 1))).otherwise(a)
 
 

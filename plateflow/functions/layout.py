@@ -188,7 +188,7 @@ def cluster_score(boxes: Column, width: float, height: float, two_rows: Column)
     u = whole_union(boxes)
     filled = F.least(F.lit(1.0), _sum(F.transform(boxes, lambda b: b["w"] * b["h"])) / F.greatest(u["w"] * u["h"], F.lit(1.0)))
     near = lambda v, target, slack: F.greatest(F.lit(0.0), 1 - F.abs(v - target) / slack)
-    centre = near(u["x"] + u["w"] / 2, width / 2, max(0.55 * width, 1.0))
+    centre = near(u["x"] + u["w"] / 2, width / 2, F.greatest(F.lit(0.55) * width, F.lit(1.0)))
     return 0.28 * F.least(F.lit(1.0), F.size(boxes) / 6) + 0.24 * filled + 0.20 * near(u["w"] / width, 0.30, 0.32) + 0.14 * near(u["h"] / height, 0.48, 0.40) + 0.08 * centre + 0.06 * F.when(two_rows, 1.0).otherwise(0.28)
 
 
