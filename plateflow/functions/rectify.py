@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plateflow.functions import layout as l
@@ -140,33 +140,31 @@ def best_cluster(boxes: Column, mask: Column, expected: Column) -> Column:
     return F.when(expected & (F.size(boxes) >= 3), let(clusters(boxes), best)).otherwise(plain)
 
 
-def described(mask: Column, boxes: Column, expected: Column, contrast: Column, settings: dict = DEFAULTS) -> Column:
-    """struct(score, layout, text_box, rows, count): what a text mask shows. Two rows of boxes are tried first, then two bands of the
-    projection; the first of them that reaches TWO_ROWS counts, else it is one row. boxes: those that may be characters; contrast:
-    between the mask's pixels and the others. Without boxes the layout is unknown and the score 0."""
-    r = settings["rectification"]
-    w, h = width(mask).cast("double"), F.size(mask).cast("double")
-
-    def found(b: Column) -> Column:
-        def judged(g: Column) -> Column:
-            direct = F.when(g["two"], l.two_row_mask_score(g["top"], g["bottom"], b, h))
-
-            def second(e: Column) -> Column:
-                by_boxes = F.struct(e["direct"].alias("score"), F.lit("two_row").alias("layout"), _bounds([g["top"], g["bottom"]], w, h, r["padding"]).alias("rows"), F.lit(2).alias("count"))
-                by_bands = F.struct(e["p"]["score"].alias("score"), F.lit("two_row").alias("layout"), e["p"]["rows"].alias("rows"), F.lit(2).alias("count"))
-                one = F.struct(l.single_row_score(b, h, 0.14).alias("score"), F.lit("single_line").alias("layout"), _bounds([b], w, h, r["padding"]).alias("rows"), F.lit(1).alias("count"))
-                return F.when(F.coalesce(e["direct"] >= TWO_ROWS, F.lit(False)), by_boxes).when((F.size(e["p"]["rows"]) >= 2) & (e["p"]["score"] >= TWO_ROWS), by_bands).otherwise(one)
+BOX = "struct<x:double,y:double,w:double,h:double>"
 
-            return let(let(direct, lambda s: F.struct(s.alias("direct"), F.when(F.coalesce(s >= TWO_ROWS, F.lit(False)), F.lit(None)).otherwise(projection_rows(b, mask, expected, r["padding"])).alias("p"))), second)
 
-        def whole(x: Column) -> Column:
-            text = pad(l.whole_union(b), r["left"], r["right"], r["vertical"], w, h)
-            return F.struct(clamp(l.mean([x["score"], l.coverage_score(b, w, h), contrast])).alias("score"), x["layout"].alias("layout"), text.alias("text_box"), x["rows"].alias("rows"), x["count"].alias("count"))
-
-        return let(let(rows_of(b, mask, expected, r["row_gap"]), judged), whole)
-
-    none = F.struct(F.lit(0.0).alias("score"), F.lit("unknown").alias("layout"), F.lit(None).cast("struct<x:double,y:double,w:double,h:double>").alias("text_box"), F.array().cast("array<struct<x:double,y:double,w:double,h:double>>").alias("rows"), F.lit(0).alias("count"))
-    return F.when(F.size(boxes) > 0, let(best_cluster(boxes, mask, expected), found)).otherwise(none)
+def with_description(plates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """Adds description, struct(score, layout, text_box, rows, count): what a text mask shows. Two rows of boxes are tried first, then
+    two bands of the projection; the first of them that reaches TWO_ROWS counts, else it is one row. plates: mask, boxes (those that
+    may be characters), expected (two rows) and contrast (between the mask's pixels and the others). Without boxes the layout is
+    unknown and the score 0. Its steps are columns one after another: nothing is shuffled."""
+    r = settings["rectification"]
+    mask, b, g = F.col("mask"), F.col("_b"), F.col("_g")
+    w, h = width(mask).cast("double"), F.size(mask).cast("double")
+    x = plates.withColumn("_b", best_cluster(F.col("boxes"), mask, F.col("expected")))
+    x = x.withColumn("_g", rows_of(b, mask, F.col("expected"), r["row_gap"]))
+    x = x.withColumn("_d", F.when(g["two"], l.two_row_mask_score(g["top"], g["bottom"], b, h)))
+    direct = F.coalesce(F.col("_d") >= TWO_ROWS, F.lit(False))
+    x = x.withColumn("_p", F.when(~direct, projection_rows(b, mask, F.col("expected"), r["padding"])))
+    bands = (F.size("_p.rows") >= 2) & (F.col("_p.score") >= TWO_ROWS)
+    kind = lambda score, layout, rows, n: F.struct(score.alias("score"), F.lit(layout).alias("layout"), rows.alias("rows"), F.lit(n).alias("count"))
+    one = kind(l.single_row_score(b, h, 0.14), "single_line", _bounds([b], w, h, r["padding"]), 1)
+    x = x.withColumn("_k", F.when(direct, kind(F.col("_d"), "two_row", _bounds([g["top"], g["bottom"]], w, h, r["padding"]), 2)).when(bands, kind(F.col("_p.score"), "two_row", F.col("_p.rows"), 2)).otherwise(one))
+    text = pad(l.whole_union(b), r["left"], r["right"], r["vertical"], w, h)
+    score = clamp(l.mean([F.col("_k.score"), l.coverage_score(b, w, h), F.col("contrast")]))
+    made = F.struct(score.alias("score"), F.col("_k.layout").alias("layout"), text.alias("text_box"), F.col("_k.rows").alias("rows"), F.col("_k.count").alias("count"))
+    none = F.struct(F.lit(0.0).alias("score"), F.lit("unknown").alias("layout"), F.lit(None).cast(BOX).alias("text_box"), F.array().cast(f"array<{BOX}>").alias("rows"), F.lit(0).alias("count"))
+    return x.withColumn("description", F.when(F.size("boxes") > 0, made).otherwise(none)).drop("_b", "_g", "_d", "_p", "_k")
 
 
 def _bounds(groups: list[Column], w: Column, h: Column, padding: float) -> Column:

@@ -155,8 +155,7 @@ rl AS (SELECT id, array_to_string(list(concat_ws('/', x::INT, y::INT, w::INT, h:
 SELECT ch.id, CASE WHEN how = 'one' THEN 'single_line' ELSE 'two_row' END AS layout, CASE WHEN how = 'one' THEN 1 ELSE 2 END::INT AS count, rows, round({_CLAMP("(layout_score + coverage + (ch.id % 11)::DOUBLE / 10) / 3")}, 6) AS score,
   greatest(1, floor(x1 - w * 0.03))::DOUBLE AS text_x, greatest(1, least({WIDE}, ceil(x1 + w + w * 0.10)) - greatest(1, floor(x1 - w * 0.03)))::DOUBLE AS text_w FROM ch JOIN rl ON ch.id = rl.id"""))
 def mask_description(spark, d):
-    x = plate_masks(spark, d)
-    x = x.select("id", rectify.described(F.col("mask"), F.col("boxes"), F.col("expected"), (F.col("id") % 11) / 10).alias("d"))
+    x = rectify.with_description(plate_masks(spark, d).withColumn("contrast", (F.col("id") % 11) / 10)).withColumnRenamed("description", "d")
     row = lambda b: F.concat_ws("/", *(b[k].cast("int").cast("string") for k in "xywh"))
     return x.select("id", "d.layout", "d.count", F.array_join(F.transform("d.rows", row), " ").alias("rows"), F.round("d.score", 6).alias("score"), F.col("d.text_box.x").alias("text_x"), F.col("d.text_box.w").alias("text_w"))
 
@@ -197,12 +196,13 @@ def framing_scores(spark, d):
 @query(_double(f"""WITH {PX}, cp AS (SELECT id, 1 AS k, x AS i, avg(o::INT) AS v FROM px GROUP BY id, x), {_runs('cp', 0.02, '0.40', 'c1')}, cm AS (SELECT *, CASE WHEN a - lag(z) OVER (PARTITION BY id ORDER BY a) - 1 <= greatest(2, round(0.08 * {WIDE})) THEN 0 ELSE 1 END AS new FROM c1),
 cg AS (SELECT *, sum(new) OVER (PARTITION BY id ORDER BY a) AS g FROM cm), cc AS (SELECT id, g AS k, min(a) AS x1, max(z) AS x2 FROM cg GROUP BY id, g HAVING max(z) - min(a) + 1 >= 3),
 rp AS (SELECT c.id, c.k, y AS i, avg(o::INT) AS v, sum(o::INT) AS filled FROM cc c JOIN px p ON c.id = p.id AND x BETWEEN x1 AND x2 GROUP BY c.id, c.k, y), {_runs('rp', 0.02, '0.35', 'rr')}, ry AS (SELECT id, k, min(a) AS y1, max(z) AS y2 FROM rr GROUP BY id, k),
-rt AS (SELECT c.id, c.k, x1, x2, y1, y2, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, (SELECT sum(filled) FROM rp WHERE rp.id = c.id AND rp.k = c.k AND i BETWEEN y1 AND y2) AS filled, (SELECT count(*) FROM bx WHERE bx.id = c.id AND bx.x + bx.w / 2 BETWEEN x1 AND x2) AS n FROM cc c JOIN ry ON c.id = ry.id AND c.k = ry.k),
+fl AS (SELECT ry.id, ry.k, sum(filled) AS filled FROM ry JOIN rp ON rp.id = ry.id AND rp.k = ry.k AND i BETWEEN y1 AND y2 GROUP BY ry.id, ry.k), nb AS (SELECT c.id, c.k, count(*) AS n FROM cc c JOIN bx ON bx.id = c.id AND bx.x + bx.w / 2 BETWEEN x1 AND x2 GROUP BY c.id, c.k),
+rt AS (SELECT c.id, c.k, x1, x2, y1, y2, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, filled, coalesce(n, 0) AS n FROM cc c JOIN ry ON c.id = ry.id AND c.k = ry.k JOIN fl ON c.id = fl.id AND c.k = fl.k LEFT JOIN nb ON c.id = nb.id AND c.k = nb.k),
 sc AS (SELECT *, 0.34 * least(1.0, n / 4) + 0.24 * greatest(0.0, 1 - abs(w / {WIDE} - 0.55) / 0.45) + 0.20 * greatest(0.0, 1 - abs(h / {HIGH} - 0.58) / 0.40) + 0.22 * least(1.0, filled / (w * h) / 0.42) - CASE WHEN x1 = 1 OR x2 = {WIDE} THEN 0.10 ELSE 0 END AS score FROM rt),
 pk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, x1) AS place FROM sc), pd AS (SELECT id, greatest(1, x1 - 2) AS x, greatest(1, y1 - 2) AS y, least({WIDE}, x2 + 2) AS xe, least({HIGH}, y2 + 2) AS ye FROM pk WHERE place = 1)
 SELECT id, x::DOUBLE AS x, y::DOUBLE AS y, greatest(2, xe - x + 1)::DOUBLE AS w, greatest(2, ye - y + 1)::DOUBLE AS h FROM pd"""))
 def row_crops(spark, d):
-    return plate_masks(spark, d).select("id", masks.best_crop(F.col("mask"), F.col("boxes")).alias("b")).where("b IS NOT NULL").select("id", "b.*")
+    return plate_masks(spark, d).select("id", F.explode(F.array_compact(F.array(masks.best_crop(F.col("mask"), F.col("boxes"))))).alias("b")).select("id", "b.*")
 
 
 @query(_double("""WITH s AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY v) AS i, v, count(*) OVER (PARTITION BY id) AS n FROM (SELECT vec_id AS id, unnest(embedding)::DOUBLE AS v FROM embeddings)), p AS (SELECT id, n, greatest(1, least(n, n * 42 / 100 + 0.5)) AS p FROM s GROUP BY id, n)
