@@ -258,8 +258,9 @@ def hint_layout(layout: Column, profile: Column) -> Column:
     return F.when(F.coalesce(layout, F.lit("")) != "", layout).when(profile == "two_row", "two_row").otherwise("unknown")
 
 
-def refined(t: Column, confidence: Column) -> Column:
-    """struct(text, label): a text with one letter cut from its end or its head where it looks more like a plate without it."""
+def refined(t: Column, confidence: Column, suffix: bool = True) -> Column:
+    """struct(text, label): a text with one letter cut from its end or its head where it looks more like a plate without it. A single
+    letter behind the digits is doubted only where plates may have one (suffix)."""
 
     def state(x: Column) -> Column:
         return F.struct(x.alias("t"), refinement_score(x).alias("score"), identify_state(x)["priority"].alias("priority"), shape(x).alias("shape"))
@@ -287,7 +288,7 @@ def refined(t: Column, confidence: Column) -> Column:
 
         return F.when(a["shape"]["p"] >= 2, let(state(F.substring(a["t"], F.lit(2), F.length(a["t"]))), of)).otherwise(same)
 
-    found = let(state(t), lambda x: let(tail(x), lambda y: let(weak(y), head)))
+    found = let(state(t), lambda x: let(tail(x), lambda y: let(weak(y), head) if suffix else head(y)))
     return F.when(t == "", F.struct(F.lit("").alias("text"), F.lit("").alias("label"))).otherwise(found)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plateflow.functions import text as texts
 from plateflow.functions.text import attempt_score, let, norm
 from plateflow.operators.repair import repaired
+from plateflow.settings import DEFAULTS
 
 # What an attempt counts by its source.
 SUPPORT = {"text_only": 1.0, "text_only_trimmed": 0.75, "full_plate": 0.70, "row_composite": 0.30, "rowwise_combo": 0.25, "hybrid_two_row": 0.25}
@@ -49,11 +50,18 @@ def best_rows(readings: DataFrame) -> DataFrame:
     return best.groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
 
 
-def _attempt(name, source, t: Column, conf: Column, score: Column, bonus: Column) -> Column:
-    return F.struct(name.alias("name"), source.alias("source"), t.alias("t"), conf.alias("conf"), score.alias("score"), (score + bonus).alias("total"))
+def _attempt(name, source, raw: Column, suffix: bool, conf: Column, score: Column, bonus: Column, success: Column, chars: Column) -> Column:
+    t = texts.canonical(raw, suffix)
+    return F.struct(name.alias("name"), source.alias("source"), t.alias("t"), raw.alias("raw"), conf.alias("conf"), score.alias("score"), (score + bonus).alias("total"), success.alias("success"), chars.alias("chars"))
 
 
-def _with_rows(attempts: Column, rows: Column, two_row: Column) -> Column:
+def _made(name: str, raw: Column, conf: Column, bonus: Column, suffix: bool) -> Column:
+    """An attempt that is put together from others."""
+    whole = F.struct(raw.alias("t"), conf.alias("conf"))
+    return let(whole, lambda x: _attempt(F.lit(name), F.lit(name), x["t"], suffix, x["conf"], attempt_score(texts.canonical(x["t"], suffix), x["conf"]), bonus, x["t"] != "", F.lit(None).cast("array<double>")))
+
+
+def _with_rows(attempts: Column, rows: Column, two_row: Column, suffix: bool) -> Column:
     """struct(all, best): the attempts with the readings that two rows give, and the best one (the earlier one of equals)."""
     first = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.when(x["total"] > a["total"], x).otherwise(a))
 
@@ -61,12 +69,12 @@ def _with_rows(attempts: Column, rows: Column, two_row: Column) -> Column:
         some = F.filter(rows, lambda r: r["text"] != "")
         conf = F.aggregate(some, F.lit(0.0), lambda a, r: a + texts.clamp(r["conf"])) / F.size(some)
         joined = F.array_join(F.transform(rows, lambda r: r["text"]), "")
-        combo = let(F.struct(joined.alias("t"), conf.alias("conf")), lambda x: _attempt(F.lit("rowwise_combo"), F.lit("rowwise_combo"), x["t"], x["conf"], attempt_score(x["t"], x["conf"]), F.when(two_row, ROWWISE).otherwise(0.0)))
+        combo = _made("rowwise_combo", joined, conf, F.when(two_row, ROWWISE).otherwise(0.0), suffix)
 
         def with_hybrid(c: Column) -> Column:
             now = F.when(c["total"] > best["total"], c).otherwise(best)
             letters, digits = F.regexp_extract(now["t"], "^([A-Z]{1,4})", 1), F.regexp_extract(F.get(rows, F.lit(1))["text"], "([0-9]{1,4})", 1)
-            mixed = let(F.struct(F.concat(letters, digits).alias("t"), ((now["conf"] + c["conf"]) / 2).alias("conf")), lambda x: _attempt(F.lit("hybrid_two_row"), F.lit("hybrid_two_row"), x["t"], x["conf"], attempt_score(x["t"], x["conf"]), F.lit(HYBRID)))
+            mixed = _made("hybrid_two_row", F.concat(letters, digits), (now["conf"] + c["conf"]) / 2, F.lit(HYBRID), suffix)
             made = two_row & (letters != "") & (digits != "")
             return let(mixed, lambda m: F.struct(F.when(made, F.concat(attempts, F.array(c, m))).otherwise(F.concat(attempts, F.array(c))).alias("all"), F.when(made & (m["total"] > now["total"]), m).otherwise(now).alias("best")))
 
@@ -77,7 +85,7 @@ def _with_rows(attempts: Column, rows: Column, two_row: Column) -> Column:
 
 
 def _named(a: Column, name: Column, t: Column) -> Column:
-    return F.struct(name.alias("name"), a["source"].alias("source"), t.alias("t"), a["conf"].alias("conf"), a["score"].alias("score"), a["total"].alias("total"))
+    return F.struct(name.alias("name"), a["source"].alias("source"), t.alias("t"), *(a[k].alias(k) for k in ("raw", "conf", "score", "total", "success", "chars")))
 
 
 def weak_suffix(best: Column, every: Column) -> Column:
@@ -120,29 +128,76 @@ def supported(best: Column, every: Column, two_row: Column) -> Column:
     return F.when(two_row, let(texts.shape(best["t"]), of)).otherwise(best)
 
 
-def chosen(attempts: DataFrame, hints: DataFrame) -> DataFrame:
-    """cand, layout, text, confidence, variant, attempted: the reading of each candidate before its repair, and all texts attempted.
-    attempts: cand, seq, name, source, layout, text, conf, success; hints: cand, layout, profile, rows (text and conf of the rows of
-    a plate, null for none). A candidate's attempts (fifty at most) are one fold: one shuffle, and one for the hints."""
-    h = hints.select("cand", F.col("layout").alias("_layout"), F.col("profile").alias("_profile"), F.col("rows").alias("_rows"))
-    by = attempts.groupBy("cand").agg(F.array_sort(F.collect_list(F.struct("seq", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success"))).alias("_a"))
-    layout = texts.hint_layout(F.col("_layout"), F.col("_profile"))
-    both = by.join(h, "cand", "left").withColumn("layout", layout).withColumn("_two", F.col("layout") == "two_row")
+def gathered(attempts: DataFrame, hints: DataFrame, *keys: str) -> DataFrame:
+    """keys, _a (the attempts in order), _h (layout, profile, rows): attempts and hints of a candidate meet in one shuffle, without a
+    join. attempts: keys, attempt (its place), name, source, layout, text, conf, success and, if there are any, chars (confidences of
+    the characters); hints: keys, layout, profile, rows (text and conf of the rows of a plate, null for none)."""
+    return _together(attempts, hints, None, *keys)
+
+
+def _together(attempts: DataFrame, hints: DataFrame, candidates: DataFrame | None, *keys: str) -> DataFrame:
+    chars = F.col("chars").cast("array<double>") if "chars" in attempts.columns else F.lit(None).cast("array<double>")
+    a = attempts.select(*keys, F.struct("attempt", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success", chars.alias("chars")).alias("_a"))
+    h = hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h"))
+    parts = [a, h] + ([candidates] if candidates is not None else [])
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p, allowMissingColumns=True)
+    more = [F.max("_c").alias("_c")] if candidates is not None else []
+    return whole.repartition(keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
+
+
+def read(together: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """Adds layout, text, confidence, variant, success, chars and attempted to what `gathered` makes: the reading of each candidate
+    before its repair, and all texts attempted. A candidate's attempts (fifty at most) are one fold. Without a suffix letter by the
+    settings each reading loses the letter behind a whole plate, and the steps for weak suffixes fall away."""
+    suffix = settings["classification"]["suffix_letter"]
+    profile = F.col("_h.profile")
+    both = together.withColumn("layout", texts.hint_layout(F.col("_h.layout"), profile)).withColumn("_two", F.col("layout") == "two_row")
 
     def rated(a: Column) -> Column:
-        score = F.when(a["success"], attempt_score(a["t"], a["conf"])).otherwise(-1.0)
-        return _attempt(a["name"], a["source"], a["t"], a["conf"], score, texts.variant_bonus(a["source"], a["layout"], F.col("_two"), F.col("_profile")))
-
-    rows = F.transform("_rows", lambda r: F.struct(norm(r["text"]).alias("text"), r["conf"].cast("double").alias("conf")))
-    staged = both.withColumn("_b", F.transform("_a", rated)).withColumn("_r", rows).withColumn("_x", _with_rows(F.col("_b"), F.col("_r"), F.col("_two")))
-    staged = staged.withColumn("_y", weak_suffix(F.col("_x.best"), F.col("_x.all"))).withColumn("_z", supported(F.col("_y"), F.col("_x.all"), F.col("_two")))
-    return staged.select("cand", "layout", F.col("_z.t").alias("text"), F.col("_z.conf").alias("confidence"), F.col("_z.name").alias("variant"), F.transform("_x.all", lambda a: a["t"]).alias("attempted"))
-
-
-def recognised(attempts: DataFrame, hints: DataFrame) -> DataFrame:
-    """cand, text, confidence, variant, layout, pattern, repaired: the reading of each candidate after repair and refinement."""
-    before = chosen(attempts, hints).withColumn("_gain", texts.least_gain(F.col("confidence"), F.col("layout")))
-    mended = repaired(before, "cand", "text", "_gain", "attempted").select("cand", F.col("text").alias("_mended"), F.col("changed").alias("repaired"))
-    both = before.join(mended, "cand").withColumn("_r", texts.refined(F.col("_mended"), F.col("confidence")))
-    variant = F.concat_ws("+", "variant", F.when(F.col("repaired"), "pattern_repair"), F.nullif(F.col("_r.label"), F.lit("")))
-    return both.select("cand", F.col("_r.text").alias("text"), "confidence", variant.alias("variant"), "layout", texts.pattern_label(F.col("_r.text")).alias("pattern"), "repaired")
+        score = F.when(a["success"], attempt_score(texts.canonical(a["t"], suffix), a["conf"])).otherwise(-1.0)
+        return _attempt(a["name"], a["source"], a["t"], suffix, a["conf"], score, texts.variant_bonus(a["source"], a["layout"], F.col("_two"), profile), a["success"], a["chars"])
+
+    rows = F.transform("_h.rows", lambda r: F.struct(texts.canonical(norm(r["text"]), suffix).alias("text"), r["conf"].cast("double").alias("conf")))
+    staged = both.withColumn("_b", F.transform("_a", rated)).withColumn("_r", rows).withColumn("_x", _with_rows(F.col("_b"), F.col("_r"), F.col("_two"), suffix))
+    staged = staged.withColumn("_y", weak_suffix(F.col("_x.best"), F.col("_x.all")) if suffix else F.col("_x.best")).withColumn("_z", supported(F.col("_y"), F.col("_x.all"), F.col("_two")))
+    none = {"text": F.lit(""), "confidence": F.lit(0.0), "variant": F.lit(""), "success": F.lit(False)}
+    named = {"text": "t", "confidence": "conf", "variant": "name", "success": "success"}
+    out = staged.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.transform("_x.all", lambda a: a["raw"])})
+    return out.drop("_a", "_h", "_two", "_b", "_r", "_x", "_y", "_z")
+
+
+def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS, *carried: str) -> DataFrame:
+    """keys, carried columns, text, confidence, variant, layout, pattern, repaired, success, characters (of the text, with the
+    confidence of each) and recognition (their mean): readings after repair and refinement. A reading goes through repair as one
+    record, so nothing is joined; where before is dealt by the keys, nothing is shuffled."""
+    record = F.struct("confidence", "variant", "layout", "success", "chars", *carried)
+    staged = before.select(*keys, "text", "attempted", texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
+    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r")
+    mended = mended.withColumn("_t", texts.refined(F.col("text"), F.col("_r.confidence"), settings["classification"]["suffix_letter"]))
+    steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_t.label"), F.lit(""))))
+    each = texts.expanded_confidence(F.col("_t.text"), F.col("_r.chars"), F.col("_r.confidence"))
+    made = mended.select(*keys, *(F.col(f"_r.{k}").alias(k) for k in carried), F.col("_t.text").alias("text"), F.col("_r.confidence").alias("confidence"), F.array_join(steps, "+").alias("variant"), F.col("_r.layout").alias("layout"), texts.pattern_label(F.col("_t.text")).alias("pattern"), F.col("changed").alias("repaired"), F.col("_r.success").alias("success"), each.alias("_each"))
+    out = made.withColumns({"characters": texts.top_candidates(texts.characters(F.col("text")), F.col("_each")), "recognition": recognition_score(F.col("_each"), F.col("confidence"))})
+    return out.drop("_each")
+
+
+def recognition_score(characters: Column, whole: Column) -> Column:
+    """The mean confidence of a text's characters; of the text, where there is none for characters; within 0 and 1."""
+    own = F.aggregate(characters, F.lit(0.0), lambda a, v: a + v) / F.size(characters)
+    return texts.clamp(F.coalesce(F.when(F.size(characters) > 0, own), whole, F.lit(0.0)))
+
+
+def _placed(attempts: DataFrame) -> DataFrame:
+    return attempts if "attempt" in attempts.columns else attempts.withColumnRenamed("seq", "attempt")
+
+
+def chosen(attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """cand, layout, text, confidence, variant, success, chars, attempted: see `read`. attempts: cand, seq, and the rest of `gathered`."""
+    return read(gathered(_placed(attempts), hints, "cand").where(F.size("_a") > 0), settings)
+
+
+def recognised(attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """The reading of each candidate that was attempted; see `finished`."""
+    return finished(chosen(attempts, hints, settings), ("cand",), settings)

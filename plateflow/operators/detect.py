@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plateflow.functions import geometry as g
-from plateflow.functions import layout
 from plateflow.functions.geometry import fit, iou
 from plateflow.functions.layout import mean
 from plateflow.functions.text import clamp
@@ -118,16 +117,6 @@ def horizontal_clusters(boxes: DataFrame, key: str) -> DataFrame:
     return gap.withColumn("cluster", (1 + F.sum("_new").over(by.rowsBetween(Window.unboundedPreceding, 0))).cast("int")).drop("_new", "_limit")
 
 
-def best_cluster(boxes: DataFrame, key: str, width: float, height: float) -> DataFrame:
-    """key and boxes: of a plate that should have two rows, the horizontal cluster that looks most like its text (the leftmost one of
-    equals); all boxes, if there are fewer than three. boxes: key, seq, x, y, w, h. One shuffle: clusters and choice share the key."""
-    entry = F.struct("seq", "x", "y", "w", "h")
-    clusters = horizontal_clusters(boxes, key).groupBy(key, "cluster").agg(F.array_sort(F.collect_list(entry)).alias("boxes"))
-    rated = clusters.withColumn("score", layout.cluster_score(F.col("boxes"), width, height, layout.split_rows(F.col("boxes"), height, 0.10)["two"]))
-    chosen = rated.groupBy(key).agg(F.max(F.struct("score", (-F.col("cluster")).alias("order"), "boxes")).alias("x"), F.array_sort(F.flatten(F.collect_list("boxes"))).alias("all"))
-    return chosen.select(key, F.when(F.size("all") < 3, F.col("all")).otherwise(F.col("x.boxes")).alias("boxes"))
-
-
 def summary(candidates: DataFrame) -> DataFrame:
     """image, best and n: the score of each image's best candidate, and how many it has."""
     return candidates.groupBy("image").agg(F.max("score").alias("best"), F.count("*").alias("n"))

@@ -22,8 +22,8 @@ def matched(results: DataFrame, expected: str, recognised: str) -> DataFrame:
     return results.withColumn("matched", (norm(F.col(expected)) == norm(F.col(recognised))) & (norm(F.col(expected)) != ""))
 
 
-def results(images: DataFrame, selected: DataFrame, *more: str) -> DataFrame:
-    """imagePath, status, plateText, stateName, confidence and more columns of selected of every image, one without a candidate too. images: image, path and, if
+def results(images: DataFrame, selected: DataFrame, *more: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """imagePath, status, plateText, stateName, confidence and more columns of selected (and those of images to keep) of every image, one without a candidate too. images: image, path and, if
     reading it failed, error; selected: image, text, score and success of its best candidate. An image's error is its own row's
     status; the others go on."""
     s = selected.select("image", F.col("text").alias("_t"), F.col("score").alias("_s"), F.col("success").alias("_ok"), *more)
@@ -32,7 +32,7 @@ def results(images: DataFrame, selected: DataFrame, *more: str) -> DataFrame:
     found = F.col("_t").isNotNull() & ~failed
     text = F.when(found, F.col("_t")).otherwise("")
     status = F.when(failed, ERROR).when(~found, NO_PLATE).when((text != "") & F.coalesce("_ok", F.lit(True)), OK).otherwise(NO_TEXT)
-    return x.select(F.col("path").alias("imagePath"), status.alias("status"), text.alias("plateText"), identify_state(text)["name"].alias("stateName"), F.when(found, F.col("_s")).otherwise(0.0).alias("confidence"), *(F.when(found, F.col(k)).alias(k) for k in more))
+    return x.select(F.col("path").alias("imagePath"), status.alias("status"), text.alias("plateText"), identify_state(text)["name"].alias("stateName"), F.when(found, F.col("_s")).otherwise(0.0).alias("confidence"), *(F.when(found, F.col(k)).alias(k) for k in more), *keep)
 
 
 def evaluation(manifest: DataFrame, found: DataFrame) -> DataFrame:

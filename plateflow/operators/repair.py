@@ -8,31 +8,33 @@ from pyspark.sql import functions as F
 from plateflow.functions.text import edit_count, norm, prefix_bonus, repair_candidates, repair_score, rule_candidates, rule_number, shape
 
 
-def candidates(texts: DataFrame, key: str, text: str, attempted: str | None = None, *more: str) -> DataFrame:
+def candidates(texts: DataFrame, key: str | tuple[str, ...], text: str, attempted: str | None = None, *more: str) -> DataFrame:
     """key, text (normalised), candidate and more columns: the distinct readings of each text and of the texts attempted (an array)."""
+    keys = (key,) if isinstance(key, str) else key
     t = norm(F.col(text))
     read = lambda x: F.concat(repair_candidates(x), rule_candidates(x))
     found = read(F.col("text"))
-    rows = texts.select(key, t.alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
+    rows = texts.select(*keys, t.alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
     if attempted:
         others = F.filter(F.transform(F.coalesce("_others", F.array().cast("array<string>")), norm), lambda x: x != "")
         found = F.concat(found, F.flatten(F.transform(others, read)))
-    return rows.select(key, "text", *more, F.explode(F.array_distinct(found)).alias("candidate"))
+    return rows.select(*keys, "text", *more, F.explode(F.array_distinct(found)).alias("candidate"))
 
 
-def repaired(texts: DataFrame, key: str, text: str, gain: str, attempted: str | None = None) -> DataFrame:
-    """key, text, score, original, original_score, edits, changed, label. Goes through a text's candidates in order and changes to
-    one that beats the best so far by gain (a column). An edit costs .015; a rule whose token has several characters adds .18, and
-    .04 more from priority 90 on. key tells texts apart. Empty texts stay as they are."""
+def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str, attempted: str | None = None, *carried: str) -> DataFrame:
+    """key, text, score, original, original_score, edits, changed, label and the carried columns. Goes through a text's candidates in
+    order and changes to one that beats the best so far by gain (a column). An edit costs .015; a rule whose token has several
+    characters adds .18, and .04 more from priority 90 on. key (one column or several) tells texts apart. Empty texts stay as they are."""
+    keys = (key,) if isinstance(key, str) else key
     c, t = F.col("candidate"), F.col("text")
-    rows = candidates(texts, key, text, attempted, gain)
-    shaped = rows.select(key, "text", gain, "candidate", shape(c).alias("s"), shape(t).alias("o"), rule_number(c).alias("number"))
+    rows = candidates(texts, keys, text, attempted, gain, *carried)
+    shaped = rows.select(*keys, "text", gain, *carried, "candidate", shape(c).alias("s"), shape(t).alias("o"), rule_number(c).alias("number"))
     own = F.when(c == t, 0.0).otherwise(prefix_bonus(F.col("number")) - 0.015 * edit_count(t, c))
-    scored = shaped.select(key, "text", gain, F.struct("candidate", (repair_score(c, F.col("s"), F.col("o"), F.col("number")) + own).alias("score")).alias("x"))
-    found = scored.groupBy(key).agg(F.first("text").alias("text"), F.first(gain).alias("_gain"), F.array_sort(F.collect_list("x")).alias("_c"))
+    scored = shaped.select(*keys, "text", gain, *carried, F.struct("candidate", (repair_score(c, F.col("s"), F.col("o"), F.col("number")) + own).alias("score")).alias("x"))
+    found = scored.groupBy(*keys).agg(F.first("text").alias("text"), F.first(gain).alias("_gain"), *(F.first(k).alias(k) for k in carried), F.array_sort(F.collect_list("x")).alias("_c"))
     first = F.get(F.filter("_c", lambda x: x["candidate"] == t), F.lit(0))
     best = F.aggregate("_c", F.col("_first"), lambda a, x: F.when((x["candidate"] != t) & (x["score"] > a["score"] + F.col("_gain")), x).otherwise(a))
     out = found.withColumn("_first", first).withColumn("_best", F.when(t == "", F.col("_first")).otherwise(best))
     some = lambda x: F.when(t == "", 0.0).otherwise(F.col(x))
     changed = F.col("_best.candidate") != t
-    return out.select(key, F.col("_best.candidate").alias("text"), some("_best.score").alias("score"), t.alias("original"), some("_first.score").alias("original_score"), edit_count(t, F.col("_best.candidate")).alias("edits"), changed.alias("changed"), F.when(changed, "pattern_repair").otherwise("").alias("label"))
+    return out.select(*keys, *carried, F.col("_best.candidate").alias("text"), some("_best.score").alias("score"), t.alias("original"), some("_first.score").alias("original_score"), edit_count(t, F.col("_best.candidate")).alias("edits"), changed.alias("changed"), F.when(changed, "pattern_repair").otherwise("").alias("label"))

@@ -6,29 +6,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plateflow.functions import masks
 from plateflow.functions import text as texts
 from plateflow.functions.geometry import overlap
 from plateflow.functions.layout import mean
+from plateflow.operators.attempts import recognition_score
 from plateflow.settings import DEFAULTS
 
 OVERLAP = DEFAULTS["reranking"]["overlap"]
+recognition = recognition_score
 
 
 def overlap_pairs(candidates: DataFrame, least: float = OVERLAP) -> DataFrame:
     """image, a, b, overlap for a < b that overlap. An image has at most as many candidates as non-maximum suppression keeps."""
     left = candidates.select("image", F.col("seq").alias("a"), F.col("box").alias("_a"))
     right = candidates.select("image", F.col("seq").alias("b"), F.col("box").alias("_b"))
-    pairs = left.join(right, "image").where("a < b").withColumn("overlap", F.round(overlap(F.col("_a"), F.col("_b")), 6))
+    pairs = left.join(right, "image").where("a < b").withColumn("overlap", overlap(F.col("_a"), F.col("_b")))
     return pairs.where(F.col("overlap") >= least).drop("_a", "_b")
 
 
-def adjusted(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """image, seq, score, reason: scores and reasons after adjustments, pairs of an image in order of score. Of an overlapping pair
-    where one text holds the other, the longer gains and the contained one loses; where plates have no letter at their end and the
-    longer one is the other with letters behind, it is the other way round. Each step stays within 0 and 1. candidates: image, seq,
-    box, text, score. An image's candidates (a few dozen at most, as suppression keeps them) are one fold: one shuffle."""
+def adjusted(candidates: DataFrame, settings: dict = DEFAULTS, score: str = "score", reason: str = "reason") -> DataFrame:
+    """All columns of the candidates, their score and reason after adjustments, pairs of an image in order of score (then of seq). Of
+    an overlapping pair where one text holds the other, the longer gains and the contained one loses; where plates have no letter at
+    their end and the longer one is the other with letters behind, it is the other way round. Each step stays within 0 and 1.
+    candidates: image, seq, box, text, score. An image's candidates (a few dozen at most, as suppression keeps them) are one fold:
+    one shuffle, and each keeps its whole record, so nothing is joined."""
     r, suffix = settings["reranking"], settings["classification"]["suffix_letter"]
-    entry = F.struct((-F.col("score")).alias("order"), "seq", "box", texts.norm(F.col("text")).alias("t"), F.col("score").alias("s"), F.lit("").alias("why"))
+    if reason not in candidates.columns:
+        candidates = candidates.withColumn(reason, F.lit(""))
+    rest = [c for c in candidates.columns if c not in ("image", score, reason)]
+    entry = F.struct((-F.col(score)).alias("order"), "seq", "box", texts.norm(F.col("text")).alias("t"), F.col(score).alias("s"), F.col(reason).alias("why"), F.struct(*rest).alias("r"))
     ordered = candidates.groupBy("image").agg(F.array_sort(F.collect_list(entry)).alias("c"))
 
     def pair(a: Column, b: Column) -> Column:
@@ -42,7 +49,7 @@ def adjusted(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
             bad = lambda x, y: x.startswith(y) & x.rlike("^[A-Z]*[0-9]*[A-Z]+$") & y.rlike("^[A-Z]{1,4}[0-9]{1,4}$")
             longer = F.when(bad(a["t"], b["t"]), gain(-r["overlap_suffix_penalty"], "overlap_forbidden_suffix_penalty")).otherwise(fuller)
             shorter = F.when(bad(b["t"], a["t"]), gain(r["overlap_base_bonus"], "overlap_exact_base_bonus")).otherwise(part)
-        near = F.round(overlap(a["box"], b["box"]), 6) >= r["overlap"]
+        near = overlap(a["box"], b["box"]) >= r["overlap"]
         return F.when(near & holds(a["t"], b["t"]), longer).when(near & holds(b["t"], a["t"]), shorter)
 
     def one(a: Column) -> Column:
@@ -50,8 +57,8 @@ def adjusted(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
         steps = F.filter(F.transform("c", lambda b: F.when(a["seq"] != b["seq"], pair(a, b))), lambda x: x.isNotNull())
         return F.aggregate(steps, F.struct(a["s"].alias("s"), a["why"].alias("why")), lambda acc, x: F.struct(F.least(F.lit(1.0), F.greatest(F.lit(0.0), acc["s"] + x["d"])).alias("s"), F.concat(acc["why"], x["why"]).alias("why")))
 
-    out = ordered.select("image", F.explode(F.transform("c", lambda a: F.struct(a["seq"].alias("seq"), one(a).alias("x")))).alias("e"))
-    return out.select("image", "e.seq", F.round("e.x.s", 6).alias("score"), F.col("e.x.why").alias("reason"))
+    out = ordered.select("image", F.explode(F.transform("c", lambda a: F.struct(a["r"].alias("r"), one(a).alias("x")))).alias("e"))
+    return out.select("image", *(F.col(f"e.r.{c}").alias(c) for c in rest), F.col("e.x.s").alias(score), F.col("e.x.why").alias(reason))
 
 
 def selected(scored: DataFrame) -> DataFrame:
@@ -61,12 +68,18 @@ def selected(scored: DataFrame) -> DataFrame:
 
 
 def with_final_score(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """Adds final_score, scores (its parts) and reason. candidates: text (normalised), detector, evidence, recognition, framing and
-    left_margin. What the text says counts by how far its reading is trusted; bonuses and penalties go by the scores as they are. One
+    """Adds final_score, scores (its parts) and reason. candidates: text (normalised), detector, evidence, recognition, and either
+    frame_mask and frame_profile (the plate's mask and the columns of its middle band; framing, left_margin, right_margin and
+    frame_label follow from them) or framing and left_margin as they are. What the text says counts by how far its reading is trusted; bonuses and penalties go by the scores as they are. One
     projection."""
     r, suffix = settings["reranking"], settings["classification"]["suffix_letter"]
+    if {"frame_mask", "frame_profile"} <= set(candidates.columns):
+        seen = masks.framing(F.col("text"), F.col("layout"), F.col("frame_mask"), F.col("frame_profile"))
+        framed = candidates.withColumn("_f", seen)
+        candidates = framed.withColumns({"framing": F.col("_f.score"), "left_margin": F.col("_f.left"), "right_margin": F.col("_f.right"), "frame_label": F.col("_f.label")}).drop("_f")
+    label = F.col("frame_label") if "frame_label" in candidates.columns else F.when(F.col("text") != "", "text_band").otherwise("unknown")
     t, rec = F.col("text"), texts.clamp(F.col("recognition"))
-    c = {"t": t, "rec": rec, "det": texts.clamp(F.col("detector")), "ev": texts.clamp(F.col("evidence")), "frame": F.col("framing"), "left": F.col("left_margin"), "regex": texts.regex_score(t), "comp": texts.composition_score(t), "len": texts.length_score(t), "struct": texts.structure_score(t), "prefix": texts.prefix_plausibility(t), "shape": texts.shape(t), "weak": texts.clamp((r["weak_ocr"] - rec) / r["weak_ocr"]), "name": texts.identify_state(t)["name"]}
+    c = {"t": t, "rec": rec, "det": texts.clamp(F.col("detector")), "ev": texts.clamp(F.col("evidence")), "frame": F.col("framing"), "left": F.col("left_margin"), "regex": texts.regex_score(t), "comp": texts.composition_score(t), "len": texts.length_score(t), "struct": texts.structure_score(t), "prefix": texts.prefix_plausibility(t), "shape": texts.shape(t), "weak": texts.clamp((r["weak_ocr"] - rec) / r["weak_ocr"]), "name": texts.identify_state(t)["name"], "label": label}
 
     def of(x):
         w = lambda cond, v: F.when(cond, v).otherwise(0.0)
@@ -85,12 +98,12 @@ def with_final_score(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFr
         final = texts.clamp(base + bonus - penalty)
         # The regex, composition and structure scores as they are (not by trust) stand in the report.
         kept = {**parts, "composition": x["comp"], "length": x["len"], "structure": x["struct"]}
-        labels = {"Detector": F.format_string("%.2f", x["det"]), "Plate": F.format_string("%.2f", x["ev"]), "OCR": F.format_string("%.2f", x["rec"]), "Regex": texts.regex_label(x["t"]), "Struct": texts.structure_label(x["t"]), "Frame": F.when(some, "text_band").otherwise("empty"), "Length": texts.length_label(x["t"]), "State": x["name"], "Text": x["t"]}
+        labels = {"Detector": F.format_string("%.2f", x["det"]), "Plate": F.format_string("%.2f", x["ev"]), "OCR": F.format_string("%.2f", x["rec"]), "Regex": texts.regex_label(x["t"]), "Struct": texts.structure_label(x["t"]), "Frame": x["label"], "Length": texts.length_label(x["t"]), "State": x["name"], "Text": x["t"]}
         reason = F.concat_ws(", ", *(F.concat(F.lit(f"{k}="), v) for k, v in labels.items()))
         return F.struct(final.alias("final"), F.struct(*(v.alias(k) for k, v in kept.items())).alias("scores"), reason.alias("reason"))
 
     made = candidates.withColumn("_x", texts.let(F.struct(*(v.alias(k) for k, v in c.items())), of))
-    return made.withColumns({"final_score": F.round("_x.final", 6), "scores": F.col("_x.scores"), "reason": F.col("_x.reason")}).drop("_x")
+    return made.withColumns({"final_score": F.col("_x.final"), "scores": F.col("_x.scores"), "reason": F.col("_x.reason")}).drop("_x")
 
 
 def evidence(candidates: DataFrame) -> Column:
@@ -100,12 +113,6 @@ def evidence(candidates: DataFrame) -> Column:
     return texts.clamp(parts - 0.35 * has("empty", 1.0))
 
 
-def recognition(characters: Column, whole: Column) -> Column:
-    """The mean confidence of a text's characters; of the text, where there is none for characters; within 0 and 1."""
-    own = F.aggregate(characters, F.lit(0.0), lambda a, v: a + v) / F.size(characters)
-    return texts.clamp(F.coalesce(F.when(F.size(characters) > 0, own), whole, F.lit(0.0)))
-
-
 def layout_of(recognised: Column, rectified: Column, detected: Column, profile: Column) -> Column:
     """The first of three layouts that is known; else two_row by the profile, else unknown."""
     some = lambda x: F.nullif(x, F.lit(""))

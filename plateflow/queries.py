@@ -298,9 +298,9 @@ def box_map(spark, d):
 
 
 @query(f"""WITH {B}, p AS (SELECT a.image, a.seq AS a, b.seq AS b, {IOU('a', 'b')} AS i, a.w * a.h AS p, b.w * b.h AS q FROM boxes a JOIN boxes b ON a.image = b.image AND a.seq < b.seq),
-o AS (SELECT image, a, b, round(greatest(CASE WHEN p + q - i <= 0 THEN 0 ELSE i / (p + q - i) END, i / greatest(least(p, q), 2.220446049250313e-16)), 6) AS overlap FROM p) SELECT * FROM o WHERE overlap >= 0.42""")
+o AS (SELECT image, a, b, greatest(CASE WHEN p + q - i <= 0 THEN 0 ELSE i / (p + q - i) END, i / greatest(least(p, q), 2.220446049250313e-16)) AS overlap FROM p) SELECT image, a, b, round(overlap, 6) AS overlap FROM o WHERE overlap >= 0.42""")
 def iou_pairs(spark, d):
-    return rerank.overlap_pairs(boxes(spark, d))
+    return rerank.overlap_pairs(boxes(spark, d)).withColumn("overlap", F.round("overlap", 6))
 
 
 @query(f"""WITH {B}, o AS (SELECT image, list({{'seq': seq, 'x': x, 'y': y, 'w': w, 'h': h}} ORDER BY score DESC, seq) AS c FROM boxes GROUP BY image),
@@ -331,7 +331,7 @@ def _adjusted(suffix: bool) -> str:
     return f"""{TEXTED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, seq) AS r FROM texted),
 p AS (SELECT a.image, a.seq, a.r AS a, b.r AS b, a.text AS x, b.text AS y, {IOU('a', 'b')} AS i, a.w * a.h AS p, b.w * b.h AS q FROM ranked a JOIN ranked b ON a.image = b.image AND a.seq <> b.seq),
 o AS (SELECT *, CASE WHEN length(x) > length(y) AND contains(x, y) AND y <> '' THEN CASE {longer} WHEN true THEN {fuller} END WHEN length(y) > length(x) AND contains(y, x) AND x <> '' THEN CASE {shorter} WHEN true THEN {part} END END AS g
-  FROM p WHERE round(greatest(CASE WHEN p + q - i <= 0 THEN 0 ELSE i / (p + q - i) END, i / greatest(least(p, q), 2.220446049250313e-16)), 6) >= 0.42),
+  FROM p WHERE greatest(CASE WHEN p + q - i <= 0 THEN 0 ELSE i / (p + q - i) END, i / greatest(least(p, q), 2.220446049250313e-16)) >= 0.42),
 l AS (SELECT image, seq, list(g.d ORDER BY b) AS ds, string_agg(g.why, '' ORDER BY b) AS reason FROM o WHERE g IS NOT NULL GROUP BY image, seq),
 adj AS (SELECT x.image, x.seq, round(CASE WHEN ds IS NULL THEN score ELSE list_reduce(list_prepend(score, ds), lambda acc, v: least(1.0, greatest(0.0, acc + v))) END, 6) AS score, coalesce(reason, '') AS reason FROM texted x LEFT JOIN l ON x.image = l.image AND x.seq = l.seq)"""
 
@@ -339,19 +339,23 @@ adj AS (SELECT x.image, x.seq, round(CASE WHEN ds IS NULL THEN score ELSE list_r
 ADJUSTED = _adjusted(True)
 
 
+def _moved(x):
+    return x.select("image", "seq", F.round("score", 6).alias("score"), "reason")
+
+
 @query(f"WITH {ADJUSTED} SELECT * FROM adj")
 def overlap_adjust(spark, d):
-    return rerank.adjusted(_texted(spark, d))
+    return _moved(rerank.adjusted(_texted(spark, d)))
 
 
 @query(f"WITH {_adjusted(False)} SELECT * FROM adj")
 def overlap_adjust_no_suffix(spark, d):
-    return rerank.adjusted(_texted(spark, d), settings({"classification": {"suffix_letter": False}}))
+    return _moved(rerank.adjusted(_texted(spark, d), settings({"classification": {"suffix_letter": False}})))
 
 
 @query(f"WITH {ADJUSTED}, r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, seq) AS k FROM adj) SELECT image, seq, score FROM r WHERE k = 1")
 def rerank_select(spark, d):
-    return rerank.selected(rerank.adjusted(_texted(spark, d)))
+    return rerank.selected(_moved(rerank.adjusted(_texted(spark, d))))
 
 
 _T = A.replace("tries AS (", "raw AS (") + f", shaped AS (SELECT *, {S['p']} AS p, {S['d']} AS d, {S['s']} AS s, {S['o']} AS o, length(t) AS n FROM (SELECT cand, seq, source, {_norm('text')} AS t, conf FROM raw))"
@@ -492,7 +496,7 @@ fin AS (SELECT image, seq, (0.20 * det + 0.16 * ev + 0.12 * rec + 0.19 * least(1
 @query(f"WITH {_double(FINAL)} SELECT image, seq, round(least(1.0, greatest(0.0, f))::DOUBLE, 6) AS final_score FROM fin")
 def rerank_score(spark, d):
     x = _texted(spark, d).withColumns({"detector": F.col("score"), "evidence": F.col("box.x") / 40, "recognition": F.col("box.w") / 300, "framing": F.col("box.y") / 20, "left_margin": F.col("seq") % 5 / 100})
-    return rerank.with_final_score(x).select("image", "seq", "final_score")
+    return rerank.with_final_score(x).select("image", "seq", F.round("final_score", 6).alias("final_score"))
 
 
 def glyphs(spark: SparkSession, d: str) -> DataFrame:
@@ -777,7 +781,7 @@ def candidate_evidence(spark, d):
 @query(f"WITH {_double(FINAL)}, judged AS (SELECT f.image, f.seq, t, round(least(1.0, greatest(0.0, f))::DOUBLE, 6) AS score, det, ev, frame FROM fin f JOIN sc ON f.image = sc.image AND f.seq = sc.seq), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, seq)::INT AS rank FROM judged) SELECT image, rank AS \"Rank\", score AS \"FinalScore\", round(det, 6) AS \"Detector\", round(frame, 6) AS \"Framing\", length(t)::INT AS \"TextLength\", t AS \"RecognizedText\", {_rule('t', 0, chr(39) + 'Unknown' + chr(39))} AS \"StateName\" FROM r WHERE rank <= 10")
 def evaluated_report(spark, d):
     x = _texted(spark, d).withColumns({"detector": F.col("score"), "evidence": F.col("box.x") / 40, "recognition": F.col("box.w") / 300, "framing": F.col("box.y") / 20, "left_margin": F.col("seq") % 5 / 100})
-    full = rerank.report(rerank.with_final_score(x))
+    full = rerank.report(rerank.with_final_score(x).withColumn("final_score", F.round("final_score", 6)))
     return full.select("image", "Rank", "FinalScore", F.round("Detector", 6).alias("Detector"), F.round("Framing", 6).alias("Framing"), "TextLength", "RecognizedText", "StateName")
 
 
@@ -802,21 +806,6 @@ def end_to_end(spark, d):
     return recognition.results(_images(spark, d), x, tried, hints).withColumn("confidence", F.round("confidence", 6))
 
 
-@query(_double(f"""WITH {GLYPHS}, m AS (SELECT image, greatest(4, 0.85 * median(w)) AS lim FROM glyphs GROUP BY image),
-f AS (SELECT g.*, CASE WHEN x - max(x + w) OVER (PARTITION BY g.image ORDER BY x, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > lim THEN 1 ELSE 0 END AS new FROM glyphs g JOIN m ON g.image = m.image),
-c AS (SELECT *, y + h / 2 AS cy, 1 + sum(new) OVER (PARTITION BY image ORDER BY x, seq ROWS UNBOUNDED PRECEDING) AS cluster FROM f),
-o AS (SELECT *, row_number() OVER w - 1 AS k, cy - lag(cy) OVER w AS step FROM c WINDOW w AS (PARTITION BY image, cluster ORDER BY cy, seq)), m2 AS (SELECT image, cluster, max(step) AS gap FROM o GROUP BY ALL),
-cuts AS (SELECT o.image, o.cluster, max(gap) AS gap, min(k) AS cut FROM o JOIN m2 ON o.image = m2.image AND o.cluster = m2.cluster AND step = gap GROUP BY o.image, o.cluster),
-s AS (SELECT image, cluster, count(*) AS n, avg(h) AS mh, floor(min(x)) AS x1, floor(min(y)) AS y1, ceil(max(x + w)) AS x2, ceil(max(y + h)) AS y2, sum(w * h) AS filled, list(seq ORDER BY seq) AS seqs FROM c GROUP BY image, cluster),
-r AS (SELECT s.*, 0.28 * least(1.0, n / 6) + 0.24 * least(1.0, filled / ((x2 - x1) * (y2 - y1))) + 0.20 * greatest(0.0, 1 - abs((x2 - x1) / 240 - 0.30) / 0.32) + 0.14 * greatest(0.0, 1 - abs((y2 - y1) / 100 - 0.48) / 0.40) + 0.08 * greatest(0.0, 1 - abs(x1 + (x2 - x1) / 2 - 120) / 132)
-  + 0.06 * CASE WHEN n >= 4 AND gap >= greatest(0.45 * mh, 10.0) AND cut >= 2 AND n - cut >= 2 THEN 1.0 ELSE 0.28 END AS score FROM s LEFT JOIN cuts ON s.image = cuts.image AND s.cluster = cuts.cluster),
-b AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY score DESC, cluster) AS k, sum(n) OVER (PARTITION BY image) AS every FROM r), a AS (SELECT image, list(seq ORDER BY seq) AS seqs FROM c GROUP BY image)
-SELECT b.image, array_to_string(CASE WHEN every < 3 THEN a.seqs ELSE b.seqs END, ',') AS seqs FROM b JOIN a ON b.image = a.image WHERE k = 1"""))
-def best_cluster(spark, d):
-    x = glyphs(spark, d).select("image", F.explode("boxes").alias("b")).select("image", "b.*")
-    return detect.best_cluster(x, "image", 240.0, 100.0).select("image", F.array_join(F.transform("boxes", lambda b: b["seq"].cast("string")), ",").alias("seqs"))
-
-
 @query(_double(f"WITH {_rows_sql(layout.RECTIFIED, 0.10)}, u AS (SELECT image, 'top' AS row, t FROM rowed WHERE is_two UNION ALL SELECT image, 'bottom', b FROM rowed WHERE is_two), v AS (SELECT image, row, floor(t.x1) AS x1, floor(t.y1) AS y1, greatest(1.0, ceil(t.x2) - floor(t.x1)) AS w, greatest(1.0, ceil(t.y2) - floor(t.y1)) AS h FROM u), "
   "p AS (SELECT image, row, greatest(1.0, floor(x1 - w * 0.07)) AS x, greatest(1.0, floor(y1 - h * 0.07)) AS y, least(240.0, ceil(x1 + w + w * 0.07)) AS x2, least(100.0, ceil(y1 + h + h * 0.07)) AS y2 FROM v) SELECT image, row, x, y, greatest(1.0, x2 - x) AS w, greatest(1.0, y2 - y) AS h FROM p"))
 def row_bounds(spark, d):

@@ -2,43 +2,63 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plateflow.functions import geometry
 from plateflow.operators import attempts as tries
 from plateflow.operators import detect, evaluate, rerank
 from plateflow.settings import DEFAULTS
 
+#: Width and height of an image where none are given: boxes are cut at no edge.
+ENDLESS = (float("inf"), float("inf"))
+#: How a text was found, and what a result says of its way.
+PATH, DONE, NO_TEXT, NO_PLATE = "ocr", "recognised", "a plate was found, but no text on it", "no candidate has passed"
 
-def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """The best candidates of each image with their readings and scores: image, seq, box, detector, evidence, recognition, framing,
-    text, confidence, variant, layout, profile, branch, final_score (after the adjustments between overlapping candidates), reason.
-
-    candidates: image, seq, box, score, and what else the detector knows of them, framing and left_margin among it; attempts and
-    hints as in `attempts.recognised`, keyed by image and seq in place of cand. A candidate without attempts has no text."""
-    key = F.concat_ws("/", "image", "seq").alias("cand")
-    best = detect.top_k(rerank.normalised(candidates), settings["reranking"]["evaluate"]).drop("rank")
-    read = tries.recognised(attempts.select(key, F.col("attempt").alias("seq"), "name", "source", "layout", "text", "conf", "success"), hints.select(key, "layout", "profile", "rows"))
-    read = read.select(F.col("cand").alias("_cand"), "text", "confidence", "variant", F.col("layout").alias("_layout"))
-    both = best.withColumn("_cand", F.concat_ws("/", "image", "seq")).join(read, "_cand", "left")
-    ready = both.withColumns({
-        "text": F.coalesce("text", F.lit("")),
-        "detector": F.col("score"),
-        "evidence": rerank.evidence(best),
-        "recognition": F.coalesce("confidence", F.lit(0.0)),
-        "layout": rerank.layout_of(F.col("_layout"), F.lit(None).cast("string"), F.col("layout"), F.col("profile")),
-    }).drop("_cand", "_layout")
-    scored = rerank.with_final_score(ready, settings)
-    adjusted = rerank.adjusted(scored.select("image", "seq", "box", "text", F.col("final_score").alias("score")), settings)
-    after = adjusted.select("image", "seq", F.col("score").alias("_score"), F.col("reason").alias("_why"))
-    out = scored.join(after, ["image", "seq"])
-    return out.withColumns({"final_score": F.col("_score"), "reason": F.concat("reason", "_why")}).drop("_score", "_why")
-
-
-def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """imagePath, status, plateText, stateName, confidence, profile, layout and variant of each image: its candidate of the greatest
-    final score (the one of greater detector score, then the earlier one, of equals). One image's error does not touch the others."""
-    x = evaluated(candidates, attempts, hints, settings)
-    best = x.groupBy("image").agg(F.max(F.struct("final_score", "detector", (-F.col("seq")).alias("order"), "text", "profile", "layout", "variant")).alias("x"))
-    chosen = best.select("image", F.col("x.text").alias("text"), F.col("x.final_score").alias("score"), F.lit(True).alias("success"), F.col("x.profile").alias("profile"), F.col("x.layout").alias("layout"), F.col("x.variant").alias("variant"))
-    return evaluate.results(images, chosen, "profile", "layout", "variant")
+
+def padded(box: Column, size: tuple, settings: dict = DEFAULTS) -> Column:
+    """A candidate's box with the margins that its text is read with, and the least height that reading needs."""
+    d, r = settings["detection"], settings["rectification"]
+    return geometry.at_least_high(geometry.pad(box, *(d["padding"],) * 3, *size), r["min_crop_height"], size[1])
+
+
+def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
+    """The best candidates of each image with their readings and scores: image, seq, candidate (its place by detector score), box (with
+    margins), raw_box, what the candidates hold, detector, evidence, text, confidence, recognition, characters, success, variant,
+    layout, pattern, repaired, scores, before (the score before adjustments), final_score (after the adjustments between overlapping
+    candidates) and reason.
+
+    candidates: image, seq, box, score, and what else the detector knows of them, framing and left_margin or frame_mask and
+    frame_profile among it; attempts and hints as in `attempts.gathered`, keyed by image and seq. A candidate without attempts has no
+    text. size: width and height of the images, numbers or columns of the candidates.
+
+    All that belongs to an image is dealt by it once and stays there: the three tables come together in one grouping without a join,
+    and a candidate's record goes whole through repair and adjustment."""
+    full = rerank.normalised(candidates)
+    own = full.select("image", "seq", F.struct(*(c for c in full.columns if c not in ("image", "seq")), padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
+    whole = tries._together(attempts, hints, own, "image", "seq").where("_c IS NOT NULL").withColumn("score", F.col("_c.score"))
+    best = detect.top_k(whole, settings["reranking"]["evaluate"]).withColumnRenamed("rank", "candidate").drop("score")
+    read = tries.finished(tries.read(best, settings), ("image", "seq"), settings, "_c", "candidate")
+    taken = {"box", "layout"} | set(read.columns)
+    rest = [k for k in own.schema["_c"].dataType.names if k not in taken and k != "_padded"]
+    ready = read.select("image", "seq", "candidate", F.col("_c._padded").alias("box"), F.col("_c.box").alias("raw_box"), *(F.col(f"_c.{k}").alias(k) for k in rest), F.col("_c.score").alias("detector"), "text", "confidence", "recognition", "characters", "success", "variant", "pattern", "repaired", rerank.layout_of(F.col("layout"), F.lit(None).cast("string"), F.col("_c.layout"), F.col("_c.profile")).alias("layout"))
+    scored = rerank.with_final_score(ready.withColumn("evidence", rerank.evidence(ready)), settings)
+    # Of equal scores the better candidate by its detector comes first.
+    placed = scored.withColumns({"before": F.col("final_score"), "_seq": F.col("seq"), "seq": F.col("candidate")})
+    return rerank.adjusted(placed, settings, "final_score").withColumn("seq", F.col("_seq")).drop("_seq")
+
+
+def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
+    """imagePath, status, plateText, stateName, confidence, profile, layout, variant, box (as detected), score (the detector's), way,
+    messages and evaluated (all evaluated candidates, best first) of each image: its candidate of the greatest final score, of equals
+    the one of greater score before adjustments, then of greater detector score. One image's error does not touch the others."""
+    x = evaluated(candidates, attempts, hints, settings, size)
+    record = F.struct("candidate", "seq", "box", "raw_box", "branch", "profile", "layout", "scale", "detector", "evidence", "text", "pattern", "characters", "recognition", "confidence", "success", "variant", "scores", "before", "final_score", "reason")
+    by = F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("a"), (-F.col("before")).alias("b"), "candidate", record.alias("r"))))
+    best = x.groupBy("image").agg(F.transform(by, lambda e: e["r"]).alias("evaluated")).withColumn("x", F.get("evaluated", F.lit(0)))
+    chosen = best.select("image", F.col("x.text").alias("text"), F.col("x.final_score").alias("score"), "x.success", "x.profile", "x.layout", "x.variant", F.col("x.raw_box").alias("box"), F.col("x.detector").alias("_detector"), F.lit(PATH).alias("way"), "x.candidate", "evaluated")
+    out = evaluate.results(images, chosen, "profile", "layout", "variant", "box", "_detector", "way", "candidate", "evaluated", keep=("error",) if "error" in images.columns else ())
+    selected = F.format_string("candidate %d was chosen by its text", F.col("candidate"))
+    said = F.when(F.col("status") == evaluate.OK, F.array(F.lit(DONE), selected)).when(F.col("status") == evaluate.NO_TEXT, F.array(F.lit(NO_TEXT), selected)).when(F.col("status") == evaluate.NO_PLATE, F.array(F.lit(NO_PLATE)))
+    error = F.array_compact(F.array(F.col("error") if "error" in out.columns else F.lit(None).cast("string")))
+    return out.withColumns({"messages": F.coalesce(said, error), "score": F.coalesce("_detector", F.lit(0.0))}).drop("_detector", "candidate", "error")
