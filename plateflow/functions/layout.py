@@ -195,3 +195,16 @@ def cluster_score(boxes: Column, width: float, height: float, two_rows: Column)
 def row_boxes(rows: list[Column], width: int, height: int, padding: float = 0.06) -> Column:
     """A box with margins around each of a plate's rows of boxes."""
     return F.array(*(pad(whole_union(r), *(0.04 + 0.5 * padding,) * 3, width, height) for r in rows))
+
+
+def text_evidence(bright: Column, dark: Column, variance: Column, gradient: Column) -> Column:
+    """struct(texture, contrast, alignment, count, empty, layout, rows, single, two): what a picture shows of text, by the evidence
+    (of layout_evidence, and contrast) of its bright or of its dark mask, whichever is stronger (bright of equals). variance: the
+    mean of the local deviations; gradient: the mean step from column to column."""
+    strength = lambda e: 0.58 * e["alignment"] + 0.42 * e["contrast"]
+
+    def of(e: Column) -> Column:
+        texture = clamp(mean([F.least(F.lit(1.0), variance / 0.10), F.least(F.lit(1.0), gradient / 0.12), e["density"]]))
+        return let(texture, lambda t: F.struct(t.alias("texture"), e["contrast"].alias("contrast"), e["alignment"].alias("alignment"), e["count"].alias("count"), clamp(1 - mean([t, e["contrast"], e["alignment"]])).alias("empty"), e["layout"].alias("layout"), e["rows"].alias("rows"), e["single"].alias("single"), e["two"].alias("two")))
+
+    return let(F.when(strength(bright) >= strength(dark), bright).otherwise(dark), of)

@@ -8,7 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plateflow.functions import arrays, layout, masks, rectify
-from plateflow.queries import _double, _t, query
+from plateflow.operators import detect, regions
+from plateflow.plans import variants
+from plateflow.plans.dims import PROFILES
+from plateflow.queries import CANDIDATES, IOU, _candidates, _double, _final_sql, _t, query
+from plateflow.settings import DEFAULTS
 
 HIGH, WIDE = 24, 48
 
@@ -210,3 +214,77 @@ SELECT p.id, round(a.v + (b.v - a.v) * (p - floor(p)), 9) AS dark FROM p JOIN s
 def percentiles(spark, d):
     v = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("v"))
     return v.select("id", F.round(arrays.percentile(F.col("v"), 42), 9).alias("dark"))
+
+
+def _squares(spark, d):
+    """A mask of 8 rows by 8 columns of each vector."""
+    v = F.transform("embedding", lambda c: c > 0)
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.slice(v, 8 * y + 1, 8)).alias("mask"))
+
+
+REGIONS = """RECURSIVE sq AS (SELECT vec_id AS id, y, x, embedding[8 * (y - 1) + x] > 0 AS o FROM embeddings, (SELECT unnest(range(1, 9)) AS y), (SELECT unnest(range(1, 9)) AS x)),
+sg AS (SELECT id, y, x, x - row_number() OVER (PARTITION BY id, y ORDER BY x) AS g FROM sq WHERE o), sr AS (SELECT id, y, min(x) AS first, max(x) AS last, row_number() OVER (PARTITION BY id ORDER BY y, min(x)) AS n FROM sg GROUP BY id, y, g),
+st AS (SELECT a.id, a.n AS a, b.n AS b FROM sr a JOIN sr b ON a.id = b.id AND abs(a.y - b.y) = 1 AND a.first <= b.last + 1 AND b.first <= a.last + 1),
+rc AS (SELECT id, n AS a, n AS b FROM sr UNION SELECT r.id, r.a, s.b FROM rc r JOIN st s ON r.id = s.id AND r.b = s.a),
+rt AS (SELECT id, a, min(b) AS root FROM rc GROUP BY id, a), lb AS (SELECT sr.*, dense_rank() OVER (PARTITION BY sr.id ORDER BY root) AS region FROM sr JOIN rt ON sr.id = rt.id AND sr.n = rt.a),
+reg AS (SELECT id, region, sum(last - first + 1) AS area, min(first) AS x1, min(y) AS y1, max(last) - min(first) + 1 AS w, max(y) - min(y) + 1 AS h FROM lb GROUP BY id, region)"""
+
+
+@query(_double(f"WITH {REGIONS} SELECT id, region::INT AS region, area::BIGINT AS area, x1 - 0.5 AS x, y1 - 0.5 AS y, w::DOUBLE AS w, h::DOUBLE AS h, round(area / (w * h), 6) AS extent FROM reg"))
+def mask_regions(spark, d):
+    x = regions.regions(regions.mask_runs(_squares(spark, d), "id"), "id")
+    return x.select("id", "region", "area", "box.*", F.round("extent", 6).alias("extent"))
+
+
+@query(_double(f"""WITH {REGIONS}, m AS (SELECT id, region, greatest(1.0, floor((x1 - 0.5) / 0.85)) AS x, greatest(1.0, floor((y1 - 0.5) / 0.85)) AS y, greatest(1.0, ceil(w / 0.85)) AS w, greatest(1.0, ceil(h / 0.85)) AS h FROM reg WHERE area >= 30),
+n AS (SELECT id, region, x, y, CASE WHEN x + w > 640 THEN greatest(1.0, 640 - x) ELSE w END AS w, CASE WHEN y + h > 360 THEN greatest(1.0, 360 - y) ELSE h END AS h FROM m),
+g AS (SELECT id, region, greatest(1.0, floor(x + w / 2 - w * 1.25 / 2)) AS x1, greatest(1.0, floor(y + h / 2 - h * 1.35 / 2)) AS y1, least(640.0, ceil(x + w / 2 + w * 1.25 / 2)) AS x2, least(360.0, ceil(y + h / 2 + h * 1.35 / 2)) AS y2 FROM n)
+SELECT id, region::INT AS region, x1 AS x, y1 AS y, greatest(1.0, x2 - x1) AS w, greatest(1.0, y2 - y1) AS h FROM g"""))
+def region_candidates(spark, d):
+    x = regions.regions(regions.mask_runs(_squares(spark, d), "id"), "id").withColumns({"branch": F.lit("dark_priority"), "scale": F.lit(0.85)})
+    return regions.candidate_boxes(x, (640, 360)).select("id", "region", "box.*")
+
+
+_WITHIN = " AND ".join([f"{k} BETWEEN {a} AND {b}" for k, (a, b) in {**DEFAULTS["detection"]["valid"], "width_ratio": (0.02, 0.80)}.items()] + [f"{k} >= {a}" for k, a in DEFAULTS["detection"]["least"].items()])
+
+
+@query(_double(f"""WITH {CANDIDATES}, s AS (SELECT image, seq, x, y, w, h, branch, greatest({', '.join(_final_sql(k).replace(', 6), ', ', 15), ') for k in range(len(PROFILES)))}) AS b FROM parts WHERE {_WITHIN}),
+o AS (SELECT image, list({{'seq': seq, 'x': x, 'y': y, 'w': w, 'h': h, 'branch': branch, 'profile': b.profile, 'score': b.score}} ORDER BY round(b.score, 12) DESC, seq) AS c FROM s GROUP BY image),
+r AS (SELECT image, list_reduce(list_transform(c, lambda e: [e]), lambda acc, e: CASE WHEN len(acc) >= 40 OR len(list_filter(acc, lambda a: {IOU('a', 'e[1]')} >= 0.6 * (a.w * a.h + e[1].w * e[1].h - {IOU('a', 'e[1]')}))) > 0 THEN acc ELSE list_concat(acc, e) END) AS k FROM o),
+u AS (SELECT image, unnest(k[1:10]) AS e, unnest(range(1, 1 + least(10, len(k)))) AS rank FROM r)
+SELECT image, rank::INT AS rank, e.seq AS seq, e.branch AS branch, e.profile AS profile, round(e.score, 9) AS score FROM u"""))
+def detect_candidates(spark, d):
+    own = {**DEFAULTS, "detection": {**DEFAULTS["detection"], "valid": {**DEFAULTS["detection"]["valid"], "width_ratio": (0.02, 0.80)}}}
+    x = detect.detected(_candidates(spark, d), own)
+    return x.select("image", "rank", "seq", "branch", "profile", F.round("score", 9).alias("score"))
+
+
+_VALUES = lambda specs: ", ".join(f"({i + 1}, " + ", ".join(f"'{v}'" for v in x) + ")" for i, x in enumerate(specs))
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_custkey % 2 = 0 AS t, c_custkey % 3 = 0 AS r FROM customer), a(n, name, layout, source, picture) AS (VALUES {_VALUES(variants.WHOLE)}), b(n, name, layout, source, picture) AS (VALUES {_VALUES(variants.TEXT_ONLY)}), e(n, name, layout, source, picture) AS (VALUES {_VALUES(variants.COMPOSITE)}),
+u AS (SELECT id, n AS attempt, name, layout, source, picture FROM c, a UNION ALL SELECT id, {len(variants.WHOLE)} + n, name, layout, source, picture FROM c, b WHERE t UNION ALL SELECT id, {len(variants.WHOLE)} + CASE WHEN t THEN {len(variants.TEXT_ONLY)} ELSE 0 END + n, name, layout, source, picture FROM c, e WHERE r)
+SELECT id, attempt::INT AS attempt, name, layout, source, picture FROM u""")
+def plate_variants(spark, d):
+    k = F.col("c_custkey")
+    return variants.plate_variants(_t(spark, d, "customer").select(k.alias("id"), (k % 2 == 0).alias("has_text"), (k % 3 == 0).alias("has_rows")), "id")
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS id, c_custkey % 4 AS rows, c_custkey % 3 = 0 OR c_custkey % 5 = 0 AS two FROM customer), x AS (SELECT id, two, unnest(range(1, rows + 1)) AS row FROM c WHERE rows >= 2), a(n, name, layout, picture) AS (VALUES {_VALUES(variants.ROW)}), b(n, name, layout, picture) AS (VALUES {_VALUES(variants.TOP_ROW)}), e(n, name, layout, picture) AS (VALUES {_VALUES(variants.LOW_ROW)}),
+u AS (SELECT id, row, n, name, layout, picture, NULL AS characters FROM x, a UNION ALL SELECT id, row, {len(variants.ROW)} + n, name, layout, picture, '{variants.LETTERS}' FROM x, b WHERE two AND row = 1 UNION ALL SELECT id, row, {len(variants.ROW)} + n, name, layout, picture, '{variants.DIGITS}' FROM x, e WHERE two AND row = 2)
+SELECT id, row::INT AS row, n::INT AS attempt, name, layout, picture, characters FROM u""")
+def row_variants(spark, d):
+    k = F.col("c_custkey")
+    hints = _t(spark, d, "customer").select(k.alias("id"), (k % 4).cast("int").alias("rows"), F.when(k % 3 == 0, "two_row").otherwise("").alias("layout"), F.when(k % 5 == 0, "two_row").otherwise("single_line").alias("profile"))
+    return variants.row_variants(hints, "id")
+
+
+@query(_double("""WITH e AS (SELECT vec_id AS id, abs(embedding[1]::DOUBLE) AS ba, abs(embedding[2]::DOUBLE) AS bc, abs(embedding[3]::DOUBLE) AS bd, abs(embedding[4]::DOUBLE) AS da, abs(embedding[5]::DOUBLE) AS dc, abs(embedding[6]::DOUBLE) AS dd, abs(embedding[7]::DOUBLE) AS v, abs(embedding[8]::DOUBLE) AS g FROM embeddings),
+p AS (SELECT *, 0.58 * ba + 0.42 * bc >= 0.58 * da + 0.42 * dc AS bright FROM e), q AS (SELECT id, bright, CASE WHEN bright THEN ba ELSE da END AS a, CASE WHEN bright THEN bc ELSE dc END AS c, (least(1.0, v / 0.10) + least(1.0, g / 0.12) + CASE WHEN bright THEN bd ELSE dd END) / 3 AS t FROM p)
+SELECT id, round(t, 6) AS texture, round(c, 6) AS contrast, round(a, 6) AS alignment, round(1 - (t + c + a) / 3, 6) AS empty, CASE WHEN bright THEN 'single_line' ELSE 'two_row' END AS layout FROM q"""))
+def text_evidence(spark, d):
+    x = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda c: F.abs(c.cast("double"))).alias("v"))
+    at = lambda i: F.get("v", F.lit(i))
+    side = lambda k, name, n: F.struct(at(k).alias("alignment"), at(k + 1).alias("contrast"), at(k + 2).alias("density"), F.lit(n).alias("count"), F.lit(name).alias("layout"), F.lit(n).alias("rows"), at(k).alias("single"), at(k).alias("two"))
+    e = x.select("id", layout.text_evidence(side(0, "single_line", 1), side(3, "two_row", 2), at(6), at(7)).alias("e"))
+    return e.select("id", *(F.round(f"e.{k}", 6).alias(k) for k in ("texture", "contrast", "alignment", "empty")), "e.layout")

@@ -78,7 +78,7 @@ def scored(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     rows = []
     for k, p in enumerate(PROFILES):
         x = _profile_score(k, settings)
-        rows.append(F.struct(F.round(x["final"], 6).alias("score"), F.lit(-k).alias("seq"), F.lit(p[0]).alias("profile"), F.struct(*(v.alias(n) for n, v in x.items() if n != "final")).alias("breakdown")))
+        rows.append(F.struct(x["final"].alias("score"), F.lit(-k).alias("seq"), F.lit(p[0]).alias("profile"), F.struct(*(v.alias(n) for n, v in x.items() if n != "final")).alias("breakdown")))
     best = candidates.withColumn("_best", F.greatest(*rows))
     return best.withColumns({"profile": F.col("_best.profile"), "score": F.col("_best.score"), "breakdown": F.col("_best.breakdown")}).drop("_best")
 
@@ -91,8 +91,10 @@ def with_profile(candidates: DataFrame) -> DataFrame:
 
 
 def nms(candidates: DataFrame, same: float = SAME, keep: int = KEEP) -> DataFrame:
-    """image, kept: greedy non-maximum suppression by score; an image's candidates (a few dozen) are one fold."""
-    entry = F.struct((-F.col("score")).alias("order"), "seq", "box", "score")
+    """image, kept: greedy non-maximum suppression by score (of equals the earlier one); kept holds the whole records in order of
+    score. An image's candidates (a few dozen) are one fold, so nothing is joined back."""
+    rest = [c for c in candidates.columns if c not in ("image", "seq", "box", "score")]
+    entry = F.struct((-F.col("score")).alias("order"), "seq", "box", "score", *rest)
 
     def add(acc, e):
         near = F.exists(acc, lambda a: iou(a["box"], e["box"]) >= same)
@@ -102,6 +104,17 @@ def nms(candidates: DataFrame, same: float = SAME, keep: int = KEEP) -> DataFram
     return ordered.select("image", F.aggregate("c", F.slice("c", 1, 0), add).alias("kept"))
 
 
+def detected(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """The best candidates of each image with their rank and all their columns: validity, scores, suppression and choice in one
+    grouping by image. candidates: of all branches (see `united`), with the measures that `valid` and `scored` need; seq orders
+    candidates as their branches come. image, seq, box and score lead over to `recognition.results`."""
+    d, top = settings["detection"], settings["reranking"]["evaluate"]
+    kept = nms(scored(valid(candidates, settings), settings), d["same"], d["keep"])
+    best = kept.select("image", F.posexplode(F.slice("kept", 1, max(1, round(top)))).alias("rank", "e"))
+    names = [f for f in kept.schema["kept"].dataType.elementType.names if f != "order"]
+    return best.select("image", *(F.col(f"e.{n}").alias(n) for n in names), (F.col("rank") + 1).alias("rank"))
+
+
 def top_k(candidates: DataFrame, k: int = TOP) -> DataFrame:
     """The k best candidates of each image, with their rank."""
     by = Window.partitionBy("image").orderBy(F.desc("score"), "seq")

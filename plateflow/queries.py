@@ -623,13 +623,13 @@ def _final_sql(k: int) -> str:
 
 @query(_double(f"WITH {CANDIDATES}, s AS (SELECT image, seq, greatest({', '.join(_final_sql(k) for k in range(len(PROFILES)))}) AS b FROM parts) SELECT image, seq, b.profile AS profile, b.score AS score FROM s"))
 def candidate_score(spark, d):
-    return detect.scored(_candidates(spark, d)).select("image", "seq", "profile", "score")
+    return detect.scored(_candidates(spark, d)).select("image", "seq", "profile", F.round("score", 6).alias("score"))
 
 
 @query(_double(f"WITH {CANDIDATES}, s AS (SELECT image, seq, aspect, two_layout, branch, greatest({', '.join(_final_sql(k) for k in range(len(PROFILES)))}) AS b FROM parts), r AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY b.score DESC, seq)::INT AS rank FROM s) "
   'SELECT image, rank AS "Rank", b.score AS "Score", branch AS "Branch", b.profile AS "Profile", CASE WHEN two_layout THEN \'two_row\' ELSE \'single_line\' END AS "Layout", round(aspect, 6) AS "Aspect" FROM r WHERE rank <= 5'))
 def detection_report(spark, d):
-    x = detect.report(detect.scored(_candidates(spark, d)), settings({"report": {"detection": 5}}))
+    x = detect.report(detect.scored(_candidates(spark, d)).withColumn("score", F.round("score", 6)), settings({"report": {"detection": 5}}))
     return x.select("image", "Rank", "Score", "Branch", "Profile", "Layout", F.round("Aspect", 6).alias("Aspect"))
 
 
