@@ -539,6 +539,64 @@ def test_near_copies_at_similarity(spark):
     assert len(ids) == len(set(ids)) == len(set(root.values())) and not {901, 902} & set(ids)
 
 
+def edited_pairs(r, base, many, own, pairs, edits):
+    """Texts of one template, and pairs that differ in a few words: rows and the pairs' ids by their similarity."""
+    new = lambda: "".join(r.choices("abcdefghij", k=6))
+    shared = [new() for _ in range(base)]
+    rows, found = [(i, " ".join(shared + [new() for _ in range(own)])) for i in range(many)], []
+    grams = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    for p in range(pairs):
+        w = shared + [new() for _ in range(own)]
+        v = list(w)
+        for _ in range(edits[p % len(edits)]):
+            v[r.randrange(len(v))] = new()
+        a, b = grams(w), grams(v)
+        found.append((len(rows), len(rows) + 1, len(a & b) / len(a | b)))
+        rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(v))]
+    return rows, found
+
+
+@pytest.mark.parametrize("base", [300, 0])
+def test_near_copies_among_texts_of_one_template(spark, base):
+    """3,000 texts that are alike at .59 (or not at all) hide no pair that is alike at .8 or more."""
+    rows, pairs = edited_pairs(random.Random(base), base, 3000, 400 - base, 100, (1, 4, 6, 8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    root = {x.doc_id: x.root for x in simhash.near_copies(docs).collect()}
+    for low, high in ((0.95, 1.0), (0.85, 0.95), (0.80, 0.85)):
+        band = [(a, b) for a, b, s in pairs if low <= s < high]
+        assert not band or sum(root[a] == root[b] for a, b in band) >= 0.9 * len(band), (low, len(band))
+    assert sum(low >= 0.8 for *_, low in pairs) > 60
+    assert all(root[a] != root[b] for a, b, s in pairs if s < 0.7)
+    assert len(set(root.values())) >= 3100
+
+
+def test_rounds_leave_no_link_behind(spark, monkeypatch):
+    """One doubtful link a text in the first round, and shards cut into many slices: the same classes."""
+    r = random.Random(5)
+    new = lambda: "".join(r.choices("abcdefghij", k=6))
+    base = [[new() for _ in range(200)] for _ in range(3)]
+    rows = []
+    for i in range(240):
+        w = list(base[i % 3])
+        w[r.randrange(len(w))] = new()  # any two are alike at .9
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(simhash, "FIRST", 1)
+    monkeypatch.setattr(simhash._cut_shards, "__defaults__", (16,))
+    root = {x.doc_id: x.root for x in simhash.near_copies(docs).collect()}
+    assert len({root[i] for i in range(240)}) == 3
+
+
+def test_sketches_estimate_similarity():
+    r, off = np.random.default_rng(3), []
+    for _ in range(200):
+        h = r.integers(0, 1 << 63, 500, np.uint64)
+        a, b = (np.frombuffer(simhash.sketch(x), np.uint8) for x in (h[:450], h[50:]))
+        slots = [np.stack([x >> 4, x & 15], 1).ravel() for x in (a, b)]
+        off.append(simhash.estimated(slots[0], slots[1][None, :])[0] - 0.8)
+    assert abs(np.mean(off)) < 0.01 and np.std(off) < 0.05
+
+
 def test_shards_find_a_pair_at_the_similarity():
     for nodes in (1, 10_000, 10**7):
         tables = simhash.chosen_bits(nodes)
