@@ -10,8 +10,8 @@ FIT_DOCS documents each, those with the least hash of their text. All words of t
 counts are added up on the cluster; the driver holds a number for each piece and language. Everything is scored, whole.
 
 Null texts and texts without a letter (`str.isalpha`) are `und` with score 0; so is everything if no labelled row is left to
-learn from. Between languages of equal score the first by name is taken. A word of any length is one lattice; over LINEAR letters
-it is summed in logarithms. Rows that share a doc_id are judged each for itself. An empty table gives an empty result.
+learn from. Between languages of equal score the first by name is taken. A word of any length is one lattice; where its probabilities
+could leave the range of doubles it is summed in logarithms, with the same result. Rows that share a doc_id are judged each for itself. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ FOLDS = 5
 FIT_DOCS, MAX_LANGS, ROUNDS = 400, 500, 3
 #: Probability of a character that no piece covers, and what each piece gets besides its expected count.
 UNKNOWN, PSEUDO = 1e-6, 0.1
-#: Letters up to which a word's probabilities stay within doubles.
-LINEAR = 40
+#: Decimal digits below 1 within which a word's probabilities are summed as doubles (a product of two must stay within them too).
+DIGITS = 140
 #: Cells of the lattices that are summed at once.
 CELLS = 1 << 21
 #: Distinct words that a task remembers at most.
@@ -96,6 +96,12 @@ class Model:
             out[:, at] = np.logaddexp.reduce(terms, axis=1)
         return out
 
+    @staticmethod
+    def deep(p: np.ndarray, letters: int) -> bool:
+        """Whether a segmentation of so many letters may be so improbable that doubles do not hold it."""
+        least = min(UNKNOWN, p[1:][p[1:] > 0].min(initial=1.0))
+        return -np.log10(least) * (letters + 1) > DIGITS
+
     def groups(self, words: list[str]) -> Iterator[list[str]]:
         """Words of equal length, as many as lattices may have cells at once."""
         for n, group in itertools.groupby(sorted(words, key=len), key=len):
@@ -106,7 +112,7 @@ class Model:
         """Log probability of each word in each language."""
         found, log_p = {}, None
         for some in self.groups(words):
-            if len(some[0]) > LINEAR:
+            if self.deep(self.p, len(some[0])):
                 if log_p is None:
                     with np.errstate(divide="ignore"):
                         log_p = np.log(self.p)
@@ -124,7 +130,7 @@ class Model:
         for some in self.groups(list(counts)):
             x, weight = self.lattice(some), np.array([counts[w] for w in some], float)
             n = x.shape[1]
-            if len(some[0]) > LINEAR:
+            if self.deep(p, len(some[0])):
                 f, back = self.log_forward(x, log_p)[:, :, 0], self.log_forward(x, log_p, backward=True)[:, :, 0]
                 for k in range(1, min(n, self.longest) + 1):
                     use = np.exp(f[:, : n + 1 - k] + log_p[x[:, k - 1 :, k - 1], 0] + back[:, k:] - f[:, n:])
@@ -186,8 +192,8 @@ def words_of(text: str) -> list[str]:
 
 
 def sampled(docs: DataFrame, fit_docs: int = FIT_DOCS, max_langs: int = MAX_LANGS) -> DataFrame:
-    """lang and text of the fit_docs training documents of each language whose texts hash lowest. Salted, so that no task gets
-    more than a part of a language, and each passes on fit_docs rows at most."""
+    """lang and text of the fit_docs training documents of each language whose texts hash lowest; of documents of one text and language
+    one counts. Salted, so that no task gets more than a part of a language, and each passes on fit_docs rows at most."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", FOLDS) != 0)).select("lang", "text")
     hashed = rows.select("lang", F.xxhash64("text").alias("h"))
     langs = hashed.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
@@ -196,7 +202,8 @@ def sampled(docs: DataFrame, fit_docs: int = FIT_DOCS, max_langs: int = MAX_LANG
         rank = F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))
         hashed = hashed.distinct().withColumn("_rank", rank).where(F.col("_rank") <= fit_docs).drop("_rank")
     chosen = hashed.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"))  # max_langs * fit_docs rows at most
-    return rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_h")), "left_semi").select("lang", "text")
+    found = rows.join(F.broadcast(chosen), (F.col("lang") == F.col("_lang")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+    return found.groupBy("lang", F.xxhash64("text").alias("_h")).agg(F.min("text").alias("text")).select("lang", "text")
 
 
 def fitted(docs: DataFrame, pieces: list[str], fit_docs: int = FIT_DOCS, rounds: int = ROUNDS) -> Model:

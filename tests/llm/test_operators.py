@@ -510,6 +510,39 @@ def test_letters_only(spark):
     assert out[99] == ("und", 0.0) and out[1] == ("en", 1.0)
 
 
+@pytest.mark.parametrize("letters", [1, 20, 33, 40, 41, 300])
+def test_rare_pieces_of_long_words_stay_finite(letters):
+    pieces = ["▁", *"abcdefghij"]
+    m = langid.Model(pieces, ["x", "y"])
+    m.p[1:] = 1e-9
+    word = ("abcdefghij" * 30)[:letters]
+    # One segmentation: the mark and each letter.
+    assert np.allclose(m.log_words([word])[word], (letters + 1) * math.log(1e-9))
+    label, score = m.predictor()([word])[0]
+    assert label == "x" and score == 0.5
+    out = m.expected({word: 3}, 0)
+    assert np.isfinite(out).all() and math.isclose(out.sum(), 3 * (letters + 1), rel_tol=1e-9)
+
+
+def test_linear_and_logarithmic_sums_agree(monkeypatch):
+    r = random.Random(8)
+    m = langid.Model(["▁", "a", "b", "▁a", "ab", "▁ab", "ba", "aba"], ["x"])
+    words = ["".join(r.choices("abc", k=r.randint(1, 12))) for _ in range(40)]
+    counts = {w: 1 for w in words}
+    plain, sums = m.log_words(words), m.expected(counts, 0)
+    monkeypatch.setattr(langid, "DIGITS", 0)
+    assert all(np.allclose(plain[w], x) for w, x in m.log_words(words).items()) and np.allclose(sums, m.expected(counts, 0))
+
+
+def test_the_sample_takes_a_text_once(spark):
+    train = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 5 != 0]
+    rows = [(i, "the same text again", "en") for i in train[:500]] + [(i, f"text {i} of its own", "en") for i in train[500:560]] + [(i, "the same text again", "fr") for i in train[560:600]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    out = langid.sampled(docs, fit_docs=21).collect()
+    assert sum(r.lang == "en" for r in out) == 21 and [r.text for r in out if r.lang == "fr"] == ["the same text again"]
+    assert len({(r.lang, r.text) for r in out}) == len(out)
+
+
 def test_near_copies_at_similarity(spark):
     r = random.Random(11)
     new = lambda: "".join(r.choices("abcdefghij", k=5))
