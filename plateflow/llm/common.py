@@ -50,8 +50,10 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def bucketed(df: DataFrame, key: str | list[str], n: int, what: str, deal: bool = True) -> DataFrame:
     """df as a bucketed table in the shared folder: dealt by key once, read in that partitioning as often as needed. deal: False if
-    its rows are dealt by key as they come."""
+    its rows are dealt by key as they come. n: of groups; where Spark allows fewer buckets, a bucket holds several of them (whoever
+    reads the table takes them one by one, by their key)."""
     key = [key] if isinstance(key, str) else key
+    n = min(n, int(df.sparkSession.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000")))
     name = f"plateflow_{what}_{uuid.uuid4().hex}"
     (df.repartition(n, *key) if deal else df).write.bucketBy(n, *key).option("path", f"{shared_dir(df.sparkSession)}/{name}").option("compression", "zstd").saveAsTable(name)
     dropped_shuffles(df.sparkSession)

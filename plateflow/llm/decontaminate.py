@@ -150,20 +150,20 @@ def _with_block(docs: DataFrame, block: WindowSet) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, {HITS}")
 
 
-PART = pa.schema([("rk", pa.int64()), ("hit_words", pa.binary()), ("items", pa.list_(pa.string()))])
+PART = pa.schema([("doc_id", pa.int64()), ("rk", pa.int64()), ("hit_words", pa.binary()), ("items", pa.list_(pa.string()))])
 
 
 def _block_hits(docs: DataFrame, block: WindowSet) -> DataFrame:
-    """rk, hit_words and items of the rows with a hit, written."""
+    """doc_id, rk, hit_words and items of the rows with a hit, written."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = [(rk, *_found(shared.value, t)) for rk, t in zip(b.column("rk").to_pylist(), b.column("text").to_pylist(), strict=True)]
-            found = [x for x in found if any(x[1])]
+            found = [(*own, *_found(shared.value, t)) for *own, t in zip(*(b.column(k).to_pylist() for k in ("doc_id", "rk", "text")), strict=True)]
+            found = [x for x in found if any(x[2])]
             yield batch(PART, {k: [x[i] for x in found] for i, k in enumerate(PART.names)})
 
-    part = docs.select(row_key().alias("rk"), "text").mapInArrow(run, f"rk long, {HITS}").dropDuplicates(["rk"])
+    part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("rk"), "text").mapInArrow(run, f"doc_id long, rk long, {HITS}").dropDuplicates(["doc_id", "rk"])
     out = written(part, "hits")
     shared.unpersist()
     return out
@@ -173,7 +173,7 @@ def _merged(rows: pa.Table) -> pa.Table:
     """One row's hits by all blocks."""
     bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in rows.column("hit_words").to_pylist()])
     items = sorted({x for own in rows.column("items").to_pylist() for x in own})
-    return pa.Table.from_batches([batch(PART, {"rk": rows.column("rk")[:1].combine_chunks(), "hit_words": [bits.tobytes()], "items": [items]})])
+    return pa.Table.from_batches([batch(PART, {k: rows.column(k)[:1].combine_chunks() for k in ("doc_id", "rk")} | { "hit_words": [bits.tobytes()], "items": [items]})])
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -186,9 +186,9 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BY
     parts = _block_hits(docs, block)
     for block in itertools.chain([more], blocks):
         parts = parts.unionByName(_block_hits(docs, block))
-    hits = parts.groupBy("rk").applyInArrow(_merged, f"rk long, {HITS}")
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), row_key().alias("row"))
-    both = own.join(hits, F.col("row") == F.col("rk"), "left")
+    hits = parts.groupBy("doc_id", "rk").applyInArrow(_merged, f"doc_id long, rk long, {HITS}").withColumnRenamed("doc_id", "hit_id")
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), F.col("doc_id").cast("long").alias("id"), row_key().alias("row"))
+    both = own.join(hits, (F.col("row") == F.col("rk")) & F.col("hit_id").eqNullSafe(F.col("id")), "left")
     none = F.coalesce("hit_words", F.lit(b"")), F.coalesce("items", F.array().cast("array<string>"))
     return both.select(*(F.col(f"own.`{c}`").alias(c) for c in docs.columns), none[0].alias("hit_words"), none[1].alias("items"))
 

@@ -42,8 +42,8 @@ TEMPLATES = [
     ("isc", "permission to use copy modify and <<opt>> or <</opt>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies " + _ISC_END),
     ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted " + _ISC_END),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions <<opt>> 1 <</opt>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required <<opt>> 2 <</opt>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software <<opt>> 3 <</opt>> this notice may not be removed or altered from any source distribution"),
-    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor"),
-    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     # Notices, as files carry them.
     ("mit", "<<opt>> released <</opt>> <<opt>> licensed <</opt>> under the mit license"),
     ("apache-2", "licensed under the apache license version 2 <<opt>> 0 <</opt>> the license you may not use this file except in compliance with the license"),
@@ -56,6 +56,23 @@ TEMPLATES = [
     # Tags.
     ("mit", "spdx license identifier mit <<unless:0,advertising,cmu,enna,feh,festival,khronos,modern,open,wu>>"),
     ("apache-2", "spdx license identifier apache 2 0"),
+    ("gpl", "spdx license identifier gpl <<num:2>>"),
+    ("lgpl", "spdx license identifier lgpl <<num:2>>"),
+    ("agpl", "spdx license identifier agpl <<num:2>>"),
+    ("mpl-2", "spdx license identifier mpl 2 0"),
+    ("epl-2", "spdx license identifier epl 2 0"),
+    ("bsd-2-clause", "spdx license identifier bsd 2 clause <<unless:darwin,first,freebsd,netbsd,patent,pkgconf,views>>"),
+    ("bsd-3-clause", "spdx license identifier bsd 3 clause <<unless:acpica,attribution,clear,flex,hp,lbnl,modification,no,open,sun,tso>>"),
+    ("isc", "spdx license identifier isc <<unless:veillard>>"),
+    ("0bsd", "spdx license identifier 0bsd"),
+    ("zlib", "spdx license identifier zlib <<unless:acknowledgement>>"),
+    ("bsl-1", "spdx license identifier bsl 1 0"),
+    ("unlicense", "spdx license identifier unlicense <<unless:libtelnet,libwhirlpool>>"),
+    ("cc0", "spdx license identifier cc0 1 0"),
+    # Names with a version.
+    *((label, f"gnu {name}general public license {version}") for label, name in (("gpl", ""), ("lgpl", "lesser "), ("agpl", "affero ")) for version in ("v2", "v3", "version 2", "version 3")),
+    ("lgpl", "gnu lesser general public license v2 1"),
+    *(("cc-by", f"creative commons attribution {version}") for version in ("4 0", "3 0", "2 5", "2 0")),
     ("cc-by", f"creative commons attribution {_CC}"),
     ("cc-by", "cc by <<unless:nc,nd,sa>>"),
     ("cc-by-sa", f"creative commons attribution share alike {_CC}"),

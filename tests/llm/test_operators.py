@@ -99,6 +99,21 @@ def test_suffix_dedup(spark, sf, rows):
     same(suffix_dedup.op1_suffix_array_dedup(spark, sf), expected)
 
 
+def test_more_groups_than_buckets(spark, sf, monkeypatch):
+    """Spark allows three buckets here, the texts ask for dozens of groups: the same results."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    plain = [suffix_dedup.remove_repeats(docs).collect(), line_dedup.op7_line_dedup(spark, sf).collect(), hpylm.lm_scores(docs).select("doc_id", "n_known", "base_score").collect()]
+    for m in (suffix_dedup, hpylm):
+        monkeypatch.setattr(m, "BUCKET_MB", 0.002)
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        few = [suffix_dedup.remove_repeats(docs).collect(), line_dedup.op7_line_dedup(spark, sf).collect(), hpylm.lm_scores(docs).select("doc_id", "n_known", "base_score").collect()]
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+    for a, b in zip(plain, few, strict=True):
+        assert sorted(map(repr, ([round(x, 6) if isinstance(x, float) else x for x in r] for r in a))) == sorted(map(repr, ([round(x, 6) if isinstance(x, float) else x for x in r] for r in b)))
+
+
 def test_merge_of_runs():
     r = random.Random(1)
     keys = [bytes(r.choices(b"ab", k=r.randint(8, 40))) for _ in range(300)]
@@ -325,6 +340,27 @@ def as_pattern(template):
     return re.compile("(?:^|(?<= ))" + out + unless)
 
 
+def test_a_license_counts_to_its_last_word():
+    scan, plain = licenses.Scanner().scan, lambda t: re.sub(" +", " ", re.sub("<<var:[0-9]+>>", "name", re.sub("<</?opt>>", "", t))).strip()
+    whole = [(label, plain(t)) for label, t in licenses.TEMPLATES if len(t.split()) > 60]
+    assert {"bsl-1", "unlicense", "mit", "zlib"} <= {label for label, _ in whole}
+    for label, text in whole:
+        words = text.split()
+        assert label in scan(text.encode())[5].split(",")
+        for k in range(1, 12):
+            changed = [*words[:-k], "otherwise", *words[len(words) - k + 1 :]]
+            assert label not in scan(" ".join(changed).encode())[5].split(","), (label, k)
+        assert label not in scan((" ".join(words[:-20]) + " provided that you pay the author a fee").encode())[5].split(",")
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [("SPDX-License-Identifier: GPL-2.0-or-later", "gpl"), ("SPDX-License-Identifier: BSD-3-Clause", "bsd-3-clause"), ("SPDX-License-Identifier: BSD-3-Clause-Clear", ""), ("SPDX-License-Identifier: MPL-2.0", "mpl-2"), ("SPDX-License-Identifier: ISC", "isc"), ("GNU General Public License v3.0", "gpl"), ("GNU Lesser General Public License v2.1", "lgpl"), ("Creative Commons Attribution 4.0", "cc-by"), ("Creative Commons Attribution-NonCommercial 4.0", "")],
+)
+def test_license_tags_and_names(text, labels):
+    assert licenses.Scanner().scan(text.encode())[5] == labels
+
+
 def test_license_scan_against_regular_expressions():
     r = random.Random(9)
     scan, patterns = licenses.Scanner().scan, [(label, as_pattern(t)) for label, t in licenses.TEMPLATES]
