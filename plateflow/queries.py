@@ -760,12 +760,50 @@ def named_support_vote(spark, d):
     return attempts.support_vote(_named(spark, d)[0])
 
 
-@query(None)
+def _scored(of: str, name: str) -> str:
+    """Attempts (cand, seq, name, source, t, conf, bonus, success, two) with shape, score and total."""
+    return f"""{name} AS (SELECT *, score + bonus AS total FROM (SELECT *, CASE WHEN NOT success THEN -1 ELSE {_ATTEMPT} END AS score FROM (SELECT *, {S['p']} AS p, {S['d']} AS d, {S['s']} AS s, {S['o']} AS o, length(t) AS n FROM ({of}))))"""
+
+
+_BONUS_OF = f"CASE WHEN two THEN {_VB(text.TWO_ROW_BONUS)} ELSE {_VB(text.ONE_ROW_BONUS)} END + CASE WHEN cand % 3 = 0 AND source = 'row_composite' THEN 0.05 ELSE 0 END"
+_NAME_OF = "CASE seq % 4 WHEN 0 THEN 'textonly_' WHEN 1 THEN 'rowcomposite_' ELSE 'full_' END || seq"
+_FIRST = lambda of, by, name: f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY cand ORDER BY {by} DESC, seq) AS place FROM {of}) WHERE place = 1)"
+_PART = lambda c: f"least(1.0, greatest(0.0, {c}))"
+_EDITS = "list_sum(list_transform(range(1, 1 + least(length(a.t), length(y.t))), lambda i: (substr(a.t, i, 1) <> substr(y.t, i, 1))::INT)) + abs(length(a.t) - length(y.t))"
+_BY_NAME = f"CASE WHEN starts_with(name, 'textonly_') THEN greatest({_W}, 0.85) WHEN starts_with(name, 'rowcomposite_') THEN least({_W}, 0.30) WHEN name IN ('rowwise_combo', 'hybrid_two_row') THEN least({_W}, 0.25) ELSE {_W} END"
+READ = f"""{_T}, tries AS (SELECT * FROM raw){ROWS[len(A):].replace(" raw AS", " rraw AS").replace("FROM raw)", "FROM rraw)")},
+{_scored(f"SELECT cand, seq, {_NAME_OF} AS name, source, t, conf, {_BONUS_OF} AS bonus, success, two FROM (SELECT cand, seq, source, t, conf, seq % 5 <> 4 AS success, CASE WHEN seq % 2 = 0 THEN 'Line' ELSE 'Block' END AS lay, cand % 2 = 0 OR cand % 3 = 0 AS two FROM shaped)", "own")}, {_FIRST("own", "total", "bo")},
+rw AS (SELECT cand, max(t) FILTER (WHERE row = 1) AS t1, max(t) FILTER (WHERE row = 2) AS t2, max(conf) FILTER (WHERE row = 1) AS c1, max(conf) FILTER (WHERE row = 2) AS c2 FROM rb WHERE k = 1 GROUP BY cand HAVING count(*) = 2),
+{_scored(f"SELECT w.cand, 1000000 AS seq, 'rowwise_combo' AS name, 'rowwise_combo' AS source, t1 || t2 AS t, (CASE WHEN t1 <> '' THEN {_PART('c1')} ELSE 0 END + CASE WHEN t2 <> '' THEN {_PART('c2')} ELSE 0 END) / ((t1 <> '')::INT + (t2 <> '')::INT) AS conf, CASE WHEN two THEN 0.24 ELSE 0 END AS bonus, true AS success, two, t2 FROM rw w JOIN bo ON bo.cand = w.cand WHERE t1 <> '' OR t2 <> ''", "combo")},
+{_scored("SELECT c.cand, 1000001 AS seq, 'hybrid_two_row' AS name, 'hybrid_two_row' AS source, head || tail AS t, (nc + c.conf) / 2 AS conf, 0.10 AS bonus, true AS success, two FROM (SELECT c.*, CASE WHEN c.total > bo.total THEN c.conf ELSE bo.conf END AS nc, regexp_extract(CASE WHEN c.total > bo.total THEN c.t ELSE bo.t END, '^([A-Z]{1,4})', 1) AS head, regexp_extract(t2, '([0-9]{1,4})', 1) AS tail FROM combo c JOIN bo ON bo.cand = c.cand) c WHERE two AND head <> '' AND tail <> ''", "mixed")},
+every AS (SELECT cand, seq, name, source, t, conf, success, two, p, d, s, o, n, score, total FROM own UNION ALL SELECT cand, seq, name, source, t, conf, success, two, p, d, s, o, n, score, total FROM combo UNION ALL SELECT cand, seq, name, source, t, conf, success, two, p, d, s, o, n, score, total FROM mixed), {_FIRST("every", "total", "x")},
+same AS (SELECT a.cand, a.seq, a.name, a.conf, a.success, a.score, a.t, x.total AS least, count(*) OVER (PARTITION BY a.cand) AS many FROM every a JOIN x ON a.cand = x.cand AND a.t = substr(x.t, 1, length(x.t) - 1) WHERE x.conf <= 0.35 AND regexp_matches(x.t, '^[A-Z]{{1,4}}[0-9]{{1,4}}[A-Z]$')), {_FIRST("same", "score", "wk")},
+y AS (SELECT x.cand, x.two, coalesce(w.t, x.t) AS t, coalesce(w.conf, x.conf) AS conf, coalesce(w.name || '+trim_weak_suffix', x.name) AS name, coalesce(w.success, x.success) AS success FROM x LEFT JOIN (SELECT * FROM wk WHERE many >= 2 AND score >= least - 0.12) w ON x.cand = w.cand),
+sup AS (SELECT cand, t, sum({_BY_NAME})::DOUBLE AS n FROM every GROUP BY cand, t),
+like_it AS (SELECT a.cand, a.seq, a.name, a.t, a.conf, a.success, sa.n + 0.10 * least(1.0, ({_rule('a.t', 4, '0')}) / 100) AS rank FROM every a JOIN (SELECT *, {S['p']} AS p, {S['d']} AS d, {S['s']} AS s, {S['o']} AS o FROM y) y ON a.cand = y.cand JOIN sup sa ON sa.cand = a.cand AND sa.t = a.t JOIN sup sy ON sy.cand = y.cand AND sy.t = y.t
+  WHERE y.two AND y.o AND y.d >= 3 AND y.p >= 2 AND y.s <= 1 AND a.t <> y.t AND abs(length(a.t) - length(y.t)) <= 1 AND regexp_matches(a.t, '^[A-Z]{{1,4}}[0-9]{{3,4}}[A-Z]?$') AND a.p = y.p AND regexp_extract(a.t, '^[A-Z]*([0-9]*)', 1) = regexp_extract(y.t, '^[A-Z]*([0-9]*)', 1) AND {_EDITS} = 1
+  AND sa.n >= 1.5 AND sa.n > sy.n + 0.45 AND ({_rule('a.t', 4, '0')}) + 5 >= ({_rule('y.t', 4, '0')})), {_FIRST("like_it", "rank", "lk")},
+z AS (SELECT y.cand, y.two, coalesce(l.t, y.t) AS t, coalesce(l.conf, y.conf) AS conf, coalesce(l.name || '+attempt_support', y.name) AS name, coalesce(l.success, y.success) AS success FROM y LEFT JOIN lk l ON y.cand = l.cand),
+src AS (SELECT DISTINCT z.cand AS k, z.t AS orig, e.t AS src FROM z JOIN every e ON z.cand = e.cand WHERE e.t <> '' UNION SELECT cand, t, t FROM z), heads AS{_MORE.split("heads AS", 1)[1]},
+f AS (SELECT k, orig, t, {S['p']} AS p, {S['d']} AS d, {S['s']} AS s, {S['o']} AS o, coalesce(list_sum(list_transform(range(1, 1 + least(length(t), length(orig))), lambda i: (substr(t, i, 1) <> substr(orig, i, 1))::INT)), 0) + abs(length(t) - length(orig)) AS edits FROM cands),
+g AS (SELECT k, orig, t, {_REPAIR} + CASE WHEN t = orig THEN 0 ELSE {_BONUS} - 0.015 * edits END AS score FROM f),
+h AS (SELECT k, orig, list_prepend({{'t': orig, 'score': max(CASE WHEN t = orig THEN score END)}}, list({{'t': t, 'score': score}} ORDER BY t)) AS c FROM g GROUP BY k, orig),
+mend AS (SELECT k, orig, CASE WHEN orig = '' THEN '' ELSE list_reduce(list_transform(c, lambda e: {{'t': e.t, 'score': e.score, 'gain': gain}}), lambda acc, e: CASE WHEN e.t <> orig AND e.score > acc.score + e.gain THEN e ELSE acc END).t END AS t, conf FROM (SELECT h.*, z.conf, greatest(0.005, CASE WHEN z.conf <= 0.84 THEN 0.015 ELSE 0.03 END - CASE WHEN two THEN 0.010 ELSE 0 END) AS gain FROM h JOIN z ON h.k = z.cand)),
+texts AS (SELECT k, t, conf FROM mend), {_stage('texts', 't', 'start')},
+s0 AS (SELECT k, conf, b AS a, '' AS label FROM start), {_stage('s0', _CUT, 't1')}, s1 AS (SELECT k, conf, CASE WHEN a.s > 1 AND b.score > a.score + 0.06 THEN b ELSE a END AS a, CASE WHEN a.s > 1 AND b.score > a.score + 0.06 THEN 'trim_tail' ELSE '' END AS label FROM t1),
+{_stage('s1', _CUT, 't2')}, w2 AS (SELECT *, a.s = 1 AND conf <= 0.25 AND regexp_matches(b.t, '^[A-Z]{{1,4}}[0-9]{{1,4}}$') AND b.score >= a.score - 0.02 AS go FROM t2), s2 AS (SELECT k, conf, CASE WHEN go THEN b ELSE a END AS a, CASE WHEN go THEN 'trim_weak_suffix' ELSE label END AS label FROM w2),
+{_stage('s2', 'substr(a.t, 2)', 't3')}, w3 AS (SELECT *, a.p >= 2 AND CASE WHEN b.priority > a.priority THEN b.score > a.score + 0.04 WHEN b.priority = a.priority THEN b.score > a.score + 0.02 ELSE false END AS go FROM t3),
+fine AS (SELECT w3.k AS cand, CASE WHEN go THEN b.t ELSE a.t END AS t, CASE WHEN go THEN 'trim_head' ELSE label END AS label, z.conf, z.name, z.success, z.two, m.t <> m.orig AS repaired FROM w3 JOIN z ON w3.k = z.cand JOIN mend m ON m.k = w3.k)"""
+
+
+@query(_double(f"""WITH {READ} SELECT cand, t AS text, round(conf, 6) AS confidence, concat_ws('+', name, CASE WHEN repaired THEN 'pattern_repair' END, nullif(label, '')) AS variant, CASE WHEN two THEN 'two_row' ELSE 'unknown' END AS layout,
+  CASE WHEN t = '' THEN '' WHEN {_PREFIX} BETWEEN 1 AND 4 AND {_DIGITS} BETWEEN 1 AND 4 THEN concat('L', {_PREFIX}, '-D', {_DIGITS}, '-S', length(t) - {_PREFIX} - {_DIGITS}) ELSE 'unparsed' END AS pattern, repaired, success, round({_PART('conf')}, 6) AS recognition FROM fine"""))
 def recognise(spark, d):
-    """Attempts to readings: best of all, rows, weak suffix, support, repair and refinement. Tested against a plain version."""
+    """Attempts to readings: best of all, rows, weak suffix, support, repair and refinement."""
     x, hints = _named(spark, d)
     rows = attempts.best_rows(_row_readings(spark, d))
-    return attempts.recognised(x, hints.drop("rows").join(rows, "cand", "left")).withColumn("confidence", F.round("confidence", 6))
+    found = attempts.recognised(x, hints.drop("rows").join(rows, "cand", "left"))
+    return found.select("cand", "text", F.round("confidence", 6).alias("confidence"), "variant", "layout", "pattern", "repaired", "success", F.round("recognition", 6).alias("recognition"))
 
 
 @query(_double(f"WITH {B}, c AS (SELECT image, seq, x / 40 AS a, y / 10 AS b, w / 200 AS c, h / 100 AS e, w / 300 AS rec FROM boxes) SELECT image, seq, round(least(1.0, greatest(0.0, (least(1.0, a) + least(1.0, b) + least(1.0, c)) / 3 - 0.35 * least(1.0, e))), 6) AS evidence, round(CASE WHEN seq % 3 = 0 THEN least(1.0, rec) ELSE least(1.0, (a + b) / 2) END, 6) AS recognition, "
@@ -794,16 +832,40 @@ def character_confidences(spark, d):
     return x.select("cand", "seq", F.array_join(F.transform(top, lambda c: c["label"]), " ").alias("characters"), F.round(F.coalesce(F.get(F.transform(top, lambda c: c["score"]), F.lit(0)), F.lit(0.0)) * F.length("t"), 6).alias("total"))
 
 
-@query(None)
+_MEND = READ[READ.index("heads AS"):READ.index("fine AS")].rstrip().rstrip(",")
+_TRIED = "SELECT image * 1000 + seq AS cand, a AS seq, 'full_' || a AS name, 'full_plate' AS source, CASE a WHEN 0 THEN t WHEN 1 THEN translate(t, '0125', 'OIZS') ELSE substr(t, 1, 2 + seq % 5) END AS t, ((seq + a) % 7)::DOUBLE / 7 AS conf, 0.03 AS bonus, true AS success, false AS two FROM base, (SELECT unnest([0, 1, 2]) AS a)"
+_NEAR = f"greatest(CASE WHEN a.w * a.h + b.w * b.h - {IOU('a', 'b')} <= 0 THEN 0 ELSE {IOU('a', 'b')} / (a.w * a.h + b.w * b.h - {IOU('a', 'b')}) END, {IOU('a', 'b')} / greatest(least(a.w * a.h, b.w * b.h), 2.220446049250313e-16)) >= 0.42"
+E2E = f"""{P}, {B}, base AS (SELECT boxes.* EXCLUDE score, x / 50 AS score, t FROM boxes JOIN plates ON image = k), {_scored(_TRIED, "own")}, {_FIRST("own", "total", "x")},
+same AS (SELECT a.cand, a.seq, a.name, a.conf, a.score, a.t, x.total AS least, count(*) OVER (PARTITION BY a.cand) AS many FROM own a JOIN x ON a.cand = x.cand AND a.t = substr(x.t, 1, length(x.t) - 1) WHERE x.conf <= 0.35 AND regexp_matches(x.t, '^[A-Z]{{1,4}}[0-9]{{1,4}}[A-Z]$')), {_FIRST("same", "score", "wk")},
+z AS (SELECT x.cand, x.two, coalesce(w.t, x.t) AS t, coalesce(w.conf, x.conf) AS conf, coalesce(w.name || '+trim_weak_suffix', x.name) AS name FROM x LEFT JOIN (SELECT * FROM wk WHERE many >= 2 AND score >= least - 0.12) w ON x.cand = w.cand),
+src AS (SELECT DISTINCT z.cand AS k, z.t AS orig, e.t AS src FROM z JOIN own e ON z.cand = e.cand WHERE e.t <> '' UNION SELECT cand, t, t FROM z), {_MEND},
+fine AS (SELECT w3.k AS cand, CASE WHEN go THEN b.t ELSE a.t END AS t, CASE WHEN go THEN 'trim_head' ELSE label END AS label, z.conf, z.name, m.t <> m.orig AS repaired FROM w3 JOIN z ON w3.k = z.cand JOIN mend m ON m.k = w3.k),
+sh AS (SELECT b.image, b.seq, f.t, {_shape("f.t")['p']} AS p, {_shape("f.t")['d']} AS d, {_shape("f.t")['s']} AS s, {_shape("f.t")['o']} AS o, length(f.t) AS n, {_PART("b.score")} AS det, {_PART(f"({_PART('x / 80')} + {_PART('y / 40')} + {_PART('x / 50')}) / 3 - 0.35 * {_PART('seq / 10')}")} AS ev, {_PART("conf")} AS rec, y / 20 AS frame, seq % 5 / 100 AS left_m,
+  concat_ws('+', name, CASE WHEN repaired THEN 'pattern_repair' END, nullif(label, '')) AS variant FROM base b JOIN fine f ON f.cand = b.image * 1000 + b.seq),
+sc AS{FINAL.split("sc AS", 1)[1]},
+big AS (SELECT image, seq, t, greatest(1.0, floor(x - w * 0.35)) AS x, greatest(1.0, floor(y - h * 0.35)) AS y, ceil(x + w + w * 0.35) AS x2, ceil(y + h + h * 0.35) AS y2, row_number() OVER (PARTITION BY image ORDER BY score DESC, seq) AS place FROM base),
+pad AS (SELECT image, seq, place, x, greatest(1.0, x2 - x) AS w, CASE WHEN greatest(1.0, y2 - y) < 36 THEN greatest(1.0, y - floor((36 - greatest(1.0, y2 - y)) / 2)) ELSE y END AS y,
+  CASE WHEN greatest(1.0, y2 - y) < 36 THEN greatest(1.0, y + greatest(1.0, y2 - y) - 1 + ceil((36 - greatest(1.0, y2 - y)) / 2) - greatest(1.0, y - floor((36 - greatest(1.0, y2 - y)) / 2)) + 1) ELSE greatest(1.0, y2 - y) END AS h FROM big),
+ev AS (SELECT p.*, sh.t, sh.variant, {_PART("f")} AS before, row_number() OVER (PARTITION BY p.image ORDER BY {_PART("f")} DESC, place) AS r FROM pad p JOIN fin ON p.image = fin.image AND p.seq = fin.seq JOIN sh ON p.image = sh.image AND p.seq = sh.seq WHERE place <= 10),
+mv AS (SELECT a.image, a.seq, list(CASE WHEN length(a.t) > length(b.t) THEN 0.08 ELSE -0.16 END ORDER BY b.r) AS ds FROM ev a JOIN ev b ON a.image = b.image AND a.seq <> b.seq WHERE {_NEAR} AND a.t <> '' AND b.t <> '' AND length(a.t) <> length(b.t) AND (contains(a.t, b.t) OR contains(b.t, a.t)) GROUP BY a.image, a.seq),
+af AS (SELECT ev.*, CASE WHEN ds IS NULL THEN before ELSE list_reduce(list_prepend(before, ds), lambda acc, v: least(1.0, greatest(0.0, acc + v))) END AS final FROM ev LEFT JOIN mv ON ev.image = mv.image AND ev.seq = mv.seq),
+pk AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY final DESC, before DESC, place) AS top, count(*) OVER (PARTITION BY image) AS many FROM af), {IMAGES}"""
+
+
+@query(_double(f"""WITH {E2E} SELECT path AS "imagePath", CASE WHEN failed THEN 'error' WHEN t IS NULL THEN 'plate_not_found' WHEN t <> '' THEN 'ok' ELSE 'ocr_failed' END AS status, CASE WHEN failed OR t IS NULL THEN '' ELSE t END AS "plateText", {_rule("CASE WHEN failed OR t IS NULL THEN '' ELSE t END", 0, chr(39) + 'Unknown' + chr(39))} AS "stateName",
+  round(CASE WHEN failed OR t IS NULL THEN 0.0 ELSE final END, 6) AS confidence, CASE WHEN NOT failed AND t IS NOT NULL THEN variant END AS variant, CASE WHEN failed OR t IS NULL THEN 0 ELSE many END::INT AS evaluated, CASE WHEN failed THEN 'unreadable' WHEN t IS NULL THEN '{recognition.NO_PLATE}' WHEN t <> '' THEN '{recognition.DONE}' ELSE '{recognition.NO_TEXT}' END AS said
+FROM images LEFT JOIN (SELECT * FROM pk WHERE top = 1) c ON images.image = c.image"""))
 def end_to_end(spark, d):
-    """Every image's result from its candidates and their attempts. Its steps have SQL of their own."""
+    """Every image's result from its candidates and their attempts."""
     x = _candidates(spark, d).withColumns({"score": F.col("box.x") / 50, "profile": F.lit("single_line"), "framing": F.col("box.y") / 20, "left_margin": F.col("seq") % 5 / 100})
     text_of = plates(spark, d).select(F.col("k").alias("image"), "t")
     base = x.select("image", "seq", "box").join(text_of, "image")
     t = F.array(F.col("t"), F.translate("t", "0125", "OIZS"), F.substring(F.col("t"), F.lit(1), 2 + F.col("seq") % 5))
     tried = base.select("image", "seq", F.posexplode(t).alias("attempt", "text")).select("image", "seq", "attempt", F.concat(F.lit("full_"), F.col("attempt").cast("string")).alias("name"), F.lit("full_plate").alias("source"), F.lit("Line").alias("layout"), "text", ((F.col("seq") + F.col("attempt")) % 7 / 7).alias("conf"), F.lit(True).alias("success"))
     hints = base.select("image", "seq", F.lit("").alias("layout"), F.lit("single_line").alias("profile"), F.lit(None).cast("array<struct<text:string,conf:double>>").alias("rows"))
-    return recognition.results(_images(spark, d), x, tried, hints).withColumn("confidence", F.round("confidence", 6))
+    found = recognition.results(_images(spark, d), x, tried, hints)
+    many = F.coalesce(F.when(F.col("evaluated").isNotNull(), F.size("evaluated")), F.lit(0))
+    return found.select("imagePath", "status", "plateText", "stateName", F.round("confidence", 6).alias("confidence"), "variant", many.alias("evaluated"), F.get("messages", F.lit(0)).alias("said"))
 
 
 @query(_double(f"WITH {_rows_sql(layout.RECTIFIED, 0.10)}, u AS (SELECT image, 'top' AS row, t FROM rowed WHERE is_two UNION ALL SELECT image, 'bottom', b FROM rowed WHERE is_two), v AS (SELECT image, row, floor(t.x1) AS x1, floor(t.y1) AS y1, greatest(1.0, ceil(t.x2) - floor(t.x1)) AS w, greatest(1.0, ceil(t.y2) - floor(t.y1)) AS h FROM u), "
