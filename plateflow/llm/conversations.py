@@ -272,3 +272,34 @@ def repaired(rows: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+OP12_SQL = r"""
+WITH RECURSIVE c AS (SELECT conv_id, coalesce(conv_id::VARCHAR, '-') AS ck, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+-- CRC-32 of an ASCII text, bit by bit.
+d AS (SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + length(k)), lambda i: ascii(substr(k, i, 1))::BIGINT)),
+        lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: CASE WHEN (x & 1) = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 20 AS code FROM c),
+e AS (SELECT ck, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM d),
+o AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, row_number() OVER (PARTITION BY ck, role, text ORDER BY turn NULLS FIRST, copy) AS nth,
+        NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, substr(role, 1, 1) AS ini FROM e),
+f AS (SELECT *, blank OR nth > 1 AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS t, lag(ini) OVER (PARTITION BY ck ORDER BY i) AS prev FROM o),
+n AS (SELECT ck, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND nth > 1) AS duplicate, count(*) FILTER (WHERE NOT gone AND cut) AS truncated,
+        count(*) FILTER (WHERE i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY ck),
+-- Cheapest ways to the end behind i rows, from each state: nothing yet, s, an open u, whole pairs.
+b AS (SELECT ck, n AS i, 0 AS b0, 10 AS b1, 5 AS b2, 0 AS b3 FROM n UNION ALL
+  SELECT ck, i, least(r0, least(r2, r3 + 5) + 5), least(r1, least(r2, r3 + 5) + 5), least(r2, r3 + 5), least(r3, least(r2, r3 + 5) + 5) FROM (
+    SELECT b.ck, b.i - 1 AS i, least(2 + b0, CASE WHEN gone THEN 99999999 WHEN ini = 's' THEN least(t + b1, 1 + t + b2) WHEN ini = 'u' THEN t + b2 ELSE 1 + t + b2 END) AS r0, least(2 + b1, CASE WHEN gone THEN 99999999 WHEN ini = 'u' THEN t + b2 ELSE 1 + t + b2 END) AS r1,
+      least(2 + b2, CASE WHEN gone THEN 99999999 WHEN ini = 'a' THEN t + b3 ELSE 1 + t + b3 END) AS r2, least(2 + b3, CASE WHEN gone THEN 99999999 WHEN ini = 'u' THEN t + b2 ELSE 1 + t + b2 END) AS r3 FROM b JOIN f ON f.ck = b.ck AND f.i = b.i)),
+s AS (SELECT ck, i, unnest([0, 1, 2, 3]) AS q, unnest([b0, b1, b2, b3]) AS left_over FROM b),
+w AS (SELECT ck, 0::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS made FROM n UNION ALL
+  SELECT ck, CASE WHEN letter = 'I' THEN i ELSE i + 1 END, CASE letter WHEN 'D' THEN q WHEN 'K' THEN kq ELSE nq END, audit || letter,
+    CASE letter WHEN 'D' THEN made WHEN 'K' THEN list_append(made, role || ':' || text) ELSE list_append(made, CASE nq WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE WHEN letter = 'I' THEN '' ELSE text END) END FROM (
+    SELECT w.*, f.role, f.text, nq, kq, CASE WHEN f.i IS NOT NULL AND 2 + d.left_over = now.left_over THEN 'D' WHEN 5 + ins.left_over = now.left_over THEN 'I' WHEN NOT gone AND kq IS NOT NULL AND t + kp.left_over = now.left_over THEN 'K' WHEN NOT gone AND 1 + t + re.left_over = now.left_over THEN 'R' END AS letter
+    FROM (SELECT *, CASE WHEN q = 2 THEN 3 ELSE 2 END AS nq FROM w) w JOIN s now ON now.ck = w.ck AND now.i = w.i AND now.q = w.q JOIN s ins ON ins.ck = w.ck AND ins.i = w.i AND ins.q = nq
+    LEFT JOIN (SELECT f.*, q0 AS at, CASE WHEN ini = 's' AND q0 = 0 THEN 1 WHEN ini = 'u' AND q0 IN (0, 1, 3) THEN 2 WHEN ini = 'a' AND q0 = 2 THEN 3 END AS kq FROM f, (SELECT unnest([0, 1, 2, 3]) AS q0)) f ON f.ck = w.ck AND f.i = w.i + 1 AND f.at = w.q
+    LEFT JOIN s d ON d.ck = w.ck AND d.i = w.i + 1 AND d.q = w.q LEFT JOIN s kp ON kp.ck = w.ck AND kp.i = w.i + 1 AND kp.q = kq LEFT JOIN s re ON re.ck = w.ck AND re.i = w.i + 1 AND re.q = nq) WHERE letter IS NOT NULL),
+z AS (SELECT w.ck, audit, made FROM w JOIN n ON w.ck = n.ck AND w.i = n.n JOIN s ON s.ck = w.ck AND s.i = w.i AND s.q = w.q WHERE left_over = 0)
+SELECT u.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(s.left_over, 0)::BIGINT AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(made, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, ck FROM c) u LEFT JOIN n ON n.ck = u.ck LEFT JOIN z ON z.ck = u.ck LEFT JOIN s ON s.ck = u.ck AND s.i = 0 AND s.q = 0"""
