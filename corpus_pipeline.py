@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns a DataFrame; all but the last
 return the columns of documents. The last one's rows: doc_id, n_tokens, token_ids (little-endian unsigned 32-bit), and the
 SHA-256 of the ids and of the bytes that they decode to.
+
+Rows without text, or with too few words, end at the quality rules. Of near copies the row of least doc_id stays (a row without one
+only if none has one; of rows equal in doc_id the one of least hash). Repeated rows are copies of each other; rows that share a doc_id
+but not their text are rows of their own. Texts of any length go whole through each stage. Empty tables give empty results. Further
+columns of documents, whatever their names, reach the last stage untouched and end there; n_chars follows the text.
 """
 
 from __future__ import annotations

@@ -9,6 +9,7 @@ from plateflow.functions import geometry
 from plateflow.operators import attempts as tries
 from plateflow.operators import detect, evaluate, rerank
 from plateflow.settings import DEFAULTS
+from plateflow.sources import ocr
 
 #: Width and height of an image where none are given: boxes are cut at no edge.
 ENDLESS = (float("inf"), float("inf"))
@@ -62,3 +63,10 @@ def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints
     said = F.when(F.col("status") == evaluate.OK, F.array(F.lit(DONE), selected)).when(F.col("status") == evaluate.NO_TEXT, F.array(F.lit(NO_TEXT), selected)).when(F.col("status") == evaluate.NO_PLATE, F.array(F.lit(NO_PLATE)))
     error = F.array_compact(F.array(F.col("error") if "error" in out.columns else F.lit(None).cast("string")))
     return out.withColumns({"messages": F.coalesce(said, error), "score": F.coalesce("_detector", F.lit(0.0))}).drop("_detector", "candidate", "error")
+
+
+def from_pictures(images: DataFrame, candidates: DataFrame, plates: DataFrame, hints: DataFrame, reader: ocr.Reader, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
+    """results, with the attempts made by a user's reader. images: as `sources.images.read_pictures` gives them, with image; candidates:
+    as `detect.detected` gives them; plates: image, seq, attempt, name, source, layout (see `plans.variants.plate_variants`) and
+    content, the picture that is read. A picture that the reader fails on is an attempt without success."""
+    return results(images, candidates, ocr.attempts_from(plates, reader), hints, settings, size)

@@ -106,6 +106,19 @@ def test_a_users_reader(spark):
     assert out == {1: ("ok", 0.9, [0.99, 0.5], True, None), 2: ("", 0.0, None, False, "no such font"), 3: ("", 0.0, None, False, ocr.NOTHING), 4: ("x12", 0.5, None, True, None), 5: ("", 0.5, None, False, None)}
 
 
+def test_from_pictures_to_results(spark):
+    def reader(content, layout, characters):
+        return content.decode().split("|")[0], float(content.decode().split("|")[1]), None
+
+    c = spark.createDataFrame([(k, 1, (0.0, 0.0, 90.0, 30.0), 0.9, "edge_full", 0.5, 0.1) for k in (1, 2)], CANDIDATES)
+    h = spark.createDataFrame([(k, 1, "", "single_line", None) for k in (1, 2)], HINTS)
+    plan = variants.plate_variants(c.select("image", "seq", F.lit(False).alias("has_text"), F.lit(False).alias("has_rows")), "image", "seq")
+    seen = F.when((F.col("image") == 1) & (F.col("name") == "gray_line"), "BPK1234|0.9").when(F.col("image") == 1, "8PK|0.2").otherwise("no number").cast("binary")
+    out = {r["imagePath"]: r for r in recognition.from_pictures(spark.createDataFrame([(1, "a.png"), (2, "b.png")], "image int, path string"), c, plan.withColumn("content", seen), h, reader).collect()}
+    assert (out["a.png"]["status"], out["a.png"]["plateText"], out["a.png"]["variant"]) == ("ok", "BPK1234", "gray_line")
+    assert (out["b.png"]["status"], out["b.png"]["messages"][0]) == ("ocr_failed", recognition.NO_TEXT)
+
+
 def test_a_plate_is_read_51_times_at_most(spark):
     c = spark.createDataFrame([(1, True, True, 2, "two_row", ""), (2, False, False, 1, "", "single_line")], "id int, has_text boolean, has_rows boolean, rows int, layout string, profile string")
     whole = {r["id"]: r["count"] for r in variants.plate_variants(c, "id").groupBy("id").count().collect()}
