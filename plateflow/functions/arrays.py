@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plateflow.functions.text import let
 
+#: More than sums of shares are off by rounding, less than two shares differ by.
+ROUNDING = 1e-12
+
 
 def runs(mask: Column) -> Column:
     """array<struct<first, last>>: maximal runs of true, places from 1."""
@@ -50,8 +53,9 @@ def positive_mean(profile: Column) -> Column:
 
 
 def active(profile: Column, least: float, share: float | Column) -> Column:
-    """Flags of the entries that reach a share of the mean of those above 0, and least; none if no entry is above 0."""
-    limit = F.greatest(F.lit(least), share * positive_mean(profile))
+    """Flags of the entries that reach a share of the mean of those above 0, and least; none if no entry is above 0. An entry that
+    meets the limit counts whatever way the mean was rounded."""
+    limit = F.greatest(F.lit(least), share * positive_mean(profile)) - ROUNDING
     return let(limit, lambda m: F.transform(profile, lambda v: (v > 0) & F.coalesce(v >= m, F.lit(False))))
 
 

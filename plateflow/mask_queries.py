@@ -48,7 +48,7 @@ def _profile(rois: str, name: str) -> str:
 def _runs(of: str, least: float, share: str, name: str) -> str:
     """name: runs (a to z) of the entries of a profile (id, k, i, v) that reach share of the mean of those above 0."""
     return f"""{name}_t AS (SELECT id, k, greatest({least}, {share} * avg(v) FILTER (WHERE v > 0)) AS t FROM {of} GROUP BY id, k),
-{name}_g AS (SELECT s.id, s.k, i, i - row_number() OVER (PARTITION BY s.id, s.k ORDER BY i) AS g FROM {of} s JOIN {name}_t t ON s.id = t.id AND s.k = t.k WHERE v > 0 AND v >= t),
+{name}_g AS (SELECT s.id, s.k, i, i - row_number() OVER (PARTITION BY s.id, s.k ORDER BY i) AS g FROM {of} s JOIN {name}_t t ON s.id = t.id AND s.k = t.k WHERE v > 0 AND v >= t - {arrays.ROUNDING:.12f}),
 {name} AS (SELECT id, k, min(i) AS a, max(i) AS z, max(i) - min(i) + 1 AS len FROM {name}_g GROUP BY id, k, g)"""
 
 
