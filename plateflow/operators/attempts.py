@@ -128,32 +128,27 @@ def supported(best: Column, every: Column, two_row: Column) -> Column:
     return F.when(two_row, let(texts.shape(best["t"]), of)).otherwise(best)
 
 
-def gathered(attempts: DataFrame, hints: DataFrame, *keys: str) -> DataFrame:
-    """keys, _a (the attempts in order), _h (layout, profile, rows): attempts and hints of a candidate meet in one shuffle, without a
-    join. attempts: keys, attempt (its place), name, source, layout, text, conf, success and, if there are any, chars (confidences of
-    the characters); hints: keys, layout, profile, rows (text and conf of the rows of a plate, null for none)."""
-    return _together(attempts, hints, None, *keys)
-
-
-def _together(attempts: DataFrame, hints: DataFrame, candidates: DataFrame | None, *keys: str) -> DataFrame:
+def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: DataFrame | None = None) -> DataFrame:
+    """keys, _a (the attempts in order), _h (layout, profile, rows) and _c (the candidate's record, if candidates are given): what
+    belongs to a candidate meets in one shuffle by the first key, without a join. attempts: keys, attempt (its place), name, source,
+    layout, text, conf, success and, if there are any, chars (confidences of the characters); hints: keys, layout, profile, rows (text
+    and conf of the rows of a plate, null for none); candidates: keys and _c."""
     chars = F.col("chars").cast("array<double>") if "chars" in attempts.columns else F.lit(None).cast("array<double>")
-    a = attempts.select(*keys, F.struct("attempt", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success", chars.alias("chars")).alias("_a"))
-    h = hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h"))
-    parts = [a, h] + ([candidates] if candidates is not None else [])
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p, allowMissingColumns=True)
+    whole = attempts.select(*keys, F.struct("attempt", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success", chars.alias("chars")).alias("_a"))
+    whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
+    if candidates is not None:
+        whole = whole.unionByName(candidates.select(*keys, "_c"), allowMissingColumns=True)
     more = [F.max("_c").alias("_c")] if candidates is not None else []
     return whole.repartition(keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
 
 
-def read(together: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     """Adds layout, text, confidence, variant, success, chars and attempted to what `gathered` makes: the reading of each candidate
     before its repair, and all texts attempted. A candidate's attempts (fifty at most) are one fold. Without a suffix letter by the
     settings each reading loses the letter behind a whole plate, and the steps for weak suffixes fall away."""
     suffix = settings["classification"]["suffix_letter"]
     profile = F.col("_h.profile")
-    both = together.withColumn("layout", texts.hint_layout(F.col("_h.layout"), profile)).withColumn("_two", F.col("layout") == "two_row")
+    both = candidates.withColumn("layout", texts.hint_layout(F.col("_h.layout"), profile)).withColumn("_two", F.col("layout") == "two_row")
 
     def rated(a: Column) -> Column:
         score = F.when(a["success"], attempt_score(texts.canonical(a["t"], suffix), a["conf"])).otherwise(-1.0)
