@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from plateflow import recognition
 from plateflow.functions import arrays, masks
-from plateflow.operators import attempts, detect, regions
+from plateflow.operators import attempts, detect, regions, rerank
 from plateflow.plans import variants
 from plateflow.settings import settings
 from plateflow.sources import images, ocr
@@ -188,3 +188,14 @@ def test_bands_of_plain_masks(spark):
     assert tuple(one(spark, masks.framing(F.lit(""), F.lit("two_row"), two, masks.column_profile(two)))) == (0.3, "unknown", 0.0, 0.0)
     assert one(spark, masks.two_row_band(blank, masks.column_profile(blank)))["score"] == 0.22
     assert one(spark, masks.best_crop(blank, F.array().cast(f"array<{BOX}>"))) is None
+
+
+def test_final_scores_are_generated_code_and_unread_parts_are_not_made(spark):
+    rows = [("BPK1234", 0.9, 0.7, 0.5, 0.4, 0.1), ("", 0.2, 0.1, 0.9, 0.2, 0.0), ("12", 0.3, 0.9, 0.1, 0.9, 0.0)]
+    x = spark.createDataFrame(rows, "text string, detector double, evidence double, recognition double, framing double, left_margin double")
+    plan = rerank.with_final_score(x).select("final_score")._jdf.queryExecution().optimizedPlan().toString()
+    # Nothing but values that are there already passes a lambda, and the reason's formatting falls away.
+    assert "format_string" not in plan and "RLIKE(lambda" not in plan and "regexp_replace(lambda" not in plan and "StartsWith(lambda" not in plan
+    found = [(round(r["final_score"], 6), r["reason"].split(", ")[3:5]) for r in rerank.with_final_score(x).collect()]
+    assert [w for _, w in found] == [["Regex=exact", "Struct=P3-D4-S0"], ["Regex=none", "Struct=empty"], ["Regex=none", "Struct=P0-D2-S0"]]
+    assert found[1][0] == 0.0 and found[0][0] > 0.8
