@@ -199,3 +199,11 @@ def test_final_scores_are_generated_code_and_unread_parts_are_not_made(spark):
     found = [(round(r["final_score"], 6), r["reason"].split(", ")[3:5]) for r in rerank.with_final_score(x).collect()]
     assert [w for _, w in found] == [["Regex=exact", "Struct=P3-D4-S0"], ["Regex=none", "Struct=empty"], ["Regex=none", "Struct=P0-D2-S0"]]
     assert found[1][0] == 0.0 and found[0][0] > 0.8
+
+
+def test_overlaps_are_judged_from_flat_entries(spark):
+    rows = [(1, 1, (0.0, 0.0, 10.0, 10.0), "BPK1234", 0.9), (1, 2, (1.0, 1.0, 4.0, 4.0), "PK123", 0.9), (1, 3, (50.0, 0.0, 10.0, 10.0), "PK12", 0.5), (1, 4, (0.0, 0.0, 10.0, 10.0), None, 0.4), (1, 5, (0.0, 0.0, 0.0, 0.0), "PK1", 0.3)]
+    out = rerank.adjusted(spark.createDataFrame(rows, f"image int, seq int, box {BOX}, text string, score double"))
+    # A step of a fold costs what its nodes cost: boxes lie open in the entries, no struct in a struct is opened for each pair.
+    assert ".box." not in out.select("score")._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["seq"]: (round(r["score"], 6), r["reason"].count("Adj=")) for r in out.collect()} == {1: (0.98, 1), 2: (0.74, 1), 3: (0.5, 0), 4: (0.4, 0), 5: (0.3, 0)}
