@@ -47,7 +47,7 @@ def best_rows(readings: DataFrame) -> DataFrame:
     t = texts.row_text(norm(F.col("text")), F.col("row"), F.col("two_row"))
     score = texts.row_score(t, F.col("conf"), F.col("row"), F.col("two_row")) + texts.row_variant_bonus(F.col("name"), F.col("row"), F.col("two_row"))
     best = readings.groupBy("cand", "row").agg(F.max(F.struct(score.alias("score"), (-F.col("seq")).alias("order"), t.alias("text"), F.col("conf").alias("conf"))).alias("x"))
-    return best.groupBy("cand").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
+    return best.groupBy("cand").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
 
 
 def _attempt(name, source, raw: Column, suffix: bool, conf: Column, score: Column, bonus: Column, success: Column, chars: Column) -> Column:
@@ -139,7 +139,7 @@ def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: Data
     if candidates is not None:
         whole = whole.unionByName(candidates.select(*keys, "_c"), allowMissingColumns=True)
     more = [F.max("_c").alias("_c")] if candidates is not None else []
-    return whole.repartition(keys[0]).groupBy(*keys).agg(F.array_sort(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
+    return whole.repartition(keys[0]).groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
 
 
 def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
@@ -169,7 +169,7 @@ def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS
     record, so nothing is joined; where before is dealt by the keys, nothing is shuffled."""
     record = F.struct("confidence", "variant", "layout", "success", "chars", *carried)
     staged = before.select(*keys, "text", "attempted", texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
-    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r")
+    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True)
     mended = mended.withColumn("_t", texts.refined(F.col("text"), F.col("_r.confidence"), settings["classification"]["suffix_letter"]))
     steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_t.label"), F.lit(""))))
     each = texts.expanded_confidence(F.col("_t.text"), F.col("_r.chars"), F.col("_r.confidence"))

@@ -5,36 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateflow.functions.text import edit_count, norm, prefix_bonus, repair_candidates, repair_score, rule_candidates, rule_number, shape
+from plateflow.functions.text import apart, edit_count, norm, prefix_bonus, repair_candidates, repair_score, rule_candidates, rule_number, shape_parts
 
 
 def candidates(texts: DataFrame, key: str | tuple[str, ...], text: str, attempted: str | None = None, *more: str) -> DataFrame:
-    """key, text (normalised), candidate and more columns: the distinct readings of each text and of the texts attempted (an array)."""
+    """key, text (normalised), candidate and more columns: the readings of each text and of the texts attempted (an array), distinct
+    for each of these. Texts are rows before they are read."""
     keys = (key,) if isinstance(key, str) else key
-    t = norm(F.col(text))
-    read = lambda x: F.concat(repair_candidates(x), rule_candidates(x))
-    found = read(F.col("text"))
-    rows = texts.select(*keys, t.alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
+    rows = texts.select(*keys, norm(F.col(text)).alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
+    rows = rows.withColumn("_read", F.col("text"))
     if attempted:
-        others = F.filter(F.transform(F.coalesce("_others", F.array().cast("array<string>")), norm), lambda x: x != "")
-        found = F.concat(found, F.flatten(F.transform(others, read)))
-    return rows.select(*keys, "text", *more, F.explode(F.array_distinct(found)).alias("candidate"))
+        every = F.array_distinct(F.concat(F.array("text"), F.coalesce("_others", F.array().cast("array<string>"))))
+        rows = rows.select(*keys, "text", *more, F.posexplode(every).alias("_place", "_raw")).withColumn("_read", norm(F.col("_raw"))).where((F.col("_place") == 0) | (F.col("_read") != ""))
+    found = rows.withColumn("_found", F.concat(repair_candidates(F.col("_read")), rule_candidates(F.col("_read"))))
+    # Never empty; outer, since Spark would lay a filter on the size below an inner one and make each array twice.
+    return found.select(*keys, "text", *more, F.explode_outer(F.array_distinct("_found")).alias("candidate"))
 
 
-def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str, attempted: str | None = None, *carried: str) -> DataFrame:
+def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str, attempted: str | None = None, *carried: str, dealt: bool = False) -> DataFrame:
     """key, text, score, original, original_score, edits, changed, label and the carried columns. Goes through a text's candidates in
     order and changes to one that beats the best so far by gain (a column). An edit costs .015; a rule whose token has several
-    characters adds .18, and .04 more from priority 90 on. key (one column or several) tells texts apart. Empty texts stay as they are."""
+    characters adds .18, and .04 more from priority 90 on. key (one column or several) tells texts apart. Empty texts stay as they are.
+
+    The best so far is never worse than the text itself, so a candidate that does not beat that is no row any more when the rows meet.
+    What is carried stays with the text's own row. Texts are dealt by their key before they become candidates, so that the exchange is
+    small and the tasks are even; dealt: they are already."""
     keys = (key,) if isinstance(key, str) else key
     c, t = F.col("candidate"), F.col("text")
-    rows = candidates(texts, keys, text, attempted, gain, *carried)
-    shaped = rows.select(*keys, "text", gain, *carried, "candidate", shape(c).alias("s"), shape(t).alias("o"), rule_number(c).alias("number"))
-    own = F.when(c == t, 0.0).otherwise(prefix_bonus(F.col("number")) - 0.015 * edit_count(t, c))
-    scored = shaped.select(*keys, "text", gain, *carried, F.struct("candidate", (repair_score(c, F.col("s"), F.col("o"), F.col("number")) + own).alias("score")).alias("x"))
-    found = scored.groupBy(*keys).agg(F.first("text").alias("text"), F.first(gain).alias("_gain"), *(F.first(k).alias(k) for k in carried), F.array_sort(F.collect_list("x")).alias("_c"))
-    first = F.get(F.filter("_c", lambda x: x["candidate"] == t), F.lit(0))
-    best = F.aggregate("_c", F.col("_first"), lambda a, x: F.when((x["candidate"] != t) & (x["score"] > a["score"] + F.col("_gain")), x).otherwise(a))
-    out = found.withColumn("_first", first).withColumn("_best", F.when(t == "", F.col("_first")).otherwise(best))
+    own = texts if dealt else texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0])
+    own = own.withColumn("_text", norm(F.col(text)))
+    first, shaped = {k: F.col(f"_o_{k}") for k in ("p", "d", "s", "ordered")}, {k: F.col(f"_s_{k}") for k in ("p", "d", "s", "ordered")}
+    own = own.withColumns({**{f"_o_{k}": v for k, v in shape_parts(F.col("_text")).items()}, "_rule": apart(rule_number(F.col("_text")))})
+    own = own.withColumn("_own", repair_score(F.col("_text"), first, first, F.col("_rule")))
+    rest = (gain, *carried, "_own", "_o_p", "_o_d", "_o_s", "_o_ordered")
+    rows = candidates(own, keys, text, attempted, *rest)
+    rows = rows.withColumns({**{f"_s_{k}": v for k, v in shape_parts(c).items()}, "_number": rule_number(c), "_edits": edit_count(t, c)})
+    raised = repair_score(c, shaped, first, F.col("_number")) + (prefix_bonus(F.col("_number")) - 0.015 * F.col("_edits"))
+    rows = rows.withColumn("_score", F.when(c == t, F.col("_own")).otherwise(raised))
+    # As a generator, since a filter would be pushed below the scores and make them again for itself.
+    better = F.when((c == t) | (F.col("_score") > F.col("_own") + F.col(gain)), F.array(F.struct("candidate", F.col("_score").alias("score"))))
+    rows = rows.select(*keys, "text", gain, *carried, "_own", F.explode_outer(better).alias("_x")).where("_x IS NOT NULL").select("*", "_x.candidate")
+    kept = [F.first(F.when(c == t, F.col(k)), ignorenulls=True).alias(k) for k in carried]
+    found = rows.groupBy(*keys).agg(F.first("text").alias("text"), F.first(gain).alias("_gain"), F.first("_own").alias("_own"), *kept, F.sort_array(F.collect_set(F.when(c != t, F.col("_x")))).alias("_c"))
+    start = F.struct(t.alias("candidate"), F.col("_own").alias("score"))
+    best = F.aggregate("_c", start, lambda a, x: F.when(x["score"] > a["score"] + F.col("_gain"), x).otherwise(a))
+    out = found.withColumn("_best", F.when((t == "") | (F.size("_c") == 0), start).otherwise(best))
     some = lambda x: F.when(t == "", 0.0).otherwise(F.col(x))
     changed = F.col("_best.candidate") != t
-    return out.select(*keys, *carried, F.col("_best.candidate").alias("text"), some("_best.score").alias("score"), t.alias("original"), some("_first.score").alias("original_score"), edit_count(t, F.col("_best.candidate")).alias("edits"), changed.alias("changed"), F.when(changed, "pattern_repair").otherwise("").alias("label"))
+    return out.select(*keys, *carried, F.col("_best.candidate").alias("text"), some("_best.score").alias("score"), t.alias("original"), some("_own").alias("original_score"), edit_count(t, F.col("_best.candidate")).alias("edits"), changed.alias("changed"), F.when(changed, "pattern_repair").otherwise("").alias("label"))

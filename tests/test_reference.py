@@ -226,3 +226,14 @@ def test_end_to_end(spark):
     assert {k: (r["status"], r["plateText"], r["stateName"]) for k, r in found.items()} == {"a.png": ("ok", "BPK1234", "Selangor"), "b.png": ("ocr_failed", "", "Unknown"), "c.png": ("plate_not_found", "", "Unknown"), "d.png": ("error", "", "Unknown")}
     both = {r["seq"]: r for r in recognition.evaluated(candidates, tried, hints).where("image = 1").collect()}
     assert both[2]["final_score"] > both[1]["final_score"] and "Regex=exact" in both[2]["reason"] and "State=Selangor" in both[2]["reason"]
+
+
+def test_repair_makes_candidates_without_folds(spark):
+    x = spark.createDataFrame([(1, "8PK12E4", 0.015, "kept"), (2, "", 0.015, "empty"), (3, "LLUN123", 0.015, "token")], "k int, t string, gain double, more string")
+    found = repair.repaired(x, "k", "t", "gain", None, "more")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Texts are dealt before they are read, and a reading is no lambda's work: a text's own scores are made once.
+    assert "RepartitionByExpression" in plan and "filter(array(" not in plan
+    by = {r["k"]: r for r in found.collect()}
+    assert len(by) == 3 and [by[k]["more"] for k in (1, 2, 3)] == ["kept", "empty", "token"]
+    assert by[2]["text"] == "" and not by[2]["changed"] and by[1]["changed"] and by[1]["original"] == "8PK12E4"
