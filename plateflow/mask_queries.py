@@ -20,12 +20,16 @@ HIGH, WIDE = 24, 48
 def plate_masks(spark: SparkSession, d: str) -> DataFrame:
     """id, v, mask, boxes, expected (that the plate has two rows)."""
     e = _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda c: c.cast("double")).alias("v"))
-    at = lambda i: F.get("v", i.cast("int"))
+    # Each entry is compared once for a vector; a row of the mask is a window of the flags, with those of its columns.
+    on = lambda n, place, least: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.get("v", place(i).cast("int")) > least)
+    e = e.withColumns({"_on": on(64, lambda i: i, -0.06), "_across": on(WIDE, lambda i: 20 + F.floor((i + 1) / 6), -0.12)}).withColumn("_twice", F.concat("_on", "_on"))
 
-    def on(y, x):
-        return (at((x + 3 * y) % 64) > -0.06) & (at(F.floor(y / 5)) > -0.06) & (at(20 + F.floor(x / 6)) > -0.12)
+    def row(y):
+        own, down = F.slice("_twice", (1 + 3 * y) % 64 + 1, F.lit(WIDE)), F.get("_on", F.floor(y / 5).cast("int"))
+        both = F.zip_with(own, "_across", lambda a, b: a & b)
+        return F.when(down, both).when(~down, F.array_repeat(F.lit(False), WIDE)).otherwise(F.transform(both, lambda a: a & F.lit(None).cast("boolean")))
 
-    mask = F.transform(F.sequence(F.lit(1), F.lit(HIGH)), lambda y: F.transform(F.sequence(F.lit(1), F.lit(WIDE)), lambda x: on(y, x)))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(HIGH)), row)
     i = F.col("id")
     box = lambda k: F.struct(*(v.cast("double").alias(n) for n, v in (("x", 2 + (i * 7 + k * 8) % 40 + F.lit(0.5)), ("y", 1 + (i + k * 5) % 18 + F.lit(0.5)), ("w", 3 + (i + k) % 4), ("h", 4 + (i * 3 + k) % 5))))
     return e.select("id", "v", mask.alias("mask"), F.transform(F.sequence(F.lit(1), 1 + (i % 6).cast("int")), box).alias("boxes"), (i % 2 == 0).alias("expected"))
@@ -112,7 +116,9 @@ def _rows(boxes: str, rois: str, name: str) -> str:
 
 @query(_double(f"WITH {PX}, {ALL}, b1 AS (SELECT *, 1 AS part FROM bx), {_bands('roi', str(rectify.DIVIDES), 'dv')}, {_rows('b1', 'roi', 'rw')} SELECT id, count(*) FILTER (WHERE NOT below)::INT AS top, count(*) FILTER (WHERE below)::INT AS bottom, round(sum(CASE WHEN below THEN x ELSE -x END), 6) AS sides FROM rw GROUP BY id"))
 def split_rows(spark, d):
-    x = plate_masks(spark, d).select("id", rectify.rows_of(F.col("boxes"), F.col("mask"), F.col("expected")).alias("r")).where("r.two")
+    x = plate_masks(spark, d).select("id", rectify.rows_of(F.col("boxes"), F.col("mask"), F.col("expected")).alias("r"))
+    # As a generator, since a filter would be pushed below the rows and make them, and the mask for each use of it, again for itself.
+    x = x.select("id", F.explode_outer(F.when(F.col("r.two"), F.array("r"))).alias("r")).where("r IS NOT NULL")
     each = lambda k: arrays.total(F.transform(k, lambda b: b["x"]))
     return x.select("id", F.size("r.top").alias("top"), F.size("r.bottom").alias("bottom"), F.round(each("r.bottom") - each("r.top"), 6).alias("sides"))
 

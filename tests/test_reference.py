@@ -237,3 +237,13 @@ def test_repair_makes_candidates_without_folds(spark):
     by = {r["k"]: r for r in found.collect()}
     assert len(by) == 3 and [by[k]["more"] for k in (1, 2, 3)] == ["kept", "empty", "token"]
     assert by[2]["text"] == "" and not by[2]["changed"] and by[1]["changed"] and by[1]["original"] == "8PK12E4"
+
+
+def test_split_rows_makes_each_mask_once(spark):
+    from plateflow import mask_queries
+
+    x = mask_queries.split_rows(spark, "/root/testdata/sf0.001")
+    plan = x._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    # A filter on the rows made them, and the mask, again below.
+    assert not [line for line in plan if "Filter" in line and "lambda" in line]
+    assert 0 < x.count() < 500
