@@ -50,42 +50,12 @@ def best_rows(readings: DataFrame) -> DataFrame:
     return best.groupBy("cand").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
 
 
-def _attempt(name, source, raw: Column, suffix: bool, conf: Column, score: Column, bonus: Column, success: Column, chars: Column) -> Column:
-    t = texts.canonical(raw, suffix)
-    return F.struct(name.alias("name"), source.alias("source"), t.alias("t"), raw.alias("raw"), conf.alias("conf"), score.alias("score"), (score + bonus).alias("total"), success.alias("success"), chars.alias("chars"))
+#: What is known of the best attempt on its way.
+_BEST = ("name", "t", "conf", "success", "chars", "p", "d", "s", "ordered")
 
 
-def _made(name: str, raw: Column, conf: Column, bonus: Column, suffix: bool) -> Column:
-    """An attempt that is put together from others."""
-    whole = F.struct(raw.alias("t"), conf.alias("conf"))
-    return let(whole, lambda x: _attempt(F.lit(name), F.lit(name), x["t"], suffix, x["conf"], attempt_score(texts.canonical(x["t"], suffix), x["conf"]), bonus, x["t"] != "", F.lit(None).cast("array<double>")))
-
-
-def _with_rows(attempts: Column, rows: Column, two_row: Column, suffix: bool) -> Column:
-    """struct(all, best): the attempts with the readings that two rows give, and the best one (the earlier one of equals)."""
-    first = lambda c: F.aggregate(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), F.get(c, F.lit(0)), lambda a, x: F.when(x["total"] > a["total"], x).otherwise(a))
-
-    def with_combo(best: Column) -> Column:
-        some = F.filter(rows, lambda r: r["text"] != "")
-        conf = F.aggregate(some, F.lit(0.0), lambda a, r: a + texts.clamp(r["conf"])) / F.size(some)
-        joined = F.array_join(F.transform(rows, lambda r: r["text"]), "")
-        combo = _made("rowwise_combo", joined, conf, F.when(two_row, ROWWISE).otherwise(0.0), suffix)
-
-        def with_hybrid(c: Column) -> Column:
-            now = F.when(c["total"] > best["total"], c).otherwise(best)
-            letters, digits = F.regexp_extract(now["t"], "^([A-Z]{1,4})", 1), F.regexp_extract(F.get(rows, F.lit(1))["text"], "([0-9]{1,4})", 1)
-            mixed = _made("hybrid_two_row", F.concat(letters, digits), (now["conf"] + c["conf"]) / 2, F.lit(HYBRID), suffix)
-            made = two_row & (letters != "") & (digits != "")
-            return let(mixed, lambda m: F.struct(F.when(made, F.concat(attempts, F.array(c, m))).otherwise(F.concat(attempts, F.array(c))).alias("all"), F.when(made & (m["total"] > now["total"]), m).otherwise(now).alias("best")))
-
-        has = (F.size(F.coalesce(rows, F.array().cast("array<struct<text:string,conf:double>>"))) >= 2) & F.exists(rows, lambda r: r["text"] != "")
-        return F.when(has, let(combo, with_hybrid)).otherwise(F.struct(attempts.alias("all"), best.alias("best")))
-
-    return let(first(attempts), with_combo)
-
-
-def _named(a: Column, name: Column, t: Column) -> Column:
-    return F.struct(name.alias("name"), a["source"].alias("source"), t.alias("t"), *(a[k].alias(k) for k in ("raw", "conf", "score", "total", "success", "chars")))
+def _best(a: Column, total: Column, name: Column | None = None) -> Column:
+    return F.struct(*((a["name"] if name is None else name).alias(k) if k == "name" else a[k].alias(k) for k in _BEST), total.alias("total"))
 
 
 def weak_suffix(best: Column, every: Column) -> Column:
@@ -96,45 +66,60 @@ def weak_suffix(best: Column, every: Column) -> Column:
     def other(x: Column) -> Column:
         same = F.filter(every, lambda a: a["t"] == x)
         top = lambda c: F.aggregate(c, F.get(c, F.lit(0)), lambda a, b: F.when(b["score"] > a["score"], b).otherwise(a))
-        taken = lambda b: F.when(b["score"] >= best["total"] - 0.12, _named(b, F.concat(b["name"], F.lit("+trim_weak_suffix")), x)).otherwise(best)
+        taken = lambda b: F.when(b["score"] >= best["total"] - 0.12, _best(b, b["score"], F.concat(b["name"], F.lit("+trim_weak_suffix")))).otherwise(best)
         return let(same, lambda c: F.when(F.size(c) >= 2, let(top(c), taken)).otherwise(best))
 
-    doubt = (best["conf"] <= 0.35) & best["t"].rlike("^[A-Z]{1,4}[0-9]{1,4}[A-Z]$")
+    doubt = (best["conf"] <= 0.35) & best["ordered"] & best["p"].between(1, 4) & best["d"].between(1, 4) & (best["s"] == 1)
     return F.when(doubt, let(trimmed, other)).otherwise(best)
 
 
 def supported(best: Column, every: Column, two_row: Column) -> Column:
-    """The best attempt, or, on a plate of two rows, one of another letter that more of the attempts support."""
-    support = lambda t: F.aggregate(F.filter(every, lambda a: a["t"] == t), F.lit(0.0), lambda acc, a: acc + support_weight(a["source"], a["name"]))
+    """The best attempt, or, on a plate of two rows, one of another letter that more of the attempts support. Tests come in order of
+    their cost, and what needs the texts' rules comes last."""
+    support = lambda t: F.aggregate(every, F.lit(0.0), lambda acc, a: F.when(a["t"] == t, acc + a["weight"]).otherwise(acc))
     priority = lambda t: texts.identify_state(t)["priority"]
-    digits = lambda t: F.regexp_extract(t, "^[A-Z]*([0-9]*)", 1)
+    digits = lambda a: F.substring(a["t"], a["p"] + 1, a["d"])
 
-    def of(x: Column) -> Column:
-        def like(a: Column) -> Column:
-            """One letter away, with the same digits: cheap tests first."""
-            near = (a["t"] != best["t"]) & (F.abs(F.length(a["t"]) - F.length(best["t"])) <= 1) & a["t"].rlike("^[A-Z]{1,4}[0-9]{3,4}[A-Z]?$")
-            return near & (texts.edit_count(best["t"], a["t"]) == 1) & (F.length(F.regexp_extract(a["t"], "^([A-Z]*)", 1)) == x["p"]) & (digits(a["t"]) == digits(best["t"]))
+    def like(a: Column) -> Column:
+        """One letter away, with the same digits."""
+        whole = a["ordered"] & a["p"].between(1, 4) & a["d"].between(3, 4) & (a["s"] <= 1)
+        near = (a["p"] == best["p"]) & (a["d"] == best["d"]) & whole & (a["t"] != best["t"]) & (F.abs(F.length(a["t"]) - F.length(best["t"])) <= 1)
+        return near & (digits(a) == digits(best)) & (texts.edit_count(best["t"], a["t"]) == 1)
 
-        def judged(own: Column) -> Column:
-            rated = F.transform(F.filter(every, like), lambda a: F.struct(a.alias("a"), support(a["t"]).alias("n"), priority(a["t"]).alias("priority")))
-            able = F.filter(rated, lambda r: (r["n"] >= 1.5) & (r["n"] > own["n"] + 0.45) & (r["priority"] + 5 >= own["priority"]))
+    def judged(own: Column) -> Column:
+        strong = F.filter(F.transform(F.filter(every, like), lambda a: F.struct(a.alias("a"), support(a["t"]).alias("n"))), lambda r: (r["n"] >= 1.5) & (r["n"] > own + 0.45))
+
+        def placed(found: Column) -> Column:
+            rated = F.transform(found, lambda r: F.struct(r["a"].alias("a"), r["n"].alias("n"), priority(r["a"]["t"]).alias("priority")))
+            able = let(priority(best["t"]), lambda k: F.filter(rated, lambda r: r["priority"] + 5 >= k))
             rank = lambda r: r["n"] + 0.10 * F.least(F.lit(1.0), r["priority"] / 100)
             top = lambda c: F.aggregate(c, F.get(c, F.lit(0)), lambda a, b: F.when(rank(b) > rank(a), b).otherwise(a))
-            return let(able, lambda c: F.when(F.size(c) > 0, let(top(c)["a"], lambda a: _named(a, F.concat(a["name"], F.lit("+attempt_support")), a["t"]))).otherwise(best))
+            chosen = lambda a: _best(a, a["score"], F.concat(a["name"], F.lit("+attempt_support")))
+            return let(able, lambda c: F.when(F.size(c) > 0, let(top(c)["a"], chosen)).otherwise(best))
+
+        return let(strong, lambda c: F.when(F.size(c) > 0, placed(c)).otherwise(best))
 
-        fit = x["ordered"] & (x["d"] >= 3) & (x["p"] >= 2) & (x["s"] <= 1)
-        return F.when(fit, let(F.struct(support(best["t"]).alias("n"), priority(best["t"]).alias("priority")), judged)).otherwise(best)
+    fit = two_row & best["ordered"] & (best["d"] >= 3) & (best["p"] >= 2) & (best["s"] <= 1) & F.exists(every, like)
+    return F.when(fit, let(support(best["t"]), judged)).otherwise(best)
 
-    return F.when(two_row, let(texts.shape(best["t"]), of)).otherwise(best)
 
+def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: DataFrame | None = None, settings: dict = DEFAULTS) -> DataFrame:
+    """keys, _a (the attempts in order, with what their texts are worth), _h (layout, profile, rows) and _c (the candidate's record, if
+    candidates are given): what belongs to a candidate meets in one shuffle by the first key, without a join. attempts: keys, attempt
+    (its place), name, source, layout, text, conf, success and, if there are any, chars (confidences of the characters); hints: keys,
+    layout, profile, rows (text and conf of the rows of a plate, null for none); candidates: keys and _c.
 
-def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: DataFrame | None = None) -> DataFrame:
-    """keys, _a (the attempts in order), _h (layout, profile, rows) and _c (the candidate's record, if candidates are given): what
-    belongs to a candidate meets in one shuffle by the first key, without a join. attempts: keys, attempt (its place), name, source,
-    layout, text, conf, success and, if there are any, chars (confidences of the characters); hints: keys, layout, profile, rows (text
-    and conf of the rows of a plate, null for none); candidates: keys and _c."""
+    Attempts are rated as rows, in generated code, before they meet; what hangs on the hints is a bonus of theirs for each case."""
+    suffix = settings["classification"]["suffix_letter"]
     chars = F.col("chars").cast("array<double>") if "chars" in attempts.columns else F.lit(None).cast("array<double>")
-    whole = attempts.select(*keys, F.struct("attempt", "name", "source", "layout", norm(F.col("text")).alias("t"), F.col("conf").cast("double").alias("conf"), "success", chars.alias("chars")).alias("_a"))
+    name, source, lay, t, conf = (F.col(k) for k in ("name", "source", "layout", "_t", "_conf"))
+    rated = attempts.select(*keys, "attempt", "name", "source", "layout", norm(F.col("text")).alias("_raw"), F.col("conf").cast("double").alias("_conf"), "success", chars.alias("_chars"))
+    rated = rated.withColumn("_t", texts.apart(texts.canonical(F.col("_raw"), suffix)))
+    rated = rated.withColumns({f"_{k}": v for k, v in texts.shape_parts(t).items()})
+    shaped = {k: F.col(f"_{k}") for k in ("p", "d", "s", "ordered")}
+    rated = rated.withColumns({"_score": texts.apart(F.when(F.col("success"), attempt_score(t, conf, shaped)).otherwise(-1.0)), "_one": texts.variant_bonus(source, lay, F.lit(False)), "_two": texts.variant_bonus(source, lay, F.lit(True)), "_weight": support_weight(source, name)})
+    entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")))
+    whole = rated.select(*keys, entry.alias("_a"))
     whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
     if candidates is not None:
         whole = whole.unionByName(candidates.select(*keys, "_c"), allowMissingColumns=True)
@@ -142,25 +127,79 @@ def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: Data
     return whole.repartition(keys[0]).groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
 
 
-def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """Adds layout, text, confidence, variant, success, chars and attempted to what `gathered` makes: the reading of each candidate
-    before its repair, and all texts attempted. A candidate's attempts (fifty at most) are one fold. Without a suffix letter by the
-    settings each reading loses the letter behind a whole plate, and the steps for weak suffixes fall away."""
-    suffix = settings["classification"]["suffix_letter"]
-    profile = F.col("_h.profile")
-    both = candidates.withColumn("layout", texts.hint_layout(F.col("_h.layout"), profile)).withColumn("_two", F.col("layout") == "two_row")
+def _made(x: DataFrame, at: str, name: str, raw: Column, conf: Column, bonus: Column, suffix: bool) -> DataFrame:
+    """Adds the columns at (an attempt that is put together from others, as an entry of _a) and at_total, in steps of generated code;
+    raw null: no attempt."""
+    kind, c = x.schema["_a"].dataType.elementType, lambda k: F.col(f"{at}_{k}")
+    x = x.withColumns({f"{at}_raw": texts.apart(raw), f"{at}_conf": conf}).withColumn(f"{at}_t", texts.canonical(c("raw"), suffix))
+    x = x.withColumns({f"{at}_{k}": texts.apart(v) if k == "s" else v for k, v in texts.shape_parts(c("t")).items()})
+    shaped = {k: c(k) for k in ("p", "d", "s", "ordered")}
+    x = x.withColumn(f"{at}_score", texts.apart(attempt_score(c("t"), c("conf"), shaped)))
+    own = {"name": F.lit(name), "source": F.lit(name), "raw": c("raw"), "conf": c("conf"), "success": c("t") != "", "t": c("t"), **shaped, "score": c("score"), "weight": support_weight(F.lit(name), F.lit(name))}
+    entry = F.struct(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return x.withColumns({at: F.when(c("raw").isNotNull(), entry), f"{at}_total": c("score") + bonus})
 
-    def rated(a: Column) -> Column:
-        score = F.when(a["success"], attempt_score(texts.canonical(a["t"], suffix), a["conf"])).otherwise(-1.0)
-        return _attempt(a["name"], a["source"], a["t"], suffix, a["conf"], score, texts.variant_bonus(a["source"], a["layout"], F.col("_two"), profile), a["success"], a["chars"])
 
-    rows = F.transform("_h.rows", lambda r: F.struct(texts.canonical(norm(r["text"]), suffix).alias("text"), r["conf"].cast("double").alias("conf")))
-    staged = both.withColumn("_b", F.transform("_a", rated)).withColumn("_r", rows).withColumn("_x", _with_rows(F.col("_b"), F.col("_r"), F.col("_two"), suffix))
-    staged = staged.withColumn("_y", weak_suffix(F.col("_x.best"), F.col("_x.all")) if suffix else F.col("_x.best")).withColumn("_z", supported(F.col("_y"), F.col("_x.all"), F.col("_two")))
+def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
+    """Adds layout, text, confidence, variant, success, chars and attempted to what `gathered` makes: the reading of each candidate
+    before its repair, and all texts attempted. The best of a candidate's attempts (fifty at most; the earlier one of equals) is a
+    greatest struct, and the readings that two rows give are columns. Without a suffix letter by the settings each reading loses the
+    letter behind a whole plate, and the steps for weak suffixes fall away."""
+    suffix, kept = settings["classification"]["suffix_letter"], candidates.columns
+    two = F.col("_two")
+    x = candidates.withColumn("layout", texts.hint_layout(F.col("_h.layout"), F.col("_h.profile")))
+    x = x.withColumns({"_two": F.col("layout") == "two_row", "_composite": F.coalesce(F.col("_h.profile") == "two_row", F.lit(False))})
+    bonus = lambda a: F.when(two, a["two"]).otherwise(a["one"]) + F.when(F.col("_composite") & (a["source"] == "row_composite"), 0.05).otherwise(0.0)
+    totals = F.transform("_a", lambda a, i: F.struct((a["score"] + bonus(a)).alias("total"), (-i).alias("order")))
+    lines = F.transform("_h.rows", lambda r: F.struct(texts.canonical(norm(r["text"]), suffix).alias("text"), r["conf"].cast("double").alias("conf")))
+    x = x.withColumns({"_top": F.array_max(totals), "_r": lines})
+    x = x.withColumn("_b", F.get("_a", -F.col("_top.order")))
+    # Rows: a reading of both (combo), and the head of the best so far before the digits below (mixed).
+    some = F.size(F.array_remove("_r.text", ""))
+    x = x.withColumn("_has", F.coalesce((F.size("_r") >= 2) & (some > 0), F.lit(False)))
+    sure = F.aggregate("_r", F.lit(0.0), lambda a, r: a + F.when(r["text"] != "", texts.clamp(r["conf"])).otherwise(0.0)) / some
+    x = _made(x, "_m", "rowwise_combo", F.when(F.col("_has"), F.array_join("_r.text", "")), F.when(F.col("_has"), sure), F.when(two, ROWWISE).otherwise(0.0), suffix)
+    better = F.col("_has") & (F.col("_m_total") > F.col("_top.total"))
+    x = x.withColumn("_n", F.when(better, _best(F.col("_m"), F.col("_m_total"))).otherwise(F.when(F.col("_b").isNotNull(), _best(F.col("_b"), F.col("_top.total")))))
+    head, below = F.regexp_extract("_n.t", "^([A-Z]{1,4})", 1), F.regexp_extract(F.get("_r", F.lit(1))["text"], "([0-9]{1,4})", 1)
+    x = x.withColumns({"_head": F.when(F.col("_has") & two, head), "_below": F.when(F.col("_has") & two, below)})
+    mixed = (F.col("_head") != "") & (F.col("_below") != "")
+    x = _made(x, "_v", "hybrid_two_row", F.when(mixed, F.concat("_head", "_below")), F.when(mixed, (F.col("_n.conf") + F.col("_m.conf")) / 2), F.lit(HYBRID), suffix)
+    more = F.when(F.col("_v").isNotNull(), F.array("_m", "_v")).when(F.col("_has"), F.array("_m"))
+    x = x.withColumns({"_x": F.when(F.col("_v").isNotNull() & (F.col("_v_total") > F.col("_n.total")), _best(F.col("_v"), F.col("_v_total"))).otherwise(F.col("_n")), "_all": F.when(F.col("_has"), F.concat("_a", more)).otherwise(F.col("_a"))})
+    x = x.withColumn("_y", weak_suffix(F.col("_x"), F.col("_all")) if suffix else F.col("_x")).withColumn("_z", supported(F.col("_y"), F.col("_all"), two))
     none = {"text": F.lit(""), "confidence": F.lit(0.0), "variant": F.lit(""), "success": F.lit(False)}
     named = {"text": "t", "confidence": "conf", "variant": "name", "success": "success"}
-    out = staged.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.transform("_x.all", lambda a: a["raw"])})
-    return out.drop("_a", "_h", "_two", "_b", "_r", "_x", "_y", "_z")
+    out = x.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.col("_all.raw")})
+    return out.select(*(k for k in kept if k not in ("_a", "_h")), "layout", *none, "chars", "attempted")
+
+
+def refined(x: DataFrame, text: str, confidence: Column, suffix: bool = True) -> DataFrame:
+    """Adds _text and _label: what `text.refined` makes of a text, with each step's columns in generated code. A step that a text does
+    not come to has null for a text, so that its tests cost next to nothing."""
+    parts = ("t", "p", "d", "s", "ordered", "priority", "score")
+
+    def stated(x: DataFrame, at: str, t: Column) -> DataFrame:
+        c = lambda k: F.col(f"_{at}_{k}")
+        x = x.withColumn(f"_{at}_t", t).withColumns({**{f"_{at}_{k}": v for k, v in texts.shape_parts(c("t")).items()}, f"_{at}_rule": texts.apart(texts.rule_number(c("t")))})
+        known = {k: c(k) for k in ("p", "d", "s", "ordered")}
+        return x.withColumns({f"_{at}_score": texts.apart(texts.refinement_score(c("t"), known, c("rule"))), f"_{at}_priority": texts.rule_priority(c("rule"))})
+
+    def taken(x: DataFrame, at: str, better: Column, label: str) -> DataFrame:
+        x = x.withColumn("_better", F.coalesce(better, F.lit(False)))
+        return x.withColumns({f"_n_{k}": F.when(F.col("_better"), F.col(f"_{at}_{k}")).otherwise(F.col(f"_n_{k}")) for k in parts} | {"_label": F.when(F.col("_better"), label).otherwise(F.col("_label"))})
+
+    n, kept = lambda k: F.col(f"_n_{k}"), x.columns
+    cut = F.substring(n("t"), F.lit(1), F.length(n("t")) - 1)
+    x = stated(x, "n", F.col(text)).withColumn("_label", F.lit(""))
+    x = taken(stated(x, "c", F.when(n("s") > 1, cut)), "c", F.col("_c_score") > n("score") + 0.06, "trim_tail")
+    if suffix:
+        plain = F.col("_w_ordered") & F.col("_w_p").between(1, 4) & F.col("_w_d").between(1, 4) & (F.col("_w_s") == 0)
+        x = taken(stated(x, "w", F.when((n("s") == 1) & (confidence <= 0.25), cut)), "w", plain & (F.col("_w_score") >= n("score") - 0.02), "trim_weak_suffix")
+    x = stated(x, "h", F.when(n("p") >= 2, F.substring(n("t"), F.lit(2), F.length(n("t")))))
+    higher = F.when(F.col("_h_priority") > n("priority"), F.col("_h_score") > n("score") + 0.04).when(F.col("_h_priority") == n("priority"), F.col("_h_score") > n("score") + 0.02)
+    x = taken(x, "h", F.col("_h_t").isNotNull() & higher, "trim_head")
+    return x.select(*kept, n("t").alias("_text"), "_label")
 
 
 def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS, *carried: str) -> DataFrame:
@@ -170,12 +209,14 @@ def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS
     record = F.struct("confidence", "variant", "layout", "success", "chars", *carried)
     staged = before.select(*keys, "text", "attempted", texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
     mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True)
-    mended = mended.withColumn("_t", texts.refined(F.col("text"), F.col("_r.confidence"), settings["classification"]["suffix_letter"]))
-    steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_t.label"), F.lit(""))))
-    each = texts.expanded_confidence(F.col("_t.text"), F.col("_r.chars"), F.col("_r.confidence"))
-    made = mended.select(*keys, *(F.col(f"_r.{k}").alias(k) for k in carried), F.col("_t.text").alias("text"), F.col("_r.confidence").alias("confidence"), F.array_join(steps, "+").alias("variant"), F.col("_r.layout").alias("layout"), texts.pattern_label(F.col("_t.text")).alias("pattern"), F.col("changed").alias("repaired"), F.col("_r.success").alias("success"), each.alias("_each"))
-    out = made.withColumns({"characters": texts.top_candidates(texts.characters(F.col("text")), F.col("_each")), "recognition": recognition_score(F.col("_each"), F.col("confidence"))})
-    return out.drop("_each")
+    mended = refined(mended.select(*keys, "text", "changed", "_r"), "text", F.col("_r.confidence"), settings["classification"]["suffix_letter"])
+    steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_label"), F.lit(""))))
+    made = mended.select(*keys, *(F.col(f"_r.{k}").alias(k) for k in carried), F.col("_text").alias("text"), F.col("_r.confidence").alias("confidence"), F.array_join(steps, "+").alias("variant"), F.col("_r.layout").alias("layout"), texts.pattern_label(F.col("_text")).alias("pattern"), F.col("changed").alias("repaired"), F.col("_r.success").alias("success"), F.col("_r.chars").alias("_chars"))
+    each = texts.expanded_confidence(F.col("text"), F.col("_chars"), F.col("confidence"))
+    # The mean of a text's one confidence is that itself: no array is made for it.
+    own = (F.size("_chars") == F.length("text")) & (F.size("_chars") > 0)
+    recognition = F.when(own, recognition_score(F.transform("_chars", texts.clamp), F.col("confidence"))).otherwise(texts.clamp(F.coalesce(F.col("confidence"), F.lit(0.0))))
+    return made.withColumns({"characters": texts.top_candidates(texts.characters(F.col("text")), each), "recognition": recognition}).drop("_chars")
 
 
 def recognition_score(characters: Column, whole: Column) -> Column:
@@ -190,7 +231,7 @@ def _placed(attempts: DataFrame) -> DataFrame:
 
 def chosen(attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     """cand, layout, text, confidence, variant, success, chars, attempted: see `read`. attempts: cand, seq, and the rest of `gathered`."""
-    return read(gathered(_placed(attempts), hints, "cand").where(F.size("_a") > 0), settings)
+    return read(gathered(_placed(attempts), hints, "cand", settings=settings).where(F.size("_a") > 0), settings)
 
 
 def recognised(attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS) -> DataFrame:

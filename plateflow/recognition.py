@@ -37,7 +37,7 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, sett
     and a candidate's record goes whole through repair and adjustment."""
     full = rerank.normalised(candidates)
     own = full.select("image", "seq", F.struct(*(c for c in full.columns if c not in ("image", "seq")), padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
-    whole = tries.gathered(attempts, hints, "image", "seq", candidates=own).where("_c IS NOT NULL").withColumn("score", F.col("_c.score"))
+    whole = tries.gathered(attempts, hints, "image", "seq", candidates=own, settings=settings).where("_c IS NOT NULL").withColumn("score", F.col("_c.score"))
     best = detect.top_k(whole, settings["reranking"]["evaluate"]).withColumnRenamed("rank", "candidate").drop("score")
     read = tries.finished(tries.read(best, settings), ("image", "seq"), settings, "_c", "candidate")
     taken = {"box", "layout"} | set(read.columns)

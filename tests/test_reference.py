@@ -247,3 +247,23 @@ def test_split_rows_makes_each_mask_once(spark):
     # A filter on the rows made them, and the mask, again below.
     assert not [line for line in plan if "Filter" in line and "lambda" in line]
     assert 0 < x.count() < 500
+
+
+def test_attempts_are_rated_as_rows(spark):
+    x = [("full_plate", "Line", "BPK1234", 0.8), ("text_only", "Block", "BPK123", 0.7)]
+    a = spark.createDataFrame([(1, i, f"n{i}", *y, True) for i, y in enumerate(x)], ATTEMPTS)
+    h = spark.createDataFrame([(1, "two_row", "two_row", [("BPK", 0.9), ("1234", 0.9)])], HINTS)
+    found = attempts.recognised(a, h)
+    # What a text is worth lies in an attempt before they meet, made in generated code.
+    entry = attempts.gathered(a.withColumnRenamed("seq", "attempt"), h, "cand").schema["_a"].dataType.elementType
+    assert {"score", "one", "two", "weight", "p", "d", "s", "ordered"} <= set(entry.names)
+    r = found.first()
+    assert (r["text"], r["variant"], r["layout"]) == ("BPK1234", "rowwise_combo", "two_row")
+
+
+def test_refinement_in_columns_is_that_of_the_expression(spark):
+    given = [(t, c) for t in ("", "BPK1234", "BPK1234XY", "BPK1234X", "YBPK1234", "YF123QQ", "XXZ12", "12DC88AB", "ABCDE1") for c in (0.2, 0.6, None)]
+    x = spark.createDataFrame(given, "text string, conf double")
+    for suffix in (True, False):
+        both = attempts.refined(x, "text", F.col("conf"), suffix).withColumn("r", text.refined(F.col("text"), F.col("conf"), suffix)).collect()
+        assert [(r["_text"], r["_label"]) for r in both] == [(r["r"]["text"], r["r"]["label"]) for r in both]
