@@ -71,7 +71,7 @@ def gap_consistency(boxes: Column) -> Column:
         even = let(gaps, lambda g: F.when(F.size(g) == 0, 0.25).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - spread(g) / (average(g) + 1)))))
         return F.when(F.size(s) <= 2, 0.75).otherwise(even)
 
-    return let(F.array_sort(F.transform(boxes, lambda b, i: F.struct(b["x"].alias("x"), i.alias("i"), b["w"].alias("w")))), of)
+    return let(F.sort_array(F.transform(boxes, lambda b, i: F.struct(b["x"].alias("x"), i.alias("i"), b["w"].alias("w")))), of)
 
 
 def _even(values: Column, limit: Column) -> Column:
@@ -105,7 +105,7 @@ def split_rows(boxes: Column, height: float, least: float = 0.08) -> Column:
 
         return let(F.array_max(steps), cut)
 
-    return let(F.array_sort(F.transform(boxes, lambda b, i: F.struct((b["y"] + b["h"] / 2).alias("cy"), i.alias("i"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))), of)
+    return let(F.sort_array(F.transform(boxes, lambda b, i: F.struct((b["y"] + b["h"] / 2).alias("cy"), i.alias("i"), b["x"].alias("x"), b["y"].alias("y"), b["w"].alias("w"), b["h"].alias("h")))), of)
 
 
 def horizontal_consistency(top: Column, bottom: Column, every: Column) -> Column:
