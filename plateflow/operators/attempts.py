@@ -114,10 +114,10 @@ def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: Data
     chars = F.col("chars").cast("array<double>") if "chars" in attempts.columns else F.lit(None).cast("array<double>")
     name, source, lay, t, conf = (F.col(k) for k in ("name", "source", "layout", "_t", "_conf"))
     rated = attempts.select(*keys, "attempt", "name", "source", "layout", norm(F.col("text")).alias("_raw"), F.col("conf").cast("double").alias("_conf"), "success", chars.alias("_chars"))
-    rated = rated.withColumn("_t", texts.apart(texts.canonical(F.col("_raw"), suffix)))
+    rated = rated.withColumn("_t", texts.apart(texts.canonical(F.col("_raw"), suffix), F.col("_raw")))
     rated = rated.withColumns({f"_{k}": v for k, v in texts.shape_parts(t).items()})
     shaped = {k: F.col(f"_{k}") for k in ("p", "d", "s", "ordered")}
-    rated = rated.withColumns({"_score": texts.apart(F.when(F.col("success"), attempt_score(t, conf, shaped)).otherwise(-1.0)), "_one": texts.variant_bonus(source, lay, F.lit(False)), "_two": texts.variant_bonus(source, lay, F.lit(True)), "_weight": support_weight(source, name)})
+    rated = rated.withColumns({"_score": texts.apart(F.when(F.col("success"), attempt_score(t, conf, shaped)).otherwise(-1.0), t), "_one": texts.variant_bonus(source, lay, F.lit(False)), "_two": texts.variant_bonus(source, lay, F.lit(True)), "_weight": support_weight(source, name)})
     entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")))
     whole = rated.select(*keys, entry.alias("_a"))
     whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
@@ -131,10 +131,10 @@ def _made(x: DataFrame, at: str, name: str, raw: Column, conf: Column, bonus: Co
     """Adds the columns at (an attempt that is put together from others, as an entry of _a) and at_total, in steps of generated code;
     raw null: no attempt."""
     kind, c = x.schema["_a"].dataType.elementType, lambda k: F.col(f"{at}_{k}")
-    x = x.withColumns({f"{at}_raw": texts.apart(raw), f"{at}_conf": conf}).withColumn(f"{at}_t", texts.canonical(c("raw"), suffix))
-    x = x.withColumns({f"{at}_{k}": texts.apart(v) if k == "s" else v for k, v in texts.shape_parts(c("t")).items()})
+    x = x.withColumns({f"{at}_raw": texts.apart(raw, F.col("layout")), f"{at}_conf": conf}).withColumn(f"{at}_t", texts.canonical(c("raw"), suffix))
+    x = x.withColumns({f"{at}_{k}": texts.apart(v, c("t")) if k == "s" else v for k, v in texts.shape_parts(c("t")).items()})
     shaped = {k: c(k) for k in ("p", "d", "s", "ordered")}
-    x = x.withColumn(f"{at}_score", texts.apart(attempt_score(c("t"), c("conf"), shaped)))
+    x = x.withColumn(f"{at}_score", texts.apart(attempt_score(c("t"), c("conf"), shaped), c("t")))
     own = {"name": F.lit(name), "source": F.lit(name), "raw": c("raw"), "conf": c("conf"), "success": c("t") != "", "t": c("t"), **shaped, "score": c("score"), "weight": support_weight(F.lit(name), F.lit(name))}
     entry = F.struct(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
     return x.withColumns({at: F.when(c("raw").isNotNull(), entry), f"{at}_total": c("score") + bonus})
@@ -181,9 +181,9 @@ def refined(x: DataFrame, text: str, confidence: Column, suffix: bool = True) ->
 
     def stated(x: DataFrame, at: str, t: Column) -> DataFrame:
         c = lambda k: F.col(f"_{at}_{k}")
-        x = x.withColumn(f"_{at}_t", t).withColumns({**{f"_{at}_{k}": v for k, v in texts.shape_parts(c("t")).items()}, f"_{at}_rule": texts.apart(texts.rule_number(c("t")))})
+        x = x.withColumn(f"_{at}_t", t).withColumns({**{f"_{at}_{k}": v for k, v in texts.shape_parts(c("t")).items()}, f"_{at}_rule": texts.apart(texts.rule_number(c("t")), c("t"))})
         known = {k: c(k) for k in ("p", "d", "s", "ordered")}
-        return x.withColumns({f"_{at}_score": texts.apart(texts.refinement_score(c("t"), known, c("rule"))), f"_{at}_priority": texts.rule_priority(c("rule"))})
+        return x.withColumns({f"_{at}_score": texts.apart(texts.refinement_score(c("t"), known, c("rule")), c("t")), f"_{at}_priority": texts.rule_priority(c("rule"))})
 
     def taken(x: DataFrame, at: str, better: Column, label: str) -> DataFrame:
         x = x.withColumn("_better", F.coalesce(better, F.lit(False)))

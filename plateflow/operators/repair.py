@@ -5,21 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plateflow.functions.text import apart, edit_count, norm, prefix_bonus, repair_candidates, repair_score, rule_candidates, rule_number, shape_parts
+from plateflow.functions.text import apart, as_digits, as_letters, edit_count, norm, prefix_bonus, readings, repair_score, rule_candidates, rule_number, shape_parts
 
 
-def candidates(texts: DataFrame, key: str | tuple[str, ...], text: str, attempted: str | None = None, *more: str) -> DataFrame:
+def candidates(texts: DataFrame, key: str | tuple[str, ...], text: str, attempted: str | None = None, *more: str, once: tuple[str, ...] = ()) -> DataFrame:
     """key, text (normalised), candidate and more columns: the readings of each text and of the texts attempted (an array), distinct
-    for each of these. Texts are rows before they are read."""
+    for each of these. Texts are rows before they are read. once: those of more that only the row of the text itself keeps (null in the
+    others), as they may be large."""
     keys = (key,) if isinstance(key, str) else key
     rows = texts.select(*keys, norm(F.col(text)).alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
     rows = rows.withColumn("_read", F.col("text"))
     if attempted:
         every = F.array_distinct(F.concat(F.array("text"), F.coalesce("_others", F.array().cast("array<string>"))))
         rows = rows.select(*keys, "text", *more, F.posexplode(every).alias("_place", "_raw")).withColumn("_read", norm(F.col("_raw"))).where((F.col("_place") == 0) | (F.col("_read") != ""))
-    found = rows.withColumn("_found", F.concat(repair_candidates(F.col("_read")), rule_candidates(F.col("_read"))))
+    else:
+        rows = rows.withColumn("_place", F.lit(0))
+    rows = rows.withColumns({"_letters": as_letters(F.col("_read")), "_digits": as_digits(F.col("_read"))})
+    found = rows.withColumn("_found", F.concat(readings(F.col("_read"), F.col("_letters"), F.col("_digits")), rule_candidates(F.col("_read"))))
     # Never empty; outer, since Spark would lay a filter on the size below an inner one and make each array twice.
-    return found.select(*keys, "text", *more, F.explode_outer(F.array_distinct("_found")).alias("candidate"))
+    laid = found.select(*keys, "text", *more, "_place", F.posexplode_outer(F.array_distinct("_found")).alias("_k", "candidate"))
+    own = (F.col("_place") == 0) & (F.col("_k") == 0)  # the first reading is the text
+    return laid.select(*keys, "text", *(F.when(own, F.col(k)).alias(k) if k in once else k for k in more), "candidate")
 
 
 def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str, attempted: str | None = None, *carried: str, dealt: bool = False) -> DataFrame:
@@ -35,12 +41,14 @@ def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str,
     own = texts if dealt else texts.repartition(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), keys[0])
     own = own.withColumn("_text", norm(F.col(text)))
     first, shaped = {k: F.col(f"_o_{k}") for k in ("p", "d", "s", "ordered")}, {k: F.col(f"_s_{k}") for k in ("p", "d", "s", "ordered")}
-    own = own.withColumns({**{f"_o_{k}": v for k, v in shape_parts(F.col("_text")).items()}, "_rule": apart(rule_number(F.col("_text")))})
+    own = own.withColumns({**{f"_o_{k}": v for k, v in shape_parts(F.col("_text")).items()}, "_rule": apart(rule_number(F.col("_text")), F.col("_text"))})
     own = own.withColumn("_own", repair_score(F.col("_text"), first, first, F.col("_rule")))
     rest = (gain, *carried, "_own", "_o_p", "_o_d", "_o_s", "_o_ordered")
-    rows = candidates(own, keys, text, attempted, *rest)
-    rows = rows.withColumns({**{f"_s_{k}": v for k, v in shape_parts(c).items()}, "_number": rule_number(c), "_edits": edit_count(t, c)})
-    raised = repair_score(c, shaped, first, F.col("_number")) + (prefix_bonus(F.col("_number")) - 0.015 * F.col("_edits"))
+    rows = candidates(own, keys, text, attempted, *rest, once=carried)
+    rows = rows.withColumns({**{f"_s_{k}": v for k, v in shape_parts(c).items()}, "_number": apart(rule_number(c), c)})
+    rows = rows.withColumns({"_form": apart(repair_score(c, shaped, first, F.col("_number")), c), "_bonus": prefix_bonus(F.col("_number"))})
+    # Edits only cost, so those of a candidate that would not be better without any are not counted.
+    raised = F.when(F.col("_form") + F.col("_bonus") > F.col("_own") + F.col(gain), F.col("_form") + (F.col("_bonus") - 0.015 * edit_count(t, c)))
     rows = rows.withColumn("_score", F.when(c == t, F.col("_own")).otherwise(raised))
     # As a generator, since a filter would be pushed below the scores and make them again for itself.
     better = F.when((c == t) | (F.col("_score") > F.col("_own") + F.col(gain)), F.array(F.struct("candidate", F.col("_score").alias("score"))))

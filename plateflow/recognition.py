@@ -16,6 +16,9 @@ ENDLESS = (float("inf"), float("inf"))
 #: How a text was found, and what a result says of its way.
 PATH, DONE, NO_TEXT, NO_PLATE = "ocr", "recognised", "a plate was found, but no text on it", "no candidate has passed"
 
+#: Columns of the candidates that the scores need.
+SCORED = ("box", "score", "profile", "layout", "framing", "left_margin", "frame_mask", "frame_profile", "frame_label", "character_texture", "plate_contrast", "alignment", "empty")
+
 
 def padded(box: Column, size: tuple, settings: dict = DEFAULTS) -> Column:
     """A candidate's box with the margins that its text is read with, and the least height that reading needs."""
@@ -23,7 +26,7 @@ def padded(box: Column, size: tuple, settings: dict = DEFAULTS) -> Column:
     return geometry.at_least_high(geometry.pad(box, *(d["padding"],) * 3, *size), r["min_crop_height"], size[1])
 
 
-def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
+def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The best candidates of each image with their readings and scores: image, seq, candidate (its place by detector score), box (with
     margins), raw_box, what the candidates hold, detector, evidence, text, confidence, recognition, characters, success, variant,
     layout, pattern, repaired, scores, before (the score before adjustments), final_score (after the adjustments between overlapping
@@ -31,12 +34,14 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, sett
 
     candidates: image, seq, box, score, and what else the detector knows of them, framing and left_margin or frame_mask and
     frame_profile among it; attempts and hints as in `attempts.gathered`, keyed by image and seq. A candidate without attempts has no
-    text. size: width and height of the images, numbers or columns of the candidates.
+    text. size: width and height of the images, numbers or columns of the candidates. keep: columns of the candidates that are read
+    later, besides those that the scores need; all, if not given.
 
     All that belongs to an image is dealt by it once and stays there: the three tables come together in one grouping without a join,
     and a candidate's record goes whole through repair and adjustment."""
     full = rerank.normalised(candidates)
-    own = full.select("image", "seq", F.struct(*(c for c in full.columns if c not in ("image", "seq")), padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
+    kept = [c for c in full.columns if c not in ("image", "seq") and (keep is None or c in (*keep, *SCORED))]
+    own = full.select("image", "seq", F.struct(*kept, padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
     whole = tries.gathered(attempts, hints, "image", "seq", candidates=own, settings=settings).where("_c IS NOT NULL").withColumn("score", F.col("_c.score"))
     best = detect.top_k(whole, settings["reranking"]["evaluate"]).withColumnRenamed("rank", "candidate").drop("score")
     read = tries.finished(tries.read(best, settings), ("image", "seq"), settings, "_c", "candidate")
@@ -51,14 +56,16 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, sett
 
 def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
     """imagePath, status, plateText, stateName, confidence, profile, layout, variant, box (as detected), score (the detector's), way,
-    messages and evaluated (all evaluated candidates, best first) of each image: its candidate of the greatest final score, of equals
+    messages, many (how many candidates were evaluated) and evaluated (all of them, best first; made only if it is read) of each image: its candidate of the greatest final score, of equals
     the one of greater score before adjustments, then of greater detector score. One image's error does not touch the others."""
-    x = evaluated(candidates, attempts, hints, settings, size)
+    x = evaluated(candidates, attempts, hints, settings, size, ("branch", "scale"))
     record = F.struct("candidate", "seq", "box", "raw_box", "branch", "profile", "layout", "scale", "detector", "evidence", "text", "pattern", "characters", "recognition", "confidence", "success", "variant", "scores", "before", "final_score", "reason")
-    by = F.array_sort(F.collect_list(F.struct((-F.col("final_score")).alias("a"), (-F.col("before")).alias("b"), "candidate", record.alias("r"))))
-    best = x.groupBy("image").agg(F.transform(by, lambda e: e["r"]).alias("evaluated")).withColumn("x", F.get("evaluated", F.lit(0)))
-    chosen = best.select("image", F.col("x.text").alias("text"), F.col("x.final_score").alias("score"), "x.success", "x.profile", "x.layout", "x.variant", F.col("x.raw_box").alias("box"), F.col("x.detector").alias("_detector"), F.lit(PATH).alias("way"), "x.candidate", "evaluated")
-    out = evaluate.results(images, chosen, "profile", "layout", "variant", "box", "_detector", "way", "candidate", "evaluated", keep=("error",) if "error" in images.columns else ())
+    order = (-F.col("final_score")).alias("a"), (-F.col("before")).alias("b"), F.col("candidate")
+    first = F.min(F.struct(*order, "text", F.col("final_score").alias("score"), "success", "profile", "layout", "variant", F.col("raw_box").alias("box"), F.col("detector").alias("_detector")))
+    every = F.array_sort(F.collect_list(F.struct(*order, record.alias("r"))))
+    best = x.groupBy("image").agg(first.alias("x"), F.count("*").cast("int").alias("many"), F.transform(every, lambda e: e["r"]).alias("evaluated"))
+    chosen = best.select("image", "x.text", "x.score", "x.success", "x.profile", "x.layout", "x.variant", "x.box", "x._detector", F.lit(PATH).alias("way"), "x.candidate", "many", "evaluated")
+    out = evaluate.results(images, chosen, "profile", "layout", "variant", "box", "_detector", "way", "candidate", "many", "evaluated", keep=("error",) if "error" in images.columns else ())
     selected = F.format_string("candidate %d was chosen by its text", F.col("candidate"))
     said = F.when(F.col("status") == evaluate.OK, F.array(F.lit(DONE), selected)).when(F.col("status") == evaluate.NO_TEXT, F.array(F.lit(NO_TEXT), selected)).when(F.col("status") == evaluate.NO_PLATE, F.array(F.lit(NO_PLATE)))
     error = F.array_compact(F.array(F.col("error") if "error" in out.columns else F.lit(None).cast("string")))

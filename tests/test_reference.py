@@ -267,3 +267,32 @@ def test_refinement_in_columns_is_that_of_the_expression(spark):
     for suffix in (True, False):
         both = attempts.refined(x, "text", F.col("conf"), suffix).withColumn("r", text.refined(F.col("text"), F.col("conf"), suffix)).collect()
         assert [(r["_text"], r["_label"]) for r in both] == [(r["r"]["text"], r["r"]["label"]) for r in both]
+
+
+def test_readings_are_those_of_all_splits(spark):
+    given = ["", "B", "8PK12E4", "BPK1234X", "0125678", "QQ11QQ", "ABCDEFGHIJ", "12345678901", "A1", "OIZSG8TBX"]
+
+    def every(t):
+        above, below = t.translate(str.maketrans(*text.LETTERS_FOR)), t.translate(str.maketrans(*text.DIGITS_FOR))
+        return sorted({t} | {above[:p] + below[p : p + d] + above[p + d :] for p in range(1, 5) for d in range(1, 5) for s in (0, 1) if p + d + s == len(t)})
+
+    x = spark.createDataFrame([(t,) for t in given], "t string").select("t", text.repair_candidates(F.col("t")).alias("all"), text.readings(F.col("t"), text.as_letters(F.col("t")), text.as_digits(F.col("t"))).alias("own"))
+    rows = x.collect()
+    assert {r["t"]: r["all"] for r in rows} == {t: every(t) for t in given}
+    # The text itself comes first, so that what it carries goes with one row.
+    assert all(r["own"][0] == r["t"] for r in rows)
+
+
+def test_what_is_carried_goes_with_one_row(spark):
+    x = spark.createDataFrame([(1, "8PK12E4", ["8PK12E4", "BPK1234"], "kept"), (2, "", ["", "BPK1234"], "empty")], "k int, t string, others array<string>, more string")
+    rows = repair.candidates(x, "k", "t", "others", "more", once=("more",)).collect()
+    assert sorted((r["k"], r["candidate"]) for r in rows if r["more"] is not None) == [(1, "8PK12E4"), (2, "")] and len(rows) > 4
+
+
+def test_unread_reasons_are_not_made(spark):
+    from plateflow import queries
+
+    found = queries.end_to_end(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    # Nobody reads the reason or the records of the other candidates.
+    assert "format_string(%.2f" not in plan and "Adj=" not in plan and "collect_list(struct(a" not in plan
