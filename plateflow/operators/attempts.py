@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plateflow.functions import text as texts
 from plateflow.functions.text import attempt_score, let, norm
@@ -43,11 +44,16 @@ def support_vote(attempts: DataFrame) -> DataFrame:
 
 def best_rows(readings: DataFrame) -> DataFrame:
     """cand, rows: of each row of a plate the best reading (text, conf), in order of rows. readings: cand, row, seq, name, text, conf,
-    two_row."""
+    two_row. A candidate's readings (fifty or so) meet in a window and leave it in its order, so a task holds one candidate's, and
+    readings that come in order of candidates are not sorted again."""
     t = texts.row_text(norm(F.col("text")), F.col("row"), F.col("two_row"))
     score = texts.row_score(t, F.col("conf"), F.col("row"), F.col("two_row")) + texts.row_variant_bonus(F.col("name"), F.col("row"), F.col("two_row"))
-    best = readings.groupBy("cand", "row").agg(F.max(F.struct(score.alias("score"), (-F.col("seq")).alias("order"), t.alias("text"), F.col("conf").alias("conf"))).alias("x"))
-    return best.groupBy("cand").agg(F.transform(F.sort_array(F.collect_list(F.struct("row", "x"))), lambda r: F.struct(r["x"]["text"].alias("text"), r["x"]["conf"].alias("conf"))).alias("rows"))
+    read = F.struct("row", score.alias("score"), (-F.col("seq")).alias("order"), t.alias("text"), F.col("conf").alias("conf"))
+    each = readings.select("cand", read.alias("x")).withColumn("every", F.collect_list("x").over(Window.partitionBy("cand")))
+    every = each.groupBy("cand").agg(F.first("every").alias("every"))
+    of = lambda k: F.array_max(F.filter("every", lambda r: r["row"].eqNullSafe(k)))
+    best = F.transform(F.sort_array(F.array_distinct("every.row")), of)
+    return every.select("cand", F.transform(best, lambda r: F.struct(r["text"].alias("text"), r["conf"].alias("conf"))).alias("rows"))
 
 
 #: What is known of the best attempt on its way.

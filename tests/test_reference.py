@@ -296,3 +296,29 @@ def test_unread_records_are_not_collected(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # Nobody reads the records of the other candidates, so they are not collected.
     assert "collect_list(struct(a" not in plan
+
+
+def test_rows_are_read_in_the_order_of_their_candidates(spark):
+    from plateflow import queries
+
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.row_readings(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    # Lines and orders are dealt and sorted once each; nothing behind them holds more than one candidate.
+    assert plan.count("Exchange hashpartitioning") == plan.count("Sort [") == 2 and "ObjectHashAggregate" not in plan
+
+
+def test_best_rows_of_odd_readings(spark):
+    rows = [
+        (1, 3, 1, "plain", "C", 0.1, False), (1, 1, 1, "plain", "A", 0.2, False), (1, 2, 1, "plain", "B", 0.3, False), (1, 2, 2, "plain", "D", 0.3, False),
+        (2, None, 1, "plain", "N", 0.5, False), (2, 1, 1, "plain", None, 0.9, False), (2, 1, 2, "plain", "K", None, False), (2, None, 2, "plain", "M", 0.6, False),
+        (None, 1, 1, "raw", "8X1", 0.4, True), (None, 2, 7, "raw", "I2", 0.4, True), (None, 2, 3, "raw", "", 0.9, True),
+    ]
+    x = spark.createDataFrame(rows, "cand long, row int, seq int, name string, text string, conf double, two_row boolean")
+    got = {r["cand"]: [tuple(e) for e in r["rows"]] for r in attempts.best_rows(x).collect()}
+    # The earlier of equals; rows without a number come first; no text counts -1, no confidence less than that.
+    assert got == {1: [("A", 0.2), ("B", 0.3), ("C", 0.1)], 2: [("M", 0.6), ("", 0.9)], None: [("BXI", 0.4), ("12", 0.4)]}
+    assert attempts.best_rows(x.limit(0)).collect() == []
