@@ -109,28 +109,34 @@ def supported(best: Column, every: Column, two_row: Column) -> Column:
     return F.when(fit, let(support(best["t"]), judged)).otherwise(best)
 
 
-def gathered(attempts: DataFrame, hints: DataFrame, *keys: str, candidates: DataFrame | None = None, settings: dict = DEFAULTS) -> DataFrame:
+def gathered(attempts: DataFrame, hints: DataFrame | None, *keys: str, candidates: DataFrame | None = None, settings: dict = DEFAULTS) -> DataFrame:
     """keys, _a (the attempts in order, with what their texts are worth), _h (layout, profile, rows) and _c (the candidate's record, if
     candidates are given): what belongs to a candidate meets in one shuffle by the first key, without a join. attempts: keys, attempt
     (its place), name, source, layout, text, conf, success and, if there are any, chars (confidences of the characters); hints: keys,
     layout, profile, rows (text and conf of the rows of a plate, null for none); candidates: keys and _c.
 
-    Attempts are rated as rows, in generated code, before they meet; what hangs on the hints is a bonus of theirs for each case."""
+    Attempts are rated as rows, in generated code, before they meet; what hangs on the hints is a bonus of theirs for each case.
+    Without hints (None: nothing is known of any plate) there is no _h, and the attempts hold their total and nothing that only hints
+    ask for."""
     suffix = settings["classification"]["suffix_letter"]
     chars = F.col("chars").cast("array<double>") if "chars" in attempts.columns else F.lit(None).cast("array<double>")
     name, source, lay, t, conf = (F.col(k) for k in ("name", "source", "layout", "_t", "_conf"))
     rated = attempts.select(*keys, "attempt", "name", "source", "layout", norm(F.col("text")).alias("_raw"), F.col("conf").cast("double").alias("_conf"), "success", chars.alias("_chars"))
-    rated = rated.withColumn("_t", texts.apart(texts.canonical(F.col("_raw"), suffix), F.col("_raw")))
+    rated = rated.withColumn("_t", F.col("_raw") if suffix else texts.apart(texts.canonical(F.col("_raw"), suffix), F.col("_raw")))
     rated = rated.withColumns({f"_{k}": v for k, v in texts.shape_parts(t).items()})
     shaped = {k: F.col(f"_{k}") for k in ("p", "d", "s", "ordered")}
     rated = rated.withColumns({"_score": texts.apart(F.when(F.col("success"), attempt_score(t, conf, shaped)).otherwise(-1.0), t), "_one": texts.variant_bonus(source, lay, F.lit(False)), "_two": texts.variant_bonus(source, lay, F.lit(True)), "_weight": support_weight(source, name)})
-    entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")))
+    if hints is None:
+        entry = F.struct("attempt", "name", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), F.col("_score").alias("score"), (F.col("_score") + F.col("_one")).alias("total"))
+    else:
+        entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")))
     whole = rated.select(*keys, entry.alias("_a"))
-    whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
+    if hints is not None:
+        whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
     if candidates is not None:
         whole = whole.unionByName(candidates.select(*keys, "_c"), allowMissingColumns=True)
-    more = [F.max("_c").alias("_c")] if candidates is not None else []
-    return whole.repartition(keys[0]).groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), F.max("_h").alias("_h"), *more)
+    more = [F.max(k).alias(k) for k in ("_h", "_c") if k in whole.columns]
+    return whole.repartition(keys[0]).groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), *more)
 
 
 def _made(x: DataFrame, at: str, name: str, raw: Column, conf: Column, bonus: Column, suffix: bool) -> DataFrame:
@@ -152,6 +158,8 @@ def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     greatest struct, and the readings that two rows give are columns. Without a suffix letter by the settings each reading loses the
     letter behind a whole plate, and the steps for weak suffixes fall away."""
     suffix, kept = settings["classification"]["suffix_letter"], candidates.columns
+    if "_h" not in kept:
+        return _read(candidates.withColumn("layout", texts.hint_layout(F.lit(""), F.lit(""))), suffix, kept)
     two = F.col("_two")
     x = candidates.withColumn("layout", texts.hint_layout(F.col("_h.layout"), F.col("_h.profile")))
     x = x.withColumns({"_two": F.col("layout") == "two_row", "_composite": F.coalesce(F.col("_h.profile") == "two_row", F.lit(False))})
@@ -174,6 +182,21 @@ def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
     more = F.when(F.col("_v").isNotNull(), F.array("_m", "_v")).when(F.col("_has"), F.array("_m"))
     x = x.withColumns({"_x": F.when(F.col("_v").isNotNull() & (F.col("_v_total") > F.col("_n.total")), _best(F.col("_v"), F.col("_v_total"))).otherwise(F.col("_n")), "_all": F.when(F.col("_has"), F.concat("_a", more)).otherwise(F.col("_a"))})
     x = x.withColumn("_y", weak_suffix(F.col("_x"), F.col("_all")) if suffix else F.col("_x")).withColumn("_z", supported(F.col("_y"), F.col("_all"), two))
+    return _spelt(x, kept)
+
+
+def _read(x: DataFrame, suffix: bool, kept: list[str]) -> DataFrame:
+    """`read` without hints: one row by its layout, and no readings of rows. The first of the greatest totals is found without a
+    lambda."""
+    x = x.withColumn("_top", F.array_max("_a.total"))
+    # Without any total the first attempt stands, as the greatest struct would have it.
+    best = F.get("_a", (F.coalesce(F.array_position("_a.total", F.col("_top")), F.lit(1)) - 1).cast("int"))
+    x = x.withColumn("_b", best).withColumn("_x", F.when(F.col("_b").isNotNull(), _best(F.col("_b"), F.col("_top"))))
+    return _spelt(x.withColumns({"_z": weak_suffix(F.col("_x"), F.col("_a")) if suffix else F.col("_x"), "_all": F.col("_a")}), kept)
+
+
+def _spelt(x: DataFrame, kept: list[str]) -> DataFrame:
+    """The columns of `read` from _z, the best attempt, and _all, all of them."""
     none = {"text": F.lit(""), "confidence": F.lit(0.0), "variant": F.lit(""), "success": F.lit(False)}
     named = {"text": "t", "confidence": "conf", "variant": "name", "success": "success"}
     out = x.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.col("_all.raw")})
@@ -214,7 +237,7 @@ def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS
     record, so nothing is joined; where before is dealt by the keys, nothing is shuffled."""
     record = F.struct("confidence", "variant", "layout", "success", "chars", *carried)
     staged = before.select(*keys, "text", "attempted", texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
-    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True)
+    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True, clean=True)
     mended = refined(mended.select(*keys, "text", "changed", "_r"), "text", F.col("_r.confidence"), settings["classification"]["suffix_letter"])
     steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_label"), F.lit(""))))
     made = mended.select(*keys, *(F.col(f"_r.{k}").alias(k) for k in carried), F.col("_text").alias("text"), F.col("_r.confidence").alias("confidence"), F.array_join(steps, "+").alias("variant"), F.col("_r.layout").alias("layout"), texts.pattern_label(F.col("_text")).alias("pattern"), F.col("changed").alias("repaired"), F.col("_r.success").alias("success"), F.col("_r.chars").alias("_chars"))

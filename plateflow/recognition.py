@@ -26,14 +26,14 @@ def padded(box: Column, size: tuple, settings: dict = DEFAULTS) -> Column:
     return geometry.at_least_high(geometry.pad(box, *(d["padding"],) * 3, *size), r["min_crop_height"], size[1])
 
 
-def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS, keep: tuple[str, ...] | None = None) -> DataFrame:
+def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame | None, settings: dict = DEFAULTS, size: tuple = ENDLESS, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The best candidates of each image with their readings and scores: image, seq, candidate (its place by detector score), box (with
     margins), raw_box, what the candidates hold, detector, evidence, text, confidence, recognition, characters, success, variant,
     layout, pattern, repaired, scores, before (the score before adjustments), final_score (after the adjustments between overlapping
     candidates) and reason.
 
     candidates: image, seq, box, score, and what else the detector knows of them, framing and left_margin or frame_mask and
-    frame_profile among it; attempts and hints as in `attempts.gathered`, keyed by image and seq. A candidate without attempts has no
+    frame_profile among it; attempts and hints as in `attempts.gathered`, keyed by image and seq (hints None: none are known). A candidate without attempts has no
     text. size: width and height of the images, numbers or columns of the candidates. keep: columns of the candidates that are read
     later, besides those that the scores need; all, if not given.
 
@@ -54,7 +54,7 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame, sett
     return rerank.adjusted(placed, settings, "final_score").withColumn("seq", F.col("_seq")).drop("_seq")
 
 
-def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
+def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame | None, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:
     """imagePath, status, plateText, stateName, confidence, profile, layout, variant, box (as detected), score (the detector's), way,
     messages, many (how many candidates were evaluated) and evaluated (all of them, best first; made only if it is read) of each image: its candidate of the greatest final score, of equals
     the one of greater score before adjustments, then of greater detector score. One image's error does not touch the others."""
