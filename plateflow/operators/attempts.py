@@ -124,19 +124,25 @@ def gathered(attempts: DataFrame, hints: DataFrame | None, *keys: str, candidate
     rated = attempts.select(*keys, "attempt", "name", "source", "layout", norm(F.col("text")).alias("_raw"), F.col("conf").cast("double").alias("_conf"), "success", chars.alias("_chars"))
     rated = rated.withColumn("_t", F.col("_raw") if suffix else texts.apart(texts.canonical(F.col("_raw"), suffix), F.col("_raw")))
     rated = rated.withColumns({f"_{k}": v for k, v in texts.shape_parts(t).items()})
-    shaped = {k: F.col(f"_{k}") for k in ("p", "d", "s", "ordered")}
+    shaped, most = {k: F.col(f"_{k}") for k in ("p", "d", "s", "ordered")}, texts.most(F.col("_raw")).alias("most")
     rated = rated.withColumns({"_score": texts.apart(F.when(F.col("success"), attempt_score(t, conf, shaped)).otherwise(-1.0), t), "_one": texts.variant_bonus(source, lay, F.lit(False)), "_two": texts.variant_bonus(source, lay, F.lit(True)), "_weight": support_weight(source, name)})
     if hints is None:
-        entry = F.struct("attempt", "name", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), F.col("_score").alias("score"), (F.col("_score") + F.col("_one")).alias("total"))
+        entry = F.struct("attempt", "name", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), F.col("_score").alias("score"), (F.col("_score") + F.col("_one")).alias("total"), most)
     else:
-        entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")))
+        entry = F.struct("attempt", "name", "source", "layout", F.col("_raw").alias("raw"), conf.alias("conf"), "success", F.col("_chars").alias("chars"), t.alias("t"), *(v.alias(k) for k, v in shaped.items()), *(F.col(f"_{k}").alias(k) for k in ("score", "one", "two", "weight")), most)
     whole = rated.select(*keys, entry.alias("_a"))
     if hints is not None:
         whole = whole.unionByName(hints.select(*keys, F.struct("layout", "profile", "rows").alias("_h")), allowMissingColumns=True)
     if candidates is not None:
         whole = whole.unionByName(candidates.select(*keys, "_c"), allowMissingColumns=True)
-    more = [F.max(k).alias(k) for k in ("_h", "_c") if k in whole.columns]
-    return whole.repartition(keys[0]).groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), *more)
+    whole = whole.repartition(keys[0])
+    if candidates is None:
+        return whole.groupBy(*keys).agg(F.sort_array(F.collect_list("_a")).alias("_a"), *([F.max("_h").alias("_h")] if hints is not None else []))
+    # A candidate's rows (fifty or so) meet in a window and only its own goes on: they are sorted once, and no list is packed, dealt and
+    # unpacked between the two halves of an aggregation.
+    own = Window.partitionBy(*keys)
+    beside = whole.withColumns({"_every": F.collect_list("_a").over(own), **({"_h": F.max("_h").over(own)} if hints is not None else {})}).where("_c IS NOT NULL")
+    return beside.select(*keys, F.sort_array("_every").alias("_a"), *(["_h"] if hints is not None else []), "_c")
 
 
 def _made(x: DataFrame, at: str, name: str, raw: Column, conf: Column, bonus: Column, suffix: bool) -> DataFrame:
@@ -147,14 +153,14 @@ def _made(x: DataFrame, at: str, name: str, raw: Column, conf: Column, bonus: Co
     x = x.withColumns({f"{at}_{k}": texts.apart(v, c("t")) if k == "s" else v for k, v in texts.shape_parts(c("t")).items()})
     shaped = {k: c(k) for k in ("p", "d", "s", "ordered")}
     x = x.withColumn(f"{at}_score", texts.apart(attempt_score(c("t"), c("conf"), shaped), c("t")))
-    own = {"name": F.lit(name), "source": F.lit(name), "raw": c("raw"), "conf": c("conf"), "success": c("t") != "", "t": c("t"), **shaped, "score": c("score"), "weight": support_weight(F.lit(name), F.lit(name))}
+    own = {"name": F.lit(name), "source": F.lit(name), "raw": c("raw"), "conf": c("conf"), "success": c("t") != "", "t": c("t"), **shaped, "score": c("score"), "weight": support_weight(F.lit(name), F.lit(name)), "most": texts.most(c("raw"))}
     entry = F.struct(*(own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
     return x.withColumns({at: F.when(c("raw").isNotNull(), entry), f"{at}_total": c("score") + bonus})
 
 
 def read(candidates: DataFrame, settings: dict = DEFAULTS) -> DataFrame:
-    """Adds layout, text, confidence, variant, success, chars and attempted to what `gathered` makes: the reading of each candidate
-    before its repair, and all texts attempted. The best of a candidate's attempts (fifty at most; the earlier one of equals) is a
+    """Adds layout, text, confidence, variant, success, chars, attempted and most to what `gathered` makes: the reading of each candidate
+    before its repair, all texts attempted, and the greatest of what `texts.most` says of them. The best of a candidate's attempts (fifty at most; the earlier one of equals) is a
     greatest struct, and the readings that two rows give are columns. Without a suffix letter by the settings each reading loses the
     letter behind a whole plate, and the steps for weak suffixes fall away."""
     suffix, kept = settings["classification"]["suffix_letter"], candidates.columns
@@ -199,8 +205,8 @@ def _spelt(x: DataFrame, kept: list[str]) -> DataFrame:
     """The columns of `read` from _z, the best attempt, and _all, all of them."""
     none = {"text": F.lit(""), "confidence": F.lit(0.0), "variant": F.lit(""), "success": F.lit(False)}
     named = {"text": "t", "confidence": "conf", "variant": "name", "success": "success"}
-    out = x.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.col("_all.raw")})
-    return out.select(*(k for k in kept if k not in ("_a", "_h")), "layout", *none, "chars", "attempted")
+    out = x.withColumns({k: F.coalesce(F.col(f"_z.{named[k]}"), v) for k, v in none.items()} | {"chars": F.col("_z.chars"), "attempted": F.col("_all.raw"), "most": F.array_max("_all.most")})
+    return out.select(*(k for k in kept if k not in ("_a", "_h")), "layout", *none, "chars", "attempted", "most")
 
 
 def refined(x: DataFrame, text: str, confidence: Column, suffix: bool = True) -> DataFrame:
@@ -236,9 +242,12 @@ def finished(before: DataFrame, keys: tuple[str, ...], settings: dict = DEFAULTS
     confidence of each) and recognition (their mean): readings after repair and refinement. A reading goes through repair as one
     record, so nothing is joined; where before is dealt by the keys, nothing is shuffled."""
     record = F.struct("confidence", "variant", "layout", "success", "chars", *carried)
-    staged = before.select(*keys, "text", "attempted", texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
-    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True, clean=True)
-    mended = refined(mended.select(*keys, "text", "changed", "_r"), "text", F.col("_r.confidence"), settings["classification"]["suffix_letter"])
+    suffix = settings["classification"]["suffix_letter"]
+    # With suffix letters the text is one of those attempted, as it is.
+    most = F.col("most") if suffix else F.greatest("most", texts.most(F.col("text")))
+    staged = before.select(*keys, "text", "attempted", most.alias("_most"), texts.least_gain(F.col("confidence"), F.col("layout")).alias("_gain"), record.alias("_r"))
+    mended = repaired(staged, keys, "text", "_gain", "attempted", "_r", dealt=True, clean=True, most="_most")
+    mended = refined(mended.select(*keys, "text", "changed", "_r"), "text", F.col("_r.confidence"), suffix)
     steps = F.array_compact(F.array(F.nullif(F.col("_r.variant"), F.lit("")), F.when(F.col("changed"), F.lit("pattern_repair")), F.nullif(F.col("_label"), F.lit(""))))
     made = mended.select(*keys, *(F.col(f"_r.{k}").alias(k) for k in carried), F.col("_text").alias("text"), F.col("_r.confidence").alias("confidence"), F.array_join(steps, "+").alias("variant"), F.col("_r.layout").alias("layout"), texts.pattern_label(F.col("_text")).alias("pattern"), F.col("changed").alias("repaired"), F.col("_r.success").alias("success"), F.col("_r.chars").alias("_chars"))
     each = texts.expanded_confidence(F.col("text"), F.col("_chars"), F.col("confidence"))

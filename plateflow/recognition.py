@@ -51,7 +51,7 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame | Non
     scored = rerank.with_final_score(ready.withColumn("evidence", rerank.evidence(ready)), settings)
     # Of equal scores the better candidate by its detector comes first.
     placed = scored.withColumns({"before": F.col("final_score"), "_seq": F.col("seq"), "seq": F.col("candidate")})
-    return rerank.adjusted(placed, settings, "final_score").withColumn("seq", F.col("_seq")).drop("_seq")
+    return rerank.adjusted(placed, settings, "final_score", clean=True).withColumn("seq", F.col("_seq")).drop("_seq")
 
 
 def results(images: DataFrame, candidates: DataFrame, attempts: DataFrame, hints: DataFrame | None, settings: dict = DEFAULTS, size: tuple = ENDLESS) -> DataFrame:

@@ -322,3 +322,59 @@ def test_best_rows_of_odd_readings(spark):
     # The earlier of equals; rows without a number come first; no text counts -1, no confidence less than that.
     assert got == {1: [("A", 0.2), ("B", 0.3), ("C", 0.1)], 2: [("M", 0.6), ("", 0.9)], None: [("BXI", 0.4), ("12", 0.4)]}
     assert attempts.best_rows(x.limit(0)).collect() == []
+
+
+def odd_texts(n=600):
+    import random
+
+    random.seed(7)
+    made = ["".join(random.choice(s) for s in (random.choice(["ABZIFGX0123489", "IUMLV1N", "OQDUILTZSGB0125678", "Z", "12D"]) for _ in range(random.randint(0, 11)))) for _ in range(n)]
+    return [*made, "ABX1234", "AB1234R", "8PK12E4", "ZA1234", "12DC88", "IIUM6763", "LLUN6763", "A", "", "ABCDEFGHIJ", "12345678901"]
+
+
+def test_readings_that_cannot_win_are_not_made(spark):
+    from itertools import product
+
+    x = spark.createDataFrame([(k, t, g) for k, (t, g) in enumerate(product(odd_texts(), (0.005, 0.03)))], "k int, t string, gain double")
+    t, c = F.col("t"), F.col("candidate")
+    x = x.withColumn("least", F.when(t.isNotNull(), text.repair_score(t, text.shape(t), text.shape(t), text.rule_number(t)) + F.col("gain")))
+    every = repair.candidates(x, "k", "t", None, "least")
+    score = lambda o: text.repair_score(c, text.shape(c), text.shape(o), text.rule_number(c)) + text.prefix_bonus(text.rule_number(c))
+    winners = every.where((score(F.col("text")) > F.col("least")) & (c != F.col("text"))).select("k", "candidate").distinct()
+    made = repair.candidates(x, "k", "t", None, least="least").select("k", "candidate")
+    assert winners.count() > 200 and winners.subtract(made).count() == 0
+    # Nothing is over what `most` says, and the text itself is made once.
+    over = every.where((score(F.col("text")) > text.most(F.col("text"))) & (c != F.col("text")))
+    assert over.count() == 0 and made.groupBy("k", "candidate").count().where("count > 1").count() == 0
+    plain = spark.createDataFrame([(1, "ABX1234", 0.015)], "k int, t string, gain double").withColumn("least", F.lit(1.1))
+    assert [r["candidate"] for r in repair.candidates(plain, "k", "t", None, least="least").collect()] == ["ABX1234"]
+
+
+def test_rules_by_first_letter_are_those_by_priority(spark):
+    import re
+
+    from plateflow.plans.dims import RULES
+
+    def first(t):
+        return next((k for k, (_, _, matcher, token, _) in enumerate(RULES) if (re.search(token, t) if matcher == "pattern" else t.startswith(token))), None)
+
+    given = [*odd_texts(), *(a + b for a in text.LETTERS + text.DIGITS + "é?" for b in ("", "1", "A1234"))]
+    x = spark.createDataFrame([(t,) for t in given], "t string").select("t", text.rule_number(F.col("t")).alias("n"), text.shape(F.col("t")).alias("s"))
+    rows = x.select("t", "n", text.exact(F.col("s")).alias("exact"), text.partial(F.col("s")).alias("partial")).collect()
+    assert [r["n"] for r in rows] == [first(r["t"]) for r in rows]
+    plain = [r for r in rows if re.fullmatch("[A-Z0-9]*", r["t"])]
+    assert [(r["exact"], r["partial"]) for r in plain] == [(bool(re.search(text.EXACT, r["t"])), bool(re.search(text.PARTIAL, r["t"]))) for r in plain]
+
+
+def test_without_hints_plates_have_one_row(spark):
+    from plateflow import recognition
+
+    box = lambda x: (float(x), 0.0, 40.0, 20.0)
+    candidates = spark.createDataFrame([(1, 1, box(0), 0.9), (1, 2, box(5), 0.8), (2, 1, box(0), 0.5), (3, 1, box(0), 0.5)], "image int, seq int, box struct<x:double,y:double,w:double,h:double>, score double").withColumns({"framing": F.lit(0.5), "left_margin": F.lit(0.1)})
+    rows = [(1, 1, 0, "8PK1234", 0.6, True), (1, 1, 1, "BPK1234", 0.6, True), (1, 2, 0, "PK123", 0.9, True), (1, 2, 1, "PK123R", 0.3, True), (2, 1, 0, "LLUN6763", None, True), (2, 1, 1, "bpW99", None, False), (4, 1, 0, "B1", 0.5, True)]
+    tried = spark.createDataFrame(rows, "image int, seq int, attempt int, text string, conf double, success boolean").withColumns({"name": F.concat(F.lit("n"), "attempt"), "source": F.lit("row_composite"), "layout": F.lit("Line")})
+    hints = candidates.select("image", "seq", F.lit("").alias("layout"), F.lit("single_line").alias("profile"), F.lit(None).cast("array<struct<text:string,conf:double>>").alias("rows"))
+    for own in (settings(), settings({"classification": {"suffix_letter": False}})):
+        without, given = (recognition.evaluated(candidates, tried, h, own) for h in (None, hints))
+        assert "rowwise_combo" not in without._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(map(str, without.collect())) == sorted(map(str, given.select(*without.columns).collect())) and without.count() == 4
