@@ -16,11 +16,12 @@ def candidates(texts: DataFrame, key: str | tuple[str, ...], text: str, attempte
     texts are normalised already."""
     keys = (key,) if isinstance(key, str) else key
     normed = (lambda x: x) if clean else norm
-    rows = texts.select(*keys, normed(F.col(text)).alias("text"), *more, *([F.col(attempted).alias("_others")] if attempted else []))
+    held = more if least is None or least in more else (*more, least)
+    rows = texts.select(*keys, normed(F.col(text)).alias("text"), *held, *([F.col(attempted).alias("_others")] if attempted else []))
     rows = rows.withColumn("_read", F.col("text"))
     if attempted:
         every = F.array_distinct(F.concat(F.array("text"), F.coalesce("_others", F.array().cast("array<string>"))))
-        rows = rows.select(*keys, "text", *more, F.posexplode(every).alias("_place", "_raw")).withColumn("_read", normed(F.col("_raw"))).where((F.col("_place") == 0) | (F.col("_read") != ""))
+        rows = rows.select(*keys, "text", *held, F.posexplode(every).alias("_place", "_raw")).withColumn("_read", normed(F.col("_raw"))).where((F.col("_place") == 0) | (F.col("_read") != ""))
     else:
         rows = rows.withColumn("_place", F.lit(0))
     own = (F.col("_place") == 0) & (F.col("_k") == 0)  # the first reading is the text
@@ -69,7 +70,7 @@ def repaired(texts: DataFrame, key: str | tuple[str, ...], text: str, gain: str,
     # What a text has goes as one record with its own row, so that the rows meet in two aggregates.
     own = own.withColumn("_kept", F.struct(F.col("_text").alias("text"), F.col(gain).alias("gain"), F.col("_own").alias("own"), *carried))
     rest = (gain, "_kept", "_own", "_o_p", "_o_d", "_o_s", "_o_ordered")
-    rows = candidates(own, keys, text, attempted, *rest, "_least", once=("_kept",), least="_least", clean=clean)
+    rows = candidates(own, keys, text, attempted, *rest, once=("_kept",), least="_least", clean=clean)
     # The text's own row is rated already: nothing is looked for in null.
     rows = rows.withColumn("_c", F.nullif(c, t))
     other = F.col("_c")
