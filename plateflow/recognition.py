@@ -41,10 +41,11 @@ def evaluated(candidates: DataFrame, attempts: DataFrame, hints: DataFrame | Non
     and a candidate's record goes whole through repair and adjustment."""
     full = rerank.normalised(candidates)
     kept = [c for c in full.columns if c not in ("image", "seq") and (keep is None or c in (*keep, *SCORED))]
-    own = full.select("image", "seq", F.struct(*kept, padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
-    whole = tries.gathered(attempts, hints, "image", "seq", candidates=own, settings=settings).where("_c IS NOT NULL").withColumn("score", F.col("_c.score"))
-    best = detect.top_k(whole, settings["reranking"]["evaluate"]).withColumnRenamed("rank", "candidate").drop("score")
-    read = tries.finished(tries.read(best, settings), ("image", "seq"), settings, "_c", "candidate")
+    own = full.select("image", "seq", "score", F.struct(*kept, padded(F.col("box"), size, settings).alias("_padded")).alias("_c"))
+    # The best are chosen before their attempts lie beside them, while rows are small.
+    best = detect.top_k(own, settings["reranking"]["evaluate"]).select("image", "seq", F.struct("rank", "_c").alias("_c"))
+    whole = tries.gathered(attempts, hints, "image", "seq", candidates=best, settings=settings).withColumns({"candidate": F.col("_c.rank"), "_c": F.col("_c._c")})
+    read = tries.finished(tries.read(whole, settings), ("image", "seq"), settings, "_c", "candidate")
     taken = {"box", "layout"} | set(read.columns)
     rest = [k for k in own.schema["_c"].dataType.names if k not in taken and k != "_padded"]
     ready = read.select("image", "seq", "candidate", F.col("_c._padded").alias("box"), F.col("_c.box").alias("raw_box"), *(F.col(f"_c.{k}").alias(k) for k in rest), F.col("_c.score").alias("detector"), "text", "confidence", "recognition", "characters", "success", "variant", "pattern", "repaired", rerank.layout_of(F.col("layout"), F.lit(None).cast("string"), F.col("_c.layout"), F.col("_c.profile")).alias("layout"))
